@@ -1,11 +1,19 @@
-"""The query catalogue of the library's own operators."""
+"""The query catalogue: every operator applied to the parquet tables, with the SQL that checks it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from fusegrid.plans import graph_queries, quality_queries, retrieval_queries, text_queries
+
+_MODULES = (graph_queries, retrieval_queries, text_queries, quality_queries)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
