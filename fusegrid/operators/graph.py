@@ -46,6 +46,18 @@ def link_by_name(nodes: DataFrame, names: DataFrame, rel_type: str) -> DataFrame
     return nodes.join(known, F.col("design_system") == F.col("_name")).select(F.col("element_id").alias("src"), F.col("_name").alias("dst"), F.lit(rel_type).alias("rel_type"))
 
 
+def membership_edges(groups: DataFrame, members: DataFrame, group: str, ids: str, member: str) -> DataFrame:
+    """(group, member) edges of an array column of ids; an edge needs both its ends to exist."""
+    pairs = groups.select(group, F.explode(ids).alias(member)).distinct()
+    return pairs.join(members.select(member), member, "left_semi").select(group, member)
+
+
+def distribution(df: DataFrame, column: str) -> DataFrame:
+    """One row with a map of value to count; for columns of few values."""
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n"))))
+    return count_by(df, column).agg(entries.alias("counts"))
+
+
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """Rows of a page; page 0 counts as 1."""
     return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)

@@ -241,3 +241,16 @@ def _(spark, d):
 def _(spark, d):
     info = K.collection_info(W.points(spark, d))
     return info.unionByName(info.agg(F.sum("points").alias("points")).select(F.lit(-1).alias("collection"), "points"))
+
+
+@query("save_snippet_edges", sql("v_element", ", g as (select element_id as snippet_id, unnest([element_id, element_id + 1, element_id + 1, element_id + 100000000]) as member from v_element where element_id < 50) select distinct snippet_id, member as element_id from g where member in (select element_id from v_element)"))
+def _(spark, d):
+    e = W.elements(spark, d)
+    groups = e.where("element_id < 50").select(F.col("element_id").alias("snippet_id"), F.array("element_id", F.col("element_id") + 1, F.col("element_id") + 1, F.col("element_id") + 100000000).alias("ids"))
+    return G.membership_edges(groups, e, "snippet_id", "ids", "element_id")
+
+
+@query("design_system_distribution", sql("v_element", "select string_agg(design_system || '=' || n, ',' order by design_system) as counts from (select design_system, count(*) as n from v_element group by 1)"))
+def _(spark, d):
+    m = G.distribution(W.elements(spark, d), "design_system")
+    return m.select(F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("counts"))

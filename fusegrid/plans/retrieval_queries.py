@@ -237,3 +237,33 @@ def _(spark, d):
     return hybrid(spark, d, asked, 5)
 
 
+
+
+_GROUPS = {"components": (20, "{} component"), "attributes": (15, "{} with rounded corners"), "forms": (15, "form with {}"), "navigation": (15, "navigation with {}"), "layout": (10, "layout of {}"), "feedback": (10, "alert near {}"), "data": (10, "table of {}"), "complex": (5, "dashboard with {} and filters")}
+
+
+def benchmark_rows() -> list[tuple[int, str, str, list[str]]]:
+    """A hundred queries in eight groups, three expected ids each, all by rule: (query_id, group, text, expected)."""
+    import hashlib
+
+    from fusegrid.functions import lexicon as L
+
+    names, out = list(L.COMPONENTS), []
+    for group, (count, form) in _GROUPS.items():
+        for i in range(count):
+            text = form.format(names[i % len(names)])
+            out.append((len(out) + 1, group, text, [hashlib.md5(f"{text}#{k}".encode()).hexdigest() for k in range(3)]))
+    return out
+
+
+@query("benchmark_dataset", "select * from (values " + ", ".join(f"('{g}', {n}, {3 * n})" for g, (n, _) in _GROUPS.items()) + ") t(grp, queries, expected)")
+def _(spark, d):
+    rows = spark.createDataFrame(benchmark_rows(), "query_id int, grp string, text string, expected array<string>")
+    return rows.groupBy("grp").agg(F.count("*").alias("queries"), F.sum(F.size("expected")).alias("expected"))
+
+
+@query("match_reasons", f"with c as ({_CANDIDATES}) select query_id, element_id, source, 'confidence 0.50, similarity ' || format('{{:.2f}}', similarity::double) || ', connections ' || format('{{:.2f}}', graph_degree::double) as reason from c")
+def _(spark, d):
+    from fusegrid.functions import scalar as S
+
+    return _candidates(spark).select("query_id", "element_id", "source", S.match_reason(F.lit(0.5), F.col("similarity"), F.col("graph_degree")).alias("reason"))
