@@ -1,6 +1,6 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +119,17 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(31)) and got[99] == got[100] == got[40] == 40 and got[1049] == 1000
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_mixing_null_and_repeated_ids(spark):
+    rows = [(None, "a b c", "s"), (1, "a b", "s"), (1, "a b", "s"), (1, "a b c d", "s"), (2, "x", None), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs).collect()
+    assert len(out) == 6 and sum(r["taken"] for r in out if r["source_size"] == 11) == round(next(r["target"] for r in out if r["source_size"] == 11))
+    assert all(r["taken"] <= 2 * r["size"] for r in out)
+
+
+def test_line_dedup_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "same\nown")] * 12 + [(None, "same")], "doc_id long, text string")
+    out = line_dedup.drop_lines(docs, line_dedup.build_state(docs, min_docs=10)).collect()
+    assert Counter((r["doc_id"], r["n_dropped"]) for r in out) == {(1, 2): 12, (None, 1): 1}

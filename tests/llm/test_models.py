@@ -120,3 +120,30 @@ def test_vector_search_few_rows(spark):
     rows = ann.search(df, df.where("vec_id % 20 = 0")).orderBy("rank").collect()
     assert [(r["vec_id"], r["rank"], r["score"]) for r in rows] == [(1, 1, 0.5), (2, 2, 0.5)]
     assert ann.search(df.where("false"), df.where("false")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "token = abcdefgh", None), (3, "token = abcdefgh", "s"), (3, "token = abcdefgh", "s"), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = secret_scan.MarkovModel.train([("ordinary", False), ("a9X2kQ", True)])
+    scanned = secret_scan.digests(secret_scan.scan(docs, plain)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_assign"]) for r in scanned) == [(0, 1), (3, 1), (3, 1), (4, 0)]
+    for scored in (quality.score(docs, quality.fit([], np.zeros(0))), toxicity.score(docs, toxicity.ToxicModel({}))):
+        assert sorted(r["doc_id"] or 0 for r in scored.collect()) == [0, 3, 3, 4]
+    held = docs.select(toxicity.held_out(F.col("doc_id"), 5, 0).alias("h"), "doc_id").where("doc_id is null").first()
+    assert held["h"] is False
+
+
+def test_one_class_of_labels(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(8)] + [(99, 1, 1), (1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert all(r["score"] > 0.9 for r in quality.score(docs, quality.train(docs, labels)).collect())
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, toxicity.train(docs, labels)).collect())
+    assert quality.score(docs.where("false"), quality.train(docs, labels)).count() == 0
+
+
+def test_vector_search_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (5, [0.9, 0.0]), (5, [0.8, 0.0]), (7, [0.1, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = ann.search(df, df.where("vec_id = 0"), k=10).orderBy("rank").collect()
+    assert [(r["vec_id"], round(r["score"], 6)) for r in out] == [(5, 0.9), (5, 0.8), (7, 0.1)]
