@@ -17,7 +17,9 @@ side; an empty table writes no shard and reads back empty; extra columns are ign
 
 from __future__ import annotations
 
+import array
 import bisect
+import gc
 import hashlib
 import json
 import re
@@ -34,7 +36,10 @@ BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 24 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 END_ID = 0
-KEPT_CHUNKS = 400_000
+#: Chunks in each of two generations of remembered ids: when the young one is full it becomes the old one, and what is met again moves on.
+KEPT_CHUNKS = 350_000
+#: Longer chunks seldom come again and are not remembered.
+KEPT_CHARS = 12
 _FOOTER = struct.Struct("<8sBBxxIQQQIQIxxxx")
 _INDEX = struct.Struct("<9sQIQ")
 _STATE: dict = {}
@@ -83,38 +88,55 @@ class _Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.set_threshold(500_000, 50, 100)  # batches make many lists and no cycles
         from tokenizers import Tokenizer
 
-        self.lib, self.width, self.memo = Tokenizer.from_file(path), width, {}
+        self.lib, self.width, self.young, self.old = Tokenizer.from_file(path), width, {}, {}
+        self.kind = array.array("H" if width == 2 else "I").typecode
         self.special = [t["content"] for t in json.loads(self.lib.to_str())["added_tokens"]]
         pre = json.loads(self.lib.to_str()).get("pre_tokenizer") or {}
         self.chunked = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not json.loads(self.lib.to_str()).get("normalizer")
         self.odd, self.cut = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
-    def pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
-
-    def chunks(self, text: str) -> list[str]:
+    def keys(self, text: str) -> list[str]:
+        """A text's chunks: without the space that each but the first begins with; the first with one, to tell it apart."""
+        if not text:
+            return []
         if not self.chunked or any(s in text for s in self.special):
-            return [text]
-        if text[:1] == " " or text[-1:] == " " or self.odd.search(text):
+            return [" " + text]
+        if text[0] == " " or text[-1] == " " or self.odd.search(text):
             parts = self.cut.split(text)
         else:
             parts = text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        parts[0] = " " + parts[0]
+        return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) if t else [] for t in texts]
-        if len(self.memo) > KEPT_CHUNKS:
-            self.memo.clear()
-        memo = self.memo
-        new = list({c for x in cut for c in x if c not in memo})
-        long = {}
-        for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            for c, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (memo if len(c) <= 60 else long)[c] = self.pack(e.ids)
-        return [b"".join([memo[c] if c in memo else long[c] for c in x]) for x in cut] if long else [b"".join(map(memo.__getitem__, x)) for x in cut]
+        if len(self.young) > KEPT_CHUNKS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        cut = [self.keys(t) for t in texts]
+        got = [list(map(young.get, x)) for x in cut]
+        new = set()
+        for x, g in zip(cut, got, strict=True):
+            if None in g:
+                for k, v in zip(x, g, strict=True):
+                    if v is None:
+                        v = old.get(k)
+                        if v is None:
+                            new.add(k)
+                        else:
+                            young[k] = v
+        order = list(new)
+        for at in range(0, len(order), 2000):
+            some = order[at : at + 2000]
+            for k, e in zip(some, self.lib.encode_batch_fast([k[1:] if k[0] == " " else " " + k for k in some], add_special_tokens=False), strict=True):
+                young[k] = array.array(self.kind, e.ids).tobytes()
+        out = [b"".join(map(young.__getitem__, x)) if None in g else b"".join(g) for x, g in zip(cut, got, strict=True)]
+        for k in order:
+            if len(k) > KEPT_CHARS:
+                del young[k]
+        return out
 
 
 def _encoder(path: str, width: int) -> _Encoder:
@@ -241,7 +263,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
 
         def entries():
             for whole in batches:
-                for at in range(0, whole.num_rows, 256):
+                for at in range(0, whole.num_rows, 1024):
                     batch = whole.slice(at, 256)
                     for i, v in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
                         yield key_of(i), v + end
