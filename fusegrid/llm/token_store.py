@@ -36,6 +36,8 @@ BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 24 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 END_ID = 0
+#: Texts given to the encoder at a time.
+ENCODE_ROWS = 256
 #: Chunks in each of two generations of remembered ids: when the young one is full it becomes the old one, and what is met again moves on.
 KEPT_CHUNKS = 350_000
 #: Longer chunks seldom come again and are not remembered.
@@ -263,8 +265,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
 
         def entries():
             for whole in batches:
-                for at in range(0, whole.num_rows, 1024):
-                    batch = whole.slice(at, 256)
+                for at in range(0, whole.num_rows, ENCODE_ROWS):
+                    batch = whole.slice(at, ENCODE_ROWS)
                     for i, v in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
                         yield key_of(i), v + end
 

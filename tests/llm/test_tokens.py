@@ -83,6 +83,15 @@ def test_token_store_empty_null_and_repeated_ids(spark, tmp_path):
     assert [r["doc_id"] for r in rows] == [None, -1, 5, 5]
 
 
+def test_token_store_keeps_every_row_of_a_large_batch(spark, tmp_path):
+    n = 3000
+    docs = spark.range(0, n, 1, 1).selectExpr("id as doc_id", "concat('text ', id) as text")
+    token_store.write_store(docs, str(tmp_path / "l"), P.path("byte_bpe_50k.json"))
+    rows = token_store.read_store(spark, str(tmp_path / "l")).select("doc_id", "start", "n_tokens").orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in rows] == list(range(n))
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(rows, rows[1:]))
+
+
 def test_shard_format():
     entries = [(token_store.key_of(i), bytes([i % 251, 0] * (i % 300))) for i in range(0, 4000, 2)]
     data = b"".join(r + b"\n" for r in token_store.shard_records(iter(entries), 2))
