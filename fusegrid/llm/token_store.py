@@ -17,9 +17,7 @@ side; an empty table writes no shard and reads back empty; extra columns are ign
 
 from __future__ import annotations
 
-import array
 import bisect
-import gc
 import hashlib
 import json
 import re
@@ -36,12 +34,13 @@ BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 24 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 END_ID = 0
-#: Texts given to the encoder at a time.
-ENCODE_ROWS = 256
-#: Chunks in each of two generations of remembered ids: when the young one is full it becomes the old one, and what is met again moves on.
-KEPT_CHUNKS = 350_000
-#: Longer chunks seldom come again and are not remembered.
-KEPT_CHARS = 12
+#: Characters of texts encoded at a time, and different chunks given to the library in one text.
+ENCODE_CHARS = 16 << 20
+CHUNKS_PER_TEXT = 2000
+#: Chunks up to this length are remembered; about so many of them by each worker.
+KEPT_CHARS, KEPT_CHUNKS = 8, 400_000
+#: Texts whose ids are put together at a time.
+GATHER_TEXTS = 256
 _FOOTER = struct.Struct("<8sBBxxIQQQIQIxxxx")
 _INDEX = struct.Struct("<9sQIQ")
 _STATE: dict = {}
@@ -81,63 +80,86 @@ def _bloom_places(key: bytes, bits: int) -> list[int]:
 
 
 class _Encoder:
-    """The tokenizers library, asked once for each chunk between single spaces.
+    """The tokenizers library, asked once for each different chunk between single spaces of a batch.
 
     Byte-level pre-tokenisation always cuts before a space that has no white space on either side, so the chunks' ids joined are the text's.
+    Different chunks are given to the library many to a text; only a chunk's first token begins with the space, so its ids are cut there.
     """
 
     def __init__(self, path: str, width: int):
         import os
 
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.set_threshold(500_000, 50, 100)  # batches make many lists and no cycles
         from tokenizers import Tokenizer
 
-        self.lib, self.width, self.young, self.old = Tokenizer.from_file(path), width, {}, {}
-        self.kind = array.array("H" if width == 2 else "I").typecode
-        self.special = [t["content"] for t in json.loads(self.lib.to_str())["added_tokens"]]
-        pre = json.loads(self.lib.to_str()).get("pre_tokenizer") or {}
-        self.chunked = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not json.loads(self.lib.to_str()).get("normalizer")
-        self.odd, self.cut = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
+        self.lib, self.kind = Tokenizer.from_file(path), np.dtype("<u2" if width == 2 else "<u4")
+        self.memo: dict[str, bytes] = {}
+        made = json.loads(self.lib.to_str())
+        self.special = [t["content"] for t in made["added_tokens"]]
+        pre = made.get("pre_tokenizer") or {}
+        self.chunked = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not made.get("normalizer") and not any(" " in s for s in self.special)
+        self.odd = re.compile(r"\s\s")
+        vocab = self.lib.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
+
+    def library(self, texts: list[str]) -> list:
+        import numpy as np
 
-    def keys(self, text: str) -> list[str]:
-        """A text's chunks: without the space that each but the first begins with; the first with one, to tell it apart."""
-        if not text:
-            return []
-        if not self.chunked or any(s in text for s in self.special):
-            return [" " + text]
-        if text[0] == " " or text[-1] == " " or self.odd.search(text):
-            parts = self.cut.split(text)
-        else:
-            parts = text.split(" ")
-        parts[0] = " " + parts[0]
-        return parts
+        return [np.array(e.ids, self.kind) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def chunk_ids(self, chunks: list[str]) -> tuple:
+        """Ids of all these different chunks, each after a space, in one array, and how many each has."""
+        import numpy as np
+
+        memo, wide = self.memo, self.kind.itemsize
+        if len(memo) > KEPT_CHUNKS:
+            memo.clear()
+        got = list(map(memo.get, chunks))
+        new = [k for k, v in enumerate(got) if v is None]
+        for at in range(0, len(new), CHUNKS_PER_TEXT):
+            some = new[at : at + CHUNKS_PER_TEXT]
+            (ids,) = self.library([" " + " ".join([chunks[k] for k in some])])
+            start = np.flatnonzero(self.begins[ids])
+            if len(start) != len(some):
+                raise ValueError("a chunk's first token, and no other, must begin with a space")
+            cut, data = (np.append(start, len(ids)) * wide).tolist(), ids.tobytes()
+            for k, x, y in zip(some, cut, cut[1:], strict=False):
+                got[k] = v = data[x:y]
+                if len(chunks[k]) <= KEPT_CHARS:
+                    memo[chunks[k]] = v
+        return np.frombuffer(b"".join(got), self.kind), np.fromiter(map(len, got), np.int64, len(got)) // wide
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > KEPT_CHUNKS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        cut = [self.keys(t) for t in texts]
-        got = [list(map(young.get, x)) for x in cut]
-        new = set()
-        for x, g in zip(cut, got, strict=True):
-            if None in g:
-                for k, v in zip(x, g, strict=True):
-                    if v is None:
-                        v = old.get(k)
-                        if v is None:
-                            new.add(k)
-                        else:
-                            young[k] = v
-        order = list(new)
-        for at in range(0, len(order), 2000):
-            some = order[at : at + 2000]
-            for k, e in zip(some, self.lib.encode_batch_fast([k[1:] if k[0] == " " else " " + k for k in some], add_special_tokens=False), strict=True):
-                young[k] = array.array(self.kind, e.ids).tobytes()
-        out = [b"".join(map(young.__getitem__, x)) if None in g else b"".join(g) for x, g in zip(cut, got, strict=True)]
-        for k in order:
-            if len(k) > KEPT_CHARS:
-                del young[k]
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain = [i for i, t in enumerate(texts) if t and self.chunked and not (t[0].isspace() or t[-1].isspace() or self.odd.search(t)) and not any(s in t for s in self.special)]
+        out = [b""] * len(texts)
+        rest = [i for i in {*range(len(texts))}.difference(plain) if texts[i]]
+        for i, ids in zip(rest, self.library([texts[i] for i in rest]), strict=True):
+            out[i] = ids.tobytes()
+        if not plain:
+            return out
+        cut = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        ends = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        code, first = coded.indices.to_numpy(), ends[:-1]
+        firsts = self.library(coded.take(pa.array(first)).to_pylist())  # these have no space before them
+        flat, size = self.chunk_ids(coded.dictionary.to_pylist())
+        begin = np.append(0, np.cumsum(size))[:-1]
+        for at in range(0, len(plain), GATHER_TEXTS):
+            some = ends[at : at + GATHER_TEXTS + 1] - ends[at]
+            mine = code[ends[at] : ends[at] + some[-1]]
+            n = size[mine]
+            n[some[:-1]] = 0  # the first chunks
+            upto = np.append(0, np.cumsum(n))
+            ids = flat[np.repeat(begin[mine] - upto[:-1], n) + np.arange(upto[-1])]
+            for k, (x, y) in enumerate(zip(upto[some[:-1]], upto[some[1:]], strict=True)):
+                out[plain[at + k]] = firsts[at + k].tobytes() + ids[x:y].tobytes()
         return out
 
 
@@ -264,13 +286,18 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
         encoder = _encoder(tokenizer, width)
 
         def entries():
-            for whole in batches:
-                for at in range(0, whole.num_rows, ENCODE_ROWS):
-                    batch = whole.slice(at, ENCODE_ROWS)
-                    for i, v in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
-                        yield key_of(i), v + end
-
-        for record in shard_records(entries(), width):
+            ids, texts, size = [], [], 0
+            for batch in batches:
+                for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    ids.append(i)
+                    texts.append(t)
+                    size += len(t)
+                    if size >= ENCODE_CHARS:
+                        yield from zip(map(key_of, ids), encoder.encode(texts), strict=True)
+                        ids, texts, size = [], [], 0
+            yield from zip(map(key_of, ids), encoder.encode(texts), strict=True)
+
+        for record in shard_records(((k, v + end) for k, v in entries()), width):
             yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], ["value"])
 
     sorted_docs = base.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
