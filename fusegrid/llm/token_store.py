@@ -35,10 +35,10 @@ SHARD_BYTES = 24 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 END_ID = 0
 #: Characters of texts encoded at a time, and different chunks given to the library in one text.
-ENCODE_CHARS = 16 << 20
+ENCODE_CHARS = 12 << 20
 CHUNKS_PER_TEXT = 2000
 #: Chunks up to this length are remembered; about so many of them by each worker.
-KEPT_CHARS, KEPT_CHUNKS = 8, 400_000
+KEPT_CHARS, KEPT_CHUNKS = 8, 300_000
 #: Texts whose ids are put together at a time.
 GATHER_TEXTS = 256
 _FOOTER = struct.Struct("<8sBBxxIQQQIQIxxxx")
@@ -144,12 +144,14 @@ class _Encoder:
             out[i] = ids.tobytes()
         if not plain:
             return out
-        cut = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        cut = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
         ends = cut.offsets.to_numpy()
         coded = cut.flatten().dictionary_encode()
         code, first = coded.indices.to_numpy(), ends[:-1]
         firsts = self.library(coded.take(pa.array(first)).to_pylist())  # these have no space before them
-        flat, size = self.chunk_ids(coded.dictionary.to_pylist())
+        chunks = coded.dictionary.to_pylist()
+        del cut, coded  # so that memory holds less while the library works
+        flat, size = self.chunk_ids(chunks)
         begin = np.append(0, np.cumsum(size))[:-1]
         for at in range(0, len(plain), GATHER_TEXTS):
             some = ends[at : at + GATHER_TEXTS + 1] - ends[at]
@@ -287,7 +289,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
 
         def entries():
             ids, texts, size = [], [], 0
-            for batch in batches:
+            for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
                 for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     ids.append(i)
                     texts.append(t)
