@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Units up to this length are remembered; at most so many of them by each worker.
-KEPT_CHARS, KEPT_UNITS = 40, 400_000
+#: Units up to this length are remembered; at most so many of them, and of answers for pairs, by each worker.
+KEPT_CHARS, KEPT_UNITS, KEPT_PAIRS = 16, 150_000, 500_000
 _ALONE = -1
 _UNKNOWN = -2
 
@@ -95,7 +95,7 @@ class PieceModel:
         key = (left + 2) * 1_000_000 + right
         got = self.pair_memo.get(key)
         if got is None:
-            if len(self.pair_memo) > 2_000_000:
+            if len(self.pair_memo) > KEPT_PAIRS:
                 self.pair_memo.clear()
             b = self.names[right]
             a = [] if left < 0 else [self.names[left]]
@@ -182,8 +182,8 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
         own = model.ready()
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
                 rows = [own.encode_text(t or "") for t in batch.column("text").to_pylist()]
                 ends = np.cumsum([0] + [len(r[0]) // 4 for r in rows]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([r[0] for r in rows]), np.int32)))
