@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample and every vector is dealt to a leaf. A qu
 the inner product with their centres and lists leaves in that order. How many leaves to visit is calibrated: visits are widened until
 the recall of calibration queries against exact search over all rows reaches the goal. Leaves are cut into blocks of a bounded number of rows,
 so that a leaf of any size (one vector repeated, say) is spread over tasks; queries meet blocks in joins by leaf, and
-each block gives its best k.
+each block gives those of its best k that are not below the query's k-th product with a sample's rows in the leaves it visits: the
+k nearest found all reach that bound, since those rows are among the found.
 
 Defined results: vectors that are null, zero, of another length than most, or with null or non-finite components take no part;
 ties go to the smaller id; all rows with the query's own id are left out; a repeated query id is one query; fewer than k other
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fusegrid.llm.common import materialize
+from fusegrid.llm.common import materialize, shuffle_partitions
 
 #: Rows that the tree is fitted on, calibration queries, and the recall asked of them.
 SAMPLE_ROWS = 20_000
@@ -132,8 +133,24 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (size["d"] if size else 0))
 
 
-def best(queries: np.ndarray, query_ids, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """Rows (query_id, vec_id, score): for each query its k largest inner products, ties to smaller ids.
+def bounds(queries: np.ndarray, query_ids: np.ndarray, visits: list[list[int]], sample: np.ndarray, sample_ids: np.ndarray, sample_leaf: np.ndarray, k: int) -> np.ndarray:
+    """For each query a score that the k-th row found reaches at least: its k-th product with the sample's rows in the leaves that it visits, less the room for rounding."""
+    out = np.full(len(queries), -np.inf)
+    if len(sample) < k:
+        return out
+    for at in range(0, len(queries), 64):
+        about = queries[at : at + 64] @ sample.T
+        room = 1e-9 * (1 + np.abs(about).max(initial=0))
+        seen = np.zeros((len(about), int(sample_leaf.max()) + 1), bool)
+        for own, leaves in zip(seen, visits[at : at + 64], strict=True):
+            own[[x for x in leaves if x < len(own)]] = True
+        about[~seen[:, sample_leaf] | (query_ids[at : at + 64, None] == sample_ids[None, :])] = -np.inf
+        out[at : at + 64] = np.partition(about, len(sample) - k, axis=1)[:, len(sample) - k] - room
+    return out
+
+
+def best(queries: np.ndarray, query_ids, vectors: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None):
+    """Rows (query_id, vec_id, score): for each query its k largest inner products, ties to smaller ids; none below ``least``.
 
     A fast product picks candidates with room for its rounding; scores are sums in one fixed order,
     so that equal vectors score equally in every block.
@@ -147,7 +164,7 @@ def best(queries: np.ndarray, query_ids, vectors: np.ndarray, ids: np.ndarray, k
         if not n:
             continue
         floor = np.partition(row, len(row) - n)[len(row) - n] - room
-        some = np.flatnonzero(row >= floor)
+        some = np.flatnonzero(row >= (floor if least is None else max(floor, least[j])))
         exact = (vectors[some] * queries[j]).sum(1)
         order = np.lexsort((ids[some], -exact))[:n]
         out_q += [q] * len(order)
@@ -201,8 +218,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     total = base.count()
     if not total:
         return empty
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").toArrow().column("v").combine_chunks()  # bounded by the limit
-    x = _matrix(sample if not hasattr(sample, "chunks") else sample.chunk(0))
+    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").toArrow()  # bounded by the limit
+    x = np.concatenate([_matrix(c) for c in sample.column("v").chunks])
     leaves = max(1, min(MOST_LEAVES, total // LEAF_ROWS))
     tree = fit_tree(x, max(2, len(x) // leaves))
 
@@ -217,21 +234,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     counted = {r["leaf"]: r["count"] for r in rows.groupBy("leaf").count().collect()}  # a row a leaf, at most a few times MOST_LEAVES
     counts = np.array([counted.get(i, 0) for i in range(tree.leaves)])
     visits = calibrate(tree, counts, rows, k, goal)
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow()  # bounded by the limit
+    x, x_ids, x_leaf = np.concatenate([_matrix(c) for c in some.column("v").chunks]), some.column("vec_id").to_numpy(), some.column("leaf").to_numpy()
 
     def plan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            lists = [tree.visit(v, counts, visits, k + 1) for v in _matrix(batch.column("v"))] if batch.num_rows else []
-            of = [i for i, x in enumerate(lists) for _ in x]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(of, pa.int64())), batch.column("v").take(pa.array(of, pa.int64())), pa.array([y for x in lists for y in x], pa.int32())], ["query_id", "q", "leaf"])
-
-    wanted = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"])
-    asked = materialize(wanted.mapInArrow(plan, "query_id long, q array<double>, leaf int"))
+            vectors = _matrix(batch.column("v"))
+            lists = [tree.visit(v, counts, visits, k + 1) for v in vectors] if batch.num_rows else []
+            least = bounds(vectors, batch.column("vec_id").to_numpy(), lists, x, x_ids, x_leaf, k) if batch.num_rows else np.zeros(0)
+            of = [i for i, own in enumerate(lists) for _ in own]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(of, pa.int64())), batch.column("v").take(pa.array(of, pa.int64())), pa.array([leaf for own in lists for leaf in own], pa.int32()), pa.array(least[of] if of else [], pa.float64())], ["query_id", "q", "leaf", "least"])
+
+    wanted = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"]).repartition(shuffle_partitions(spark), "vec_id")
+    asked = materialize(wanted.mapInArrow(plan, "query_id long, q array<double>, leaf int, least double"))
     load = asked.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / QUERY_ROWS).cast("int").alias("parts"))
     # a row a leaf
     cut = F.broadcast(load.join(rows.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")), "leaf"))
-    left = asked.join(cut, "leaf").select("query_id", "q", "leaf", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    left = asked.join(cut, "leaf").select("query_id", "q", "least", "leaf", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     right = rows.join(cut, "leaf").select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def meet(asking, held):
@@ -239,7 +260,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
         if not len(asking) or not len(held):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, v, s = best(np.stack(asking["q"].to_numpy()), asking["query_id"].tolist(), np.stack(held["v"].to_numpy()), held["vec_id"].to_numpy(), k)
+        q, v, s = best(np.stack(asking["q"].to_numpy()), asking["query_id"].tolist(), np.stack(held["v"].to_numpy()), held["vec_id"].to_numpy(), k, asking["least"].to_numpy())
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
     keys = ["leaf", "block", "part"]
