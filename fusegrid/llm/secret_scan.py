@@ -97,9 +97,11 @@ def random_strings(n: int = 4000) -> list[str]:
 
 
 def labelled_samples(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> list[tuple[str, bool]]:
-    """Ordinary identifiers from the words of at most SAMPLE_DOCS documents (SAMPLE_WORDS of them), secrets of fixed forms, and the
+    """Ordinary identifiers from the words of the documents of at most SAMPLE_DOCS ids (SAMPLE_WORDS of them), secrets of fixed forms, and the
     values that the patterns mark in those documents. The bounds are the sample's; scanning has none."""
-    some = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).orderBy("h", "text").limit(SAMPLE_DOCS)
+    rows = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # ids are ordered without their texts; the limit bounds the broadcast
+    some = rows.join(F.broadcast(rows.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS)), "h", "left_semi")
     words = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|[\s(,])([A-Za-z][A-Za-z_-]{5,})(?=[\s,.;)]|$)"), 1)).alias("w")).distinct()
     ordinary = [r["w"] for r in words.orderBy(F.xxhash64("w")).limit(SAMPLE_WORDS).collect()]
     marked = some.select(F.explode(F.regexp_extract_all("text", F.lit(rf"([0-9a-f]{{{HEX_LEAST},64}}|AKIA[A-Z0-9]{{16,}})"), 1)).alias("w")).distinct()
