@@ -6,6 +6,8 @@ automaton together, so that misspelled terms are caught too; a hit's weight is i
 and less again if the words around it quote rather than abuse. The score is one less the product of what the
 hits leave.
 
+Copies among the labelled rows of one label count once: equal texts, and groups that the Jaccard operator links.
+
 Defined results: null or empty text scores the score of a text without hits; repeated rows score alike; rows without a label, or with a null one,
 teach nothing; without any usable label the start lexicon alone is used; null ids are never held out; extra columns are ignored.
 """
@@ -21,7 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusegrid.llm.common import materialize
+from fusegrid.llm.common import SPACE_RUN, materialize
+from fusegrid.llm.ngram_join import jaccard_components
 
 #: At most so many labelled rows are learned from, those first in the order of a hash of their ids.
 SAMPLE_ROWS = 20_000
@@ -176,20 +179,29 @@ def _wilson(pos, n):
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+def without_copies(rows: DataFrame) -> DataFrame:
+    """_id, _y, text: of the rows of one label that are copies, the one with the smallest id. Copies are texts equal but for case and white space, and
+    those that links of the Jaccard operator join; rows go by their texts, so different texts of one id are no copies."""
+    flat = F.trim(F.regexp_replace(F.lower("text"), SPACE_RUN, " "))
+    first = F.min(F.struct("_id", "text")).alias("_first")
+    own = materialize(rows.groupBy("_y", F.xxhash64(flat).alias("doc_id")).agg(first).select("_y", "doc_id", "_first.*"))
+    groups = jaccard_components(own.dropDuplicates(["doc_id"])).select("doc_id", "component_id")
+    return own.join(groups, "doc_id").groupBy("_y", "component_id").agg(first).select("_first._id", "_y", "_first.text")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
     """Learn from the rows of ``labels`` (those that may be learned from); at most SAMPLE_ROWS of them."""
     some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     some = F.broadcast(some.orderBy(F.xxhash64("_id"), "_y").limit(SAMPLE_ROWS))  # bounded by the limit
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(some, "_id").select("text", "_y")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))
-    # copies count once: rows that share the least hash of their long words are taken for one
-    long = F.array_min(F.transform(F.filter("words", lambda w: F.length(w) >= 9), lambda w: F.xxhash64(w)))
-    bags = rows.select("_y", words.alias("words"), F.xxhash64("text").alias("h")).withColumn("sign", F.coalesce(long, "h")).dropDuplicates(["sign", "_y"])
-    bags = materialize(bags.select("_y", "words"))
-    shares = bags.agg(F.avg("_y")).first()[0]
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(some, "_id")
+    rows = materialize(rows.select("_id", "text", "_y"))
+    shares = rows.agg(F.avg("_y")).first()[0]
     terms: dict[str, tuple[float, bool]] = {t: (START_PRECISION, False) for t in START_LEXICON}
     if not shares or shares >= 1:
         return ToxicModel(terms, dict.fromkeys(terms, NEAR_WEIGHT))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))
+    bags = materialize(without_copies(rows).select("_y", words.alias("words")))
+    shares = bags.agg(F.avg("_y")).first()[0]
     counts = materialize(bags.select("_y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("_y").alias("pos"), F.count("*").alias("n")).where("length(w) <= 40"))
     stems = counts.select("pos", "n", F.explode(F.array(*[F.when(F.length("w") > k, F.substring("w", 1, k)) for k in STEM_CHARS])).alias("w")).where("w is not null")
     stems = stems.groupBy("w").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds >= 3")

@@ -51,6 +51,21 @@ def test_toxicity_on_held_out_rows(spark, odd):
     assert plain > 0.3 > quoted and quoted < typo < plain
 
 
+def test_only_copies_count_once(spark):
+    """Unrelated texts with one long word in common all teach; copies and near copies teach once, and no text of a repeated id is lost."""
+    fill = lambda seed, n=30: " ".join(f"{''.join('bcdfghjklm'[int(d)] for d in str(seed * 1000 + j))}" for j in range(n))
+    rows = [(i, f"{fill(i)} understanding zorgface", 1) for i in range(1, 31)]
+    rows += [(i, f"{fill(i)} understanding", 0) for i in range(31, 121)]
+    rows += [(i, f"{fill(121, 60)} quibbleword {'yes' if i % 2 else 'no'}" + "  " * (i % 3), 1) for i in range(121, 151)]
+    rows += [(151, f"{fill(151)} first", 1), (151, f"{fill(152)} second", 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame(sorted({(i, y) for i, _, y in rows}), "doc_id long, toxic int")
+    kept = toxicity.without_copies(docs.join(labels, "doc_id").select(F.col("doc_id").alias("_id"), "text", F.col("toxic").alias("_y"))).collect()
+    assert sorted(r["_id"] for r in kept) == [*range(1, 122), 151, 151]
+    model = toxicity.train(docs, labels)
+    assert "zorgface" in model.terms and "quibbleword" not in model.terms
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
