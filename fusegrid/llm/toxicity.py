@@ -34,7 +34,11 @@ LEAST_PRECISION = 0.5
 CHANCE = 2.0
 #: Weight of a misspelling that no labelled text shows, and the least learned weight that counts as a hit.
 NEAR_WEIGHT, LEAST_NEAR = 0.5, 0.35
+#: Whole terms of so many letters have NEAR_WEIGHT without evidence; misspellings of shorter ones and of stems weigh what labelled texts show.
+SURE_NEAR = 5
 STEM_CHARS = (4, 5, 6)
+#: Ends the name of a stem, which a term of letters cannot.
+STEM = "*"
 QUOTED_WEIGHT = 0.25
 WINDOW = 6
 NO_HIT = 0.01
@@ -47,19 +51,22 @@ _QUOTES = "\"'“”‘’«»„"
 
 
 class Trie:
-    """Terms and stems; ``find`` intersects it with the Levenshtein automaton of a word."""
+    """Terms and stems, as separate ends; ``nearest`` intersects it with the Levenshtein automaton of a word."""
 
-    def __init__(self, terms: dict[str, tuple[float, bool]]):
-        """terms: text -> (precision, whether any ending may follow)."""
+    def __init__(self, terms: dict[str, tuple[float, float]]):
+        """terms: text -> (precision as a whole term, precision as a stem that any ending may follow), 0 where it is not the one."""
         self.root: dict = {}
-        for text, (weight, stem) in terms.items():
+        for text, ends in terms.items():
             node = self.root
             for c in text:
                 node = node.setdefault(c, {})
-            node["\0"] = (weight, stem, len(text))
-        self.heads = {t[: len(t) // 2] for t in terms}
-        self.tails = {t[len(t) // 2 :] for t in terms}
+            node["\0"] = ends
+        half = lambda t: len(t) // 2
+        self.heads = {t[: half(t)] for t in terms}
+        self.tails = {t[half(t) :] for t, ends in terms.items() if ends[0]}
         self.head_sizes, self.tail_sizes = sorted({*map(len, self.heads)}), sorted({*map(len, self.tails)})
+        self.inner = {(half(t), t[half(t) :]) for t, ends in terms.items() if ends[1]}
+        self.inner_sizes = sorted({(k, len(tail)) for k, tail in self.inner})
 
     def exact(self, word: str) -> float:
         best, node = 0.0, self.root
@@ -68,39 +75,60 @@ class Trie:
             if node is None:
                 return best
             end = node.get("\0")
-            if end is not None and (end[1] or k == len(word)):
-                best = max(best, end[0])
+            if end is not None:
+                best = max(best, end[1], end[0] if k == len(word) else 0.0)
         return best
 
-    def near(self, word: str, edits: int) -> tuple[float, str]:
-        """The whole term of the largest weight within so many edits, by stepping the automaton's state along the trie."""
-        first = tuple(range(min(len(word), edits) + 1)) + (edits + 1,) * max(0, len(word) - edits)
-        best, stack = (0.0, ""), [(self.root, first, "")]
+    def nearest(self, word: str, edits: int, least: int = 3) -> Iterator[tuple[float, str]]:
+        """Weight and name of each whole term of ``least`` letters within so many edits of the word, and of each such stem (its name ends with STEM)
+        within so many of a beginning of the word, by stepping the automaton's state along the trie. A state has only the places that edits can reach."""
+        off = edits + 1
+        first = tuple(j if j >= 0 else off for j in range(-edits, edits + 1))  # places j - edits .. j + edits of the word, after j letters of the trie
+        stack, n = [(self.root, first, "")], len(word)
         while stack:
             node, state, text = stack.pop()
+            at = len(text) - edits
             for c, below in node.items():
                 if c == "\0":
-                    if state[-1] <= edits and below[2] >= 5 and not below[1]:
-                        best = max(best, (below[0], text))
+                    if len(text) >= least:
+                        if below[0] and 0 <= n - at <= 2 * edits and state[n - at] <= edits:
+                            yield below[0], text
+                        if below[1]:
+                            yield below[1], text + STEM
                     continue
-                row = [min(state[0] + 1, edits + 1)]
-                for j, w in enumerate(word, 1):
-                    row.append(min(state[j - 1] + (w != c), state[j] + 1, row[j - 1] + 1, edits + 1))
+                row, left = [], off
+                for i in range(2 * edits + 1):
+                    j = at + 1 + i
+                    if j < 0 or j > n:
+                        left = off
+                    else:
+                        above = state[i + 1] + 1 if i < 2 * edits else off
+                        across = state[i] + (word[j - 1] != c) if j else off
+                        left = min(above, across, left + 1, off)
+                    row.append(left)
                 if min(row) <= edits:
                     stack.append((below, tuple(row), text + c))
-        return best
+
+    def near(self, word: str, edits: int, least: int = 5) -> tuple[float, str]:
+        """The end of the largest weight among those of ``least`` letters."""
+        return max(self.nearest(word, edits, least), default=(0.0, ""))
 
     def may_be_near(self, word: str) -> bool:
-        """Within one edit of a term, a word keeps one half of the term: at its start or at its end."""
-        return len(word) >= 4 and (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes))
+        """Within one edit of a term, a word keeps one half of the term: at its start or at its end, or for a stem one place about where it stands in the stem."""
+        if len(word) < 2:
+            return False
+        if any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes):
+            return True
+        return any((k, word[j : j + n]) in self.inner for k, n in self.inner_sizes for j in (k - 1, k, k + 1))
 
 
 @dataclass
 class ToxicModel:
-    terms: dict[str, tuple[float, bool]]
-    near_weights: dict[str, float] = field(default_factory=dict)
+    terms: dict[str, tuple[float, float]]
+    near_weights: dict[str, float] | None = field(default_factory=dict)
     curve: list[float] | None = None
     trie: Trie | None = None
+    near: Trie | None = None
     memo: dict[str, float] = field(default_factory=dict)
 
     def word_weight(self, word: str) -> float:
@@ -112,17 +140,26 @@ class ToxicModel:
                 self.memo.clear()
             got = self.trie.exact(word)
             if not got:
-                got = self.near_weights.get(self.near_term(word), 0.0)
+                got = max((self.near_weights.get(t, 0.0) for t in self.near_terms(word)), default=0.0)
             self.memo[word] = got
         return got
 
-    def near_term(self, word: str) -> str:
-        """The term that a word without an exact match may misspell, or an empty string."""
+    def near_terms(self, word: str) -> list[str]:
+        """The ends of the trie that a word without an exact match may misspell."""
         if self.trie is None:
             self.trie = Trie(self.terms)
-        if self.trie.exact(word) or not self.trie.may_be_near(word):
-            return ""
-        return self.trie.near(word, 1)[1]
+        if self.trie.exact(word) or not self.near_trie().may_be_near(word):
+            return []
+        return [t for _, t in self.near_trie().nearest(word, 1)]
+
+    def near_trie(self) -> Trie:
+        """Only the ends whose misspellings weigh something; all of them while these weights are being learned."""
+        if self.near is None:
+            if self.near_weights is None:
+                self.near = self.trie
+            else:
+                self.near = Trie({t: e for t, (whole, stem) in self.terms.items() if any(e := (whole * (t in self.near_weights), stem * (t + STEM in self.near_weights)))})
+        return self.near
 
     def evidence(self, text: str) -> tuple[float, float, int, int]:
         """Sum and largest of the weights of the hits, each lessened by its context; different hits; words."""
@@ -179,6 +216,26 @@ def _wilson(pos, n):
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+def _near_weights(terms: dict[str, tuple[float, float]], seen: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """The weight of misspellings of each end, where it is a hit. Short terms and stems begin from what the misspellings of all ends of their
+    kind and length are worth, and have none where no labelled text shows any."""
+    ends = [t for t, (whole, _) in terms.items() if whole] + [t + STEM for t, (_, stem) in terms.items() if stem]
+    kind = lambda t: (t.endswith(STEM), len(t))
+    of_kind: dict[tuple[bool, int], tuple[int, int]] = {}
+    for t, (pos, n) in seen.items():
+        old = of_kind.get(kind(t), (0, 0))
+        of_kind[kind(t)] = old[0] + pos, old[1] + n
+    out = {}
+    for t in ends:
+        sure = not t.endswith(STEM) and len(t) >= SURE_NEAR
+        if sure or kind(t) in of_kind:
+            pos, n = (0, 0) if sure else of_kind[kind(t)]
+            start = (pos + 2 * NEAR_WEIGHT) / (n + 2)
+            pos, n = seen.get(t, (0, 0))
+            out[t] = (pos + 2 * start) / (n + 2)
+    return {t: w for t, w in out.items() if w >= LEAST_NEAR}
+
+
 def without_copies(rows: DataFrame) -> DataFrame:
     """_id, _y, text: of the rows of one label that are copies, the one with the smallest id. Copies are texts equal but for case and white space, and
     those that links of the Jaccard operator join; rows go by their texts, so different texts of one id are no copies."""
@@ -196,9 +253,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(some, "_id")
     rows = materialize(rows.select("_id", "text", "_y"))
     shares = rows.agg(F.avg("_y")).first()[0]
-    terms: dict[str, tuple[float, bool]] = {t: (START_PRECISION, False) for t in START_LEXICON}
+    terms: dict[str, tuple[float, float]] = {t: (START_PRECISION, 0.0) for t in START_LEXICON}
     if not shares or shares >= 1:
-        return ToxicModel(terms, dict.fromkeys(terms, NEAR_WEIGHT))
+        return ToxicModel(terms, {t: NEAR_WEIGHT for t in terms if len(t) >= SURE_NEAR})
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))
     bags = materialize(without_copies(rows).select("_y", words.alias("words")))
     shares = bags.agg(F.avg("_y")).first()[0]
@@ -210,21 +267,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     both = both.where((F.col("pos") >= least) & (F.length("w") >= 3)).withColumn("sure", _wilson(F.col("pos"), F.col("n")))
     found = both.where(F.col("sure") >= LEAST_PRECISION).orderBy(F.desc("sure"), "w", "stem").limit(MAX_TERMS).collect()
     for r in found:
-        weight, old = (r["pos"] + 0.5) / (r["n"] + 1), terms.get(r["w"], (0.0, False))
-        terms[r["w"]] = (weight, r["stem"] or old[1])
-    model = ToxicModel(terms)
+        weight, (whole, stem) = (r["pos"] + 0.5) / (r["n"] + 1), terms.get(r["w"], (0.0, 0.0))
+        terms[r["w"]] = (whole, weight) if r["stem"] else (weight, stem)
+    model = ToxicModel(terms, None)
 
     def near(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([model.near_term(w) for w in batch.column("w").to_pylist()], pa.string()), batch.column("pos"), batch.column("n")], ["term", "pos", "n"])
+            rows = [(t, pos, n) for w, pos, n in zip(*(batch.column(c).to_pylist() for c in ("w", "pos", "n")), strict=True) for t in model.near_terms(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["term", "pos", "n"])
 
-    # what misspellings of each term are worth: at most a row a term
-    seen = counts.mapInArrow(near, "term string, pos long, n long").where("term <> ''").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).collect()
-    learned = {r["term"]: (r["pos"] + 2 * NEAR_WEIGHT) / (r["n"] + 2) for r in seen}
-    weights = {t: learned.get(t, NEAR_WEIGHT) for t in terms}
-    model = ToxicModel(terms, {t: w for t, w in weights.items() if w >= LEAST_NEAR})
+    # what misspellings of each end are worth: at most two rows a term
+    seen = counts.mapInArrow(near, "term string, pos long, n long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).collect()
+    model = ToxicModel(terms, _near_weights(terms, {r["term"]: (r["pos"], r["n"]) for r in seen}))
 
     def weigh(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -236,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen = np.array([r["x"] for r in rows.mapInArrow(weigh, "x array<double>").collect()])  # at most a row a labelled row
     if len(seen) >= 20 and 0 < seen[:, -1].mean() < 1:
         model.curve = _fit_curve(seen[:, :-1], seen[:, -1])
-    model.trie, model.memo = None, {}
+    model.trie, model.near, model.memo = None, None, {}
     return model
 
 
