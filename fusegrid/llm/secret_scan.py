@@ -1,7 +1,10 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 Two first-order models over characters are trained from labelled samples; a run of secret-like characters outside
-the pattern spans is a secret if its log-likelihood ratio per character passes the threshold.
+the pattern spans is a secret if its log-likelihood ratio per character passes the threshold. Candidates are runs of CANDIDATE_LEAST characters at
+least: in fewer, a ratio a character does not tell keys from names. Runs without a digit have two models of their own, of random letters against
+words joined as identifiers and paths are, and a threshold that LETTERS_PASS of these labelled identifiers pass. Runs of digits only are no
+candidates: characters do not tell random digits from numbers.
 
 Defined results: null text counts as empty and has no spans; spans are code points, end exclusive, by start and then
 kind in the order of KINDS; repeated rows are scanned each; null ids pass through; extra columns are ignored.
@@ -27,11 +30,16 @@ CANDIDATE_LEAST = 16
 THRESHOLD = 0.25
 SAMPLE_DOCS = 2000
 SAMPLE_WORDS = 20_000
+#: So many of the values that patterns mark are learned from, those first in the order of a hash.
+SAMPLE_MARKED = 1000
+#: The largest share of labelled identifiers without a digit that may pass the threshold of such runs.
+LETTERS_PASS = 0.0002
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 _ASSIGN = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
+_MARKS = re.compile(r"[+/_=-]+")
 _RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{CANDIDATE_LEAST},}}={{0,2}}")
 
 
@@ -41,10 +49,24 @@ class MarkovModel:
 
     ratio: dict[tuple[str, str], float]
     unseen: float
+    #: Of runs without a digit; None where no labelled words make one.
+    letters: MarkovModel | None = None
+    letters_threshold: float = math.inf
 
     @staticmethod
     def train(samples: list[tuple[str, bool]], smooth: float = 0.2) -> MarkovModel:
-        """samples: a string and whether it is a secret."""
+        """samples: a string and whether it is a secret. The ordinary ones without a digit also make the model of runs without one."""
+        model = MarkovModel._fit(samples, smooth)
+        ordinary = identifiers([t for t, secret in samples if not secret and len(_plain(t)) >= 6 and not any(map(str.isdigit, t))])
+        if ordinary:
+            rules = [c * 24 for c in ALPHABET[:52]]
+            model.letters = MarkovModel._fit([(t, False) for t in ordinary + rules] + [(t, True) for t in random_letters()], smooth)
+            scores = sorted((model.letters.score(t) for t in ordinary + rules), reverse=True)
+            model.letters_threshold = max(THRESHOLD, scores[int(LETTERS_PASS * len(scores))])
+        return model
+
+    @staticmethod
+    def _fit(samples: list[tuple[str, bool]], smooth: float) -> MarkovModel:
         counts: dict[bool, dict] = {True: {}, False: {}}
         rows: dict[bool, dict] = {True: {}, False: {}}
         for text, secret in samples:
@@ -62,6 +84,34 @@ class MarkovModel:
         return sum(self.ratio.get(p, self.unseen) for p in zip(["", *text], text, strict=False)) / max(1, len(text))
 
 
+def _plain(run: str) -> str:
+    """A run without a digit, its marks of any number and kind as one hyphen between names."""
+    return _MARKS.sub("-", run).strip("-")
+
+
+def identifiers(words: list[str]) -> list[str]:
+    """Ordinary words in twos to fives, of CANDIDATE_LEAST characters at least, joined as names and paths are; each word begins one of each form."""
+    out, n = [], len(words)
+    for i in range(n):
+        text, k = _plain(words[i]), 1
+        several = [text]
+        while k < 5 and (k < 2 or sum(map(len, several)) < CANDIDATE_LEAST):
+            several.append(_plain(words[(i + k) % n]))
+            k += 1
+        joined = "-".join(several)
+        out += [t for t in (joined, joined.upper(), several[0] + "".join(w[:1].upper() + w[1:] for w in several[1:])) if len(t) >= CANDIDATE_LEAST]
+    return out
+
+
+def random_letters(n: int = 6000) -> list[str]:
+    """Secrets without a digit from a fixed seed: letters of both cases, small ones, capitals."""
+    import random
+
+    r = random.Random(12)
+    kinds = [ALPHABET[:52], ALPHABET[26:52], ALPHABET[:26]]
+    return ["".join(r.choice(kinds[i % 3]) for _ in range(r.randint(16, 48))) for i in range(n)]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end), leftmost non-overlapping for each kind."""
     out = []
@@ -79,10 +129,15 @@ def spans_of(text: str, model: MarkovModel, threshold: float = THRESHOLD) -> lis
     for m in _RUN.finditer(text):
         s, e = m.span()
         run = m[0]
-        if any(a < e and s < b for a, _, b in base) or run.isdigit() or not any(map(str.isdigit, run)):
-            continue  # a run without digits is a word, one of digits only a number
-        score = model.score(run)
-        if score > threshold:
+        if any(a < e and s < b for a, _, b in base) or run.isdigit():
+            continue  # a run of digits only is a number
+        if any(map(str.isdigit, run)):
+            score, least = model.score(run), threshold
+        elif model.letters is not None and len(plain := _plain(run)) >= CANDIDATE_LEAST:
+            score, least = model.letters.score(plain), max(threshold, model.letters_threshold)
+        else:
+            continue
+        if score > least:
             found.append((s, 3, e, score))
     return [{"kind": KINDS[k], "start": s, "end": e, "score": x} for s, k, e, x in sorted(found, key=lambda x: x[:3])]
 
@@ -105,7 +160,7 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     words = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|[\s(,])([A-Za-z][A-Za-z_-]{5,})(?=[\s,.;)]|$)"), 1)).alias("w")).distinct()
     ordinary = [r["w"] for r in words.orderBy(F.xxhash64("w")).limit(SAMPLE_WORDS).collect()]
     marked = some.select(F.explode(F.regexp_extract_all("text", F.lit(rf"([0-9a-f]{{{HEX_LEAST},64}}|AKIA[A-Z0-9]{{16,}})"), 1)).alias("w")).distinct()
-    secrets = [r["w"] for r in marked.orderBy("w").limit(1000).collect()]
+    secrets = [r["w"] for r in marked.orderBy(F.xxhash64("w"), "w").limit(SAMPLE_MARKED).collect()]
     plain = ["transaction", "application_context", "get_user_name", "document-identifier", "maximumPartitionBytes", "configuration"]
     return [(w, False) for w in ordinary + plain * 20] + [(w, True) for w in secrets + random_strings()]
 

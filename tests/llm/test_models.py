@@ -121,6 +121,22 @@ def test_secret_spans(spark, odd):
     assert empty["spans"] == "" and empty["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_without_a_digit(spark):
+    model = secret_scan.MarkovModel.train(secret_scan.labelled_samples(tables(spark)[0]))
+    secrets = ["kQzXvJwTbRhYpLmGdNcF", "xqzjvkwpbtgfhcmdnlrz", "QXZJKVWPHTBGFCMDNLRYXQ"]
+    for w in secrets:
+        assert [(s["kind"], s["start"], s["end"]) for s in secret_scan.spans_of(f"key {w} end", model)] == [("markov", 4, 4 + len(w))]
+    names = ["-" * 40, "_" * 20, "x" * 24, "application_context_document", "home/transaction/configuration", "maximumTransactionConfiguration", "APPLICATION_CONTEXT_DOCUMENT", "12345678901234567890", "transaction====="]
+    assert not [w for w in names if secret_scan.spans_of(f"a {w} b", model)]
+
+
+def test_marked_values_of_all_beginnings(spark):
+    texts = [hashlib.sha256(str(i).encode()).hexdigest()[:31] for i in range(1200)]
+    texts = [("f" if i % 10 == 0 else "0") + t for i, t in enumerate(texts)]
+    got = [w for w, secret in secret_scan.labelled_samples(documents(spark, texts)) if secret and w in {*texts}]
+    assert len(got) == secret_scan.SAMPLE_MARKED and sum(w[0] == "f" for w in got) > 50
+
+
 def exact(vectors, ids, asked, k):
     out = {}
     for q in asked:
