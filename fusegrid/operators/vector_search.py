@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fusegrid.functions import vectors as V
 
-#: Query vectors that one pass holds; more are searched in passes of this size.
-QUERIES_A_PASS = 4096
+#: About so many rows of queries, and so many of points, meet in one task at once; and so many queries are scored together there.
+BLOCK_ROWS, SCORED_ROWS = 4096, 256
 METRICS = {"cosine": (V.cosine, True), "dot": (V.dot, True), "euclid": (V.euclid, False), "manhattan": (V.manhattan, False)}
 
 
@@ -41,50 +39,51 @@ def top_k_per_collection(points: DataFrame, query: list[float], k: int, digits:
 def knn_join(points: DataFrame, queries: DataFrame, k: int, digits: int = 6, exclude_self: bool = True) -> DataFrame:
     """(query_id, id, score, rank): exact cosine neighbours of each query among all points.
 
-    A pass holds a bounded slice of queries and reads points in Arrow batches; each batch gives its own k best
-    a query, and a window keeps the k best of these.
+    Queries and points are dealt to blocks by a hash of the id, and each block of queries meets each block of points in a task of its own, which gives
+    the k best a query; a window keeps the k best of these. No vector comes to the driver.
     """
-    n = queries.count()
-    passes = max(1, -(-n // QUERIES_A_PASS))
-    out = None
-    for i in range(passes):
-        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == i)
-        found = _pass(points, part, k, digits, exclude_self)
-        out = found if out is None else out.unionByName(found)
+    n_queries, n_points = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (queries, points))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("id", "vector", block(n_queries).alias("q"), every(n_points).alias("p")).groupBy("q", "p")
+    held = points.select("id", "vector", block(n_points).alias("p"), every(n_queries).alias("q")).groupBy("q", "p")
+
+    def meet(left, right):
+        return _best(left, right, k, digits, exclude_self)
+
+    found = asked.cogroup(held).applyInArrow(meet, "query_id long, id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def _pass(points: DataFrame, queries: DataFrame, k: int, digits: int, exclude_self: bool) -> DataFrame:
+def _unit(vectors: list):
     import numpy as np
 
-    rows = queries.select("id", "vector").toArrow()
-    ids = rows.column("id").to_numpy()
-    matrix = np.array([v for v in rows.column("vector").to_pylist()], np.float64).reshape(len(ids), -1)
-    matrix = matrix / np.maximum(np.sqrt((matrix * matrix).sum(1, keepdims=True)), 1e-300)
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            own = batch.column("id").to_numpy()
-            if not len(own) or not len(ids):
-                continue
-            v = np.array(batch.column("vector").to_pylist(), np.float64)
-            v = v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
-            score = np.round(matrix @ v.T, digits)
+    v = np.array(vectors, np.float64)
+    return v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
+
+
+def _best(queries, points, k: int, digits: int, exclude_self: bool):
+    """The k best points of a block for each query of a block, as Arrow tables."""
+    import numpy as np
+    import pyarrow as pa
+
+    q, x, s = [], [], []
+    if queries.num_rows and points.num_rows:
+        ids, own = queries.column("id").to_numpy(), points.column("id").to_numpy()
+        matrix, v = _unit(queries.column("vector").to_pylist()), _unit(points.column("vector").to_pylist())
+        for at in range(0, len(ids), SCORED_ROWS):
+            some = ids[at : at + SCORED_ROWS]
+            score = np.round(matrix[at : at + SCORED_ROWS] @ v.T, digits)
             if exclude_self:
-                score[ids[:, None] == own[None, :]] = -np.inf
-            q, x, s = [], [], []
-            for j in range(len(ids)):
+                score[some[:, None] == own[None, :]] = -np.inf
+            for j in range(len(some)):
                 best = np.lexsort((own, -score[j]))[:k]
                 best = best[score[j][best] > -np.inf]
-                q += [ids[j]] * len(best)
+                q += [some[j]] * len(best)
                 x += own[best].tolist()
                 s += score[j][best].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(x, pa.int64()), pa.array(s, pa.float64())], ["query_id", "id", "score"])
-
-    return points.select("id", "vector").mapInArrow(run, "query_id long, id long, score double")
+    return pa.table({"query_id": pa.array(q, pa.int64()), "id": pa.array(x, pa.int64()), "score": pa.array(s, pa.float64())})
 
 
 def lsh_candidates(points: DataFrame, queries: DataFrame, distance: float = 1.2, tables: int = 4, width: float = 1.0) -> DataFrame:

@@ -139,3 +139,23 @@ def test_sources(spark, tmp_path, data_dir):
     lines = spark.createDataFrame([(1, "b"), (0, "a")], "ord int, value string")
     io.write_report(lines, str(tmp_path / "r"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "r")).collect()] == ["a", "b"]
+
+
+def test_knn_join_keeps_vectors_off_the_driver(spark, monkeypatch):
+    import numpy as np
+
+    rows = np.random.default_rng(4).normal(size=(40, 5))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id long, vector array<double>")
+
+    def refuse(*_):
+        raise AssertionError("vectors came to the driver")
+
+    monkeypatch.setattr(type(points), "toArrow", refuse)
+    for size in (7, 4096):
+        monkeypatch.setattr(K, "BLOCK_ROWS", size, raising=False)
+        got = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in K.knn_join(points, points.where("id % 2 = 0"), 3).collect())
+        unit = rows / np.sqrt((rows * rows).sum(1, keepdims=True))
+        score = np.round(unit @ unit.T, 6)
+        want = [(i, n, j, score[i, j]) for i in range(0, 40, 2) for n, j in enumerate(sorted((j for j in range(40) if j != i), key=lambda j: (-score[i, j], j))[:3], 1)]
+        assert got == want
+    assert K.knn_join(points.where("false"), points, 3).count() == 0 and K.knn_join(points, points.where("false"), 3).count() == 0
