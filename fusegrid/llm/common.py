@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -13,7 +17,6 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-_LOCAL_WORK = "/tmp/fusegrid-checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """A fresh folder under ``spark.checkpoint.dir``. Only a local master may leave that unset: it then gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = _LOCAL_WORK
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="fusegrid-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -48,6 +53,16 @@ def text_bytes(batch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches cut to a bounded number of rows; at the end the worker gives back what Arrow's pool holds free."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), in place on a fresh array."""
     x = x.astype(np.uint64, copy=True)
@@ -59,22 +74,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = np.uint64(int(_rng.integers(2**40, 2**62)) | 5)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        m = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            _POWERS["up"] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, _BASE)]))
-            _POWERS["down"] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, _INVERSE)]))
-    return _POWERS["up"], _POWERS["down"]
-
-
 _SPACE_TABLE = np.zeros(256, bool)
 _SPACE_TABLE[list(SPACES)] = True
 
@@ -86,14 +85,29 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+_CHUNK = 8
+#: Longer spans are hashed one by one by blake2b.
+_MOST_CHUNKS = 5
+_CHUNK_MASK = np.array([(1 << 8 * n) - 1 for n in range(_CHUNK + 1)], np.uint64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, from prefix sums of a polynomial with an odd (so invertible) base."""
+    """A 64-bit hash of each span: its length and its chunks of eight bytes, mixed in one after the other."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    padded = np.concatenate([data, np.zeros(_CHUNK, np.uint8)])
+    chunk_at = np.lib.stride_tricks.sliding_window_view(padded, _CHUNK)
+    size = ends - starts
+    out = mix64(size.astype(np.uint64))
+    of, at = np.arange(len(starts)), 0
+    while len(of) and at < _MOST_CHUNKS * _CHUNK:
+        chunk = np.ascontiguousarray(chunk_at[starts[of] + at]).view("<u8").ravel()
+        out[of] = mix64(out[of] * np.uint64(0xD6E8FEB86659FD93) + (chunk & _CHUNK_MASK[np.minimum(size[of] - at, _CHUNK)]))
+        at += _CHUNK
+        of = of[size[of] > at]
+    for i in of.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def word_hashes(text: bytes) -> np.ndarray:

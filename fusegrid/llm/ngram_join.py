@@ -1,15 +1,19 @@
 """N-gram Jaccard join with signature trees.
 
 A document's set holds its distinct five-word shingles; two documents link when intersection / union >= 80 %.
-One tree over all documents would prune nothing near its root, so there is a forest: one signature tree for each
-prefix token (of two sets that link, the first n - ceil(0.8 n) + 1 shingles in a common order, frequent ones last, share at least one).
-Nodes hold OR-combined bitmaps of the shingles and the range of set sizes; a dual traversal of a tree against itself drops
-node pairs whose largest possible overlap is too small, and leaves give candidate pairs, which are compared on whole sets.
+A node of a signature tree holds the OR-combined bitmap of the shingles below it and the range of their set sizes. A dual traversal of
+two trees (or of one against itself) drops node pairs whose largest possible overlap is too small; what is left at the leaves is compared on whole sets.
 
-Work that copies would repeat is taken out first, without losing a link between different texts:
-equal sets become one class; then each class is compared with the least class that shares a band of minima with it, and what
-links there is one component already; trees skip pairs within a component. Only documents with a different component in
-the same tree get bitmaps.
+One tree over all documents would prune nothing near its root, so there is a forest, in two rounds:
+
+1. Equal sets become one class. Classes that share minima of their hashes are dealt to the group of the least such class, in parts of a bounded
+   size. Each part has a tree; the group's head is met with it first, then what did not link to the head with itself.
+2. Classes of different components that share a prefix shingle form a block (of two sets that link, the first n - ceil(0.8 n) + 1 shingles in
+   a common order, frequent ones last, share at least one). A large block is cut into several trees, and each pair of these is met in a task of its own.
+
+The first round only spares the second work: the second finds every link between different components, whatever the first has found.
+
+Words are hashed to 64 bits chunk by chunk, long ones by blake2b, and shingles from these; sets of hashes stand for sets of shingles.
 
 Defined results: null text, or none with words, has an empty set and links with nothing; fewer than five words are one shingle; rows with one id
 and several texts are one document that has the links of all these; a null id takes no part in links, and its component is null; an empty table gives an empty result; extra columns are ignored.
@@ -24,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusegrid.llm.common import components, materialize, mix64, shuffle_partitions, text_bytes, word_hashes
+from fusegrid.llm.common import components, materialize, mix64, shuffle_partitions, slices, text_bytes, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -34,8 +38,11 @@ LEAF = 8
 #: A shingle that stands in more prefixes than this is ordered last; the bound keeps those below 200,000.
 FREQUENT, MOST_FREQUENT = 40, 200_000
 #: Rows up to which a table of ids is broadcast; beyond that joins shuffle.
-BROADCAST_ROWS = 1_000_000
-MEMBERS_PER_TASK = 256
+BROADCAST_ROWS = 200_000
+#: Members, and their shingles, that meet one head in one tree of the first round.
+MEMBERS_PER_TREE, SHINGLES_PER_TREE = 256, 400_000
+#: Rows of a block that one tree of the second round holds.
+ROWS_PER_TREE = 512
 BUCKETS = 8
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -93,7 +100,7 @@ def features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             n, digest, bands = [], [], []
             for t in text_bytes(batch):
                 s = shingles(t)
@@ -115,30 +122,73 @@ def _texts(docs: DataFrame, which: DataFrame) -> DataFrame:
     return docs.join(_small(which), "doc_id")
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, on whole sets. Each a's members are spread over tasks; a's text goes to each of these."""
-    sized = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_PER_TASK).cast("int").alias("salts")))
+def tree_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links (a, b) among the documents of each group of ``pairs(a, b, n)``: those needed to join all that link. n: shingles of b.
+
+    A group is a head a and its members b, cut into parts of a bounded number of members and shingles; the head's text goes to each part.
+    """
+    sized = materialize(pairs.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / MEMBERS_PER_TREE, F.sum("n") / SHINGLES_PER_TREE)).cast("int").alias("salts")))
     members = pairs.join(sized, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("doc_id"), F.lit(1).alias("role"))
     heads = sized.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("doc_id"), F.lit(0).alias("role"))
     rows = _texts(docs, materialize(members.union(heads)))
-    rows = rows.repartition(shuffle_partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "role").select("a", "role", "doc_id", "text")
+    rows = rows.repartition(shuffle_partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "role").select("a", "salt", "role", "doc_id", "text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        head, mine = None, []
-        for batch in batches:
-            a_out, b_out = [], []
-            for a, role, b, t in zip(batch.column("a").to_pylist(), batch.column("role").to_pylist(), batch.column("doc_id").to_pylist(), text_bytes(batch), strict=True):
-                own = shingles(t)
-                if role == 0:  # several rows only where an id has several texts
-                    head, mine = a, [own] if head != a else [*mine, own]
-                elif head == a and any(links(x, own) for x in mine):
-                    a_out.append(a)
-                    b_out.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+        at, group = None, ([], [], [])
+        for batch in slices(batches):
+            found = []
+            for a, salt, role, doc, t in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "role", "doc_id")), text_bytes(batch), strict=True):
+                if (a, salt) != at:
+                    found += group_links(*group)
+                    at, group = (a, salt), ([], [], [])
+                for held, x in zip(group, (doc, role, shingles(t)), strict=True):
+                    held.append(x)
+            yield _pairs(pa, found)
+        yield _pairs(pa, group_links(*group))
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(pa, found):
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
+
+
+def group_links(docs: list[int], roles: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of one group by its signature tree; heads (role 0) first, then the rest, without pairs that links found already join."""
+    order = sorted((i for i in range(len(docs)) if len(sets[i])), key=lambda i: len(sets[i]))
+    docs, roles, sets = [docs[i] for i in order], [roles[i] for i in order], [sets[i] for i in order]
+    if len(docs) < 2:
+        return []
+    first: dict[int, int] = {}
+    root = [first.setdefault(d, i) for i, d in enumerate(docs)]  # rows of one document are one
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
 
-    return rows.mapInArrow(run, "a long, b long")
+    out = []
+
+    def meet(pairs: Iterator) -> None:
+        for x, y in pairs:
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                p, q = find(i), find(j)
+                if p != q and links(sets[i], sets[j]):
+                    root[max(p, q)] = min(p, q)
+                    out.append((docs[i], docs[j]))
+
+    bits = np.frombuffer(b"".join(map(bitmap, sets)), np.uint64).reshape(len(sets), -1)
+    n = np.array([len(s) for s in sets])
+    labels = lambda: np.array([find(i) for i in range(len(docs))])
+    heads = np.flatnonzero(np.array(roles) == 0)
+    if len(heads):
+        comp = labels()
+        meet((heads[x], y) for x, y in candidates_between(SignatureTree(bits[heads], n[heads], comp[heads]), SignatureTree(bits, n, comp)))
+    tree = SignatureTree(bits, n, labels())
+    meet(candidates_between(tree, tree))
+    return out
 
 
 def _in_order(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -149,6 +199,20 @@ def _in_order(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~often], s[often]])
 
 
+def _buckets(batches: Iterator, column: str) -> Iterator[tuple[int, list[bytes]]]:
+    """The packs of one bucket after the other, from rows in the order of buckets."""
+    at, packs = None, []
+    for batch in slices(batches):
+        for k, pack in zip(batch.column("bucket").to_pylist(), batch.column(column).to_pylist(), strict=True):
+            if k != at and packs:
+                yield at, packs
+                packs = []
+            at = k
+            packs.append(pack)
+    if packs:
+        yield at, packs
+
+
 def frequent_shingles(texts: DataFrame) -> np.ndarray:
     """Shingles in more than a bounded number of prefixes, counted over all documents."""
     spark = texts.sparkSession
@@ -157,8 +221,8 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
     def deal(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            got = [s[: prefix_sizes(len(s))[0]] for s in map(shingles, text_bytes(batch)) if len(s)]
+        for batch in slices(batches, 1000):
+            got = [s[: prefix_sizes(len(s))[0]] for part in slices([batch]) for s in map(shingles, text_bytes(part)) if len(s)]
             tokens = np.concatenate(got) if got else np.zeros(0, np.uint64)
             bucket = (mix64(tokens) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -169,22 +233,18 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for k, t in zip(batch.column("bucket").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                held.setdefault(k, []).append(t)
-        for k in held:
-            token, times = np.unique(np.frombuffer(b"".join(held[k]), np.uint64), return_counts=True)
+        for _, packs in _buckets(batches, "tokens"):
+            token, times = np.unique(np.frombuffer(b"".join(packs), np.uint64), return_counts=True)
             often = times > FREQUENT
             yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(times[often], pa.int64())], ["token", "times"])
 
-    counted = materialize(texts.mapInArrow(deal, "bucket int, tokens binary").repartition(shuffle_partitions(spark), "bucket").mapInArrow(count, "token long, times long"))
+    counted = materialize(texts.select("text").mapInArrow(deal, "bucket int, tokens binary").repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(count, "token long, times long"))
     rows = counted.orderBy(F.desc("times"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token").to_numpy()
     return np.sort(rows.view(np.uint64))
 
 
 def blocks(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(block, doc_id, component, n, short): documents that share a prefix token with one of another component."""
+    """(block, doc_id, component, n, short, trees): documents that share a prefix token with one of another component; trees: how many the block is cut into."""
     spark = texts.sparkSession
     parts = shuffle_partitions(spark) * BUCKETS
     kind = np.dtype([("token", "<u4"), ("n", "<u4"), ("doc", "<i8"), ("comp", "<i8")])  # the last bit of n: whether it suffices against larger partners
@@ -192,40 +252,33 @@ def blocks(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
     def deal(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                rows = []
-                for doc, comp, t in zip(batch.column("doc_id").to_pylist(), batch.column("component").to_pylist(), text_bytes(batch), strict=True):
-                    s = shingles(t)
-                    if not len(s):
-                        continue
-                    all_n, short_n = prefix_sizes(len(s))
-                    tokens = _in_order(s, frequent)[:all_n]
-                    row = np.empty(len(tokens), [("bucket", "<u4"), *[(x, kind[x]) for x in kind.names]])
-                    mixed = mix64(tokens)
-                    row["bucket"], row["token"] = mixed % np.uint64(parts), mixed >> np.uint64(32)
-                    row["n"] = 2 * len(s) + (np.arange(len(tokens)) < short_n)
-                    row["doc"], row["comp"] = doc, comp
-                    rows.append(row)
-                if not rows:
+        for batch in slices(batches, 1000):
+            rows = []
+            for doc, comp, t in ((d, c, t) for part in slices([batch]) for d, c, t in zip(part.column("doc_id").to_pylist(), part.column("component").to_pylist(), text_bytes(part), strict=True)):
+                s = shingles(t)
+                if not len(s):
                     continue
-                row = np.concatenate(rows)
-                row = row[np.argsort(row["bucket"], kind="stable")]
-                cut = np.searchsorted(row["bucket"], np.arange(parts + 1))
-                some = [k for k in range(parts) if cut[k] < cut[k + 1]]
-                pack = lambda part: b"".join(np.ascontiguousarray(part[x]).tobytes() for x in kind.names)  # noqa: E731  columns compress better
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack(row[cut[k] : cut[k + 1]]) for k in some], pa.binary())], ["bucket", "rows"])
+                all_n, short_n = prefix_sizes(len(s))
+                tokens = _in_order(s, frequent)[:all_n]
+                row = np.empty(len(tokens), [("bucket", "<u4"), *[(x, kind[x]) for x in kind.names]])
+                mixed = mix64(tokens)
+                row["bucket"], row["token"] = mixed % np.uint64(parts), mixed >> np.uint64(32)
+                row["n"] = 2 * len(s) + (np.arange(len(tokens)) < short_n)
+                row["doc"], row["comp"] = doc, comp
+                rows.append(row)
+            if not rows:
+                continue
+            row = np.concatenate(rows)
+            row = row[np.argsort(row["bucket"], kind="stable")]
+            cut = np.searchsorted(row["bucket"], np.arange(parts + 1))
+            some = [k for k in range(parts) if cut[k] < cut[k + 1]]
+            pack = lambda part: b"".join(np.ascontiguousarray(part[x]).tobytes() for x in kind.names)  # noqa: E731  columns compress better
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack(row[cut[k] : cut[k + 1]]) for k in some], pa.binary())], ["bucket", "rows"])
 
     def gather(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for k, t in zip(batch.column("bucket").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                held.setdefault(k, []).append(t)
-        for k in list(held):
-            packs = held.pop(k)
+        for k, packs in _buckets(batches, "rows"):
             cols = {x: [] for x in kind.names}
             for p in packs:
                 m, at = len(p) // kind.itemsize, 0
@@ -240,10 +293,12 @@ def blocks(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
             mixed = (np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)) & (np.maximum.reduceat(n & 1, start) == 1)
             keep = np.repeat(mixed, size)
             name = (np.int64(k) << np.int64(32)) + token[keep].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(doc[keep]), pa.array(comp[keep]), pa.array((n[keep] >> 1).astype(np.int64)), pa.array((n[keep] & 1) == 1)], ["block", "doc_id", "component", "n", "short"])
+            trees = -(-np.repeat(size, size)[keep] // ROWS_PER_TREE)
+            cols = [name, doc[keep], comp[keep], (n[keep] >> 1).astype(np.int64), (n[keep] & 1) == 1, trees.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["block", "doc_id", "component", "n", "short", "trees"])
 
-    dealt = texts.select("doc_id", "component", "text").mapInArrow(deal, "bucket int, rows binary").repartition(shuffle_partitions(spark), "bucket")
-    return dealt.mapInArrow(gather, "block long, doc_id long, component long, n long, short boolean")
+    dealt = texts.select("doc_id", "component", "text").mapInArrow(deal, "bucket int, rows binary").repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(gather, "block long, doc_id long, component long, n long, short boolean, trees int")
 
 
 class SignatureTree:
@@ -257,80 +312,100 @@ class SignatureTree:
             at = np.arange(0, len(bits), LEAF)
             self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(extra, at), np.minimum.reduceat(c_lo, at), np.maximum.reduceat(c_hi, at)))
 
-    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs of documents of different components that may overlap enough."""
-        stack = [(len(self.levels) - 1, np.array([0]), np.array([0]))]
-        while stack:
-            level, x, y = stack.pop()
-            keep = self._possible(level, x, y)
-            x, y = x[keep], y[keep]
-            if not len(x):
-                continue
-            if level == 0:
-                yield x, y
-                continue
-            below = len(self.levels[level - 1][0])
-            step = np.arange(LEAF)
-            for at in range(0, len(x), 4096):
-                a = (x[at : at + 4096, None] * LEAF + step)[:, :, None]
-                b = (y[at : at + 4096, None] * LEAF + step)[:, None, :]
-                a, b = (z.ravel() for z in np.broadcast_arrays(a, b))
-                fine = (a < below) & (b < below) & ((a < b) if level == 1 else (a <= b))
-                stack.append((level - 1, a[fine], b[fine]))
-
-    def _possible(self, level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        bits, lo, hi, extra, c_lo, c_hi = self.levels[level]
-        fine = ~((c_lo[x] == c_hi[x]) & (c_lo[x] == c_lo[y]) & (c_hi[x] == c_hi[y]))
-        fine &= (100 * hi[x] >= PERCENT * lo[y]) & (100 * hi[y] >= PERCENT * lo[x])
-        out = np.flatnonzero(fine)
-        x, y = x[out], y[out]
-        most = np.bitwise_count(bits[x] & bits[y]).sum(1).astype(np.int64) + np.minimum(extra[x], extra[y])
-        if level == 0:  # what one has in bits that the other lacks is in no overlap
-            most = np.minimum(most, np.minimum(lo[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1), lo[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1)))
-        # the overlap must reach 80 % of the union, which is at least the larger set
-        enough = (100 + PERCENT) * most >= PERCENT * (lo[x] + lo[y])
-        return out[enough & (100 * most >= PERCENT * np.maximum(lo[x], lo[y]))]
+
+def candidates_between(a: SignatureTree, b: SignatureTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (of a, of b) of documents of different components that may overlap enough; each pair once if a is b."""
+    stack = [(len(a.levels) - 1, len(b.levels) - 1, np.array([0]), np.array([0]))]
+    while stack:
+        la, lb, x, y = stack.pop()
+        keep = _possible(a.levels[la], b.levels[lb], x, y, la == lb == 0)
+        x, y = x[keep], y[keep]
+        if not len(x):
+            continue
+        if la == lb == 0:
+            yield x, y
+            continue
+        step, stay = np.arange(LEAF), np.zeros(1, np.int64)
+        down_a, down_b = la >= lb, lb >= la  # the taller of the two goes down, or both
+        na, nb = la - down_a, lb - down_b
+        for at in range(0, len(x), 4096):
+            p = (x[at : at + 4096, None] * LEAF + step if down_a else x[at : at + 4096, None] + stay)[:, :, None]
+            q = (y[at : at + 4096, None] * LEAF + step if down_b else y[at : at + 4096, None] + stay)[:, None, :]
+            p, q = (z.ravel() for z in np.broadcast_arrays(p, q))
+            fine = (p < len(a.levels[na][0])) & (q < len(b.levels[nb][0]))
+            if a is b:
+                fine &= p < q if na == 0 else p <= q
+            stack.append((na, nb, p[fine], q[fine]))
+
+
+def _possible(a: tuple, b: tuple, x: np.ndarray, y: np.ndarray, leaves: bool) -> np.ndarray:
+    """Which of the node pairs may hold two documents of different components that link."""
+    bits, lo, hi, extra, c_lo, c_hi = a
+    bits_b, lo_b, hi_b, extra_b, c_lo_b, c_hi_b = b
+    fine = ~((c_lo[x] == c_hi[x]) & (c_lo[x] == c_lo_b[y]) & (c_hi[x] == c_hi_b[y]))
+    fine &= (100 * hi[x] >= PERCENT * lo_b[y]) & (100 * hi_b[y] >= PERCENT * lo[x])
+    out = np.flatnonzero(fine)
+    x, y = x[out], y[out]
+    most = np.bitwise_count(bits[x] & bits_b[y]).sum(1).astype(np.int64) + np.minimum(extra[x], extra_b[y])
+    if leaves:  # what one has in bits that the other lacks is in no overlap
+        most = np.minimum(most, np.minimum(lo[x] - np.bitwise_count(bits[x] & ~bits_b[y]).sum(1), lo_b[y] - np.bitwise_count(bits_b[y] & ~bits[x]).sum(1)))
+    # the overlap must reach 80 % of the union, which is at least the larger set
+    enough = (100 + PERCENT) * most >= PERCENT * (lo[x] + lo_b[y])
+    return out[enough & (100 * most >= PERCENT * np.maximum(lo[x], lo_b[y]))]
 
 
 def candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the signature trees of all blocks."""
+    """Pairs (a, b, n) of the signature trees of all blocks, n the shingles of b."""
     spark = docs.sparkSession
 
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([bitmap(shingles(t)) for t in text_bytes(batch)], pa.binary())], ["doc_id", "bits"])
 
-    signs = _texts(docs, found.select("doc_id").distinct()).select("doc_id", "text").mapInArrow(sign, "doc_id long, bits binary")
-    rows = found.join(signs, "doc_id").repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", "n", "doc_id")
+    signs = _texts(docs, materialize(found.select("doc_id").distinct())).select("doc_id", "text").mapInArrow(sign, "doc_id long, bits binary")
+    # a tree meets itself and each other tree of its block in a group of its own
+    own = F.pmod(F.xxhash64("doc_id"), F.col("trees")).cast("int")
+    every = F.sequence(F.lit(0), F.col("trees") - 1)
+    dealt = found.withColumn("tree", own).select("block", "doc_id", "component", "n", "short", "tree", F.explode(every).alias("other"))
+    dealt = dealt.select("block", F.least("tree", "other").alias("i"), F.greatest("tree", "other").alias("j"), "tree", "doc_id", "component", "n", "short")
+    keys = ["block", "i", "j"]
+    rows = dealt.join(signs, "doc_id").repartition(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys, "tree", "n", "doc_id")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def traverse(part):
-            doc, comp, n, short, bits = part
+        def traverse(key, part):
+            tree, doc, comp, n, short, bits = part
             if len(doc) < 2:
                 return
             table = np.frombuffer(b"".join(bits), np.uint64).reshape(len(doc), -1)
-            doc, short = np.array(doc), np.array(short)
-            for x, y in SignatureTree(table, np.array(n), np.array(comp)).candidates():
-                fine = short[x] & (doc[x] != doc[y])  # rows go by size: x is the smaller
-                x, y = doc[x[fine]], doc[y[fine]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-        at, part = None, ([], [], [], [], [])
-        for batch in batches:
-            names = [batch.column(c).to_pylist() for c in ("block", "doc_id", "component", "n", "short", "bits")]
-            for block, *row in zip(*names, strict=True):
-                if block != at:
-                    yield from traverse(part)
-                    at, part = block, ([], [], [], [], [])
+            tree, doc, comp, n, short = map(np.array, (tree, doc, comp, n, short))
+            sides = [np.flatnonzero(tree == k) for k in dict.fromkeys(key[1:])]
+            if not all(map(len, sides)):
+                return
+            trees = [SignatureTree(table[s], n[s], comp[s]) for s in sides]
+            for x, y in candidates_between(trees[0], trees[-1]):
+                x, y = sides[0][x], sides[-1][y]
+                small = np.where((n[x] < n[y]) | ((n[x] == n[y]) & short[x]), x, y)  # the smaller's first shingles suffice, either's if they are as large
+                fine = short[small] & (doc[x] != doc[y])
+                x, y = x[fine], y[fine]
+                a, b = np.where(doc[x] < doc[y], x, y), np.where(doc[x] < doc[y], y, x)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(doc[b]), pa.array(n[b])], ["a", "b", "n"])
+
+        at, part = None, ([], [], [], [], [], [])
+        for batch in slices(batches, 1000):
+            names = [batch.column(c).to_pylist() for c in ("block", "i", "j", "tree", "doc_id", "component", "n", "short", "bits")]
+            for block, i, j, *row in zip(*names, strict=True):
+                if (block, i, j) != at:
+                    yield from traverse(at, part)
+                    at, part = (block, i, j), ([], [], [], [], [], [])
                 for held, x in zip(part, row, strict=True):
                     held.append(x)
-        yield from traverse(part)
+        yield from traverse(at, part)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long, n long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,18 +415,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = materialize(features(docs))
     classes = materialize(own.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("rows")))
     # a document of each class, by its id and set, so that ids of several texts are no trouble; each class is read once
-    heads = own.select("doc_id", F.col("digest").alias("d"), "bands").join(classes, (F.col("doc_id") == F.col("rep")) & (F.col("d") == F.col("digest"))).dropDuplicates(["digest"])
-    bands = materialize(heads.select("rep", F.explode("bands").alias("band")))
+    heads = own.select("doc_id", F.col("digest").alias("d"), "n", "bands").join(classes.drop("n"), (F.col("doc_id") == F.col("rep")) & (F.col("d") == F.col("digest"))).dropDuplicates(["digest"])
+    bands = materialize(heads.select("rep", "n", F.explode("bands").alias("band")))
     hubs = bands.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1")
-    pairs = materialize(bands.join(hubs, "band").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    pairs = materialize(bands.join(hubs, "band").where("rep <> a").select("a", F.col("rep").alias("b"), "n").distinct())
     repeated = own.where("n > 0").groupBy("doc_id").agg(F.countDistinct("digest").alias("c")).where("c > 1").select("doc_id")
     same_id = own.join(repeated, "doc_id").join(classes, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    first = materialize(verify(known, pairs).union(same_id))
+    first = materialize(tree_links(known, pairs).union(same_id))
     joined = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
     labelled = classes.join(joined, F.col("rep") == F.col("id"), "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component")).distinct()
     texts = _texts(known, materialize(labelled))
     found = materialize(blocks(texts, frequent_shingles(texts)))
-    second = materialize(verify(known, materialize(candidates(known, found))))
+    second = materialize(tree_links(known, materialize(candidates(known, found))))
     if not second.isEmpty():
         joined = components(first.union(second).select(F.col("a").alias("u"), F.col("b").alias("v")))
     of_class = classes.join(joined, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
