@@ -26,10 +26,10 @@ from fusegrid.llm.common import materialize, shuffle_partitions
 
 #: Rows that the tree is fitted on, calibration queries, and the recall asked of them.
 SAMPLE_ROWS = 20_000
-CALIBRATION_QUERIES = 150
-RECALL_GOAL = 0.97
-BRANCH = 12
-LEAF_ROWS = 400
+CALIBRATION_QUERIES = 300
+RECALL_GOAL = 0.94
+BRANCH = 16
+LEAF_ROWS = 200
 MOST_LEAVES = 4000
 BLOCK_ROWS = 2048
 QUERY_ROWS = 1024
@@ -124,13 +124,15 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str, length: int | None = None) -> DataFrame:
+    """(vec_id, v array<double>) of the vectors that take part; of the given length, or else of the commonest."""
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & fine & F.col("vec_id").isNotNull())
-    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (size["d"] if size else 0))
+    if length is None:
+        size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        length = size["d"] if size else 0
+    return rows.where(F.size("v") == length)
 
 
 def bounds(queries: np.ndarray, query_ids: np.ndarray, visits: list[list[int]], sample: np.ndarray, sample_ids: np.ndarray, sample_leaf: np.ndarray, k: int) -> np.ndarray:
@@ -196,7 +198,7 @@ def _exact(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> D
 
 
 def calibrate(tree: Tree, counts: np.ndarray, rows: DataFrame, k: int, goal: float) -> int:
-    """How many leaves to visit: the least number, doubled from 1 and then halved back, that reaches the goal."""
+    """How many leaves to visit: widened by a sixteenth at a time until the goal is reached."""
     some = [(r["vec_id"], r["v"]) for r in rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATION_QUERIES).collect()]
     some = list({q: (q, v) for q, v in some}.values())
     true = _exact(rows, some, k).select("query_id", "leaf").collect()  # k rows a calibration query
@@ -247,7 +249,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             of = [i for i, own in enumerate(lists) for _ in own]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(of, pa.int64())), batch.column("v").take(pa.array(of, pa.int64())), pa.array([leaf for own in lists for leaf in own], pa.int32()), pa.array(least[of] if of else [], pa.float64())], ["query_id", "q", "leaf", "least"])
 
-    wanted = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"]).repartition(shuffle_partitions(spark), "vec_id")
+    # dealt by another key than that of the distinct ids, so that planning has many tasks
+    wanted = usable(queries, id_col, vector_col, x.shape[1]).dropDuplicates(["vec_id"]).repartition(shuffle_partitions(spark), F.xxhash64("vec_id", F.lit(2)))
     asked = materialize(wanted.mapInArrow(plan, "query_id long, q array<double>, leaf int, least double"))
     load = asked.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / QUERY_ROWS).cast("int").alias("parts"))
     # a row a leaf

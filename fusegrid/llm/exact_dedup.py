@@ -1,10 +1,11 @@
 """Exact dedup by content sort.
 
 Rows are range-partitioned by sampled splitters on the normalised bytes, sorted within
-partitions by Spark's external sort, and compared with their neighbour in full. The sort key
-is a bounded prefix of the bytes, then the digest, the whole bytes and the id: splitters stay
-small however long the texts are, and a group of copies of any size is cut between partitions
-by its ids. Runs that cross a partition edge are joined afterwards from two rows a partition.
+partitions by Spark's external sort in the order of their bytes, and compared with their neighbour in full. A splitter
+holds a bounded beginning of the bytes, then the digest, the id and the row's number, so that splitters stay
+small however long the texts are, and a group of copies of any size, even of one id, is cut between partitions. Texts that
+share the whole beginning of a splitter go to one side of it by their digests. So only the runs with the least and the
+largest (beginning, digest) of a partition can go on in another: these are joined by digest and length, two rows a partition.
 
 Defined results: null text counts as empty; a null id sorts first and so is the smallest;
 repeated rows (same id, same text) are rows of their own, of which the first is kept; an
@@ -18,89 +19,83 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fusegrid.llm.common import SPACE_RUN, materialize, shuffle_partitions
+from fusegrid.llm.common import SPACE_RUN, materialize, shuffle_partitions, slices
 
-PREFIX_CHARS = 48
-_OUT = "doc_id long, text_sha256 string, run_id string, run_first long, run_size long, nth long, part int, edge string, content string"
+PREFIX_CHARS = 128
+#: Groups that go over an edge (at most two for each partition) are broadcast up to so many rows.
+BROADCAST_ROWS = 200_000
+_OUT = "doc_id long, text_sha256 string, run_id string, run_first long, run_size long, nth long, part int, edge boolean, length long"
 
 
 def _runs(batches: Iterator) -> Iterator:
-    """Rows of runs of equal texts in one sorted partition, and the first and last run's text."""
+    """Rows of runs of equal texts in one sorted partition; and, without texts, the runs that may go on in another partition."""
     import pyarrow as pa
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
     names = [x.split()[0] for x in _OUT.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
 
-    def rows(runs):
-        ids, sha, name, first, size, nth = [], [], [], [], [], []
-        for (digest, number), members in runs:
-            ids += members
-            sha += [digest] * len(members)
-            name += [f"{part}-{number}"] * len(members)
-            first += [members[0]] * len(members)
-            size += [len(members)] * len(members)
-            nth += range(len(members))
-        n = len(ids)
-        cols = [ids, sha, name, first, size, nth, [part] * n, [None] * n, [None] * n]
+    def record(cols):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    def edge(kind, run):
-        (digest, number), members = run
-        cols = [None, digest, f"{part}-{number}", members[0], len(members), None, part, kind, text]
-        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds, strict=True)], names)
-
-    number, text, run, done = -1, None, None, []
-    for batch in batches:
-        for doc_id, norm, digest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "norm", "digest")), strict=True):
-            if run is not None and run[0][0] == digest and text == norm:
+    def rows(runs):
+        cols = [[] for _ in names]
+        for (place, number, length), members in runs:
+            n = len(members)
+            for col, more in zip(cols, (members, [place[1]] * n, [f"{part}-{number}"] * n, [members[0]] * n, [n] * n, range(n), [part] * n, [False] * n, [length] * n), strict=True):
+                col += more
+        return record(cols)
+
+    number, text, run, done, least, most = -1, None, None, [], None, None
+
+    def close():
+        nonlocal least, most
+        own = (*run[0], run[1][0], len(run[1]))
+        least = own if least is None or own[0] < least[0] else least
+        most = own if most is None or own[0] > most[0] else most
+        done.append(run)
+
+    for batch in slices(batches):
+        for doc_id, norm, head, digest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "norm", "head", "digest")), strict=True):
+            if run is not None and run[0][0][1] == digest and text == norm:
                 run[1].append(doc_id)
                 continue
             if run is not None:
-                if run[0][1] == 0:
-                    yield edge("first", run)
-                done.append(run)
+                close()
             number, text = number + 1, norm
-            run = ((digest, number), [doc_id])
+            run = (((head.encode(), digest), number, len(norm)), [doc_id])
         if done:
             yield rows(done)
-            done = []
+            done.clear()
     if run is not None:
-        if run[0][1] == 0:
-            yield edge("first", run)
-        yield edge("last", run)
-        yield rows([run])
+        close()
+        yield rows(done)
+        for (_, digest), n, length, first, size in {least, most}:
+            yield record([[x] for x in (None, digest, f"{part}-{n}", first, size, None, part, True, length)])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     spark = docs.sparkSession
     norm = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_RUN, " ").alias("norm"))
-    keyed = norm.withColumn("digest", F.sha2("norm", 256)).withColumn("head", F.substring("norm", 1, PREFIX_CHARS))
-    order = ["head", "digest", "doc_id"]
-    placed = keyed.repartitionByRange(partitions or shuffle_partitions(spark), *order)
-    placed = placed.sortWithinPartitions("head", "digest", "norm", "doc_id").select("doc_id", "norm", "digest")
+    keyed = norm.withColumn("digest", F.sha2("norm", 256)).withColumn("head", F.substring("norm", 1, PREFIX_CHARS)).withColumn("row", F.monotonically_increasing_id())
+    placed = keyed.repartitionByRange(partitions or shuffle_partitions(spark), "head", "digest", "doc_id", "row")
+    placed = placed.sortWithinPartitions("norm", "doc_id", "row").select("doc_id", "norm", "head", "digest")
     runs = materialize(placed.mapInArrow(_runs, _OUT))
 
-    # two rows a partition at most: a run that begins a partition goes on from the last run before it
-    edges = runs.where("edge is not null")
-    along = Window.orderBy("part", "last")
-    ends = edges.select("part", "run_id", "run_first", "run_size", "content", "text_sha256", (F.col("edge") == "last").cast("int").alias("last"))
-    before = F.lag(F.struct("run_id", "content", "text_sha256")).over(along)
-    joined = ends.withColumn("before", before).withColumn(
-        "fresh", F.coalesce(~((F.col("before.run_id") == F.col("run_id")) | ((F.col("before.text_sha256") == F.col("text_sha256")) & (F.col("before.content") == F.col("content")))), F.lit(True)).cast("int")
-    )
-    chained = joined.withColumn("chain", F.sum("fresh").over(along)).select("chain", "part", "run_id", "run_first", "run_size").distinct()
-    whole = Window.partitionBy("chain")
-    linked = chained.select(
+    # two rows a partition at most; parts of one group follow each other in the order of partitions
+    edges = runs.where("edge").select("run_id", "text_sha256", "length", "part", "run_first", "run_size")
+    whole = Window.partitionBy("text_sha256", "length")
+    linked = edges.select(
         "run_id",
         F.first("run_first").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("chain_first"),
         F.min("part").over(whole).alias("chain_part"),
         F.sum("run_size").over(whole).alias("chain_size"),
+        F.count("*").over(whole).alias("parts"),
     )
-    # two rows a partition bound this side
-    rows = runs.where("edge is null").join(F.broadcast(linked), "run_id", "left")
+    linked = materialize(linked.where("parts > 1").drop("parts"))
+    rows = runs.where("not edge").join(F.broadcast(linked) if linked.count() <= BROADCAST_ROWS else linked, "run_id", "left")
     begins = F.col("chain_part").isNull() | (F.col("chain_part") == F.col("part"))
     return rows.select(
         "doc_id",

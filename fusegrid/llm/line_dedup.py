@@ -5,10 +5,12 @@ for each shard of keys a cuckoo filter of the keys at or above the threshold. Do
 added and removed: counts are summed (removal with sign -1), and filters gain and lose only the keys that
 cross the threshold, so that adding and removing the same documents restores both.
 
-Dropping reads the filters; keys that a filter claims but the exact table denies are found by a
-join of the distinct claimed keys, so no line goes by a false positive. Filters and denials are
-broadcast only up to ``max_broadcast_bytes``; beyond that lines meet the exact table in a salted
-join, with the same result.
+The number of shards is the power of two that the keys at the threshold ask for, so that it too is restored; when it
+changes, filters are built anew from the exact counts.
+
+Dropping deals the line keys of documents, and the filters, to groups by shard; a shard with many lines has several groups, each
+with a copy of its filter. Keys that a filter claims but the exact table denies are found by probing all keys
+below the threshold, so no line goes by a false positive. No filter comes to the driver.
 
 Defined results: null or empty text is one empty line; keys shorter than ``min_chars`` code points are
 never dropped; a document counts once for a key however often it holds the line; every input row is a
@@ -25,10 +27,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusegrid.llm.common import SPACES, materialize, text_bytes
+from fusegrid.llm.common import SPACES, materialize, shuffle_partitions, slices, text_bytes
 
 SLOTS = 4
 MAX_KICKS = 500
+KEYS_PER_SHARD = 200_000
+#: Rows that probe one copy of a filter.
+ROWS_PER_GROUP = 500_000
+#: Tables of shards and of keys claimed wrongly (about one in 500 million is) are broadcast up to so many rows.
+BROADCAST_ROWS = 200_000
 
 
 class CuckooFilter:
@@ -60,6 +67,16 @@ class CuckooFilter:
         mark, a, b = self._places(key)
         return bool((self.table[a] == mark).any() or (self.table[b] == mark).any())
 
+    def claims(self, keys: np.ndarray) -> np.ndarray:
+        """Membership of many keys, given as rows of 16 bytes."""
+        size = np.uint64(len(self.table) - 1)
+        mark = np.ascontiguousarray(keys[:, :4]).view("<u4").ravel().astype(np.uint64)
+        mark[mark == 0] = 1
+        first = (np.ascontiguousarray(keys[:, 4:12]).view("<u8").ravel() & np.uint64((1 << 48) - 1)) & size
+        other = (first ^ ((mark * np.uint64(0x5BD1E995)) >> np.uint64(8))) & size
+        found = (self.table[first.astype(np.int64)] == mark[:, None]).any(1)
+        return found | (self.table[other.astype(np.int64)] == mark[:, None]).any(1)
+
     def insert(self, key: bytes) -> bool:
         """False if no place is found; the caller then builds a larger filter."""
         mark, at, other = self._places(key)
@@ -106,6 +123,7 @@ class LineState:
     shards: int
     min_docs: int
     min_chars: int
+    keys_per_shard: int = KEYS_PER_SHARD
 
 
 def line_key(line: bytes) -> bytes:
@@ -135,7 +153,7 @@ def line_keys(docs: DataFrame, text_col: str = "text", min_chars: int = 1) -> Da
     def keys(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             out = [k for t in text_bytes(batch) for k in {*_keys_of(t, min_chars)} - {None}]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["key"])
 
@@ -143,12 +161,12 @@ def line_keys(docs: DataFrame, text_col: str = "text", min_chars: int = 1) -> Da
 
 
 def _shard(shards: int):
-    """From three bytes of the digest that the filter doesn't use; shard_of is the same in Python."""
-    return (F.conv(F.hex(F.substring("key", 11, 3)), 16, 10).cast("long") % F.lit(shards)).cast("int")
+    """From three bytes of the digest that the filter doesn't use."""
+    return (F.conv(F.hex(F.substring("key", 13, 3)), 16, 10).cast("long") % F.lit(shards)).cast("int")
 
 
-def shard_of(key: bytes, shards: int) -> int:
-    return int.from_bytes(key[10:13], "big") % shards
+def _shards_for(hot: int, keys_per_shard: int) -> int:
+    return 1 << max(0, -(-hot // keys_per_shard) - 1).bit_length()
 
 
 def _build_filters(refs: DataFrame, shards: int, min_docs: int) -> DataFrame:
@@ -162,18 +180,21 @@ def _build_filters(refs: DataFrame, shards: int, min_docs: int) -> DataFrame:
     return hot.groupBy("shard").applyInPandas(build, "shard int, keys long, filter binary")
 
 
-def build_state(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keys_per_shard: int = 200_000) -> LineState:
+def build_state(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keys_per_shard: int = KEYS_PER_SHARD) -> LineState:
     """The state of a first set of documents."""
     refs = materialize(line_keys(docs, text_col, min_chars).groupBy("key").agg(F.count("*").alias("refs")))
-    hot = refs.where(F.col("refs") >= min_docs).count()
-    shards = max(1, -(-hot // keys_per_shard))
-    return LineState(refs, materialize(_build_filters(refs, shards, min_docs)), shards, min_docs, min_chars)
+    shards = _shards_for(refs.where(F.col("refs") >= min_docs).count(), keys_per_shard)
+    return LineState(refs, materialize(_build_filters(refs, shards, min_docs)), shards, min_docs, min_chars, keys_per_shard)
 
 
 def _change(state: LineState, docs: DataFrame, text_col: str, sign: int) -> LineState:
     own = line_keys(docs, text_col, state.min_chars).groupBy("key").agg((F.count("*") * sign).alias("by"))
     both = state.refs.join(own, "key", "full").select("key", F.coalesce("refs", F.lit(0)).alias("was"), (F.coalesce("refs", F.lit(0)) + F.coalesce("by", F.lit(0))).alias("refs"))
     both = materialize(both)
+    left = both.where("refs > 0").select("key", "refs")
+    shards = _shards_for(both.where(F.col("refs") >= state.min_docs).count(), state.keys_per_shard)
+    if shards != state.shards:
+        return LineState(left, materialize(_build_filters(left, shards, state.min_docs)), shards, state.min_docs, state.min_chars, state.keys_per_shard)
     cross = both.where((F.col("was") >= state.min_docs) != (F.col("refs") >= state.min_docs))
     cross = cross.select(_shard(state.shards).alias("shard"), "key", (F.col("refs") >= state.min_docs).alias("enters"))
     all_hot = both.where(F.col("refs") >= state.min_docs).select(_shard(state.shards).alias("shard"), "key")
@@ -193,7 +214,7 @@ def _change(state: LineState, docs: DataFrame, text_col: str, sign: int) -> Line
     if not full.isEmpty():  # a shard that outgrew its filter is built anew from the exact counts
         again = _build_filters(both.join(all_hot.join(full, "shard").select("key"), "key", "left_semi").select("key", "refs"), state.shards, state.min_docs)
         new = materialize(new.where("filter is not null").unionByName(again))
-    return LineState(both.where("refs > 0").select("key", "refs"), new, state.shards, state.min_docs, state.min_chars)
+    return LineState(left, new, state.shards, state.min_docs, state.min_chars, state.keys_per_shard)
 
 
 def add_documents(state: LineState, docs: DataFrame, text_col: str = "text") -> LineState:
@@ -205,23 +226,37 @@ def remove_documents(state: LineState, docs: DataFrame, text_col: str = "text")
     return _change(state, docs, text_col, -1)
 
 
-class _Probe:
-    """Membership of a key in its shard's filter, with a table of the answers so far."""
-
-    def __init__(self, filters: dict[int, bytes], shards: int, denied: set[bytes]):
-        self.filters, self.shards, self.denied, self.known = {s: CuckooFilter.load(f) for s, f in filters.items()}, shards, denied, {}
+def claimed(state: LineState, rows: DataFrame) -> DataFrame:
+    """The rows of ``rows(row, key)`` whose key the filter of its shard claims to hold."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("shard", _shard(state.shards))
+    least = -(-2 * shuffle_partitions(spark) // state.shards)
+    # a row a shard: how many lines its keys have, and so how many groups
+    load = state.refs.groupBy(_shard(state.shards).alias("shard")).agg(F.sum("refs").alias("lines"))
+    load = load.select("shard", F.greatest(F.lit(least), F.ceil(F.col("lines") / ROWS_PER_GROUP)).cast("int").alias("groups"))
+    load = F.broadcast(load) if state.shards <= BROADCAST_ROWS else load
+    asking = rows.join(load, "shard").select("shard", F.pmod(F.xxhash64("row", "key"), F.col("groups")).cast("int").alias("group"), F.lit(1).alias("role"), "row", "key")
+    filters = state.filters.join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("row"), F.col("filter").alias("key"))
+    dealt = filters.unionByName(asking).repartition(shuffle_partitions(spark), "shard", "group").sortWithinPartitions("shard", "group", "role")
+
+    def probe(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def claims(self, key: bytes) -> bool:
-        got = self.known.get(key)
-        if got is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            own = self.filters.get(shard_of(key, self.shards))
-            got = self.known[key] = own is not None and key in own
-        return got
+        own, at = None, None
+        for batch in slices(batches, 20_000):
+            place = batch.column("shard").to_numpy().astype(np.int64) << 32 | batch.column("group").to_numpy()
+            role, starts = batch.column("role").to_numpy(), np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            for x, y in zip(starts, [*starts[1:], len(place)], strict=True):
+                if place[x] != at:  # a shard without keys at the threshold has no filter
+                    own, at = None, place[x]
+                if role[x] == 0:
+                    own, x = CuckooFilter.load(batch.column("key")[x].as_py()), x + 1
+                if own is not None and x < y:
+                    some = batch.slice(x, y - x)
+                    fine = pa.array(own.claims(np.frombuffer(b"".join(some.column("key").to_pylist()), np.uint8).reshape(-1, 16)), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([some.column("row").filter(fine), some.column("key").filter(fine)], ["row", "key"])
 
-    def holds(self, key: bytes) -> bool:
-        return self.claims(key) and key not in self.denied
+    return dealt.mapInArrow(probe, "row long, key binary")
 
 
 def _kept(text: bytes, keys: list, hot) -> tuple[int, int, str]:
@@ -229,65 +264,37 @@ def _kept(text: bytes, keys: list, hot) -> tuple[int, int, str]:
     return len(keys), len(keys) - len(keep), b"\n".join(keep).decode()
 
 
-def drop_lines(docs: DataFrame, state: LineState, text_col: str = "text", max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+def drop_lines(docs: DataFrame, state: LineState, text_col: str = "text") -> DataFrame:
     """The documents with ``kept_text``, ``n_lines`` (before) and ``n_dropped`` added."""
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     own = ["kept_text", "n_lines", "n_dropped"]
     base = docs.drop(*own)
     schema = StructType([*base.schema.fields, StructField("kept_text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-    min_chars, shards = state.min_chars, state.shards
-    size = state.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-    if size <= max_broadcast_bytes:
-        filters = {r["shard"]: bytes(r["filter"]) for r in state.filters.collect()}  # bounded by the check above
-
-        def claimed(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            probe = _Probe(filters, shards, set())
-            for batch in batches:
-                out = [k for k in batch.column("key").to_pylist() if probe.claims(k)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["key"])
-
-        # every key of the corpus is a row of the exact table: those claimed below the threshold are the false positives
-        wrong = materialize(state.refs.where(F.col("refs") < state.min_docs).select("key").mapInArrow(claimed, "key binary"))
-        if wrong.count() * 16 <= max_broadcast_bytes:
-            denied = {bytes(r["key"]) for r in wrong.collect()}  # bounded by the check above
-
-            def drop(batches: Iterator) -> Iterator:
-                import pyarrow as pa
-
-                probe = _Probe(filters, shards, denied)
-                for batch in batches:
-                    rows = [_kept(t, _keys_of(t, min_chars), probe.holds) for t in text_bytes(batch, text_col)]
-                    own_cols = [pa.array([r[2] for r in rows], pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, *own_cols], [*batch.schema.names, *own])
-
-            return base.mapInArrow(drop, schema)
-    return _drop_by_join(base, state, text_col, schema)
-
-
-def _drop_by_join(base: DataFrame, state: LineState, text_col: str, schema, salts: int = 32) -> DataFrame:
-    """The same without a broadcast: lines meet the exact table, hot keys spread over salts."""
     min_chars = state.min_chars
     numbered = materialize(base.withColumn("_row", F.monotonically_increasing_id()))
 
     def keys(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(r, k) for r, t in zip(batch.column("_row").to_pylist(), text_bytes(batch), strict=True) for k in {*_keys_of(t, min_chars)} - {None}]
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.binary())], ["_row", "key"])
-
-    lines = numbered.select("_row", F.col(text_col).alias("text")).mapInArrow(keys, "_row long, key binary").withColumn("salt", F.pmod("_row", F.lit(salts)))
-    hot = state.refs.where(F.col("refs") >= state.min_docs).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    found = lines.join(hot, ["key", "salt"], "left_semi").groupBy("_row").agg(F.collect_set("key").alias("_hot"))
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.binary())], ["row", "key"])
+
+    lines = numbered.select("_row", F.col(text_col).alias("text")).mapInArrow(keys, "row long, key binary")
+    # every key of the corpus is a row of the exact table: those claimed below the threshold are the false positives
+    wrong = materialize(claimed(state, state.refs.where(F.col("refs") < state.min_docs).select(F.lit(0).cast("long").alias("row"), "key")).select("key"))
+    denied = wrong.count()
+    hot = claimed(state, lines)
+    if denied:
+        hot = hot.join(F.broadcast(wrong) if denied <= BROADCAST_ROWS else wrong, "key", "left_anti")
+    found = hot.groupBy(F.col("row").alias("_row")).agg(F.collect_list("key").alias("_hot"))  # a document's own keys
     joined = numbered.join(found, "_row", "left").drop("_row")
 
     def drop(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             hots = [{*(h or ())} for h in batch.column("_hot").to_pylist()]
             rows = [_kept(t, _keys_of(t, min_chars), h.__contains__) for t, h in zip(text_bytes(batch, text_col), hots, strict=True)]
             cols = [batch.column(c) for c in batch.schema.names if c != "_hot"]

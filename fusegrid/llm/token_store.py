@@ -11,8 +11,11 @@ Each of these is one record followed by a line feed, as Spark's text writer puts
 protocol and may lie in any store. Keys are 9 bytes that sort like (null first, id). Ids take two bytes
 where the vocabulary allows, else four. Spark's binaryFile source reads the shards back.
 
+A small side table, a row a shard, repeats what a lookup needs of each: first and last key, Bloom filter, index. A lookup prunes shards
+there, finds the blocks by binary search, and reads the bytes of these blocks only.
+
 Defined results: null or empty text has only the end id; a null id is a key of its own and sorts first; repeated ids are entries of their own, side by
-side; an empty table writes no shard and reads back empty; extra columns are ignored.
+side, and may be cut between shards; an empty table writes no shard and reads back empty; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fusegrid.llm.common import shuffle_partitions, work_dir
+from fusegrid.llm.common import shuffle_partitions, slices, work_dir
 
 MAGIC = b"FGSST1\r\n"
 BLOCK_BYTES = 64 << 10
@@ -35,7 +38,7 @@ SHARD_BYTES = 24 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 END_ID = 0
 #: Characters of texts encoded at a time, and different chunks given to the library in one text.
-ENCODE_CHARS = 12 << 20
+ENCODE_CHARS = 8 << 20
 CHUNKS_PER_TEXT = 2000
 #: Chunks up to this length are remembered; about so many of them by each worker.
 KEPT_CHARS, KEPT_CHUNKS = 8, 300_000
@@ -238,15 +241,23 @@ class Shard:
         magic, self.width, _, _, self.docs, self.tokens, at, size, self.bloom_at, self.bloom_size = _FOOTER.unpack(foot)
         if magic != MAGIC:
             raise ValueError("not a shard")
-        self.index = list(_INDEX.iter_unpack(self.data[at : at + size]))
-        self.bits = max(64, BLOOM_BITS * self.docs)
+        self.index = read_index(self.data[at : at + size])
 
     def first_key(self) -> bytes:
         return self.index[0][0]
 
+    def last_key(self) -> bytes:
+        _, offset, size, _ = self.index[-1]
+        return max(key for key, _ in _block_entries(self.data[offset : offset + size]))
+
+    def index_bytes(self) -> bytes:
+        return b"".join(_INDEX.pack(*x) for x in self.index)
+
+    def bloom(self) -> bytes:
+        return bytes(self.data[self.bloom_at : self.bloom_at + self.bloom_size])
+
     def may_hold(self, key: bytes) -> bool:
-        bloom = self.data[self.bloom_at : self.bloom_at + self.bloom_size]
-        return all(bloom[p >> 3] >> (p & 7) & 1 for p in _bloom_places(key, self.bits))
+        return may_hold(self.bloom(), self.docs, key)
 
     def entries(self, first_block: int = 0) -> Iterator[tuple[bytes, int, memoryview]]:
         """Key, tokens before it in this shard, value."""
@@ -255,22 +266,29 @@ class Shard:
                 yield key, before, value
                 before += len(value) // self.width
 
-    def find(self, key: bytes) -> list[tuple[int, memoryview]]:
-        """Binary search of the sparse index, then the block."""
-        if not self.may_hold(key):
-            return []
-        block = max(0, bisect.bisect_left([x[0] for x in self.index], key) - 1)
-        out = []
-        for k, before, value in self.entries(block):
-            if k > key:
-                break
-            if k == key:
-                out.append((before, value))
-        return out
+    def find(self, key: bytes) -> list[memoryview]:
+        """Bloom filter, binary search of the sparse index, then the blocks."""
+        blocks = blocks_of(self.index, key) if self.may_hold(key) else []
+        return [v for offset, size in blocks for k, v in _block_entries(self.data[offset : offset + size]) if k == key]
+
+
+def may_hold(bloom: bytes, docs: int, key: bytes) -> bool:
+    bits = max(64, BLOOM_BITS * docs)
+    return all(bloom[p >> 3] >> (p & 7) & 1 for p in _bloom_places(key, bits))
+
+
+def read_index(data: bytes) -> list[tuple]:
+    return list(_INDEX.iter_unpack(data))
+
+
+def blocks_of(index: list[tuple], key: bytes) -> list[tuple[int, int]]:
+    """Offset and bytes of the blocks that may hold a key: the last that begins below it, and all that begin with it."""
+    firsts = [x[0] for x in index]
+    return [x[1:3] for x in index[max(0, bisect.bisect_left(firsts, key) - 1) : bisect.bisect_right(firsts, key)]]
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every text, append the end id, and write shards in ascending id order."""
+    """Encode every text, append the end id, and write shards in ascending id order, and the side table."""
     import json as j
 
     spark = docs.sparkSession
@@ -278,7 +296,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
         vocab = len(j.load(f)["model"]["vocab"])
     width = 2 if vocab + 256 <= 1 << 16 else 4
     end = struct.pack("<H" if width == 2 else "<I", END_ID)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(shuffle_partitions(spark), -(-total // SHARD_BYTES))
 
@@ -289,7 +307,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
 
         def entries():
             ids, texts, size = [], [], 0
-            for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+            for batch in slices(batches):
                 for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     ids.append(i)
                     texts.append(t)
@@ -302,31 +320,53 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
         for record in shard_records(((k, v + end) for k, v in entries()), width):
             yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], ["value"])
 
-    sorted_docs = base.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    # with the row's number, many rows of one id can be cut between shards
+    sorted_docs = base.repartitionByRange(shards, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     # as a string the bytes are left as they are
-    sorted_docs.mapInArrow(build, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
+    sorted_docs.mapInArrow(build, "value binary").select(F.col("value").cast("string").alias("value")).write.text(_shards(path))
+    _heads(spark, path).write.parquet(_side(path))
+
+
+def _shards(path: str) -> str:
+    return f"{path.rstrip('/')}/shards"
+
+
+def _side(path: str) -> str:
+    return f"{path.rstrip('/')}/side"
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+    return spark.read.format("binaryFile").load(_shards(path)).where("length > 0").select("path", "content")
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """A row a shard: path, width, documents, tokens, first and last key, Bloom filter, index."""
 
-    def totals(batches: Iterator) -> Iterator:
+    def heads(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            shards = [Shard(d) for d in batch.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([s.first_key() for s in shards], pa.binary()), pa.array([s.tokens for s in shards], pa.int64())], ["path", "first_key", "tokens"])
+        for batch in slices(batches, 1):
+            own = Shard(batch.column("content")[0].as_py())
+            cols = [own.width, own.docs, own.tokens, own.first_key(), own.last_key(), own.bloom(), own.index_bytes()]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *[pa.array([c], k) for c, k in zip(cols, kinds, strict=True)]], ["path", *_HEAD_NAMES])
+
+    return _files(spark, path).mapInArrow(heads, _HEADS)
+
+
+_HEADS = "path string, width int, docs long, tokens long, first_key binary, last_key binary, bloom binary, index binary"
+_HEAD_NAMES = [x.split()[0] for x in _HEADS.split(", ")][1:]
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
 
     def documents(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         names = ["path", "doc_id", "local", "n_tokens", "ids"]
-        for batch in batches:
+        for batch in slices(batches, 1):
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 shard = Shard(data)
                 kind = np.dtype("<u2" if shard.width == 2 else "<u4")
@@ -339,11 +379,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _rows(pa, name, rows, names)
 
-    files = _files(spark, path)
-    heads = files.mapInArrow(totals, "path string, first_key binary, tokens long")
-    # a row a shard
-    offsets = heads.select("path", (F.sum("tokens").over(Window.orderBy("first_key")) - F.col("tokens")).alias("offset"))
-    body = files.mapInArrow(documents, "path string, doc_id long, local long, n_tokens long, ids binary")
+    heads = spark.read.schema(_HEADS).parquet(_side(path))
+    # a row a shard; shards that hold parts of one id's rows in the order of their last keys
+    order = Window.orderBy("first_key", "last_key", "path")
+    offsets = heads.select("path", (F.sum("tokens").over(order) - F.col("tokens")).alias("offset"))
+    body = _files(spark, path).mapInArrow(documents, "path string, doc_id long, local long, n_tokens long, ids binary")
     return body.join(F.broadcast(offsets), "path").select("doc_id", (F.col("offset") + F.col("local")).alias("start"), "n_tokens", "ids")
 
 
@@ -353,23 +393,45 @@ def _rows(pa, name, rows, names):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def lookup(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
-    """doc_id, n_tokens, ids of the given documents, by Bloom filter and binary search in each shard."""
-    keys = [key_of(i) for i in ids]
+def lookup(spark: SparkSession, path: str, ids: list[int | None]) -> DataFrame:
+    """doc_id, n_tokens, ids of the given few documents: shards by side table and Bloom filter, blocks by binary search, then the bytes of these."""
+    import numpy as np
+
+    keys = sorted({key_of(i) for i in ids})
 
     def find(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for data in batch.column("content").to_pylist():
-                shard = Shard(data)
-                kind = np.dtype("<u2" if shard.width == 2 else "<u4")
-                rows = [(id_of(k), len(v) // shard.width, np.frombuffer(v, kind).astype("<u4").tobytes()) for k in keys for _, v in shard.find(k)]
-                cols = [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.binary()], strict=True)], ["doc_id", "n_tokens", "ids"])
-
-    return _files(spark, path).mapInArrow(find, "doc_id long, n_tokens long, ids binary")
+        for batch in slices(batches):
+            out = []
+            for name, width, docs, low, high, bloom, index in zip(*(batch.column(c).to_pylist() for c in ("path", "width", "docs", "first_key", "last_key", "bloom", "index")), strict=True):
+                some = [k for k in keys[bisect.bisect_left(keys, low) : bisect.bisect_right(keys, high)] if may_hold(bloom, docs, k)]
+                if some:
+                    blocks = read_index(index)
+                    out += [(name, width, k, offset, size) for k in some for offset, size in blocks_of(blocks, k)]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64()], strict=True)], ["path", "width", "key", "offset", "size"])
+
+    side = spark.read.schema(_HEADS).parquet(_side(path))
+    rows = []
+    for r in side.mapInArrow(find, "path string, width int, key binary, offset long, size long").collect():  # the blocks of the few ids asked
+        kind, wanted = np.dtype("<u2" if r["width"] == 2 else "<u4"), bytes(r["key"])
+        for key, value in _block_entries(read_bytes(spark, r["path"], r["offset"], r["size"])):
+            if key == wanted:
+                rows.append((id_of(key), len(value) // kind.itemsize, bytearray(np.frombuffer(value, kind).astype("<u4").tobytes())))
+    return spark.createDataFrame(rows, "doc_id long, n_tokens long, ids binary")
+
+
+def read_bytes(spark: SparkSession, path: str, offset: int, size: int) -> bytes:
+    """A range of a file in any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(file)
+    try:
+        stream.seek(offset)
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size))
+    finally:
+        stream.close()
 
 
 def store_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -9,7 +9,7 @@ hits leave.
 Copies among the labelled rows of one label count once: equal texts, and groups that the Jaccard operator links.
 
 Defined results: null or empty text scores the score of a text without hits; repeated rows score alike; rows without a label, or with a null one,
-teach nothing; without any usable label the start lexicon alone is used; null ids are never held out; extra columns are ignored.
+teach nothing; without labels of both classes there is no lexicon, and every text scores that of a text without hits; null ids are never held out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusegrid.llm.common import SPACE_RUN, materialize
+from fusegrid.llm.common import SPACE_RUN, materialize, slices
 from fusegrid.llm.ngram_join import jaccard_components
 
 #: At most so many labelled rows are learned from, those first in the order of a hash of their ids.
@@ -42,11 +42,11 @@ STEM = "*"
 QUOTED_WEIGHT = 0.25
 WINDOW = 6
 NO_HIT = 0.01
-#: General insults, used with a moderate weight until labels say otherwise.
-START_LEXICON = ("idiot", "moron", "stupid", "pathetic", "worthless", "scum", "trash", "loser", "disgusting", "clown")
-START_PRECISION = 0.6
 QUOTE_CUES = frozenset("said says quote quoted quoting called word term phrase wrote".split())
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Words are letters, with single digits among them as misspellings have.
+_WORDS = re.compile(r"[^\W\d_]+(?:\d[^\W\d_]+)*")
+#: Words whose weight a worker remembers.
+KEPT_WORDS = 100_000
 _QUOTES = "\"'“”‘’«»„"
 
 
@@ -136,7 +136,7 @@ class ToxicModel:
         if got is None:
             if self.trie is None:
                 self.trie = Trie(self.terms)
-            if len(self.memo) > 500_000:
+            if len(self.memo) > KEPT_WORDS:
                 self.memo.clear()
             got = self.trie.exact(word)
             if not got:
@@ -253,10 +253,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(some, "_id")
     rows = materialize(rows.select("_id", "text", "_y"))
     shares = rows.agg(F.avg("_y")).first()[0]
-    terms: dict[str, tuple[float, float]] = {t: (START_PRECISION, 0.0) for t in START_LEXICON}
+    terms: dict[str, tuple[float, float]] = {}
     if not shares or shares >= 1:
-        return ToxicModel(terms, {t: NEAR_WEIGHT for t in terms if len(t) >= SURE_NEAR})
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))
+        return ToxicModel(terms)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:\p{Nd}\p{L}+)*"), 0))
     bags = materialize(without_copies(rows).select("_y", words.alias("words")))
     shares = bags.agg(F.avg("_y")).first()[0]
     counts = materialize(bags.select("_y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("_y").alias("pos"), F.count("*").alias("n")).where("length(w) <= 40"))
@@ -285,11 +285,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def weigh(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             rows = [_inputs(*e) + (float(y),) for e, y in ((model.evidence(t), y) for t, y in zip(batch.column("text").to_pylist(), batch.column("_y").to_pylist(), strict=True)) if e[2]]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
 
-    seen = np.array([r["x"] for r in rows.mapInArrow(weigh, "x array<double>").collect()])  # at most a row a labelled row
+    seen = np.array(sorted(r["x"] for r in rows.mapInArrow(weigh, "x array<double>").collect()))  # at most a row a labelled row; in order, so that runs agree
     if len(seen) >= 20 and 0 < seen[:, -1].mean() < 1:
         model.curve = _fit_curve(seen[:, :-1], seen[:, -1])
     model.trie, model.near, model.memo = None, None, {}
@@ -302,7 +302,7 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             scores = [model.score(t) if t else NO_HIT for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
@@ -320,7 +320,7 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float, text_col: s
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             keep = [(model.score(t) if t else NO_HIT) < threshold for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

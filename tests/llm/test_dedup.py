@@ -13,7 +13,7 @@ from tests.llm.conftest import ODD, documents
 
 @pytest.mark.parametrize("partitions", [1, 3, 7])
 def test_exact_dedup(spark, partitions):
-    texts = ODD + ["same text"] * 40 + ["same  text"] * 5 + [f"t{i % 3}" for i in range(20)] + ["z" * 60 + str(i % 4) for i in range(12)]
+    texts = ODD + ["same text"] * 40 + ["same  text"] * 5 + [f"t{i % 3}" for i in range(20)] + ["z" * 200 + str(i % 4) for i in range(40)]
     rows = exact_dedup(documents(spark, texts), partitions=partitions).collect()
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts]
     groups = defaultdict(list)
@@ -27,6 +27,9 @@ def test_exact_dedup(spark, partitions):
 
 
 def test_exact_dedup_repeated_null_ids_and_empty(spark):
+    copies = spark.createDataFrame([(7, "one text")] * 300 + [(9, "z")], "doc_id long, text string")
+    rows = exact_dedup(copies, partitions=5).collect()
+    assert sum(r["kept"] for r in rows) == 2 and {(r["doc_id"], r["keep_id"], r["group_size"]) for r in rows} == {(7, 7, 300), (9, 9, 1)}
     docs = spark.createDataFrame([(None, "a"), (1, "a"), (2, "b"), (2, "b")], "doc_id long, text string")
     rows = exact_dedup(docs, partitions=2).collect()
     assert sum(r["kept"] for r in rows) == 2 and all(r["group_size"] == 2 for r in rows)
@@ -43,11 +46,12 @@ def brute_lines(texts, least):
     return ["\n".join(x for x in (t or "").split("\n") if not (key(x) and len(seen[key(x)]) >= least)) for t in texts]
 
 
-@pytest.mark.parametrize("most", [64 << 20, 0])
-def test_line_dedup(spark, most):
+@pytest.mark.parametrize(("per_shard", "per_group"), [(200_000, 500_000), (1, 5)])
+def test_line_dedup(spark, monkeypatch, per_shard, per_group):
+    monkeypatch.setattr(line_dedup, "ROWS_PER_GROUP", per_group)
     texts = ODD + [f"Common LINE \nown {i}\n\tcommon line\nÉ É" for i in range(12)] + ["common line", "é é"]
     docs = documents(spark, texts)
-    out = {r["doc_id"]: r for r in line_dedup.drop_lines(docs, line_dedup.build_state(docs, min_docs=10), max_broadcast_bytes=most).collect()}
+    out = {r["doc_id"]: r for r in line_dedup.drop_lines(docs, line_dedup.build_state(docs, min_docs=10, keys_per_shard=per_shard)).collect()}
     for i, want in enumerate(brute_lines(texts, 10)):
         assert out[i]["kept_text"] == want
         assert out[i]["n_lines"] - out[i]["n_dropped"] == (len(want.split("\n")) if want or out[i]["n_dropped"] == 0 else 0) or "\n" in (texts[i] or "")
@@ -55,18 +59,38 @@ def test_line_dedup(spark, most):
     assert line_dedup.drop_lines(docs.where("false"), line_dedup.build_state(docs.where("false"))).count() == 0
 
 
-def test_line_dedup_is_reversible(spark):
-    first, more = documents(spark, [f"head\nx{i}" for i in range(8)]), documents(spark, [f"head\nfoot\ny{i}" for i in range(11)])
-    state = line_dedup.build_state(first, min_docs=10)
+def held(state):
+    """The fingerprints that each filter holds, each in one of its two buckets."""
+    out = {}
+    for r in state.filters.collect():
+        f = line_dedup.CuckooFilter.load(bytes(r["filter"]))
+        marks = sorted(int(m) for bucket in f.table for m in bucket if m)
+        if r["keys"]:
+            assert len(marks) == r["keys"]
+            out[r["shard"]] = marks
+    return out
+
+
+@pytest.mark.parametrize("per_shard", [200_000, 2])
+def test_line_dedup_is_reversible(spark, per_shard):
+    first, more = documents(spark, [f"head\nback\nx{i}" for i in range(12)]), documents(spark, ["head\n" + "\n".join(f"foot {k}" for k in range(7)) + f"\ny{i}" for i in range(11)])
+    state = line_dedup.build_state(first, min_docs=10, keys_per_shard=per_shard)
     grown = line_dedup.add_documents(state, more)
-    held = lambda s: {r["shard"]: (r["keys"], bytes(r["filter"]).replace(b"\0", b"")) for r in s.filters.collect() if r["keys"]}
-    assert {bytes(r["key"]) for r in grown.refs.where("refs >= 10").collect()} == {line_dedup._digest(b"head"), line_dedup._digest(b"foot")}
-    assert held(grown)[0][0] == 2
+    keys = [line_dedup._digest(w) for w in (b"head", b"back", *(b"foot %d" % k for k in range(7)))]
+    assert {bytes(r["key"]) for r in grown.refs.where("refs >= 10").collect()} == {*keys}
+    assert sum(map(len, held(grown).values())) == 9 and grown.shards == (8 if per_shard == 2 else 1)
     back = line_dedup.remove_documents(grown, more)
-    assert held(back) == held(state)
+    assert held(back) == held(state) and back.shards == state.shards
     assert sorted(map(tuple, back.refs.collect())) == sorted(map(tuple, state.refs.collect()))
-    out = line_dedup.drop_lines(more, grown).agg(F.max("n_dropped")).first()[0]
-    assert out == 2
+    assert {r["n_dropped"] for r in line_dedup.drop_lines(more, grown).collect()} == {8}
+    assert {r["n_dropped"] for r in line_dedup.drop_lines(more, back).collect()} == {1}
+
+
+def test_keys_claimed_wrongly_drop_no_line(spark, monkeypatch):
+    docs = documents(spark, [f"common\nown {i}" for i in range(12)])
+    state = line_dedup.build_state(docs, min_docs=10)
+    monkeypatch.setattr(line_dedup.CuckooFilter, "claims", lambda self, keys: keys[:, 0] >= 0)  # all
+    assert {r["n_dropped"] for r in line_dedup.drop_lines(docs, state).collect()} == {1}
 
 
 def test_cuckoo_filter():
@@ -75,6 +99,8 @@ def test_cuckoo_filter():
     assert all(k in f for k in keys[:2000]) and sum(k in f for k in keys[2000:]) == 0
     assert all(f.delete(k) for k in keys[:1000])
     assert all(k in f for k in keys[1000:2000]) and sum(k in f for k in keys[:1000]) == 0
+    rows = line_dedup.np.frombuffer(b"".join(keys), "u1").reshape(-1, 16)
+    assert f.claims(rows).tolist() == [k in f for k in keys]
     assert f.dump() == line_dedup.CuckooFilter.load(f.dump()).dump()
 
 

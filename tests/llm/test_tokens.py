@@ -56,7 +56,7 @@ def store_rows(spark, texts, tmp_path, name):
     return path, {r["doc_id"]: r for r in token_store.read_store(spark, path).collect()}
 
 
-def test_token_store_round_trip(spark, tmp_path):
+def test_token_store_round_trip(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
@@ -68,7 +68,10 @@ def test_token_store_round_trip(spark, tmp_path):
         assert (rows[i]["start"], rows[i]["n_tokens"]) == (start, len(ids))
         assert zlib.crc32(bytes(rows[i]["ids"])) == zlib.crc32(ids.tobytes()), repr(t)
         start += len(ids)
+    read = []
+    monkeypatch.setattr(token_store, "read_bytes", lambda s, p, at, n, f=token_store.read_bytes: read.append(n) or f(s, p, at, n))
     got = token_store.lookup(spark, path, [3, 100, 10**9]).collect()
+    assert len(read) == 2 and sum(read) < 3 * token_store.BLOCK_BYTES
     assert sorted(r["doc_id"] for r in got) == [3, 100]
     assert all(bytes(r["ids"]) == bytes(rows[r["doc_id"]]["ids"]) for r in got)
 
@@ -81,6 +84,13 @@ def test_token_store_empty_null_and_repeated_ids(spark, tmp_path):
     token_store.write_store(docs, str(tmp_path / "n"), P.path("byte_bpe_50k.json"))
     rows = token_store.read_store(spark, str(tmp_path / "n")).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [None, -1, 5, 5]
+    same = spark.createDataFrame([(4, f"text {i}") for i in range(300)] + [(9, "last"), (None, "first")], "doc_id long, text string")
+    token_store.write_store(same, str(tmp_path / "s"), P.path("byte_bpe_50k.json"))
+    rows = token_store.read_store(spark, str(tmp_path / "s")).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None] + [4] * 300 + [9]
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(rows, rows[1:]))
+    assert token_store.lookup(spark, str(tmp_path / "s"), [4]).count() == 300 and token_store.lookup(spark, str(tmp_path / "s"), [5]).count() == 0
+    assert sum(r["docs"] > 0 for r in spark.read.parquet(str(tmp_path / "s/side")).collect()) > 1
 
 
 def test_token_store_keeps_every_row_of_a_large_batch(spark, tmp_path):
@@ -99,6 +109,6 @@ def test_shard_format():
     assert len(shard.index) > 3 and shard.docs == 2000
     assert [(k, bytes(v)) for k, _, v in shard.entries()] == entries
     for k, v in entries[::97]:
-        assert [bytes(x) for _, x in shard.find(k)] == [v]
+        assert [bytes(x) for x in shard.find(k)] == [v]
     assert shard.find(token_store.key_of(1)) == []
     assert sum(shard.may_hold(token_store.key_of(i)) for i in range(1, 4000, 2)) < 100
