@@ -5,7 +5,7 @@ smallest id stays; sources are mixed to their weights, a document once for each
 a source's cut with only the words before the cut; the texts are encoded and decoded.
 
 Defined results: texts that a stage changes get their own n_chars; null texts become empty in line dedup; rows with a null id pass toxicity, line dedup and
-the join; documents without words are in no mix; empty documents give an empty result at every stage.
+the join; of the rows of one id that the join keeps, which it takes for one document, the first by text stays, null texts last; documents without words are in no mix; empty documents give an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ import re
 from collections.abc import Iterator
 from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fusegrid.llm import line_dedup, mixing, ngram_join, piece_bpe, toxicity
-from fusegrid.llm.common import WORD, materialize, table
+from fusegrid.llm.common import WORD, materialize, slices, table
 
 TOXIC_FROM = 0.3
 
@@ -44,9 +44,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = ngram_join.jaccard_components(docs)
     stay = materialize(groups.where("component_id = doc_id").select("doc_id").distinct())
     kept = docs.join(F.broadcast(stay) if stay.count() <= ngram_join.BROADCAST_ROWS else stay, "doc_id", "left_semi")
-    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    repeated = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():  # an id with several texts is one document: its first text that is not null stays
+        kept = materialize(kept)
+        first = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "text", F.to_json(F.struct(*docs.columns)))))
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(first.where("_n = 1").select(*kept.columns))
+    return kept.unionByName(docs.where("doc_id is null").select(*kept.columns)).select(*docs.columns)
 
 
 def _cut(batches: Iterator) -> Iterator:
@@ -54,7 +57,7 @@ def _cut(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     word = re.compile(WORD)
-    for batch in batches:
+    for batch in slices(batches):
         texts = []
         for text, n in zip(batch.column("text").to_pylist(), batch.column("_words").to_pylist(), strict=True):
             last = next(islice(word.finditer(text), n - 1, None), None)
@@ -64,12 +67,13 @@ def _cut(batches: Iterator) -> Iterator:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    renamed = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], "doc_id", "text", "source")
-    own = [f"_c{i}" for i in range(len(docs.columns))]
-    mixed = materialize(mixing.mix(renamed, keep=own).where("taken > 0"))
-    back = [F.col(c).alias(n) for c, n in zip(own, docs.columns, strict=True)]
-    whole = mixed.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("taken") / F.col("size"))))).where("taken >= size").select(*back)
-    part = mixed.where("taken % size > 0").select(*back, (F.col("taken") % F.col("size")).alias("_words"))
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    # the mix is planned on sizes alone; texts meet the plan once
+    plan = mixing.mix(numbered.withColumnRenamed("_row", "row_of_mix"), keep=["row_of_mix"])
+    taken = materialize(plan.where("taken > 0").select(F.col("row_of_mix").alias("_row"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("_times"), (F.col("taken") % F.col("size")).alias("_words")))
+    mixed = numbered.join(taken, "_row")
+    whole = mixed.where("_times > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    part = mixed.where("_words > 0").select(*docs.columns, "_words")
     return whole.unionByName(_with_text(part.mapInArrow(_cut, part.schema), docs))
 
 

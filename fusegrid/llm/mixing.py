@@ -6,7 +6,7 @@ document, and the source's exact budget cuts the order: whole epochs first, then
 before the cut, of the one at the cut only the words that are left.
 
 Defined results: null or empty text has size 0 and nothing is taken of it; a null source is a source
-of its own, last in order; repeated rows count each; ties of the key go by id and size; null ids
+of its own, last in order; repeated rows count each; ties of the key go by id, size and a digest of the text; null ids
 are hashed as an empty string; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -52,10 +52,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_range: int = ROWS_PER_RANGE, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and the columns of ``keep``) for every document."""
+    """doc_id, size, source_size, target, taken (and the columns of ``keep``, best short ones: they go through every shuffle) for every document."""
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     more = [F.col(c).alias(f"_keep_{c}") for c in keep or ()]
-    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *more).withColumn("key", random_key(F.col("doc_id"))))
+    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("digest"), *more).withColumn("key", random_key(F.col("doc_id"))))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     goal = materialize(targets(sizes).withColumn("ranges", F.ceil(F.col("rows") / F.lit(rows_per_range))))
     # one row a source; sort-merge joins take over where that is too much to send out
@@ -64,7 +64,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = placed.withColumn("range", F.floor(F.col("key") / width).cast("long"))
     per_range = placed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = per_range.select("source", "range", (F.sum("range_size").over(Window.partitionBy("source").orderBy("range")) - F.col("range_size")).alias("before_range"))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size")
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "digest")
     local = placed.withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     full = local.join(before.withColumnRenamed("source", "s").withColumnRenamed("range", "r"), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     budget = F.round("target").cast("long")

@@ -27,10 +27,39 @@ def test_quality_on_held_out_rows(spark, odd):
     assert accuracy(spark, quality.score(docs, model), labels, "quality", held) >= 0.95
     rows = quality.score(odd, model).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
+    texts = [r["text"] or "" for r in docs.collect()] + [t or "" for t in ODD]
+    assert np.abs(model.scores([t.encode() for t in texts]) - [slow_quality(model, t) for t in texts]).max() < 1e-9
     none = quality.train(docs, labels.where("false"))
     assert {round(r["score"], 6) for r in quality.score(odd, none).collect()} == {0.5}
 
 
+def slow_quality(model, text):
+    """The score of one text, its indicators gathered word by word."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    code = lambda *w: [int(x) for x in (quality.span_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0] for b in w)]
+    mixed = lambda v: int(quality.mix64(np.array([v % 2**64], np.uint64))[0])
+    known = slow_quality.known
+    got = set()
+    shapes = []
+    for w in words:
+        if w not in known:
+            known[w] = (code(w, w[-3:], w[:3]), (int(quality._CLASS[w[0]]) * 8 + int(quality._CLASS[w[-1]])) * 8 + min(len(w), 12) // 3)
+        got |= {(h, k) for k, h in enumerate(known[w][0], 1)}
+        shapes.append(known[w][1])
+    got |= {(a, b) for a, b in zip(shapes, shapes[1:], strict=False)} and {(mixed(a * 1000003 + b), 4) for a, b in {*zip(shapes, shapes[1:], strict=False)}}
+    if len(words) > 1:
+        kinds = len({*zip(words, words[1:], strict=False)})
+        got.add((mixed(int(10 * kinds / (len(words) - 1)) + 1), 5))
+    if words:
+        got.add((mixed(int(np.log2(len(words))) + 1), 6))
+    own = sorted({mixed(v + k * 7919) % quality.FEATURES for v, k in got})
+    margin = model.weights[own].sum() / max(1e-9, np.sqrt(model.squares[own].sum())) + model.bias
+    return 1 / (1 + np.exp(-(model.slope * margin + model.offset)))
+
+
+slow_quality.known = {}
+
+
 def test_dual_coordinate_descent_separates():
     r = np.random.default_rng(1)
     rows = [np.unique(np.append(r.integers(10, 200, 20), 1 if i % 2 else 2)) for i in range(200)]
@@ -46,9 +75,47 @@ def test_toxicity_on_held_out_rows(spark, odd):
     assert accuracy(spark, toxicity.score(docs, model), labels, "toxic", held) >= 0.9
     assert {round(r["score"], 6) for r in toxicity.score(odd, model).collect()} == {toxicity.NO_HIT}
     assert toxicity.drop_toxic(odd, model, 0.3).count() == len(ODD)
-    start = toxicity.train(docs, labels.where("false"))
-    plain, quoted, typo = (start.score(x) for x in ("you are an idiot", 'they said "idiot" here', "you are an idiiot"))
-    assert plain > 0.3 > quoted and quoted < typo < plain
+    again = toxicity.train(docs, labels.where(~held))
+    assert (again.terms, again.near_weights, again.curve) == (model.terms, model.near_weights, model.curve)
+    none = toxicity.train(docs, labels.where("false"))
+    assert not none.terms and {r["score"] for r in toxicity.score(docs, none).collect()} == {toxicity.NO_HIT}
+    one = toxicity.ToxicModel({"idiot": (0.6, 0.0)}, {"idiot": 0.5})
+    plain, quoted, typo, digit = (one.score(x) for x in ("you are an idiot", 'they said "idiot" here', "you are an idiiot", "you id1ot!"))
+    assert plain > 0.3 > quoted and quoted < typo < plain and digit == typo
+    # every document's score by comparing each of its words with each term
+    for r in docs.collect():
+        assert abs(model.score(r["text"] or "") - slow_toxicity(model, r["text"] or "")) < 1e-12
+
+
+def slow_toxicity(model, text):
+    low = text.lower()
+    found = list(re.finditer(r"[^\W\d_]+(?:\d[^\W\d_]+)*", low))
+    total = most = 0.0
+    kinds = set()
+    for at, m in enumerate(found):
+        word = m[0]
+        if word not in slow_toxicity.known:
+            own = [w for t, (w, _) in model.terms.items() if t == word] + [s for t, (_, s) in model.terms.items() if word.startswith(t)]
+            if not max(own, default=0):
+                own = [w for t, w in model.near_weights.items() if len(word) > 1 and abs(len(word) - len(t)) <= 1 and not t.endswith("*") and levenshtein(word, t) <= 1]
+                own += [w for t, w in model.near_weights.items() if t.endswith("*") and any(levenshtein(word[: len(t) - 1 + d], t[:-1]) <= 1 for d in (-1, 0, 1))]
+            slow_toxicity.known[word] = max(own, default=0)
+        weight = slow_toxicity.known[word]
+        if weight:
+            kinds.add(word)
+            before, after = low[max(0, m.start() - 2) : m.start()], low[m.end() : m.end() + 2]
+            quoted = set(before) & set(toxicity._QUOTES) and set(after) & set(toxicity._QUOTES)
+            cue = {x[0] for x in found[max(0, at - 6) : at]} & toxicity.QUOTE_CUES
+            weight *= 0.25 if quoted or cue else 1
+            total, most = total + weight, max(most, weight)
+    if not kinds:
+        return toxicity.NO_HIT
+    n = len(found)
+    x = np.dot(model.curve, [1, np.log(1 + total), most, np.log(1 + len(kinds)), np.log(1 + n), total / np.sqrt(n + 1)])
+    return max(toxicity.NO_HIT, 1 / (1 + np.exp(-x)))
+
+
+slow_toxicity.known = {}
 
 
 def test_only_copies_count_once(spark):
@@ -100,8 +167,6 @@ def test_misspelled_stems_and_short_terms(spark):
     assert model.terms["blarg"][0] and model.terms["blarg"][1] and model.terms["zorg"][0]
     assert all(model.score(f"a text with {w}") > toxicity.NO_HIT for w in ("blargful", "blxrgful", "zoorg", "zorgs"))
     assert model.score("a text with calm") == toxicity.NO_HIT
-    start = toxicity.train(docs, labels.where("false"))
-    assert start.score("the scam sum") == toxicity.NO_HIT < start.score("an idiott")
 
 
 def test_secret_spans(spark, odd):
@@ -121,6 +186,49 @@ def test_secret_spans(spark, odd):
     assert empty["spans"] == "" and empty["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def slow_markov(text, model):
+    """Markov spans character by character."""
+    allowed = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    base, out, at = secret_scan.base_spans(text), [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        run = text[at:end]
+        if len(run) < 16:
+            at = end + 1
+            continue
+        pad = 0
+        while pad < 2 and text[end + pad : end + pad + 1] == "=":
+            pad += 1
+        whole = run + "=" * pad
+        if not any(a < end + pad and at < b for a, _, b in base) and not whole.isdigit():
+            own, least = model, secret_scan.THRESHOLD
+            if not any(c.isdigit() for c in whole):
+                whole = "-".join(w for w in re.split("[+/_=-]+", whole) if w)
+                own, least = model.letters, max(least, model.letters_threshold)
+            if own is not None and len(whole) >= 16:
+                total, before = 0.0, ""
+                for c in whole:
+                    total, before = total + own.ratio.get((before, c), 0.0), c
+                if total / len(whole) > least:
+                    out.append((at, end + pad))
+        at = end + pad
+    return out
+
+
+def test_markov_spans_equal_brute_force(spark):
+    docs = tables(spark)[0]
+    model = secret_scan.MarkovModel.train(secret_scan.labelled_samples(docs))
+    r = np.random.default_rng(3)
+    keys = ["".join(r.choice(list(secret_scan.ALPHABET[:64]), r.integers(10, 40))) for _ in range(300)]
+    texts = [t["text"] or "" for t in docs.collect()] + [f"é {a}{'=' * (i % 4)} ({b}) token: {a}" for i, (a, b) in enumerate(zip(keys, keys[1:], strict=False))]
+    got = [[(s["start"], s["end"]) for s in secret_scan.spans_of(t, model) if s["kind"] == "markov"] for t in texts]
+    assert got == [slow_markov(t, model) for t in texts] and sum(map(len, got)) > 200
+    empty = docs.where("false")
+    assert secret_scan.scan(empty, model).count() == 0 and secret_scan.MarkovModel.train(secret_scan.labelled_samples(empty)).letters is not None
+
+
 def test_secrets_without_a_digit(spark):
     model = secret_scan.MarkovModel.train(secret_scan.labelled_samples(tables(spark)[0]))
     secrets = ["kQzXvJwTbRhYpLmGdNcF", "xqzjvkwpbtgfhcmdnlrz", "QXZJKVWPHTBGFCMDNLRYXQ"]
@@ -173,6 +281,37 @@ def test_vector_search_few_rows(spark):
     assert ann.search(df.where("false"), df.where("false")).count() == 0
 
 
+def test_vector_search_mixed_lengths(spark):
+    """Vectors of another length than most of the table take no part, even where most queries have it."""
+    rows = [(i, [float(i % 7 + 1), float(i % 3)]) for i in range(1, 38)] + [(20, [1.0, 2.0, 3.0]), (40, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([r for r in rows if r[0] != 20 or len(r[1]) == 3], "vec_id long, embedding array<float>")
+    assert ann.search(df, df.where("vec_id % 20 = 0"), k=3).count() == 0
+    more = df.union(spark.createDataFrame([(60, [2.0, 1.0])], df.schema))
+    assert {r["query_id"] for r in ann.search(more, more.where("vec_id % 20 = 0"), k=3).collect()} == {60}
+
+
+def test_vector_search_recall_with_the_default_settings(spark):
+    r = np.random.default_rng(2)
+    vectors = r.normal(size=(9000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for x in ann.search(df, df.where("vec_id % 20 = 0"), k=20).collect():
+        got.setdefault(x["query_id"], set()).add(x["vec_id"])
+    assert len(got) == 450
+    want = exact(vectors, list(range(9000)), range(0, 9000, 20), 20)
+    assert sum(len(got[q] & {*want[q]}) for q in want) / (20 * len(want)) >= 0.9
+
+
+def test_empty_tables_train_and_score(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.score(docs, toxicity.train(docs, labels)).count() == 0
+    assert quality.score(docs, quality.train(docs, labels)).count() == 0
+    full = spark.createDataFrame([(1, "a b " * 40_000)], "doc_id long, text string")  # a long text, without any label
+    assert toxicity.score(full, toxicity.train(full, labels)).first()["score"] == toxicity.NO_HIT
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "token = abcdefgh", None), (3, "token = abcdefgh", "s"), (3, "token = abcdefgh", "s"), (4, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
