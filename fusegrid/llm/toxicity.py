@@ -6,7 +6,8 @@ automaton together, so that misspelled terms are caught too; a hit's weight is i
 and less again if the words around it quote rather than abuse. The score is one less the product of what the
 hits leave.
 
-Copies among the labelled rows of one label count once: equal texts, and groups that the Jaccard operator links.
+Copies among the labelled rows of one label count once: texts equal but for case and white space, and near copies, which the first
+round of the Jaccard operator links with such a text of a smaller id.
 
 Defined results: null or empty text scores the score of a text without hits; repeated rows score alike; rows without a label, or with a null one,
 teach nothing; without labels of both classes there is no lexicon, and every text scores that of a text without hits; null ids are never held out; extra columns are ignored.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusegrid.llm.common import SPACE_RUN, materialize, slices
-from fusegrid.llm.ngram_join import jaccard_components
+from fusegrid.llm.ngram_join import features, tree_links
 
 #: At most so many labelled rows are learned from, those first in the order of a hash of their ids.
 SAMPLE_ROWS = 20_000
@@ -238,12 +239,17 @@ def _near_weights(terms: dict[str, tuple[float, float]], seen: dict[str, tuple[i
 
 def without_copies(rows: DataFrame) -> DataFrame:
     """_id, _y, text: of the rows of one label that are copies, the one with the smallest id. Copies are texts equal but for case and white space, and
-    those that links of the Jaccard operator join; rows go by their texts, so different texts of one id are no copies."""
+    near copies: texts that share minima and link as the Jaccard operator says. Rows go by their texts, so different texts of one id are no copies."""
     flat = F.trim(F.regexp_replace(F.lower("text"), SPACE_RUN, " "))
-    first = F.min(F.struct("_id", "text")).alias("_first")
-    own = materialize(rows.groupBy("_y", F.xxhash64(flat).alias("doc_id")).agg(first).select("_y", "doc_id", "_first.*"))
-    groups = jaccard_components(own.dropDuplicates(["doc_id"])).select("doc_id", "component_id")
-    return own.join(groups, "doc_id").groupBy("_y", "component_id").agg(first).select("_first._id", "_y", "_first.text")
+    own = materialize(rows.groupBy("_y", flat.alias("_flat")).agg(F.min(F.struct("_id", "text")).alias("_first")).select("_y", "_first.*", F.xxhash64("_y", "_flat").alias("doc_id")))
+    order = own.select("doc_id", "_y", F.struct("_id", "doc_id").alias("at"))
+    keys = materialize(features(own).where("n > 0").select("doc_id", "n", F.explode("bands").alias("band")).join(order, "doc_id"))
+    hubs = keys.groupBy("_y", "band").agg(F.min("at").alias("hub"))
+    pairs = materialize(keys.join(hubs, ["_y", "band"]).where("hub < at").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"), "n").distinct())
+    links = materialize(tree_links(own.select("doc_id", "text"), pairs))
+    ends = [order.select(F.col("doc_id").alias(x), F.col("_y").alias(f"y_{x}"), F.col("at").alias(f"at_{x}")) for x in "ab"]
+    later = links.join(ends[0], "a").join(ends[1], "b").where("y_a = y_b").select(F.greatest("at_a", "at_b")["doc_id"].alias("doc_id")).distinct()
+    return own.join(later, "doc_id", "left_anti").select("_id", "_y", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
