@@ -18,7 +18,7 @@ INTENTS = {
     "modify": r"change|modify|update|edit|fix|improve",
 }
 REASONER_INTENTS = {
-    "create": r"create|make|build|generate|add|new",
+    "create": r"create|make|build|generate|add",
     "modify": r"change|modify|update|edit|fix",
 }
 
@@ -249,3 +249,21 @@ def ontology() -> list[tuple[str, str, str, float, float]]:
 
 # Rules premise predicate -> conclusion predicate, frequency, confidence.
 RULES = [("common_combination", "suggested", 1.0, 0.8), ("[interactive]", "[accessible]", 0.9, 0.7), ("[layout]", "[responsive]", 0.95, 0.8), ("form", "[validated]", 0.8, 0.7)]
+
+# Statement forms and their words, in the order in which they are tried; anything else stays as it is.
+STATEMENT_FORMS = [
+    (r"<(.+?)\s*-->\s*(.+?)>", '"{1}" is a kind of "{2}"'),
+    (r"<(.+?)\s*<->\s*(.+?)>", '"{1}" is similar to "{2}"'),
+    (r"<(.+?)\s*==>\s*(.+?)>", 'If "{1}" then "{2}"'),
+    (r"\{(.+?)\}\s*-->\s*(.+)", '"{1}" is an instance of "{2}"'),
+    (r"(.+?)\s*-->\s*\[(.+?)\]", '"{1}" has property "{2}"'),
+]
+
+# Fixed value: how every generated document begins.
+DOCUMENT_HEAD = """<!DOCTYPE html>
+<html lang="en">
+<head>
+  <meta charset="UTF-8">
+  <meta name="viewport" content="width=device-width, initial-scale=1.0">
+  <title>Generated Component</title>
+"""

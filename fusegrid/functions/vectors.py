@@ -36,12 +36,19 @@ def manhattan(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(doubles(a), doubles(b), lambda x, y: F.abs(x - y)))
 
 
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, as a lambda's variable, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalise(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(doubles(a), lambda x: x / n)).otherwise(doubles(a))
+    def scaled(v: Column) -> Column:
+        return _bind(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
+
+    return _bind(doubles(a), scaled)
 
 
 def hash_embedding(text: Column, size: int = 1536, chunk: int = 64) -> Column:
     """Deterministic unit vector of a text, from one hash a chunk of dimensions."""
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.pmod(F.xxhash64(text, F.floor(i / chunk)) + i % chunk, F.lit(10000)) / F.lit(5000.0) - F.lit(1.0))
-    return normalise(raw)
+    of_text = lambda h: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.pmod(F.xxhash64(h, F.floor(i / chunk)) + i % chunk, F.lit(10000)) / F.lit(5000.0) - F.lit(1.0))
+    return normalise(_bind(F.xxhash64(text), of_text))  # the text is read once

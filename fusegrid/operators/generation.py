@@ -29,10 +29,15 @@ def unclosed_tags(text: Column) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def html_document(title: Column, html: Column, css: Column, js: Column) -> Column:
-    block = lambda tag, body: F.when(body.isNotNull(), F.concat(F.lit(f"<{tag}>\n"), body, F.lit(f"\n</{tag}>")))
-    head = F.concat(F.lit("<title>"), title, F.lit("</title>"))
-    return F.concat_ws("\n", F.lit("<!DOCTYPE html>\n<html>\n<head>"), head, block("style", css), F.lit("</head>\n<body>"), html, block("script", js), F.lit("</body>\n</html>"))
+def html_document(html: Column, css: Column, js: Column) -> Column:
+    """One document of the parts that are there, their lines set in."""
+
+    def lines(body: Column, pad: str) -> Column:
+        whole = F.regexp_replace(body, r"\r?\n\z", "")
+        return F.when(body == "", F.lit("")).otherwise(F.concat(F.lit(pad), F.regexp_replace(whole, r"\r?\n", f"\n{pad}"), F.lit("\n")))
+
+    block = lambda tag, body: F.when(body.isNotNull(), F.concat(F.lit(f"  <{tag}>\n"), lines(body, "    "), F.lit(f"  </{tag}>\n"))).otherwise(F.lit(""))
+    return F.concat(F.lit(L.DOCUMENT_HEAD), block("style", css), F.lit("</head>\n<body>\n"), F.coalesce(lines(html, "  "), F.lit("")), block("script", js), F.lit("</body>\n</html>"))
 
 
 def prompts(queries: DataFrame, references: DataFrame, most: int = 5) -> DataFrame:

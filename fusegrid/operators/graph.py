@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, created: str | None = None) -> DataFrame:
-    """MERGE by key: new rows win; the first creation time stays."""
+    """MERGE by key: new rows win, of several the last in the order of their JSON text; the first creation time stays."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     own = Window.partitionBy(key)
     if created:
         both = both.withColumn(created, F.min(created).over(own))
-    return both.withColumn("_n", F.row_number().over(own.orderBy(F.desc("_new")))).where("_n = 1").drop("_n", "_new")
+    return both.withColumn("_n", F.row_number().over(own.orderBy(F.desc("_new"), F.desc(F.to_json(F.struct(*old.columns)))))).where("_n = 1").drop("_n", "_new")
 
 
 def upsert_edges(old: DataFrame, new: DataFrame, keys=("src", "dst", "rel_type")) -> DataFrame:

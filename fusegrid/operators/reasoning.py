@@ -89,17 +89,13 @@ def parse_truth(text):
 
 
 def humanize(text):
-    """A statement in words; rules are tried in order."""
-    take = lambda p, i: F.regexp_extract(text, p, i)
-    words = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
-    pair, trait, kind, imply = r"^<\((\w+) \* \[?(\w+)\]?\) --> (\w+)>", r"^<(\w+) --> \[(\w+)\]>", r"^<(\w+) --> (\w+)>", r"^<(.+) ==> (.+)>"
-    return (
-        F.when(text.rlike(pair), F.concat(words(take(pair, 1)), F.lit(" with "), words(take(pair, 2)), F.lit(" is a "), words(take(pair, 3))))
-        .when(text.rlike(trait), F.concat(words(take(trait, 1)), F.lit(" is "), words(take(trait, 2))))
-        .when(text.rlike(kind), F.concat(words(take(kind, 1)), F.lit(" is a "), words(take(kind, 2))))
-        .when(text.rlike(imply), F.concat(words(take(imply, 1)), F.lit(" implies "), words(take(imply, 2))))
-        .otherwise(text)
-    )
+    """A statement in words, by the first of the known forms that it has."""
+    out = text
+    for pattern, words in reversed(L.STATEMENT_FORMS):
+        first, between, last = words.split("{1}")[0], words.split("{1}")[1].split("{2}")[0], words.split("{2}")[1]
+        said = F.concat(F.lit(first), F.regexp_extract(text, pattern, 1), F.lit(between), F.regexp_extract(text, pattern, 2), F.lit(last))
+        out = F.when(text.rlike(pattern), said).otherwise(out)
+    return out
 
 
 def confidence_of(candidates: DataFrame, statements: DataFrame, otherwise: float = 0.5) -> DataFrame:

@@ -79,9 +79,9 @@ def _(spark, d):
     return _snippets(spark, d).agg(F.count("*").alias("total"))
 
 
-@query("snippet_with_elements", sql("v_snippet v_has_element", "select s.snippet_id, coalesce(string_agg(h.element_id::varchar, ',' order by h.element_id), '') as element_ids, count(h.element_id) as element_count from v_snippet s left join v_has_element h using (snippet_id) where s.snippet_id < 500 group by 1"))
+@query("snippet_with_elements", sql("v_snippet v_has_element", "select s.snippet_id, coalesce(string_agg(h.element_id::varchar, ',' order by h.element_id), '') as element_ids, count(h.element_id) as element_count from v_snippet s left join v_has_element h using (snippet_id) group by 1"))
 def _(spark, d):
-    joined = W.snippets(spark, d).where("snippet_id < 500").join(W.has_element(spark, d), "snippet_id", "left")
+    joined = W.snippets(spark, d).join(W.has_element(spark, d), "snippet_id", "left")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("element_id")), lambda x: x.cast("string")), ",")
     return joined.groupBy("snippet_id").agg(ids.alias("element_ids"), F.count("element_id").alias("element_count"))
 
@@ -185,15 +185,15 @@ def _(spark, d):
     return G.statistics(W.elements(spark, d), W.replaceable(spark, d)).withColumn("avg_degree", F.round("avg_degree", 6))
 
 
-@query("similar_neighbors_min_score", sql("e_similar", "select src, dst, score from e_similar where src % 10 = 0 and score >= 0.3"))
+@query("similar_neighbors_min_score", sql("e_similar", "select src, dst, score from e_similar where score >= 0.3"))
 def _(spark, d):
     p = W.points(spark, d)
-    near = K.knn_join(p, p.where("id % 10 = 0"), 3)
+    near = K.knn_join(p, p, 3)
     return near.where("score >= 0.3").select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")
 
 
 _HOPS = """, g as (select distinct src, dst from (select src, dst from e_similar union all select src, dst from e_replace)),
- h0 as (select id as source, id, 0 as hop from v_point where id % 25 = 0),
+ h0 as (select id as source, id, 0 as hop from v_point),
  h1 as (select distinct h0.source, g.dst as id, 1 as hop from h0 join g on g.src = h0.id where g.dst <> h0.source),
  h2 as (select distinct h1.source, g.dst as id, 2 as hop from h1 join g on g.src = h1.id where g.dst <> h1.source and not exists (select 1 from h1 o where o.source = h1.source and o.id = g.dst)),
  hops as (select * from h1 union all select * from h2)"""
@@ -203,7 +203,7 @@ def _propagated(spark, d):
     from fusegrid.operators import feedback as B
 
     edges = similar_edges(spark, d).select("src", "dst").union(W.replaceable(spark, d))
-    sources = W.points(spark, d).where("id % 25 = 0").select("id", F.when(F.col("id") % 2 == 0, 0.1).otherwise(-0.15).alias("delta"))
+    sources = W.points(spark, d).select("id", F.when(F.col("id") % 2 == 0, 0.1).otherwise(-0.15).alias("delta"))
     return B.apply_changes(B.propagate(edges, sources), W.points(spark, d).select("id", "confidence"))
 
 
@@ -243,10 +243,10 @@ def _(spark, d):
     return info.unionByName(info.agg(F.sum("points").alias("points")).select(F.lit(-1).alias("collection"), "points"))
 
 
-@query("save_snippet_edges", sql("v_element", ", g as (select element_id as snippet_id, unnest([element_id, element_id + 1, element_id + 1, element_id + 100000000]) as member from v_element where element_id < 50) select distinct snippet_id, member as element_id from g where member in (select element_id from v_element)"))
+@query("save_snippet_edges", sql("v_element", ", g as (select element_id as snippet_id, unnest([element_id, element_id + 1, element_id + 1, element_id + 100000000]) as member from v_element) select distinct snippet_id, member as element_id from g where member in (select element_id from v_element)"))
 def _(spark, d):
     e = W.elements(spark, d)
-    groups = e.where("element_id < 50").select(F.col("element_id").alias("snippet_id"), F.array("element_id", F.col("element_id") + 1, F.col("element_id") + 1, F.col("element_id") + 100000000).alias("ids"))
+    groups = e.select(F.col("element_id").alias("snippet_id"), F.array("element_id", F.col("element_id") + 1, F.col("element_id") + 1, F.col("element_id") + 100000000).alias("ids"))
     return G.membership_edges(groups, e, "snippet_id", "ids", "element_id")
 
 

@@ -69,10 +69,10 @@ def _(spark, d):
     return K.lsh_candidates(p, p.where("id % 20 = 0"))
 
 
-@query("fallback_embedding")
+@query("fallback_embedding", "select doc_id, 1.0::double as norm, 1536 as size from documents")
 def _(spark, d):
-    v = V.hash_embedding(F.col("text"), 256)
-    return W.table(spark, d, "documents").select("doc_id", F.round(V.norm(v), 6).alias("norm"), F.size(v).alias("size"))
+    made = W.table(spark, d, "documents").select("doc_id", V.hash_embedding(F.col("text")).alias("v"))
+    return made.select("doc_id", F.round(V.norm(F.col("v")), 6).alias("norm"), F.size("v").alias("size"))
 
 
 _TERMS = [(1, "the"), (1, "nd"), (2, "der"), (2, "und"), (2, "sch"), (3, "license"), (4, "loser"), (4, "worthless")]
@@ -94,10 +94,10 @@ def _(spark, d):
     return scored.withColumn("place", F.row_number().over(best)).where("place <= 10").select("query_id", "id", "score")
 
 
-@query("fulltext_terms", "select term, count(*) as docs, sum(tf)::bigint as total from (select doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as term, 1 as tf from documents) where length(term) = 2 group by 1".replace("count(*)", "count(distinct doc_id)"))
+@query("fulltext_terms", "select term, count(*) as docs, sum(tf)::bigint as total from (select doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as term, 1 as tf from documents) where term <> '' group by 1".replace("count(*)", "count(distinct doc_id)"))
 def _(spark, d):
     index = T.inverted_index(W.table(spark, d, "documents"), "doc_id", "text")
-    return index.where("length(term) = 2").groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("total"))
+    return index.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("total"))
 
 
 @query("tag_attribute_match", sql("v_element", "select element_id, name from v_element where len(list_filter(tags, lambda t: contains('small', lower(t)) or contains(lower(t), 'small') or contains('ring', lower(t)) or contains(lower(t), 'ring'))) > 0"))
@@ -172,10 +172,10 @@ def _(spark, d):
     return H.dedup(ranked).select("query_id", "element_id", "source", "final_score")
 
 
-@query("confidence_theta_join", sql("v_element", ", s(query_id, statement, confidence) as (values (1, '<query --> promo>', 0.8), (1, '<small ring --> component>', 0.9), (2, '<query --> large>', 0.6)), q as (select distinct query_id from s) select q.query_id, e.element_id, coalesce((select max(confidence) from s where s.query_id = q.query_id and (contains(statement, e.category) or contains(statement, e.name))), 0.5)::double as narsese_confidence from q, v_element e where e.element_id % 10 = q.query_id"))
+@query("confidence_theta_join", sql("v_element", ", s(query_id, statement, confidence) as (values (1, '<query --> promo>', 0.8), (1, '<small ring --> component>', 0.9), (2, '<query --> large>', 0.6)), q as (select distinct query_id from s) select q.query_id, e.element_id, coalesce((select max(confidence) from s where s.query_id = q.query_id and (contains(statement, e.category) or contains(statement, e.name))), 0.5)::double as narsese_confidence from q, v_element e where 1 + e.element_id % 2 = q.query_id"))
 def _(spark, d):
     told = spark.createDataFrame([(1, "<query --> promo>", 0.8), (1, "<small ring --> component>", 0.9), (2, "<query --> large>", 0.6)], "query_id int, statement string, confidence double")
-    candidates = W.elements(spark, d).withColumn("query_id", (F.col("element_id") % 10).cast("int")).where("query_id in (1, 2)")
+    candidates = W.elements(spark, d).withColumn("query_id", (1 + F.col("element_id") % 2).cast("int"))
     return R.confidence_of(candidates, told).select("query_id", "element_id", "narsese_confidence")
 
 

@@ -91,7 +91,7 @@ def _(spark, d):
     return users.select("conv_id", "turn", F.array_join(S.search_terms(F.col("text"), L.COMPONENTS), ",").alias("components"))
 
 
-_STATEMENTS = sql("v_query", f""", b as (select query_id, {_intent_sql("text", L.REASONER_INTENTS)} as intent, {_terms_sql("text", L.REASONER_COMPONENTS)} as found, {_terms_sql("text", L.REASONER_ATTRIBUTES)} as attrs from v_query),
+_STATEMENTS = sql("v_query", f""", b as (select query_id, case when regexp_matches(text, '(?i)\\b(create|make|build|generate|add)\\b') then 'create' when regexp_matches(text, '(?i)\\b(change|modify|update|edit|fix)\\b') then 'modify' else 'find' end as intent, {_terms_sql("text", L.REASONER_COMPONENTS)} as found, {_terms_sql("text", L.REASONER_ATTRIBUTES)} as attrs from v_query),
   c as (select *, case when len(found) > 0 then found else ['component'] end as cs from b),
   l as (select query_id, list_concat(list_concat(list_concat([['<query --> [' || intent || ']>', '0.9']],
      flatten(list_transform(cs, lambda c: [['<' || c || ' --> component>', '0.9'], ['<query --> ' || c || '>', '0.8']]))),
@@ -146,7 +146,7 @@ def _(spark, d):
     return out.select("statement", F.round("frequency", 6).alias("frequency"), F.round("confidence", 6).alias("confidence"))
 
 
-_TRUTHS = [("<a --> b>. {1.0|0.9}",), ("<a --> [c]>. {0.5 0.8}",), ("{x} --> y. %0.90;0.50%",), ("<(button * [primary]) --> common_combination>. {1.0|0.85}",), ("plain words",), ("<form_login ==> button>. {1.0|0.95}",)]
+_TRUTHS = [("<a --> b>. {1.0|0.9}",), ("<a --> [c]>. {0.5 0.8}",), ("{x} --> y. %0.90;0.50%",), ("<(button * [primary]) --> common_combination>. {1.0|0.85}",), ("plain words",), ("<form_login ==> button>. {1.0|0.95}",), ("<card <-> panel>. {0.8|0.9}",), ("button --> [large]",), ("{btn_1} --> button",)]
 
 
 @query("parse_truth_text", f"with t(text) as (values {_literal(_TRUTHS)}), p as (select text, '^(.*?)\\.?\\s*[{{%]([\\d.]+)[|;\\s]+([\\d.]+)[}}%]\\s*$' as re from t) select text, regexp_extract(text, '^(.*?)\\.?\\s*[{{%]([\\d.]+)[|;\\s]+([\\d.]+)[}}%]\\s*$', 1) as statement, try_cast(nullif(regexp_extract(text, '^(.*?)\\.?\\s*[{{%]([\\d.]+)[|;\\s]+([\\d.]+)[}}%]\\s*$', 2), '') as double) as frequency, try_cast(nullif(regexp_extract(text, '^(.*?)\\.?\\s*[{{%]([\\d.]+)[|;\\s]+([\\d.]+)[}}%]\\s*$', 3), '') as double) as confidence from t")
@@ -154,7 +154,20 @@ def _(spark, d):
     return spark.createDataFrame(_TRUTHS, "text string").withColumn("t", R.parse_truth(F.col("text"))).select("text", "t.statement", "t.frequency", "t.confidence")
 
 
-@query("humanize_statement", f"with t(text) as (values {_literal(_TRUTHS)}) select text, case when text like '<(button%' then 'button with primary is a common combination' when text like '<a --> [c]%' then 'a is c' when text like '<a --> b%' then 'a is a b' when text like '<form%' then 'form login implies button' else text end as words from t")
+_WORDS = [
+    ("<a --> b>. {1.0|0.9}", '"a" is a kind of "b"'),
+    ("<a --> [c]>. {0.5 0.8}", '"a" is a kind of "[c]"'),
+    ("{x} --> y. %0.90;0.50%", '"x" is an instance of "y. %0.90;0.50%"'),
+    ("<(button * [primary]) --> common_combination>. {1.0|0.85}", '"(button * [primary])" is a kind of "common_combination"'),
+    ("plain words", "plain words"),
+    ("<form_login ==> button>. {1.0|0.95}", 'If "form_login" then "button"'),
+    ("<card <-> panel>. {0.8|0.9}", '"card" is similar to "panel"'),
+    ("button --> [large]", '"button" has property "large"'),
+    ("{btn_1} --> button", '"btn_1" is an instance of "button"'),
+]
+
+
+@query("humanize_statement", f"select text, words from (values {_literal(_WORDS)}) t(text, words)")
 def _(spark, d):
     return spark.createDataFrame(_TRUTHS, "text string").select("text", R.humanize(F.col("text")).alias("words"))
 
@@ -199,9 +212,21 @@ def _(spark, d):
     return W.table(spark, d, "pages").select("page_id", F.array_join(N.unclosed_tags(F.col("html")), ",").alias("unclosed"))
 
 
-@query("html_document", "select page_id, '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10) || '<title>' || url || '</title>' || chr(10) || '<style>' || chr(10) || 'p{}' || chr(10) || '</style>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || '<p>x</p>' || chr(10) || '</body>' || chr(10) || '</html>' as document from pages")
+_DOCUMENT = """<!DOCTYPE html>
+<html lang="en">
+<head>
+  <meta charset="UTF-8">
+  <meta name="viewport" content="width=device-width, initial-scale=1.0">
+  <title>Generated Component</title>
+"""
+
+
+@query("html_document", f"""select page_id, {_quoted(_DOCUMENT)} || case when page_id % 2 = 0 then '  <style>' || chr(10) || '    p{{}}' || chr(10) || '    ' || chr(10) || '    q{{}}' || chr(10) || '  </style>' || chr(10) else '' end
+  || '</head>' || chr(10) || '<body>' || chr(10) || '  <p>' || url || '</p>' || chr(10) || '  <hr>' || chr(10)
+  || case when page_id % 3 = 0 then '  <script>' || chr(10) || '    go()' || chr(10) || '  </script>' || chr(10) else '' end || '</body>' || chr(10) || '</html>' as document from pages""")
 def _(spark, d):
-    return W.table(spark, d, "pages").select("page_id", N.html_document(F.col("url"), F.lit("<p>x</p>"), F.lit("p{}"), F.lit(None).cast("string")).alias("document"))
+    css, js = F.when(F.col("page_id") % 2 == 0, F.lit("p{}\r\n\nq{}")), F.when(F.col("page_id") % 3 == 0, F.lit("go()"))
+    return W.table(spark, d, "pages").select("page_id", N.html_document(F.concat(F.lit("<p>"), "url", F.lit("</p>\n<hr>\n")), css, js).alias("document"))
 
 
 @query("prompts", sql("v_query", ", r(query_id, place, name, category) as (values (1, 1, 'a', 'button'), (1, 2, 'b', 'card'), (2, 1, 'c', 'form'), (2, 9, 'z', 'form')) select q.query_id, 'Request: ' || text || case when count(r.name) > 0 then chr(10) || 'References:' || chr(10) || string_agg('- ' || name || ' (' || category || ')', chr(10) order by place) else '' end as prompt from v_query q left join r on r.query_id = q.query_id and place <= 5 group by q.query_id, text"))
@@ -243,7 +268,7 @@ def _(spark, d):
 @query("html_elements")
 def _(spark, d):
     n = E.html_nodes(W.table(spark, d, "pages"))
-    return n.select("page_id", "node_id", "parent_id", "depth", "tag", "id", F.array_join("classes", " ").alias("classes"), F.substring("text", 1, 40).alias("text"))
+    return n.select("page_id", "node_id", "parent_id", "depth", "tag", "id", F.array_join("classes", " ").alias("classes"), "text")
 
 
 @query("html_structure")
@@ -309,10 +334,9 @@ def _(spark, d):
     return out.select("sample_id", "design_system", "score", F.round("system_confidence", 6).alias("system_confidence"))
 
 
-@query("design_system_pages", _DETECT.format(id="page_id", score=_scores_sql("html"), source="(select page_id, regexp_replace(html, '[^\\x00-\\x7F]', '?', 'g') as html from pages)"))
+@query("design_system_pages", _DETECT.format(id="page_id", score=_scores_sql("html"), source="pages"))
 def _(spark, d):
-    ascii_only = W.table(spark, d, "pages").select("page_id", F.regexp_replace("html", r"[^\x00-\x7F]", "?").alias("html"))
-    return E.detect_system(ascii_only, "html").select("page_id", "design_system", "score", F.round("system_confidence", 6).alias("system_confidence"))
+    return E.detect_system(W.table(spark, d, "pages").select("page_id", "html"), "html").select("page_id", "design_system", "score", F.round("system_confidence", 6).alias("system_confidence"))
 
 
 @query("quick_detect", "with s(sample_id, a, b, c) as (values " + _literal(_SAMPLES) + "), t as (select sample_id, a || ' ' || c as t from s) select sample_id, " + ", ".join(f"regexp_matches(t, {_quoted(p)}) as {n}" for n, p in L.QUICK_PATTERNS.items()) + " from t")
