@@ -29,7 +29,7 @@ SAMPLE_ROWS = 20_000
 CALIBRATION_QUERIES = 300
 RECALL_GOAL = 0.94
 BRANCH = 16
-LEAF_ROWS = 200
+LEAF_ROWS = 400
 MOST_LEAVES = 4000
 BLOCK_ROWS = 2048
 QUERY_ROWS = 1024
