@@ -45,7 +45,8 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, digits: int = 6, exc
     n_queries, n_points = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (queries, points))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select("id", "vector", block(n_queries).alias("q"), every(n_points).alias("p")).groupBy("q", "p")
+    # columns of its own, as queries are often rows of the points themselves
+    asked = queries.select(F.col("id").alias("id"), F.col("vector").alias("vector"), block(n_queries).alias("q"), every(n_points).alias("p")).groupBy("q", "p")
     held = points.select("id", "vector", block(n_points).alias("p"), every(n_queries).alias("q")).groupBy("q", "p")
 
     def meet(left, right):
