@@ -49,6 +49,8 @@ def normalise(a: Column) -> Column:
 
 
 def hash_embedding(text: Column, size: int = 1536, chunk: int = 64) -> Column:
-    """Deterministic unit vector of a text, from one hash a chunk of dimensions."""
-    of_text = lambda h: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.pmod(F.xxhash64(h, F.floor(i / chunk)) + i % chunk, F.lit(10000)) / F.lit(5000.0) - F.lit(1.0))
-    return normalise(_bind(F.xxhash64(text), of_text))  # the text is read once
+    """Deterministic unit vector of a text: 60 bits of an MD5 a chunk, counted up within it, modulo 10,000, from -1 to 1."""
+    seed = lambda h, c: F.conv(F.substring(F.md5(F.concat(h, F.lit(":"), c.cast("string"))), 1, 15), 16, 10).cast("long")
+    within = lambda s: F.transform(F.sequence(F.lit(0), F.lit(chunk - 1)), lambda j: (s + j) % F.lit(10000) / F.lit(5000.0) - F.lit(1.0))
+    chunks = lambda h: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(-(-size // chunk) - 1)), lambda c: _bind(seed(h, c), within)))
+    return normalise(F.slice(_bind(F.md5(text), chunks), 1, size))  # the text is read once

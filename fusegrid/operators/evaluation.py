@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from fusegrid.functions import scalar as S
 
 
-def query_metrics(results: DataFrame) -> DataFrame:
+def query_metrics(results: DataFrame, *keys: str) -> DataFrame:
     """From results(query_id, expected array, returned array, latency): hits count sets, denominators count list lengths."""
     hits = F.size(F.array_intersect("expected", "returned"))
     precision, recall = S.ratio(hits, F.size("returned")), S.ratio(hits, F.size("expected"))
-    out = results.select("query_id", precision.alias("precision"), recall.alias("recall"), F.when(F.size("returned") > 0, 1 - precision).otherwise(F.lit(0.0)).alias("hallucination"), "latency")
+    out = results.select(*keys, "query_id", precision.alias("precision"), recall.alias("recall"), F.when(F.size("returned") > 0, 1 - precision).otherwise(F.lit(0.0)).alias("hallucination"), "latency")
     total = F.col("precision") + F.col("recall")
     return out.withColumn("f1", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(F.lit(0.0)))
 

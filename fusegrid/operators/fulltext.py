@@ -24,7 +24,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame) -> Dat
     terms = F.filter(F.split(F.lower(F.col(text_col)), "[^a-z0-9]+"), lambda t: t != "")
     rows = docs.select(F.col(id_col).alias("id"), terms.alias("terms")).withColumn("length", F.size("terms"))
     whole = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    wanted = rows.select("id", "length", F.explode("terms").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    wanted = rows.select("id", "length", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     postings = wanted.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0) + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -38,6 +38,14 @@ def fulltext_candidates(queries: DataFrame, elements: DataFrame, most: int = 10)
     return kept.select("query_id", "element_id", "name", "category", "similarity", F.lit(0.0).alias("graph_degree"), F.lit("fulltext").alias("source"))
 
 
+def scored_candidates(scores: DataFrame, elements: DataFrame, source: str, most: int = 10) -> DataFrame:
+    """The best elements of each query from rows (query_id, id, score) of a search."""
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    kept = scores.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most)
+    joined = kept.join(elements, kept["id"] == elements["element_id"])
+    return joined.select("query_id", "element_id", "name", "category", F.col("score").alias("similarity"), F.lit(0.0).alias("graph_degree"), F.lit(source).alias("source"))
+
+
 def vector_candidates(neighbours: DataFrame, elements: DataFrame) -> DataFrame:
     """From rows (query_id, id, score) of a vector search."""
     joined = neighbours.join(elements, neighbours["id"] == elements["element_id"])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fusegrid.functions import scalar as S
 from fusegrid.functions import vectors as V
 from fusegrid.operators import evaluation as X
 from fusegrid.operators import fulltext as T
@@ -12,6 +14,7 @@ from fusegrid.operators import graph as G
 from fusegrid.operators import reasoning as R
 from fusegrid.operators import understanding as U
 from fusegrid.operators import vector_search as K
+from fusegrid.plans import text_queries as P
 from fusegrid.sources import views as W
 from fusegrid.sources.views import with_views as sql
 
@@ -69,10 +72,13 @@ def _(spark, d):
     return K.lsh_candidates(p, p.where("id % 20 = 0"))
 
 
-@query("fallback_embedding", "select doc_id, 1.0::double as norm, 1536 as size from documents")
+_RAW = "((('0x' || substr(md5(md5(coalesce(text, '')) || ':' || c), 1, 15))::bigint + j) % 10000) / 5000.0::double - 1"
+
+
+@query("fallback_embedding", f"select doc_id, 1.0::double as norm, 1536 as size, round(arg_max(x, -k) / sqrt(sum(x * x)), 6)::double as first, round(arg_max(x, k) / sqrt(sum(x * x)), 6)::double as last from (select doc_id, 64 * c + j as k, {_RAW} as x from documents, range(24) a(c), range(64) b(j)) group by doc_id")
 def _(spark, d):
-    made = W.table(spark, d, "documents").select("doc_id", V.hash_embedding(F.col("text")).alias("v"))
-    return made.select("doc_id", F.round(V.norm(F.col("v")), 6).alias("norm"), F.size("v").alias("size"))
+    made = W.table(spark, d, "documents").select("doc_id", V.hash_embedding(F.coalesce("text", F.lit(""))).alias("v"))
+    return made.select("doc_id", F.round(V.norm(F.col("v")), 6).alias("norm"), F.size("v").alias("size"), F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
 
 
 _TERMS = [(1, "the"), (1, "nd"), (2, "der"), (2, "und"), (2, "sch"), (3, "license"), (4, "loser"), (4, "worthless")]
@@ -86,8 +92,6 @@ _BM25 = """, q(query_id, term) as (values (1, 'the'), (1, 'nd'), (2, 'der'), (2,
 
 @query("fulltext_bm25", "with x as (select 1)" + _BM25 + " select query_id, id, round(score, 6)::double as score from (select *, row_number() over (partition by query_id order by round(score, 6) desc, id) as place from s) where place <= 10")
 def _(spark, d):
-    from pyspark.sql import Window
-
     asked = spark.createDataFrame(_TERMS, "query_id int, term string")
     scored = T.bm25(W.table(spark, d, "documents"), "doc_id", "text", asked).withColumn("score", F.round("score", 6))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -115,8 +119,8 @@ def hybrid(spark, d, requests, k: int = 10):
     degrees = degrees.where("id like 'e%'").select(F.substring("id", 2, 20).cast("bigint").alias("id"), "degree")
     points = W.points(spark, d)
     ids = requests.select("query_id", "vec")
-    near = K.knn_join(points, points.join(F.broadcast(ids.select(F.col("vec").alias("id")).distinct()), "id", "left_semi"), 10, exclude_self=False)
-    near = near.join(F.broadcast(ids.withColumnRenamed("query_id", "r")), F.col("query_id") == F.col("vec")).select(F.col("r").alias("query_id"), "id", "score")
+    near = K.knn_join(points, points.join(ids.select(F.col("vec").alias("id")).distinct(), "id", "left_semi"), 10, exclude_self=False)
+    near = near.join(ids.withColumnRenamed("query_id", "r"), F.col("query_id") == F.col("vec")).select(F.col("r").alias("query_id"), "id", "score")
     found = H.vector_candidates(near, elements).unionByName(H.fulltext_candidates(requests, elements)).unionByName(H.graph_candidates(requests, elements, degrees))
     told = requests.select("query_id", F.explode("categories").alias("c")).select("query_id", F.concat(F.lit("<query --> "), "c", F.lit(">")).alias("statement"), F.lit(0.8).alias("confidence"))
     scored = H.rank(R.confidence_of(H.weigh(found), told)).withColumn("final_score", F.round("final_score", 6))
@@ -230,13 +234,86 @@ def _(spark, d):
     return X.report_lines(X.aggregate(_evaluated(spark, d)), "Retrieval evaluation")
 
 
-@query("request_hybrid", None)
+def retrieve(spark, d, requests, k: int = 10, most: int = 10):
+    """(asked, found): requests(query_id, text) through understanding and statements, and the candidates of all three branches.
+
+    The vector branch embeds the search terms of the statements and searches the points of all collections, the full-text branch scores names and
+    tags by BM25, the graph branch takes the wanted categories and attributes. A request without terms has no candidates from that branch.
+    """
+    told = U.statements(requests)
+    asked, elements, points = U.process(requests), W.components(spark, d), W.points(spark, d)
+    size = points.select(F.size("vector")).first()[0]
+    words = U.terms_of_statements(told).select(F.col("query_id").cast("long").alias("id"), F.array_join("terms", " ").alias("text")).where("text <> ''")
+    near = K.knn_join(points, words.select("id", V.hash_embedding(F.col("text"), size).alias("vector")), most, exclude_self=False)
+    near = near.select(F.col("query_id").cast("int").alias("query_id"), "id", "score")
+    terms = asked.select("query_id", F.explode(F.split(F.lower(F.array_join("terms", " ")), "[^a-z0-9]+")).alias("term")).where("term <> ''")
+    full = T.bm25(elements.select("element_id", F.concat_ws(" ", "name", F.array_join("tags", " ")).alias("text")), "element_id", "text", terms)
+    degrees = W.has_element(spark, d).groupBy(F.col("element_id").alias("id")).agg(F.count("*").alias("degree"))
+    wanted = asked.select("query_id", F.col("components").alias("categories"), "attributes")
+    found = H.scored_candidates(near, elements, "vector", most).unionByName(H.scored_candidates(full.withColumn("score", F.round("score", 6)), elements, "fulltext", most))
+    found = found.unionByName(H.graph_candidates(wanted, elements, degrees, most))
+    scored = H.rank(R.confidence_of(H.weigh(found), told)).withColumn("final_score", F.round("final_score", 6))
+    return asked, found, H.top(H.dedup(scored), k)
+
+
+_PARTS = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+_RETRIEVE = f""", q as (select query_id, components as categories, attributes, list_concat(list_concat(components, attributes), context) as terms from ({P.PROCESSED} select * from c)),
+ told as ({P.STATEMENTS} select query_id, ord, z[1] as statement, z[2]::double as confidence from s),
+ said as ({P.SEARCH_TERMS} select query_id, string_agg(term, ' ' order by first) as text from m group by 1),
+ emb as (select query_id, list_transform(range((select len(vector) from v_point limit 1)), lambda j: ((('0x' || substr(md5(md5(text) || ':' || (j // 64)), 1, 15))::bigint + j % 64) % 10000) / 5000.0::double - 1.0) as vector from said where text <> ''),
+ v as (select query_id, id, score from (select e.query_id, p.id, round(list_cosine_similarity(p.vector, e.vector), 6) as score, row_number() over (partition by e.query_id order by round(list_cosine_similarity(p.vector, e.vector), 6) desc, p.id) as k from emb e, v_point p) where k <= 10),
+ t as (select element_id, {_PARTS.format("name || ' ' || array_to_string(tags, ' ')")} as ts from v_component),
+ w as (select count(*) as docs, avg(len(ts)) as mean from t),
+ qt as (select distinct query_id, unnest({_PARTS.format("array_to_string(terms, ' ')")}) as term from q),
+ p as (select element_id, term, len(ts) as length, len(list_filter(ts, lambda x: x = term)) as tf from t, (select distinct term from qt) where list_contains(ts, term)),
+ df as (select term, count(*) as df from p group by 1),
+ s as (select query_id, element_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) as n from qt join p using (term) join df using (term), w group by 1, 2),
+ f as (select * from (select query_id, e.element_id, name, category, n, row_number() over (partition by query_id order by n desc, e.element_id) as k from s join v_component e using (element_id)) where k <= 10),
+ deg as (select element_id as id, count(*) as degree from v_has_element group by 1),
+ g as (select * from (select q.query_id, e.element_id, e.name, e.category, coalesce(degree, 0) as degree, row_number() over (partition by q.query_id order by list_position(q.categories, e.category), e.name, e.element_id) as k
+   from q join v_component e on list_contains(q.categories, e.category) left join deg on deg.id = e.element_id
+   where len(q.attributes) = 0 or len(list_filter(e.tags, lambda t: len(list_filter(q.attributes, lambda a: contains(lower(t), lower(a)) or contains(lower(a), lower(t)))) > 0)) > 0) where k <= 10),
+ c as (select query_id, element_id, name, category, score * 0.4 as similarity, 0.0::double as graph_degree, 'vector' as source, 0 as o from v join v_component e on e.element_id = v.id
+   union all select query_id, element_id, name, category, n * 0.3, 0.0::double, 'fulltext', 1 from f
+   union all select query_id, element_id, name, category, 0.8 * 0.3, least(degree / 50.0::double, 1.0::double), 'graph', 2 from g),
+ n as (select c.*, coalesce((select max(confidence) from told where told.query_id = c.query_id and (contains(statement, c.category) or contains(statement, c.name))), 0.5)::double as narsese_confidence from c),
+ r as (select *, round(0.5 * narsese_confidence + 0.3 * similarity + 0.2 * graph_degree, 6)::double as final_score from n),
+ u as (select *, row_number() over (partition by query_id order by final_score desc, element_id) as place from (select *, row_number() over (partition by query_id, element_id order by final_score desc, o) as k from r) where k = 1)"""
+
+
+@query("request_hybrid", sql("v_point v_component v_has_element", _RETRIEVE + " select query_id, place::int as place, element_id, name, category, source, round(similarity, 6)::double as similarity, round(graph_degree, 6)::double as graph_degree, narsese_confidence, final_score from u where place <= 10"))
 def _(spark, d):
-    """Natural-language requests through understanding, then all branches; the vector branch takes a point by the request's number."""
-    asked = U.process(W.requests(spark)).select("query_id", "terms", F.array(F.lit("promo"), F.lit("small")).alias("categories"), "attributes", F.col("query_id").cast("long").alias("vec"))
-    return hybrid(spark, d, asked, 5)
+    """Natural-language requests to ranked elements."""
+    best = retrieve(spark, d, W.requests(spark))[2]
+    return best.select("query_id", "place", "element_id", "name", "category", "source", F.round("similarity", 6).alias("similarity"), F.round("graph_degree", 6).alias("graph_degree"), "narsese_confidence", "final_score")
 
 
+_SYSTEMS_SQL = """, x as (select query_id, element_id from (select q.query_id, e.element_id, row_number() over (partition by q.query_id order by e.element_id) as k from q join v_component e on e.category = q.categories[1]) where k <= 3),
+ y as (select 'vector' as system, query_id, element_id from c where source = 'vector' union all select 'fulltext', query_id, element_id from c where source = 'fulltext' union all select 'graph', query_id, element_id from c where source = 'graph'
+   union all select 'hybrid', query_id, element_id from u where place <= 10),
+ h as (select system, query_id, (select count(*) from y where y.system = z.system and y.query_id = a.query_id) as returned, (select count(*) from y join x using (query_id, element_id) where y.system = z.system and y.query_id = a.query_id) as hits, (select count(*) from x where x.query_id = a.query_id) as expected
+   from (select distinct query_id from x) a, (values ('vector'), ('fulltext'), ('graph'), ('hybrid')) z(system)),
+ e as (select system, query_id, case when returned > 0 then hits / returned else 0 end::double as precision, hits / expected as recall, case when returned > 0 then 1 - hits / returned else 0 end::double as hallucination from h),
+ k as (select system, count(*) as queries, avg(precision) as precision, avg(recall) as recall, avg(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end) as f1, avg(hallucination) as hallucination from e group by 1)"""
+_GAIN = "round(case when k.{0} <> 0 then {1}(h.{0} - k.{0}) / k.{0} * 100 else 0 end, 4)::double as {0}_gain"
+
+
+@query("system_comparison", sql("v_point v_component v_has_element", _RETRIEVE + _SYSTEMS_SQL + " select k.system, k.queries, " + ", ".join(f"round(k.{c}, 6)::double as {c}" for c in ("precision", "recall", "f1", "hallucination")) + ", " + ", ".join(_GAIN.format(c, "-" if c == "hallucination" else "") for c in ("precision", "recall", "f1", "hallucination")) + " from k, (select * from k where system = 'hybrid') h"))
+def _(spark, d):
+    """Each branch alone and the hybrid over the same requests, against three expected elements of the first component; gains are the hybrid's over each."""
+    asked, found, best = retrieve(spark, d, W.requests(spark))
+    place = Window.partitionBy("query_id").orderBy("element_id")
+    right = asked.select("query_id", F.get("components", F.lit(0)).alias("category")).join(W.components(spark, d).select("element_id", "category"), "category").withColumn("k", F.row_number().over(place)).where("k <= 3")
+    right = right.groupBy("query_id").agg(F.collect_list("element_id").alias("expected"))
+    by = found.select(F.col("source").alias("system"), "query_id", "element_id").unionByName(best.select(F.lit("hybrid").alias("system"), "query_id", "element_id"))
+    returned = by.groupBy("system", "query_id").agg(F.collect_list("element_id").alias("returned"))  # ten at most
+    every = right.withColumn("system", F.explode(F.array(*[F.lit(x) for x in (*H.WEIGHTS, "hybrid")])))
+    rows = every.join(returned, ["system", "query_id"], "left").withColumn("returned", F.coalesce("returned", F.array().cast("array<bigint>"))).withColumn("latency", F.lit(0.0))
+    names = {"precision": 1, "recall": 1, "f1": 1, "hallucination": -1}
+    means = X.query_metrics(rows, "system").groupBy("system").agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in names])
+    hybrid_row = means.where("system = 'hybrid'").select(*[F.col(c).alias(f"h_{c}") for c in names])
+    gain = lambda c, sign: F.round(sign * S.improvement_percent(F.col(c), F.col(f"h_{c}")), 4).alias(f"{c}_gain")
+    return means.crossJoin(F.broadcast(hybrid_row)).select("system", "queries", *[F.round(c, 6).alias(c) for c in names], *[gain(c, s) for c, s in names.items()])  # one row
 
 
 _GROUPS = {"components": (20, "{} component"), "attributes": (15, "{} with rounded corners"), "forms": (15, "form with {}"), "navigation": (15, "navigation with {}"), "layout": (10, "layout of {}"), "feedback": (10, "alert near {}"), "data": (10, "table of {}"), "complex": (5, "dashboard with {} and filters")}
@@ -264,6 +341,4 @@ def _(spark, d):
 
 @query("match_reasons", f"with c as ({_CANDIDATES}) select query_id, element_id, source, 'confidence 0.50, similarity ' || format('{{:.2f}}', similarity::double) || ', connections ' || format('{{:.2f}}', graph_degree::double) as reason from c")
 def _(spark, d):
-    from fusegrid.functions import scalar as S
-
     return _candidates(spark).select("query_id", "element_id", "source", S.match_reason(F.lit(0.5), F.col("similarity"), F.col("graph_degree")).alias("reason"))

@@ -42,7 +42,7 @@ def _terms_sql(text: str, lexicon: dict[str, str]) -> str:
 
 
 _STOP = "[" + ", ".join(map(_quoted, L.STOP_WORDS)) + "]"
-_Q = sql("v_query", f""", p as (select query_id, text, {_intent_sql("text", L.INTENTS)} as intent, {_terms_sql("text", L.COMPONENTS)} as components, {_terms_sql("text", L.ATTRIBUTES)} as attributes,
+PROCESSED = sql("v_query", f""", p as (select query_id, text, {_intent_sql("text", L.INTENTS)} as intent, {_terms_sql("text", L.COMPONENTS)} as components, {_terms_sql("text", L.ATTRIBUTES)} as attributes,
   list_transform(regexp_extract_all(text, '\\b[a-zA-Z]{{3,}}\\b'), lambda w: lower(w)) as words from v_query),
   c as (select *, list_filter(words, lambda w: not list_contains({_STOP}, w) and not list_contains(components, w) and not list_contains(attributes, w)) as context from p)""")
 
@@ -55,27 +55,27 @@ def _joined(name):
     return F.array_join(name, ",").alias(name)
 
 
-@query("query_intent", _Q + " select query_id, intent from c")
+@query("query_intent", PROCESSED + " select query_id, intent from c")
 def _(spark, d):
     return _processed(spark).select("query_id", "intent")
 
 
-@query("query_components", _Q + " select query_id, array_to_string(components, ',') as components from c")
+@query("query_components", PROCESSED + " select query_id, array_to_string(components, ',') as components from c")
 def _(spark, d):
     return _processed(spark).select("query_id", _joined("components"))
 
 
-@query("query_attributes", _Q + " select query_id, array_to_string(attributes, ',') as attributes from c")
+@query("query_attributes", PROCESSED + " select query_id, array_to_string(attributes, ',') as attributes from c")
 def _(spark, d):
     return _processed(spark).select("query_id", _joined("attributes"))
 
 
-@query("query_context", _Q + " select query_id, array_to_string(context, ',') as context from c")
+@query("query_context", PROCESSED + " select query_id, array_to_string(context, ',') as context from c")
 def _(spark, d):
     return _processed(spark).select("query_id", _joined("context"))
 
 
-@query("query_terms", _Q + " select query_id, array_to_string(list_concat(list_concat(components, attributes), context), ' OR ') as fulltext from c")
+@query("query_terms", PROCESSED + " select query_id, array_to_string(list_concat(list_concat(components, attributes), context), ' OR ') as fulltext from c")
 def _(spark, d):
     return _processed(spark).select("query_id", U.fulltext_query(F.col("terms")).alias("fulltext"))
 
@@ -91,7 +91,7 @@ def _(spark, d):
     return users.select("conv_id", "turn", F.array_join(S.search_terms(F.col("text"), L.COMPONENTS), ",").alias("components"))
 
 
-_STATEMENTS = sql("v_query", f""", b as (select query_id, case when regexp_matches(text, '(?i)\\b(create|make|build|generate|add)\\b') then 'create' when regexp_matches(text, '(?i)\\b(change|modify|update|edit|fix)\\b') then 'modify' else 'find' end as intent, {_terms_sql("text", L.REASONER_COMPONENTS)} as found, {_terms_sql("text", L.REASONER_ATTRIBUTES)} as attrs from v_query),
+STATEMENTS = sql("v_query", f""", b as (select query_id, case when regexp_matches(text, '(?i)\\b(create|make|build|generate|add)\\b') then 'create' when regexp_matches(text, '(?i)\\b(change|modify|update|edit|fix)\\b') then 'modify' else 'find' end as intent, {_terms_sql("text", L.REASONER_COMPONENTS)} as found, {_terms_sql("text", L.REASONER_ATTRIBUTES)} as attrs from v_query),
   c as (select *, case when len(found) > 0 then found else ['component'] end as cs from b),
   l as (select query_id, list_concat(list_concat(list_concat([['<query --> [' || intent || ']>', '0.9']],
      flatten(list_transform(cs, lambda c: [['<' || c || ' --> component>', '0.9'], ['<query --> ' || c || '>', '0.8']]))),
@@ -100,14 +100,16 @@ _STATEMENTS = sql("v_query", f""", b as (select query_id, case when regexp_match
   s as (select query_id, unnest(range(len(s)))::int as ord, unnest(s) as z from l)""")
 
 
-@query("statements_from_query", _STATEMENTS + " select query_id, ord, z[1] as statement, 1.0::double as frequency, z[2]::double as confidence from s")
+@query("statements_from_query", STATEMENTS + " select query_id, ord, z[1] as statement, 1.0::double as frequency, z[2]::double as confidence from s")
 def _(spark, d):
     return U.statements(W.requests(spark))
 
 
-@query("search_terms_from_statements", _STATEMENTS + """, t as (select query_id, ord, list_concat(list_filter(regexp_extract_all(z[1], '<(\\w+)\\s*-->', 1), lambda x: x <> 'query'), regexp_extract_all(z[1], '\\[(\\w+)\\]', 1)) as f from s),
-  u as (select query_id, ord, unnest(range(len(f))) as k, unnest(f) as term from t), m as (select query_id, term, min(ord * 1000 + k) as first from u group by 1, 2)
-  select query_id, coalesce(string_agg(term, ',' order by first), '') as terms from m group by 1""")
+SEARCH_TERMS = STATEMENTS + """, t as (select query_id, ord, list_concat(list_filter(regexp_extract_all(z[1], '<(\\w+)\\s*-->', 1), lambda x: x <> 'query'), regexp_extract_all(z[1], '\\[(\\w+)\\]', 1)) as f from s),
+  u as (select query_id, ord, unnest(range(len(f))) as k, unnest(f) as term from t), m as (select query_id, term, min(ord * 1000 + k) as first from u group by 1, 2)"""
+
+
+@query("search_terms_from_statements", SEARCH_TERMS + " select query_id, coalesce(string_agg(term, ',' order by first), '') as terms from m group by 1")
 def _(spark, d):
     return U.terms_of_statements(U.statements(W.requests(spark))).select("query_id", F.array_join("terms", ",").alias("terms"))
 
@@ -235,7 +237,7 @@ def _(spark, d):
     return N.prompts(W.requests(spark), spark.createDataFrame(rows, "query_id int, place int, name string, category string"))
 
 
-@query("template_lookup", _Q + ", w as (select query_id, unnest(components) as category, unnest(range(len(components)))::int as ord from c) select query_id, ord, category from w where category in ('button', 'form', 'card', 'navbar')")
+@query("template_lookup", PROCESSED + ", w as (select query_id, unnest(components) as category, unnest(range(len(components)))::int as ord from c) select query_id, ord, category from w where category in ('button', 'form', 'card', 'navbar')")
 def _(spark, d):
     wanted = _processed(spark).select("query_id", F.col("components").alias("categories"))
     return N.templates_for(wanted, N.templates(spark)).select("query_id", "ord", "category")

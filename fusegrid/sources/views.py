@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fusegrid.functions import lexicon as L
+
 SYSTEMS = ["material-ui", "tailwind", "chakra", "bootstrap", "custom"]
 
 #: Natural-language requests: (query_id, text).
@@ -59,6 +61,13 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts as components: category and one attribute by the part's number, name of both words and the category."""
+    at = lambda words, n: F.get(F.array(*map(F.lit, words)), (n % len(words)).cast("int"))
+    category, trait = at(list(L.COMPONENTS), F.col("p_partkey")), at(list(L.ATTRIBUTES), F.col("p_partkey") + F.col("p_size"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("element_id"), F.concat_ws(" ", "p_name", category).alias("name"), category.alias("category"), F.array_append(F.split("p_name", " "), trait).alias("tags"))
+
+
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("snippet_id"), F.col("o_orderpriority").alias("design_system"), F.col("o_orderdate").alias("created_at"))
 
@@ -111,6 +120,12 @@ SQL = {
     "v_element": """select p_partkey as element_id, p_name as name, lower(p_type) as category,
         case cast(regexp_extract(p_brand, '(\\d+)', 1) as int) % 5 when 0 then 'material-ui' when 1 then 'tailwind' when 2 then 'chakra' when 3 then 'bootstrap' else 'custom' end as design_system,
         string_split(p_name, ' ') as tags, ['p-' || p_size] as css_classes, p_retailprice as recency from part""",
+    # the words are written out here, so that a wrong list elsewhere shows
+    "v_component": """select p_partkey as element_id, p_name || ' ' || category as name, category, list_append(string_split(p_name, ' '), trait) as tags from (select *,
+        ['button', 'form', 'card', 'navbar', 'modal', 'table', 'list', 'input', 'dropdown', 'checkbox', 'radio', 'slider', 'tabs', 'accordion', 'carousel', 'header', 'footer', 'sidebar', 'menu', 'breadcrumb',
+         'pagination', 'tooltip', 'toast', 'avatar', 'badge', 'alert', 'progress'][1 + p_partkey % 27] as category,
+        ['responsive', 'dark', 'light', 'animated', 'accessible', 'primary', 'secondary', 'large', 'small', 'medium', 'centered', 'rounded', 'outlined', 'filled', 'disabled', 'loading', 'icon', 'gradient', 'shadow',
+         'hover', 'sticky', 'fixed', 'fullwidth', 'transparent'][1 + (p_partkey + p_size) % 24] as trait from part)""",
     "v_snippet": "select o_orderkey as snippet_id, o_orderpriority as design_system, o_orderdate as created_at from orders",
     "v_has_element": "select distinct l_orderkey as snippet_id, l_partkey as element_id from lineitem",
     "v_point": "select vec_id as id, embedding::double[] as vector, label as category, label % 5 as collection, 0.5::double as confidence from embeddings",
