@@ -124,7 +124,7 @@ def collection_of(system: Column) -> Column:
 
 
 def percent_truth(frequency: Column, confidence: Column) -> Column:
-    return F.format_string("%%%.2f;%.2f%%", frequency, confidence)
+    return F.format_string("%%%.2f;%.2f%%", F.bround(frequency, 2), F.bround(confidence, 2))  # halves go to even
 
 
 def bar_truth(statement: Column, frequency: Column, confidence: Column) -> Column:
@@ -132,7 +132,7 @@ def bar_truth(statement: Column, frequency: Column, confidence: Column) -> Colum
 
 
 def match_reason(confidence: Column, similarity: Column, degree: Column) -> Column:
-    return F.format_string("confidence %.2f, similarity %.2f, connections %.2f", confidence, similarity, degree)
+    return F.format_string("confidence %.2f, similarity %.2f, connections %.2f", *[F.bround(x, 2) for x in (confidence, similarity, degree)])
 
 
 def uuid_or_nil(text: Column) -> Column:

@@ -77,3 +77,8 @@ def dedup(ranked: DataFrame, id_col: str = "element_id", group: str = "query_id"
 def top(ranked: DataFrame, k: int = 10, group: str = "query_id", id_col: str = "element_id") -> DataFrame:
     best = Window.partitionBy(group).orderBy(F.desc("final_score"), id_col)
     return ranked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+
+def include(rows: DataFrame, switches: dict[str, str]) -> DataFrame:
+    """The rows with each column of ``switches`` only where its boolean column is true, else null."""
+    return rows.withColumns({c: F.when(F.col(flag), F.col(c)) for c, flag in switches.items()})

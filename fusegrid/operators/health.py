@@ -107,3 +107,14 @@ def rate_limit(events: DataFrame, seconds: int = 60, most: int = 100) -> DataFra
     """(start, requests, limited) of tumbling windows."""
     windows = events.groupBy(F.window("ts", f"{seconds} seconds").alias("w")).agg(F.count("*").alias("requests"))
     return windows.select(F.col("w.start").alias("start"), "requests", (F.col("requests") > most).alias("limited"))
+
+
+def cache_put(entries: DataFrame, new: DataFrame, ttl_s: int, capacity: int) -> DataFrame:
+    """entries(key, stored_at) after ``new``, one row of the same columns, is stored.
+
+    Only a cache that is full gives up entries, and only expired ones, so that it may hold more than its capacity; a row of the same key is replaced.
+    """
+    held = entries.agg(F.count("*").alias("_held")).crossJoin(new.select(F.col("stored_at").alias("_now"), F.col("key").alias("_new")))  # one row
+    age = F.expr("timestampdiff(MICROSECOND, stored_at, _now)")
+    kept = entries.crossJoin(F.broadcast(held)).where((F.col("_held") < capacity) | (age <= ttl_s * 1_000_000)).where("key <> _new")
+    return kept.select("key", "stored_at").unionByName(new.select("key", "stored_at"))

@@ -101,3 +101,8 @@ def lsh_candidates(points: DataFrame, queries: DataFrame, distance: float = 1.2,
 
 def collection_info(points: DataFrame) -> DataFrame:
     return points.groupBy("collection").agg(F.count("*").alias("points"))
+
+
+def delete_points(points: DataFrame, gone: DataFrame) -> tuple[DataFrame, int]:
+    """Points without the ids of ``gone``, and how many ids were asked for (not how many were found)."""
+    return points.join(gone.select("id").distinct(), "id", "left_anti"), gone.count()

@@ -276,3 +276,24 @@ def _(spark, d):
     rows = spark.createDataFrame([("hits",), ("misses",), ("other",)], "name string")
     value = lambda k: S.info_value(text, k).cast("long")
     return rows.select("name", F.when(F.col("name") == "hits", value("hits")).when(F.col("name") == "misses", value("misses")).otherwise(value("other")).alias("value"))
+
+
+@query("cache_eviction", "with e as (select event_id as key, ts as stored_at from events), n as (select 7::bigint as key, timestamp '2024-01-30 00:00:00' as stored_at), h as (select count(*) as held from e)"
+  " select c.capacity, count(*) filter (e.key <> 7 and (h.held < c.capacity or epoch_us(n.stored_at) - epoch_us(e.stored_at) <= 864000000000)) + 1 as entries from e, n, h, (values (100), (1000000000)) c(capacity) group by 1")
+def _(spark, d):
+    """A full and a roomy cache after one entry more."""
+    entries = W.table(spark, d, "events").select(F.col("event_id").alias("key"), F.col("ts").alias("stored_at"))
+    new = spark.range(1).select(F.lit(7).cast("bigint").alias("key"), F.lit("2024-01-30 00:00:00").cast("timestamp_ntz").alias("stored_at"))
+    after = [C.cache_put(entries, new, 864_000, n).agg(F.lit(n).alias("capacity"), F.count("*").alias("entries")) for n in (100, 1_000_000_000)]
+    return after[0].unionByName(after[1])
+
+
+@query("truth_values", sql("v_feedback", """, s as (select element_id, count(*) filter (feedback_type = 'thumbs_up') / count(*) as f, count(*) / (count(*) + 1.0::double) as c from v_feedback group by 1)
+  select element_id, case when f >= 0.7 then 'green' when f >= 0.4 then 'yellow' else 'red' end as frequency_color, case when c >= 0.7 then 'green' when c >= 0.4 then 'yellow' else 'red' end as confidence_color,
+  round(c * (f - 0.5) + 0.5, 6)::double as expectation, format('%{:.2f};{:.2f}%', f, c) as percent from s"""))
+def _(spark, d):
+    """Feedback as evidence: frequency of approval, confidence n / (n + 1), their colours and text."""
+    n = F.col("ups") + F.col("downs")
+    f, c = S.ratio(F.col("ups"), n), S.ratio(n, n + 1)
+    e = F.round(S.truth_expectation(f, c), 6).alias("expectation")
+    return B.summary(W.feedback(spark, d)).select("element_id", S.truth_color(f).alias("frequency_color"), S.truth_color(c).alias("confidence_color"), e, S.percent_truth(f, c).alias("percent"))

@@ -252,7 +252,8 @@ def retrieve(spark, d, requests, k: int = 10, most: int = 10):
     wanted = asked.select("query_id", F.col("components").alias("categories"), "attributes")
     found = H.scored_candidates(near, elements, "vector", most).unionByName(H.scored_candidates(full.withColumn("score", F.round("score", 6)), elements, "fulltext", most))
     found = found.unionByName(H.graph_candidates(wanted, elements, degrees, most))
-    scored = H.rank(R.confidence_of(H.weigh(found), told)).withColumn("final_score", F.round("final_score", 6))
+    # products of six digits and two weights: eight digits are all of them, so that nothing is rounded at a half
+    scored = H.rank(R.confidence_of(H.weigh(found), told)).withColumn("final_score", F.round("final_score", 8))
     return asked, found, H.top(H.dedup(scored), k)
 
 
@@ -277,15 +278,15 @@ _RETRIEVE = f""", q as (select query_id, components as categories, attributes, l
    union all select query_id, element_id, name, category, n * 0.3, 0.0::double, 'fulltext', 1 from f
    union all select query_id, element_id, name, category, 0.8 * 0.3, least(degree / 50.0::double, 1.0::double), 'graph', 2 from g),
  n as (select c.*, coalesce((select max(confidence) from told where told.query_id = c.query_id and (contains(statement, c.category) or contains(statement, c.name))), 0.5)::double as narsese_confidence from c),
- r as (select *, round(0.5 * narsese_confidence + 0.3 * similarity + 0.2 * graph_degree, 6)::double as final_score from n),
+ r as (select *, round(0.5 * narsese_confidence + 0.3 * similarity + 0.2 * graph_degree, 8)::double as final_score from n),
  u as (select *, row_number() over (partition by query_id order by final_score desc, element_id) as place from (select *, row_number() over (partition by query_id, element_id order by final_score desc, o) as k from r) where k = 1)"""
 
 
-@query("request_hybrid", sql("v_point v_component v_has_element", _RETRIEVE + " select query_id, place::int as place, element_id, name, category, source, round(similarity, 6)::double as similarity, round(graph_degree, 6)::double as graph_degree, narsese_confidence, final_score from u where place <= 10"))
+@query("request_hybrid", sql("v_point v_component v_has_element", _RETRIEVE + " select query_id, place::int as place, element_id, name, category, source, round(similarity, 8)::double as similarity, round(graph_degree, 6)::double as graph_degree, narsese_confidence, final_score from u where place <= 10"))
 def _(spark, d):
     """Natural-language requests to ranked elements."""
     best = retrieve(spark, d, W.requests(spark))[2]
-    return best.select("query_id", "place", "element_id", "name", "category", "source", F.round("similarity", 6).alias("similarity"), F.round("graph_degree", 6).alias("graph_degree"), "narsese_confidence", "final_score")
+    return best.select("query_id", "place", "element_id", "name", "category", "source", F.round("similarity", 8).alias("similarity"), F.round("graph_degree", 6).alias("graph_degree"), "narsese_confidence", "final_score")
 
 
 _SYSTEMS_SQL = """, x as (select query_id, element_id from (select q.query_id, e.element_id, row_number() over (partition by q.query_id order by e.element_id) as k from q join v_component e on e.category = q.categories[1]) where k <= 3),
@@ -342,3 +343,17 @@ def _(spark, d):
 @query("match_reasons", f"with c as ({_CANDIDATES}) select query_id, element_id, source, 'confidence 0.50, similarity ' || format('{{:.2f}}', similarity::double) || ', connections ' || format('{{:.2f}}', graph_degree::double) as reason from c")
 def _(spark, d):
     return _candidates(spark).select("query_id", "element_id", "source", S.match_reason(F.lit(0.5), F.col("similarity"), F.col("graph_degree")).alias("reason"))
+
+
+@query("delete_points_batch", sql("v_point", "select (select count(*) from v_point where id % 7 = 3) + 2 as requested, count(*) as points, round(sum(p.vector[1]), 6)::double as first_sum from v_point p where id % 7 <> 3"))
+def _(spark, d):
+    """Ids of a seventh of the points and two unknown ones are asked for."""
+    points = W.points(spark, d)
+    left, requested = K.delete_points(points, points.where("id % 7 = 3").select("id").unionByName(spark.range(-2, 0)))
+    return left.agg(F.lit(requested).cast("long").alias("requested"), F.count("*").alias("points"), F.round(F.sum(F.get("vector", F.lit(0))), 6).alias("first_sum"))
+
+
+@query("include_switches", sql("v_element", "select element_id, case when element_id % 2 = 0 then css_classes[1] end as css, case when element_id % 3 = 0 then name end as js from v_element"))
+def _(spark, d):
+    rows = W.elements(spark, d).select("element_id", F.get("css_classes", F.lit(0)).alias("css"), F.col("name").alias("js"), (F.col("element_id") % 2 == 0).alias("with_css"), (F.col("element_id") % 3 == 0).alias("with_js"))
+    return H.include(rows, {"css": "with_css", "js": "with_js"}).drop("with_css", "with_js")

@@ -120,3 +120,33 @@ def test_terms(spark):
     assert one(spark, a=S.dominant({"x": F.lit(0.2), "y": F.lit(0.2), "z": F.lit(0.1)})) == "y"
     names = ["mui", "TailwindCSS", "", "foundation"]
     assert [one(spark, x=S.collection_of(F.lit(n))) for n in names] == ["material-ui", "tailwind", "custom", None]
+
+
+def test_hash_embedding_equals_plain_python(spark):
+    import hashlib
+
+    text, size = "a blue card", 100
+    h = hashlib.md5(text.encode()).hexdigest()
+    raw = [(int(hashlib.md5(f"{h}:{i // 64}".encode()).hexdigest()[:15], 16) + i % 64) % 10000 / 5000 - 1 for i in range(size)]
+    length = sum(x * x for x in raw) ** 0.5
+    assert one(spark, v=V.hash_embedding(F.lit(text), size)) == pytest.approx([x / length for x in raw])
+
+
+def test_cache_gives_up_expired_entries_only_when_full(spark):
+    from fusegrid.operators import health as C
+
+    at = lambda second: f"timestamp_ntz'2024-01-01 00:00:{second:02d}'"
+    held = spark.sql(f"select * from values (1L, {at(0)}), (2L, {at(50)}), (3L, {at(55)}) t(key, stored_at)")
+    put = lambda key, capacity: sorted(r["key"] for r in C.cache_put(held, spark.sql(f"select {key}L as key, {at(59)} as stored_at"), 10, capacity).collect())
+    assert put(4, 4) == [1, 2, 3, 4]
+    assert put(4, 3) == [2, 3, 4]
+    assert put(4, 1) == [2, 3, 4]  # more than its capacity
+    assert put(2, 3) == [2, 3]
+    assert sorted(r["key"] for r in C.cache_put(held.where("false"), held.where("key = 1"), 10, 0).collect()) == [1]
+
+
+def test_delete_points_counts_what_was_asked(spark):
+    from fusegrid.operators import vector_search as K
+
+    left, asked = K.delete_points(spark.range(5), spark.createDataFrame([(1,), (1,), (9,)], "id long"))
+    assert (sorted(r["id"] for r in left.collect()), asked) == ([0, 2, 3, 4], 3)
