@@ -299,7 +299,7 @@ _SYSTEMS_SQL = """, x as (select query_id, element_id from (select q.query_id, e
 _GAIN = "round(case when k.{0} <> 0 then {1}(h.{0} - k.{0}) / k.{0} * 100 else 0 end, 4)::double as {0}_gain"
 
 
-@query("system_comparison", sql("v_point v_component v_has_element", _RETRIEVE + _SYSTEMS_SQL + " select k.system, k.queries, " + ", ".join(f"round(k.{c}, 6)::double as {c}" for c in ("precision", "recall", "f1", "hallucination")) + ", " + ", ".join(_GAIN.format(c, "-" if c == "hallucination" else "") for c in ("precision", "recall", "f1", "hallucination")) + " from k, (select * from k where system = 'hybrid') h"))
+@query("system_comparison", sql("v_point v_component v_has_element", _RETRIEVE + _SYSTEMS_SQL + " select k.system, k.queries, " + ", ".join(f"round(k.{c}, 9)::double as {c}" for c in ("precision", "recall", "f1", "hallucination")) + ", " + ", ".join(_GAIN.format(c, "-" if c == "hallucination" else "") for c in ("precision", "recall", "f1", "hallucination")) + " from k, (select * from k where system = 'hybrid') h"))
 def _(spark, d):
     """Each branch alone and the hybrid over the same requests, against three expected elements of the first component; gains are the hybrid's over each."""
     asked, found, best = retrieve(spark, d, W.requests(spark))
@@ -314,7 +314,7 @@ def _(spark, d):
     means = X.query_metrics(rows, "system").groupBy("system").agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in names])
     hybrid_row = means.where("system = 'hybrid'").select(*[F.col(c).alias(f"h_{c}") for c in names])
     gain = lambda c, sign: F.round(sign * S.improvement_percent(F.col(c), F.col(f"h_{c}")), 4).alias(f"{c}_gain")
-    return means.crossJoin(F.broadcast(hybrid_row)).select("system", "queries", *[F.round(c, 6).alias(c) for c in names], *[gain(c, s) for c, s in names.items()])  # one row
+    return means.crossJoin(F.broadcast(hybrid_row)).select("system", "queries", *[F.round(c, 9).alias(c) for c in names], *[gain(c, s) for c, s in names.items()])  # one row
 
 
 _GROUPS = {"components": (20, "{} component"), "attributes": (15, "{} with rounded corners"), "forms": (15, "form with {}"), "navigation": (15, "navigation with {}"), "layout": (10, "layout of {}"), "feedback": (10, "alert near {}"), "data": (10, "table of {}"), "complex": (5, "dashboard with {} and filters")}
