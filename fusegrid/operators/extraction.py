@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fusegrid.functions import lexicon as L
 from fusegrid.functions import scalar as S
+from fusegrid.functions import vectors as V
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -92,7 +93,10 @@ def design_tokens(rules: DataFrame) -> DataFrame:
     return rules.where(F.col("name").startswith("--")).withColumn("token_category", S.token_category(F.col("name"), F.col("value")))
 
 
-# Approximations of a script's structure by patterns; strings and comments are not told apart from code.
+# Structure of a script by patterns, on its text without comments and with strings emptied; regular expression literals are not told apart.
+_STRING = r"""(?:"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`)"""
+_COMMENT = r"(?://[^\n]*|/\*[\s\S]*?\*/)"
+_NAME_STRING = r"""(?:"[\w./@:-]*+"|'[\w./@:-]*+')"""
 _FUNCTION = r"(async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*\(([^)]*)\)"
 _ARROW = r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(async\s+)?(?:\(([^)]*)\)|([A-Za-z_$][\w$]*))\s*=>"
 _VARIABLE = r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?:=|;)"
@@ -100,21 +104,28 @@ _IMPORT = r"import\s+(?:([A-Za-z_$][\w$]*)\s*,?\s*)?(?:\{([^}]*)\}\s*)?(?:from\s
 _LISTEN = r"addEventListener\(\s*['\"](\w+)['\"]"
 
 
+def js_code(js: Column, names: bool = False) -> Column:
+    """A script without comments and strings; with ``names``, strings of one plain name, as of modules and events, stay."""
+    plain = F.regexp_replace(js, f"({_STRING})|{_COMMENT}", "$1 ")
+    return F.regexp_replace(plain, f"({_NAME_STRING})|{_STRING}", "$1") if names else F.regexp_replace(plain, _STRING, "")
+
+
 def js_structure(scripts: DataFrame, id_col: str, js_col: str) -> DataFrame:
     """(id, functions, async_functions, arrows, variables, imports, default_imports, listeners, handlers, dom_calls), arrays in order."""
-    all_of = lambda p, g: F.regexp_extract_all(js_col, F.lit(p), g)
-    full = lambda a: F.filter(a, lambda x: x != "")
-    handlers = F.filter(F.array(*[F.when(F.col(js_col).rlike(rf"\.{h}\s*=[^=]"), F.lit(h[2:])) for h in L.HANDLERS]), lambda x: x.isNotNull())
-    calls = F.filter(F.array(*[F.when(F.col(js_col).contains(c), F.lit(c)) for c in L.DOM_CALLS]), lambda x: x.isNotNull())
+    scripts = scripts.select(id_col, js_code(F.col(js_col)).alias("_code"), js_code(F.col(js_col), True).alias("_named"))
+    all_of = lambda p, g: F.regexp_extract_all("_code", F.lit(p), g)
+    named = lambda p, g: F.regexp_extract_all("_named", F.lit(p), g)
+    handlers = F.filter(F.array(*[F.when(F.col("_code").rlike(rf"\.{h}\s*=[^=]"), F.lit(h[2:])) for h in L.HANDLERS]), lambda x: x.isNotNull())
+    calls = F.filter(F.array(*[F.when(F.col("_code").contains(c), F.lit(c)) for c in L.DOM_CALLS]), lambda x: x.isNotNull())
     return scripts.select(
         id_col,
         all_of(_FUNCTION, 2).alias("functions"),
-        F.regexp_extract_all(js_col, F.lit(r"async\s+function\s*\*?\s*([A-Za-z_$][\w$]*)"), 1).alias("async_functions"),
+        F.regexp_extract_all("_code", F.lit(r"async\s+function\s*\*?\s*([A-Za-z_$][\w$]*)"), 1).alias("async_functions"),
         all_of(_ARROW, 1).alias("arrows"),
         F.filter(all_of(_VARIABLE, 1), lambda v: ~F.array_contains(all_of(_ARROW, 1), v)).alias("variables"),
-        all_of(_IMPORT, 3).alias("imports"),
-        full(all_of(_IMPORT, 1)).alias("default_imports"),
-        all_of(_LISTEN, 1).alias("listeners"),
+        named(_IMPORT, 3).alias("imports"),
+        F.filter(named(_IMPORT, 1), lambda x: x != "").alias("default_imports"),
+        named(_LISTEN, 1).alias("listeners"),
         handlers.alias("handlers"),
         calls.alias("dom_calls"),
     )
@@ -195,9 +206,41 @@ def embedding_text(elements: DataFrame, key: str = "page_id") -> DataFrame:
     return out.select(key, F.array_join(F.concat(F.array(F.concat(F.lit("design system: "), "s"), F.concat(F.lit("categories: "), F.array_join("c", ", "))), "d"), " | ").alias("text"))
 
 
+def _inside(html_col: str, tag: str, between: str) -> Column:
+    return F.array_join(F.regexp_extract_all(html_col, F.lit(rf"(?s)<{tag}[^>]*>(.*?)</{tag}>"), 1), between)
+
+
+def page_systems(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(page_id, design_system, system_confidence, interactive) of each page."""
+    systems = detect_system(pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("_h"), _inside(html_col, "script", " ").alias("_j")), "_h", "_j")
+    active = F.coalesce(*[F.when(F.col("_j").contains(c), F.lit(True)) for c in [*L.DOM_CALLS, "addEventListener"]], F.lit(False))
+    return systems.select("page_id", "design_system", "system_confidence", active.alias("interactive"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Root elements of pages with category, type, design system and interactivity, in one plan without a shuffle of the pages."""
-    script = F.array_join(F.regexp_extract_all(html_col, F.lit(r"(?s)<script[^>]*>(.*?)</script>"), 1), " ")
-    systems = detect_system(pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("_h"), script.alias("_j")), "_h", "_j")
-    active = F.coalesce(*[F.when(F.col("_j").contains(c), F.lit(True)) for c in [*L.DOM_CALLS, "addEventListener"]], F.lit(False))
-    return map_elements(html_nodes(pages, id_col, html_col), systems.select("page_id", "design_system", "system_confidence", active.alias("interactive")))
+    return map_elements(html_nodes(pages, id_col, html_col), page_systems(pages, id_col, html_col))
+
+
+def extract_full(pages: DataFrame, dimensions: int = 1536, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """One row a page, of all five phases: structure, design system, mapping with tokens, statements and the embedding of the mapping's text.
+
+    (page_id, design_system, system_confidence, interactive, elements, rules, tokens, statements, text, embedding): counts of the root elements,
+    declarations and statements; tokens are the sorted, distinct ``category name value`` of the page's style sheets. A page without
+    elements has an empty text and no embedding. Pages of one id count as one.
+    """
+    systems = page_systems(pages, id_col, html_col)
+    elements = map_elements(html_nodes(pages, id_col, html_col), systems)
+    sheets = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(_inside(html_col, "style", "\n"), F.lit("")).alias("_css"))
+    rules = css_rules(sheets, "page_id", "_css")
+    tokens = design_tokens(rules)
+    style = rules.groupBy("page_id").agg(F.count("*").alias("rules"))
+    named = tokens.groupBy("page_id").agg(F.array_sort(F.collect_set(F.concat_ws(" ", "token_category", "name", "value"))).alias("tokens"))
+    counts = elements.groupBy("page_id").agg(F.count("*").alias("elements"))
+    said = statements(elements, tokens=tokens).groupBy("page_id").agg(F.count("*").alias("statements"))
+    out = systems.groupBy("page_id").agg(F.min(F.struct("design_system", "system_confidence", "interactive")).alias("_s")).select("page_id", "_s.*")
+    for part in (counts, style, named, said, embedding_text(elements)):
+        out = out.join(part, "page_id", "left")
+    none = {c: F.coalesce(c, F.lit(0)) for c in ("elements", "rules", "statements")}
+    out = out.withColumns({**none, "tokens": F.coalesce("tokens", F.array().cast("array<string>")), "text": F.coalesce("text", F.lit(""))})
+    return out.withColumn("embedding", F.when(F.col("text") != "", V.hash_embedding(F.col("text"), dimensions)))

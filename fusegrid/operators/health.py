@@ -13,12 +13,33 @@ OPEN_AFTER, HALF_OPEN_S = 5, 30
 DEGRADED_AFTER, OFFLINE_AFTER = 3, 5
 
 
+def _sliced(outcomes: DataFrame) -> DataFrame:
+    """With ``_t``, the hour: what is known at its start is carried from hour to hour, so that no task holds a service's history."""
+    return outcomes.withColumn("_t", F.date_trunc("hour", "ts"))
+
+
+def _with_carry(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    own = carry.withColumnsRenamed({"service": "_s", "_t": "_h"})
+    return rows.join(own, F.col("service").eqNullSafe(F.col("_s")) & F.col("_t").eqNullSafe(F.col("_h"))).drop("_s", "_h", "_t")
+
+
+def _hours():
+    return Window.partitionBy("service").orderBy("_t")
+
+
 def failure_runs(outcomes: DataFrame) -> DataFrame:
-    """With ``failures``: consecutive ones up to and with this event (gaps and islands)."""
-    by = Window.partitionBy("service").orderBy("ts", "event_id")
-    island = outcomes.withColumn("_i", F.sum(F.col("ok").cast("int")).over(by))
-    within = Window.partitionBy("service", "_i").orderBy("ts", "event_id")
-    return island.withColumn("failures", F.sum((~F.col("ok")).cast("int")).over(within)).drop("_i")
+    """With ``failures``: consecutive ones up to and with this event (gaps and islands).
+
+    Runs are counted within an hour; those before its first success go on from the failures at the end of the hours before.
+    """
+    by = Window.partitionBy("service", "_t").orderBy("ts", "event_id")
+    island = _sliced(outcomes).withColumn("_i", F.sum(F.col("ok").cast("int")).over(by))
+    within = Window.partitionBy("service", "_t", "_i").orderBy("ts", "event_id")
+    runs = island.withColumn("failures", F.sum((~F.col("ok")).cast("int")).over(within))
+    ends = runs.groupBy("service", "_t").agg(F.max("ok").cast("int").alias("_any"), F.max(F.struct("ts", "event_id", "failures"))["failures"].alias("_end"))
+    ends = ends.withColumn("_k", F.sum("_any").over(_hours())).withColumn("_sum", F.sum("_end").over(Window.partitionBy("service", "_k").orderBy("_t")))
+    carry = ends.select("service", "_t", F.coalesce(F.lag("_sum").over(_hours()), F.lit(0)).alias("_carry"))
+    return _with_carry(runs, carry).withColumn("failures", F.col("failures") + F.when(F.col("_i") == 0, F.col("_carry")).otherwise(0)).drop("_i", "_carry")
 
 
 def service_status(outcomes: DataFrame) -> DataFrame:
@@ -97,10 +118,20 @@ def retry_stats(operations: DataFrame) -> DataFrame:
 
 
 def moving_average(outcomes: DataFrame, rows: int = 1000) -> DataFrame:
-    """With sum and mean of a service's last ``rows`` latencies and the count of all so far."""
-    by = Window.partitionBy("service").orderBy("ts", "event_id")
-    last = by.rowsBetween(1 - rows, 0)
-    return outcomes.withColumn("total", F.sum("latency").over(last)).withColumn("moving", F.avg("latency").over(last)).withColumn("seen", F.row_number().over(by))
+    """With sum and mean of a service's last ``rows`` latencies and the count of all so far.
+
+    Places come from those within an hour and the counts of the hours before. Frames are within blocks of 16 ``rows`` places, and
+    the last ``rows`` - 1 of a block are given to the next one too.
+    """
+    sliced = _sliced(outcomes)
+    before = sliced.groupBy("service", "_t").agg(F.count("*").alias("_c")).select("service", "_t", (F.sum("_c").over(_hours()) - F.col("_c")).alias("_before"))
+    placed = sliced.withColumn("_n", F.row_number().over(Window.partitionBy("service", "_t").orderBy("ts", "event_id")))
+    placed = _with_carry(placed, before).withColumn("seen", F.col("_n") + F.col("_before")).drop("_n", "_before")
+    size, at = 16 * rows, F.col("seen") - 1
+    own = F.floor(at / size)
+    dealt = placed.withColumn("_own", own).withColumn("_b", F.explode(F.when(at % size > size - rows, F.array(own, own + 1)).otherwise(F.array(own))))
+    last = Window.partitionBy("service", "_b").orderBy("seen").rowsBetween(1 - rows, 0)
+    return dealt.withColumn("total", F.sum("latency").over(last)).withColumn("moving", F.avg("latency").over(last)).where("_b = _own").drop("_own", "_b")
 
 
 def rate_limit(events: DataFrame, seconds: int = 60, most: int = 100) -> DataFrame:

@@ -42,10 +42,11 @@ def _(spark, d):
     return K.top_k(W.points(spark, d), _vector_of(spark, d, 0), 10).select("id", "category", "score")
 
 
-@query("knn_filtered", sql("v_point", f"select p.id, p.category, {_COS} as score from v_point p, (select vector from v_point where id = 3) q where p.category = 2 and p.confidence >= 0.4 order by score desc, p.id limit 10"))
+@query("knn_filtered", sql("v_point", f"select p.id, p.category, {_COS} as score from v_point p, (select vector from v_point where id = 3) q where p.category = 2 and p.id % 10 / 10.0::double >= 0.4 order by score desc, p.id limit 10"))
 def _(spark, d):
     where = K.search_filter(category=2, min_confidence=0.4)
-    return K.top_k(W.points(spark, d), _vector_of(spark, d, 3), 10, where=where).select("id", "category", "score")
+    sure = W.points(spark, d).withColumn("confidence", F.col("id") % 10 / F.lit(10.0))
+    return K.top_k(sure, _vector_of(spark, d, 3), 10, where=where).select("id", "category", "score")
 
 
 @query("knn_per_collection_merge", sql("v_point", f"select id, collection, score from (select p.id, p.collection, {_COS} as score, row_number() over (partition by p.collection order by {_COS} desc, p.id) as place from v_point p, (select vector from v_point where id = 5) q) where place <= 10 order by score desc, id limit 10"))
@@ -187,10 +188,13 @@ def _evaluated(spark, d):
     """Neighbours of every tenth point against the points of its label; latency from the event of the point's number."""
     p = W.points(spark, d)
     asked = p.where("id % 10 = 0")
-    found = K.knn_join(p, asked, 10).groupBy("query_id").agg(F.collect_list("id").alias("returned"))
-    same = asked.select(F.col("id").alias("query_id"), "category").join(p.select("id", "category"), "category").where("id <> query_id").groupBy("query_id").agg(F.collect_list("id").alias("expected"))
+    labels = p.groupBy("category").agg(F.count("*").alias("members"))
+    wanted = asked.select(F.col("id").alias("query_id"), F.col("category").alias("wanted"))
+    near = K.knn_join(p, asked, 10).select("query_id", "id").join(p.select("id", "category"), "id").join(wanted, "query_id")
+    counts = near.groupBy("query_id", "wanted").agg(F.count("*").alias("returned"), F.count_if(F.col("category") == F.col("wanted")).alias("hits"))
+    counts = counts.join(labels, F.col("wanted") == F.col("category")).withColumn("expected", F.col("members") - 1)
     latency = W.table(spark, d, "events").select(F.col("event_id").alias("query_id"), F.col("value").alias("latency"))
-    return X.query_metrics(found.join(same, "query_id").join(latency, "query_id"))
+    return X.counted_metrics(counts.where("expected > 0").join(latency, "query_id"))
 
 
 _EVAL = """, r as (select src, dst from (select a.id as src, b.id as dst, row_number() over (partition by a.id order by round(list_cosine_similarity(a.vector, b.vector), 6) desc, b.id) as k from v_point a join v_point b on a.id <> b.id where a.id % 10 = 0) where k <= 10),
@@ -234,6 +238,12 @@ def _(spark, d):
     return X.report_lines(X.aggregate(_evaluated(spark, d)), "Retrieval evaluation")
 
 
+@query("evaluation_report_formats")
+def _(spark, d):
+    summary, title = X.aggregate(_evaluated(spark, d)), "Retrieval evaluation"
+    return X.report_json(summary, title).select(F.lit("json").alias("format"), "value").union(X.report_html(summary, title).select(F.lit("html"), "value"))
+
+
 def retrieve(spark, d, requests, k: int = 10, most: int = 10):
     """(asked, found): requests(query_id, text) through understanding and statements, and the candidates of all three branches.
 

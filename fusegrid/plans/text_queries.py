@@ -305,10 +305,10 @@ def _(spark, d):
     return E.css_rules(sheets, "page_id", "css").select("page_id", "selector", "name", "value")
 
 
-_JS = "import React, { useState } from 'react';\nimport './a.css';\nasync function load(x, y) { return x; }\nfunction show() {}\nconst add = (a, b) => a + b;\nconst n = 3;\ndocument.querySelector('#a').addEventListener('click', show);\nel.onchange = add;"
+_JS = "import React, { useState } from 'react';\nimport './a.css';\nasync function load(x, y) { return x; }\nfunction show() {}\nconst add = (a, b) => a + b;\nconst n = 3;\ndocument.querySelector('#a').addEventListener('click', show);\nel.onchange = add;\n// function gone() {}\n/* import x from 'y'; const z = 1; */\nlet s = \"var t = 1; it's function f() {} // x\", u = 'el.onclick = a';"
 
 
-@query("js_structure", "select 1 as script_id, 'load,show' as functions, 'load' as async_functions, 'add' as arrows, 'n' as variables, 'react,./a.css' as imports, 'React' as default_imports, 'click' as listeners, 'change' as handlers, 'querySelector' as dom_calls")
+@query("js_structure", "select 1 as script_id, 'load,show' as functions, 'load' as async_functions, 'add' as arrows, 'n,s' as variables, 'react,./a.css' as imports, 'React' as default_imports, 'click' as listeners, 'change' as handlers, 'querySelector' as dom_calls")
 def _(spark, d):
     out = E.js_structure(spark.createDataFrame([(1, _JS)], "script_id int, js string"), "script_id", "js")
     return out.select("script_id", *[_joined(c) for c in out.columns if c != "script_id"])
@@ -373,6 +373,12 @@ def _(spark, d):
     return E.statements(_mapped(spark), tokens=E.design_tokens(E.css_rules(_sheet(spark), "sheet_id", "css")).withColumn("page_id", F.lit(1))).select("kind", "statement")
 
 
+@query("page_extraction")
+def _(spark, d):
+    out = E.extract_full(W.table(spark, d, "pages"))
+    return out.select("page_id", "design_system", "interactive", "elements", "rules", "statements", _joined("tokens"), "text", F.size("embedding").alias("dimensions"))
+
+
 @query("page_statements")
 def _(spark, d):
     return E.statements(E.extract(W.table(spark, d, "pages"))).select("page_id", "kind", "statement")

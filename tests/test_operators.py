@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fusegrid.operators import evaluation as X
 from fusegrid.operators import extraction as E
 from fusegrid.operators import fulltext as T
 from fusegrid.operators import generation as N
@@ -159,3 +160,64 @@ def test_knn_join_keeps_vectors_off_the_driver(spark, monkeypatch):
         want = [(i, n, j, score[i, j]) for i in range(0, 40, 2) for n, j in enumerate(sorted((j for j in range(40) if j != i), key=lambda j: (-score[i, j], j))[:3], 1)]
         assert got == want
     assert K.knn_join(points.where("false"), points, 3).count() == 0 and K.knn_join(points, points.where("false"), 3).count() == 0
+
+
+def test_script_without_strings_and_comments(spark):
+    js = """import a from './m'; // import b from './n'
+/* function gone() {} */ function kept() { return "function no() {} // not a comment"; }
+const q = 'it\\'s const z = 1;', r = `import c from "d" ${x}`;
+el.addEventListener('click', kept); log("addEventListener('load')")"""
+    r = E.js_structure(spark.createDataFrame([(1, js), (2, None)], "i int, js string"), "i", "js").orderBy("i").collect()
+    assert (r[0]["functions"], r[0]["variables"], r[0]["imports"], r[0]["listeners"]) == (["kept"], ["q"], ["./m"], ["click"])
+    assert r[1]["functions"] is None
+
+
+def test_extract_full(spark):
+    html = '<style>:root{--color-primary:#fff}.a{margin:0}</style><button class="btn btn-primary">Go</button><script>document.querySelector("a")</script>'
+    pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (3, "")], "page_id long, html string")
+    r = {x["page_id"]: x for x in E.extract_full(pages, 16).collect()}
+    assert sorted(r) == [1, 2, 3]
+    assert (r[1]["design_system"], r[1]["interactive"], r[1]["elements"], r[1]["rules"], r[1]["tokens"]) == ("bootstrap", True, 3, 2, ["Color --color-primary #fff"])
+    assert r[1]["statements"] == E.statements(E.extract(pages)).where("page_id = 1").count() + 1
+    assert len(r[1]["embedding"]) == 16 and sum(x * x for x in r[1]["embedding"]) == pytest.approx(1.0) and "bootstrap-button" in r[1]["text"]
+    assert (r[2]["elements"], r[2]["tokens"], r[2]["text"], r[2]["embedding"]) == (0, [], "", None)
+
+
+def test_service_windows_over_hours(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, i % 2, rng.random() < 0.3, float(rng.randrange(100)), f"2024-01-01 {rng.randrange(0, 24, 3):02d}:{rng.randrange(60):02d}:00") for i in range(300)]
+    rows += [(1000 + i, 7, False, 1.0, f"2024-01-0{1 + i} 05:00:00") for i in range(4)]
+    frame = spark.createDataFrame(rows, "event_id long, service long, ok boolean, latency double, t string").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    runs = {r["event_id"]: r["failures"] for r in C.failure_runs(frame).collect()}
+    moved = {r["event_id"]: (r["total"], r["moving"], r["seen"]) for r in C.moving_average(frame, 5).collect()}
+    assert len(runs) == len(moved) == len(rows)
+    for service in (0, 1, 7):
+        n, latencies = 0, []
+        for i, _, ok, latency, _ in sorted((r for r in rows if r[1] == service), key=lambda r: (r[4], r[0])):
+            n = 0 if ok else n + 1
+            latencies.append(latency)
+            last = latencies[-5:]
+            assert runs[i] == n and moved[i] == (sum(last), pytest.approx(sum(last) / len(last)), len(latencies))
+
+
+def test_percentiles_and_reports(spark):
+    import json
+    import random
+
+    rng = random.Random(5)
+    values = [rng.choice([-1, 1]) * rng.expovariate(0.01) for _ in range(500)] + [7.0] * 200 + [0.0, -0.0, 1e300]
+    frame = spark.createDataFrame([(1, v) for v in values] + [(None, 3.0), (2, None)], "g int, v double")
+    got = {r["g"]: r for r in X.nearest_rank_percentiles(frame, "v", ["g"]).collect()}
+    ordered = sorted(values)
+    assert set(got) == {1, None} and got[1]["n"] == len(values) and got[None]["p95"] == 3.0
+    for share in (50, 95, 99):
+        assert got[1][f"p{share}"] == ordered[int(share / 100 * (len(values) - 1) + 0.5)]
+    metrics = spark.createDataFrame([(1, [1, 2], [2, 3], 4.0), (2, [1], [1], 6.0)], "query_id int, expected array<int>, returned array<int>, latency double")
+    summary = X.aggregate(X.query_metrics(metrics))
+    told = json.loads(X.report_json(summary, "T").first()["value"])
+    assert told["title"] == "T" and told["metrics"]["queries"] == 2 and told["metrics"]["mean_precision"] == 0.75 and told["metrics"]["p50"] == 6.0
+    assert "<tr><td>mean_latency</td><td>5.0000</td></tr>" in X.report_html(summary, "a<b").first()["value"]
+    none = X.aggregate(X.query_metrics(metrics.where("false"))).first()
+    assert (none["queries"], none["mean_f1"], none["p99"]) == (0, 0.0, 0.0)
