@@ -46,6 +46,34 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def byte_slices(batches: Iterator, name: str = "text", most: int = 1 << 22, rows: int = 4096) -> Iterator:
+    """Arrow batches cut to a bounded number of rows and of bytes in one column (a longer value comes alone)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in slices(batches, rows):
+        size = pc.fill_null(pc.binary_length(batch.column(name).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+        total, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            before = total[at - 1] if at else 0
+            end = max(int(np.searchsorted(total, before + most, "right")), at + 1)
+            yield batch.slice(at, end - at)
+            at = end
+    pa.default_memory_pool().release_unused()
+
+
+def in_groups(batches: Iterator, keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """(key, rows) of rows that come in the order of their keys; rows are read as they are asked for, one group after the other."""
+    from itertools import groupby
+
+    def rows() -> Iterator[tuple]:
+        for batch in byte_slices(batches, columns[-1]):
+            yield from zip(*(batch.column(c).to_pylist() for c in [*keys, *columns]), strict=True)
+
+    for key, part in groupby(rows(), key=lambda r: r[: len(keys)]):
+        yield key, (r[len(keys) :] for r in part)
+
+
 def text_bytes(batch, name: str = "text") -> list[bytes]:
     """The column's UTF-8 bytes; null counts as empty."""
     import pyarrow as pa
@@ -78,9 +106,9 @@ _SPACE_TABLE = np.zeros(256, bool)
 _SPACE_TABLE[list(SPACES)] = True
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (exclusive) of the words in an array of bytes."""
-    inside = np.concatenate([[False], ~_SPACE_TABLE[data], [False]])
+def word_spans(data: np.ndarray, outside: np.ndarray = _SPACE_TABLE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the words in an array of bytes; ``outside`` marks the bytes that are in no word."""
+    inside = np.concatenate([[False], ~outside[data], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     return edge[::2], edge[1::2]
 
@@ -110,6 +138,19 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def equal_spans(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of one size hold the same bytes, eight at a time. Both arrays need eight bytes to spare behind their spans."""
+    view_a, view_b = (np.lib.stride_tricks.sliding_window_view(x, _CHUNK) for x in (a, b))
+    same, of, at = np.ones(len(size), bool), np.arange(len(size)), 0
+    while len(of):
+        x = np.ascontiguousarray(view_a[at_a[of] + at]).view("<u8").ravel() ^ np.ascontiguousarray(view_b[at_b[of] + at]).view("<u8").ravel()
+        fine = (x & _CHUNK_MASK[np.minimum(size[of] - at, _CHUNK)]) == 0
+        same[of[~fine]] = False
+        at += _CHUNK
+        of = of[fine & (size[of] > at)]
+    return same
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """Hashes of the words of a text."""
     data = np.frombuffer(text, np.uint8)

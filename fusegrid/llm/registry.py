@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusegrid.llm import mixing
+from fusegrid.llm import divergence, mixing
 from fusegrid.llm.common import table
 
 
@@ -89,8 +89,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", out_of_fold.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fusegrid.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"), least_docs=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_piece_bpe, op2_jaccard_join, op3_token_store, op4_line_dedup, op5_quality, op6_vector_search, op7_source_mix, op8_secret_scan, op9_exact_dedup, op10_toxicity]
+    own = [op1_piece_bpe, op2_jaccard_join, op3_token_store, op4_line_dedup, op5_quality, op6_vector_search, op7_source_mix, op8_secret_scan, op9_exact_dedup, op10_toxicity, op11_source_divergence]
     return {f.__name__: f for f in own}
 
 
@@ -126,4 +132,4 @@ from d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2_SQL, "op4_line_dedup": OP4_SQL, "op7_source_mix": mixing.ORACLE_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op4_line_dedup": OP4_SQL, "op7_source_mix": mixing.ORACLE_SQL, "op9_exact_dedup": OP9_SQL, "op11_source_divergence": divergence.ORACLE_SQL}
