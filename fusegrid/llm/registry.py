@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusegrid.llm import divergence, mixing
+from fusegrid.llm import collocations, divergence, mixing
 from fusegrid.llm.common import table
 
 
@@ -95,8 +95,20 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), least_docs=10)
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fusegrid.llm.minhash import near_copies
+
+    return near_copies(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fusegrid.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), least=30, contained_percent=80, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_piece_bpe, op2_jaccard_join, op3_token_store, op4_line_dedup, op5_quality, op6_vector_search, op7_source_mix, op8_secret_scan, op9_exact_dedup, op10_toxicity, op11_source_divergence]
+    own = [op1_piece_bpe, op2_jaccard_join, op3_token_store, op4_line_dedup, op5_quality, op6_vector_search, op7_source_mix, op8_secret_scan, op9_exact_dedup, op10_toxicity, op11_source_divergence, op12_minhash_dedup, op13_collocations]
     return {f.__name__: f for f in own}
 
 
@@ -131,5 +143,8 @@ from d
 """
 
 
+OP12_SQL = f"select *, doc_id = component_id as kept from ({OP2_SQL.replace('>= 80 *', '>= 85 *')})"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2_SQL, "op4_line_dedup": OP4_SQL, "op7_source_mix": mixing.ORACLE_SQL, "op9_exact_dedup": OP9_SQL, "op11_source_divergence": divergence.ORACLE_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op4_line_dedup": OP4_SQL, "op7_source_mix": mixing.ORACLE_SQL, "op9_exact_dedup": OP9_SQL, "op11_source_divergence": divergence.ORACLE_SQL, "op12_minhash_dedup": OP12_SQL, "op13_collocations": collocations.ORACLE_SQL}
