@@ -248,12 +248,12 @@ with p as (select coalesce(lang, 'und') as lang,
 w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w, count(*) as times from p group by all),
 g as (select lang, k, unnest(list_transform(range(1, greatest(1, len(w) - k + 2)), lambda i: array_to_string(w[i:i+k-1], ' '))) as phrase, times
   from w, unnest([1, 2, 3, 4]) as t(k)),
-f as (select lang, k, phrase, sum(times)::hugeint as f from g group by all),
+f as materialized (select lang, k, phrase, sum(times)::hugeint as f from g group by all),
 n as (select lang, sum(f) as n from f where k = 1 group by 1),
-c as (select *, string_split(phrase, ' ') as w from f where k >= 2 and f >= 30),
-cuts as (select c.lang, c.k, c.phrase, c.f as a, cut, l.f as l, r.f as r, (2000000 * c.f) // (l.f + r.f) as score
-  from c, unnest([1, 2, 3]) as t(cut), f l, f r
-  where cut < c.k and l.lang = c.lang and r.lang = c.lang and l.phrase = array_to_string(c.w[1:cut], ' ') and r.phrase = array_to_string(c.w[cut+1:c.k], ' ')),
+c as materialized (select *, string_split(phrase, ' ') as w from f where k >= 2 and f >= 30),
+parts as materialized (select lang, k, phrase, f as a, cut, array_to_string(w[1:cut], ' ') as p, array_to_string(w[cut+1:k], ' ') as q from c, unnest([1, 2, 3]) as t(cut) where cut < k),
+cuts as materialized (select s.lang, s.k, s.phrase, s.a, s.cut, l.f as l, r.f as r, (2000000 * s.a) // (l.f + r.f) as score
+  from parts s join f l on l.lang = s.lang and l.phrase = s.p join f r on r.lang = s.lang and r.phrase = s.q),
 best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
 inside as (select c.lang, array_to_string(c.w[i:i+m-1], ' ') as phrase, max(c.f) as f
   from c, unnest([2, 3]) as t(m), unnest([1, 2, 3]) as u(i) where m < c.k and i + m - 1 <= c.k group by all),
