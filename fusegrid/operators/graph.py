@@ -85,10 +85,10 @@ def count_labels(frames: dict[str, DataFrame]) -> DataFrame:
     return out.where("n > 0")
 
 
-def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes, relationships, avg_degree = 2 E / N (0 without nodes): two scalar aggregates, one row."""
+def statistics(nodes: DataFrame, edges: DataFrame, count: Column | None = None) -> DataFrame:
+    """nodes, relationships, avg_degree = 2 E / N (0 without nodes): two scalar aggregates, one row. ``count``: what counts the edges, if not their rows."""
     n = nodes.agg(F.count("*").alias("nodes"))
-    e = edges.agg(F.count("*").alias("relationships"))
+    e = edges.agg((F.count("*") if count is None else count).alias("relationships"))
     degree = F.when(F.col("nodes") > 0, F.lit(2.0) * F.col("relationships") / F.col("nodes")).otherwise(F.lit(0.0))
     return n.crossJoin(e).select("nodes", "relationships", degree.alias("avg_degree"))  # of one row each
 

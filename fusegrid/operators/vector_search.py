@@ -1,4 +1,4 @@
-"""Vector search: filtered top-k by metric, per collection and merged, batched queries, an LSH option."""
+"""Vector search: filtered top-k by metric, per collection and merged, batched queries."""
 
 from __future__ import annotations
 
@@ -79,26 +79,16 @@ def _best(queries, points, k: int, digits: int, exclude_self: bool):
             if exclude_self:
                 score[some[:, None] == own[None, :]] = -np.inf
             for j in range(len(some)):
-                best = np.lexsort((own, -score[j]))[:k]
-                best = best[score[j][best] > -np.inf]
+                row = score[j]
+                best = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))  # all that tie with the last
+                best = best[np.lexsort((own[best], -row[best]))][:k]
+                best = best[row[best] > -np.inf]
                 q += [some[j]] * len(best)
                 x += own[best].tolist()
                 s += score[j][best].tolist()
     return pa.table({"query_id": pa.array(q, pa.int64()), "id": pa.array(x, pa.int64()), "score": pa.array(s, pa.float64())})
 
 
-def lsh_candidates(points: DataFrame, queries: DataFrame, distance: float = 1.2, tables: int = 4, width: float = 1.0) -> DataFrame:
-    """(query_id, id, distance) below a Euclidean distance, by bucketed random projections: approximate, without an all-pairs pass."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    a = points.select("id", array_to_vector("vector").alias("features"))
-    b = queries.select("id", array_to_vector("vector").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=3).fit(a)
-    joined = model.approxSimilarityJoin(b, a, distance, distCol="distance")
-    return joined.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), "distance").where("query_id <> id")
-
-
 def collection_info(points: DataFrame) -> DataFrame:
     return points.groupBy("collection").agg(F.count("*").alias("points"))
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from fusegrid.functions import scalar as S
 from fusegrid.functions import vectors as V
 from fusegrid.operators import graph as G
+from fusegrid.operators import hyperedges as HE
 from fusegrid.operators import vector_search as K
+from fusegrid.operators.neighbour_graph import knn_graph
 from fusegrid.sources import views as W
 from fusegrid.sources.views import with_views as sql
 
@@ -29,9 +31,11 @@ def _element_columns(df):
     return df.select(*_E.split(", "))
 
 
-def similar_edges(spark, d):
+def similar_edges(spark, d, approximate: bool = False):
+    """SIMILAR_TO: the three nearest of each point, by the exact join or, for many points, by the neighbour graph."""
     p = W.points(spark, d)
-    return K.knn_join(p, p, 3).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")
+    near = knn_graph(p, 3) if approximate else K.knn_join(p, p, 3)
+    return near.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")
 
 
 @query("element_by_id", sql("v_element", f"select {_E} from v_element where element_id = 17"))
@@ -103,8 +107,8 @@ def _(spark, d):
 
 @query("delete_element", sql("v_element e_replace", "select (select count(*) from v_element where element_id % 7 <> 0) as nodes_left, (select count(*) from e_replace where src % 7 <> 0 and dst % 7 <> 0) as edges_left"))
 def _(spark, d):
-    nodes, edges = G.delete_nodes(W.elements(spark, d), W.replaceable(spark, d), W.elements(spark, d).where("element_id % 7 = 0"), "element_id")
-    return nodes.agg(F.count("*").alias("nodes_left")).crossJoin(edges.agg(F.count("*").alias("edges_left")))  # one row each
+    nodes, members = HE.delete_nodes(W.elements(spark, d), W.replace_classes(spark, d), W.elements(spark, d).where("element_id % 7 = 0"), "element_id")
+    return nodes.agg(F.count("*").alias("nodes_left")).crossJoin(HE.edge_count(members).select(F.col("edges").alias("edges_left")))  # one row each
 
 
 @query("children_of", sql("e_child", "select dst from e_child where src = 'n:3'"))
@@ -166,23 +170,23 @@ def _(spark, d):
 
 @query("rel_type_counts", sql("e_replace e_child v_has_element v_element", "select 'CAN_REPLACE' as rel_type, count(*) as n from e_replace union all select 'HAS_CHILD', count(*) from e_child union all select 'HAS_ELEMENT', count(*) from v_has_element union all select 'BELONGS_TO_DESIGN_SYSTEM', count(*) from v_element"))
 def _(spark, d):
-    kinds = {"CAN_REPLACE": W.replaceable(spark, d), "HAS_CHILD": W.children(spark, d), "HAS_ELEMENT": W.has_element(spark, d), "BELONGS_TO_DESIGN_SYSTEM": W.elements(spark, d)}
-    out = None
+    kinds = {"HAS_CHILD": W.children(spark, d), "HAS_ELEMENT": W.has_element(spark, d), "BELONGS_TO_DESIGN_SYSTEM": W.elements(spark, d)}
+    out = HE.edge_count(W.replace_classes(spark, d)).select(F.lit("CAN_REPLACE").alias("rel_type"), F.col("edges").alias("n"))
     for name, df in kinds.items():
-        one = df.select(F.lit(name).alias("rel_type"))
-        out = one if out is None else out.unionAll(one)
-    return out.groupBy("rel_type").agg(F.count("*").alias("n"))
+        out = out.unionAll(df.agg(F.lit(name).alias("rel_type"), F.count("*").alias("n")))
+    return out.where("n > 0")
 
 
 @query("degree_distribution", sql("e_replace", ", d as (select id, count(*) as degree from (select src as id from e_replace union all select dst from e_replace) group by 1) select degree, count(*) as n, round(least(degree / 50.0, 1.0), 6)::double as degree_score from d group by 1, 3"))
 def _(spark, d):
-    degree = G.degrees(W.replaceable(spark, d))
+    degree = HE.degrees(W.replace_classes(spark, d))
     return degree.groupBy("degree").agg(F.count("*").alias("n")).withColumn("degree_score", F.round(S.degree_score(F.col("degree")), 6))
 
 
 @query("graph_stats", sql("e_replace v_element", "select (select count(*) from v_element) as nodes, (select count(*) from e_replace) as relationships, round(2.0 * (select count(*) from e_replace) / (select count(*) from v_element), 6)::double as avg_degree"))
 def _(spark, d):
-    return G.statistics(W.elements(spark, d), W.replaceable(spark, d)).withColumn("avg_degree", F.round("avg_degree", 6))
+    edges = HE.edge_count(W.replace_classes(spark, d))
+    return G.statistics(W.elements(spark, d), edges, F.sum("edges")).withColumn("avg_degree", F.round("avg_degree", 6))
 
 
 @query("similar_neighbors_min_score", sql("e_similar", "select src, dst, score from e_similar where score >= 0.3"))
@@ -199,12 +203,11 @@ _HOPS = """, g as (select distinct src, dst from (select src, dst from e_similar
  hops as (select * from h1 union all select * from h2)"""
 
 
-def _propagated(spark, d):
-    from fusegrid.operators import feedback as B
-
-    edges = similar_edges(spark, d).select("src", "dst").union(W.replaceable(spark, d))
-    sources = W.points(spark, d).select("id", F.when(F.col("id") % 2 == 0, 0.1).otherwise(-0.15).alias("delta"))
-    return B.apply_changes(B.propagate(edges, sources), W.points(spark, d).select("id", "confidence"))
+def _propagated(spark, d, approximate: bool = False):
+    points = W.points(spark, d)
+    sources = points.select("id", F.when(F.col("id") % 2 == 0, 0.1).otherwise(-0.15).alias("delta"))
+    edges = similar_edges(spark, d, approximate).select("src", "dst")
+    return HE.propagate(edges, W.replace_classes(spark, d), sources, points.select("id", "confidence"))
 
 
 @query("propagate_confidence", sql("v_point e_similar e_replace", _HOPS + ", c as (select hops.source, hops.id, hop, coalesce(confidence, 0.5) as old, greatest(0.1, least(0.99, coalesce(confidence, 0.5) + case when source % 2 = 0 then 0.1 else -0.15 end * power(0.5, hop)))::double as new from hops left join v_point p on p.id = hops.id) select source, id, hop, round(old, 6)::double as old, round(new, 6)::double as new from c"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from fusegrid.functions import scalar as S
 from fusegrid.operators import feedback as B
 from fusegrid.operators import graph as G
 from fusegrid.operators import health as C
+from fusegrid.operators import hyperedges as HE
 from fusegrid.plans.graph_queries import similar_edges
 from fusegrid.sources import io
 from fusegrid.sources import views as W
@@ -96,11 +95,11 @@ def _(spark, d):
     return B.sequential(W.feedback(spark, d)).select("element_id", F.round("confidence", 6).alias("confidence"))
 
 
-def _reward_inputs(spark, d):
+def _reward_inputs(spark, d, approximate=False):
     p = W.points(spark, d)
     feedback = W.feedback(spark, d)
     own = p.select("id").join(B.cumulative(feedback), p["id"] == F.col("element_id"), "left").select("id", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
-    edges = similar_edges(spark, d)
+    edges = io.materialize(similar_edges(spark, d, approximate))
     return B.reward_inputs(own, edges, G.degrees(edges), feedback)
 
 
@@ -124,7 +123,7 @@ def _(spark, d):
 
 @query("connectivity_norm", sql("e_replace", ", d as (select id, count(*) as degree from (select src as id from e_replace union all select dst from e_replace) group by 1) select id, round(ln(1 + degree) / ln(1 + (select max(degree) from d)), 6)::double as connectivity from d"))
 def _(spark, d):
-    degree = G.degrees(W.replaceable(spark, d))
+    degree = HE.degrees(W.replace_classes(spark, d))
     most = degree.agg(F.max("degree").alias("most"))
     return degree.crossJoin(F.broadcast(most)).select("id", F.round(S.connectivity(F.col("degree"), F.col("most")), 6).alias("connectivity"))  # one row
 
@@ -206,14 +205,7 @@ def _(spark, d):
 
 
 def _folder(spark) -> str:
-    """For streams' state: in the shared folder; only a local master may leave that unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="fusegrid-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/") + "/streams"
+    return io.shared_folder(spark) + "/streams"
 
 
 @query("stream_counts", _DAILY)

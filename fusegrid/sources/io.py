@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,24 @@ from fusegrid.sources import schemas, views
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors share; only a local master may leave that unset and gets a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="fusegrid-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again: computed once, and safe from lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def register(spark: SparkSession, sf_dir: str, names: list[str] = TABLES) -> list[str]:
     """Temporary views of a data folder; what a graph's schema set-up is here."""
     for name in names:

@@ -87,6 +87,12 @@ def replaceable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["p_brand", "p_type", "p_size"]).where("src <> dst").select("src", "dst")
 
 
+def replace_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CAN_REPLACE as hyperedges: (class, id), each part in the class of its brand, type and size; a part without one of these is in none."""
+    p = table(spark, sf_dir, "part").where("p_brand is not null and p_type is not null and p_size is not null")
+    return p.select(F.to_json(F.struct("p_brand", "p_type", "p_size")).alias("class"), F.col("p_partkey").alias("id"))
+
+
 def children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HAS_CHILD: region - nation - customer or supplier, ids with a letter before."""
     pair = lambda t, p, c, a, b: table(spark, sf_dir, t).select(F.concat(F.lit(p), F.col(a).cast("string")).alias("src"), F.concat(F.lit(c), F.col(b).cast("string")).alias("dst"))
