@@ -4,11 +4,12 @@ A document's set holds its distinct five-word shingles; two documents link when
 minima; documents that agree in a band of ``ROWS`` of them are candidates. Two signatures are compared in batches of ``BATCH`` hashes: with a uniform prior of the
 similarity, a pair is given up as soon as the posterior probability that it reaches the threshold falls below ``MISS``. What survives is verified on whole sets.
 
-Equal sets are one class. Candidates are met in two rounds, never as all pairs of a bucket:
+Equal sets are one class. Documents that candidates connect form a group; pairs are never written out for a whole group:
 
-1. Each band's members meet the band's least member, in groups of a bounded number of members and shingles; a group's members then meet each other. Most links are found here.
-2. Bands with members of different components are cut by size (sets of sizes beyond the threshold never link) and into blocks, each pair of which meets in a task of its own on signatures;
-   pairs already in one component are left out, survivors are verified as in the first round.
+1. A group of up to ``MEMBERS`` documents is one task's: all its pairs are met there, but those that links found already join. Nearly all groups are such.
+2. In a larger group, each band's members meet the band's least member first, in parts of a bounded size, which joins most of what links. Then it is cut into blocks, and each
+   pair of blocks is met in a task of its own, with pairs inside one component left out; a task returns links that join components, not pairs.
+3. A group of more than ``MOST_BLOCKS`` blocks is not met as a whole: here the members of each band meet, cut by size and into blocks, on signatures, and what survives is verified.
 
 Chances of missing a link at the threshold: 7e-9 that no band agrees at 85 %, and about ``MISS`` a batch; both fall with the similarity.
 
@@ -34,9 +35,9 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-6
-#: Members, and their shingles, that meet one head in one group of the first round.
-MEMBERS, SHINGLES = 256, 400_000
-#: Rows of a block of the second round.
+#: Members, and their shingles, of a group, or a block of one, that one task holds; blocks up to which a group is met as a whole.
+MEMBERS, SHINGLES, MOST_BLOCKS = 256, 400_000, 32
+#: Rows of a block of signatures of one band.
 BLOCK = 512
 _XOR = mix64(np.arange(1, HASHES + 1, dtype=np.uint64)).astype(np.uint32)
 _ODD = mix64(np.arange(1001, HASHES + 1001, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
@@ -91,24 +92,26 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def group_links(docs: list[int], roles: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of one group: heads (role 0) with all, then the rest with each other, without pairs that links found already join."""
+def group_links(docs: list[int], roles: list[int], sets: list[np.ndarray], percent: int, comps: list[int] | None = None, across: bool = False) -> list[tuple[int, int]]:
+    """Links of one group: rows of role 0 with all, then the rest with each other (``across``: only with rows of another role), without pairs that links found, or one of ``comps``, already join."""
     order = sorted((i for i in range(len(docs)) if len(sets[i])), key=lambda i: (roles[i], len(sets[i])))
-    docs, sets, heads = [docs[i] for i in order], [sets[i] for i in order], sum(roles[i] == 0 for i in order)
+    docs, sets, comps, roles = [docs[i] for i in order], [sets[i] for i in order], [(comps or docs)[i] for i in order], np.array([roles[i] for i in order])
     if len(docs) < 2:
         return []
     first: dict[int, int] = {}
-    root = np.array([first.setdefault(d, i) for i, d in enumerate(docs)])  # rows of one document are one
+    root = np.array([first.setdefault(c, i) for i, c in enumerate(comps)])  # rows of one document, or component, are one
     n, signs, out = np.array([len(s) for s in sets]), np.stack([signature(s) for s in sets]), []
-    for i in range(len(docs)):
+    for i in range(int((roles == 0).sum()) if across else len(docs)):
         fine = (root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
         fine[: i + 1] = False
+        if across:
+            fine &= roles != 0
         others = np.flatnonzero(fine)
         for j in others[survivors(signs[i], signs[others], percent)].tolist():
             if root[i] != root[j] and links(sets[i], sets[j], percent):
                 root[root == max(root[i], root[j])] = min(root[i], root[j])
                 out.append((docs[i], docs[j]))
-        if i + 1 >= heads and (root == root[0]).all():
+        if (root == root[0]).all():
             break
     return out
 
@@ -144,30 +147,44 @@ def _bands(heads: DataFrame) -> DataFrame:
     return heads.select("rep", "n", "sign").mapInArrow(run, "rep long, n long, band long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the documents of each group of ``pairs(a, b, n)``: those needed to join all that link. n: shingles of b."""
-    sized = materialize(pairs.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n") / SHINGLES)).cast("int").alias("salts")))
-    members = pairs.join(sized, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("doc_id"), F.lit(1).alias("role"))
-    heads = sized.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("doc_id"), F.lit(0).alias("role"))
-    rows = docs.join(members.union(heads), "doc_id")
-    rows = rows.repartition(shuffle_partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "role").select("a", "salt", "role", "doc_id", "text")
+def _meet(rows: DataFrame, keys: list[str], percent: int, across: bool = False) -> DataFrame:
+    """Links (a, b) within the groups of ``keys`` of rows (role, comp, doc_id, text). ``across``: in groups whose last two keys differ, only between roles."""
+    columns = ["role", "comp", "doc_id", "text"]
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "role").select(*keys, *columns)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for _, part in in_groups(batches, ["a", "salt"], ["role", "doc_id", "text"]):
-            ids, roles, sets = [], [], []
-            for role, doc, text in part:
+        for key, part in in_groups(batches, keys, columns):
+            roles, comps, ids, sets = [], [], [], []
+            for role, comp, doc, text in part:
                 ids.append(doc)
                 roles.append(role)
+                comps.append(comp)
                 sets.append(shingles((text or "").encode()))
-            found = group_links(ids, roles, sets, percent)
+            found = group_links(ids, roles, sets, percent, comps, across and key[-1] != key[-2])
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the documents of each group of ``pairs(a, b, n)``: those needed to join all that link. n: shingles of b."""
+    sized = materialize(pairs.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n") / SHINGLES)).cast("int").alias("salts")))
+    members = pairs.join(sized, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("doc_id"), F.lit(1).alias("role"))
+    heads = sized.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("doc_id"), F.lit(0).alias("role"))
+    return _meet(docs.join(members.union(heads), "doc_id").withColumn("comp", F.col("doc_id")), ["a", "salt"], percent)
+
+
+def _block_links(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links between components within groups, from members (grp, doc_id, comp, blocks): a block meets itself and each other block of its group in tasks of their own."""
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("role"), "comp", "doc_id")
+    return _meet(docs.join(dealt, "doc_id"), ["grp", "i", "j"], percent, across=True)
+
+
 def candidates(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, n) of different components that share a band and whose signatures may reach the threshold; from (band, rep, n, component, sign)."""
     spark = members.sparkSession
@@ -215,19 +232,30 @@ def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = materialize(sets.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "sign"), "doc_id").alias("r"), F.count("*").alias("rows")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.sign").alias("sign")))
     bands = materialize(_bands(classes))
     hubs = bands.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1")
-    shared = materialize(bands.join(hubs, "band").select("band", "a", "rep", "n"))
-    pairs = materialize(shared.where("rep <> a").groupBy("a", F.col("rep").alias("b")).agg(F.max("n").alias("n")))
+    pairs = materialize(bands.join(hubs, "band").where("rep <> a").groupBy("a", F.col("rep").alias("b")).agg(F.max("n").alias("n")))
     of_class = classes.select("digest", "rep")
     repeated = sets.groupBy("doc_id").agg(F.countDistinct("digest").alias("c")).where("c > 1").select("doc_id")
     same_id = sets.select("doc_id", "digest").join(repeated, "doc_id").join(of_class, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    first = materialize(verified(known, pairs, percent).union(same_id))
-    joined = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labelled = shared.join(joined, F.col("rep") == F.col("id"), "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    apart = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    members = materialize(labelled.join(apart, "band").join(classes.select("rep", "n", "sign"), ["rep", "n"]))
-    second = materialize(verified(known, materialize(candidates(members, percent)), percent))
-    if not second.isEmpty():
-        joined = components(first.union(second).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    edges = lambda df: df.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
+    groups = components(edges(pairs)).join(sizes, "id").select(F.col("component").alias("grp"), F.col("id").alias("doc_id"), "n")
+    blocks = F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n") / SHINGLES)).cast("int")
+    groups = materialize(groups.join(groups.groupBy("grp").agg(blocks.alias("blocks")), "grp"))
+    small = groups.where("blocks = 1").select("grp", "doc_id", F.col("doc_id").alias("comp"), F.lit(0).alias("role"))
+    first = materialize(_meet(known.join(small, "doc_id"), ["grp"], percent).union(same_id))
+    large = groups.where("blocks > 1")
+    if not large.isEmpty():
+        of_large = pairs.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi")
+        first = materialize(first.union(verified(known, of_large, percent)))
+        joined = components(edges(first))
+        labelled = materialize(large.join(joined, F.col("doc_id") == F.col("id"), "left").select("grp", "doc_id", "blocks", F.coalesce("component", "doc_id").alias("comp")))
+        apart = labelled.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp")
+        labelled = labelled.join(apart, "grp", "left_semi")
+        first = materialize(first.union(_block_links(known, labelled.where(F.col("blocks") <= MOST_BLOCKS), percent)))
+        huge = labelled.where(F.col("blocks") > MOST_BLOCKS).select(F.col("doc_id").alias("rep"), F.col("comp").alias("component"))
+        members = bands.join(huge, "rep").join(classes.select("rep", "n", "sign"), ["rep", "n"]).select("band", "rep", "n", "component", "sign")
+        first = materialize(first.union(verified(known, materialize(candidates(materialize(members), percent)), percent)))
+    joined = components(edges(first))
     of_class = of_class.join(joined, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     rows = own.select("doc_id", "n", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))

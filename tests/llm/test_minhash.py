@@ -33,7 +33,7 @@ def chains(seed):
     return out
 
 
-@pytest.mark.parametrize("bounds", [{}, {"MEMBERS": 3, "BLOCK": 4}])
+@pytest.mark.parametrize("bounds", [{}, {"MEMBERS": 3}, {"MEMBERS": 3, "MOST_BLOCKS": 1, "BLOCK": 4}])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_brute_force(spark, monkeypatch, seed, bounds):
     for name, value in bounds.items():
