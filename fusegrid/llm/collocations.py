@@ -3,8 +3,8 @@
 1. A text's pieces are parsed into chunks: a window of ``OVERLAP`` words whose hash is divisible by ``PERIOD`` ends one chunk and begins the next, so that
    chunks overlap by that window and equal passages give equal chunks wherever they stand. The dictionary holds each distinct chunk of a language once, with its frequency in the parse.
 2. Phrases of one to four words are counted inside the distinct chunks, weighted by the chunk's frequency. One that begins in the window at a chunk's end is left to the
-   next chunk, which begins there; so each occurrence counts once. A phrase of n words is looked at only where both phrases of n - 1 words in it are frequent: these are marked in a
-   table of ``MARKS`` bits, of one size at any size of the input. Wrong marks cost work, never a result.
+   next chunk, which begins there; so each occurrence counts once. Pairs are looked at only where both words are frequent, longer phrases only where all pairs in them are: frequent ones are
+   marked in a table of ``MARKS`` bits, of one size at any size of the input. Wrong marks cost work, never a result.
 3. Scores, containment in longer candidates and ranks are joins and windows over the frequent phrases.
 
 Defined results: null text is empty; null lang is ``und``; rows of one id are documents of their own; pieces and phrases end with a row's text; languages without a candidate, and empty tables,
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fusegrid.llm.common import byte_slices, equal_spans, in_groups, materialize, mix64, shuffle_partitions, slices, span_hashes, union_all, word_spans
+from fusegrid.llm.common import byte_slices, equal_spans, in_groups, materialize, mix64, shuffle_partitions, slices, span_hashes, word_spans
 
 LONGEST = 4
 OVERLAP = LONGEST - 1
@@ -28,7 +28,7 @@ PERIOD = 16
 #: Bits of a table of marks (8 MiB) and of one of the segments in which it is put together.
 MARKS, SEGMENT = 1 << 26, 1 << 16
 #: Bytes of chunks that are counted at a time.
-COUNTED_BYTES = 4 << 20
+COUNTED_BYTES = 8 << 20
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 #: Lower-cases A-Z, makes tabs spaces and all that ends a piece a line feed.
 _CLEAN = bytes(10 if chr(i) in ".,;:!?\n\x0b\x0c\r" else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -36,12 +36,12 @@ _OUTSIDE = np.zeros(256, bool)
 _OUTSIDE[[10, 32]] = True
 
 
-def gram_hashes(h: np.ndarray, n: int, seed: np.uint64) -> np.ndarray:
-    """A hash of each run of n words, from the words' hashes and the language's."""
+def gram_hashes(h: np.ndarray, n: int, seed: np.uint64 | np.ndarray) -> np.ndarray:
+    """A hash of each run of n words, from the words' hashes and that of the language (of each run's first word)."""
     total = h[: max(len(h) - n + 1, 0)] * _MULT[0]
     for k in range(1, n):
         total = total + h[k : len(h) - n + 1 + k] * _MULT[k]
-    return mix64(total + seed)
+    return mix64(total + (seed[: len(total)] if isinstance(seed, np.ndarray) else seed))
 
 
 def _seed(lang: str) -> np.uint64:
@@ -50,7 +50,7 @@ def _seed(lang: str) -> np.uint64:
 
 
 def parse(texts: list[bytes], period: int = PERIOD) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """Words with single spaces between them, and for each chunk its start, its end and whether it is the last of its piece."""
+    """Words with a space behind each, and for each chunk its start, its end and whether it is the last of its piece."""
     data = np.frombuffer(b"\n".join(texts).translate(_CLEAN) + bytes([10] * 8), np.uint8)
     start, end = word_spans(data, _OUTSIDE)
     if not len(start):
@@ -70,11 +70,11 @@ def parse(texts: list[bytes], period: int = PERIOD) -> tuple[bytes, np.ndarray,
     begin = np.flatnonzero(cut)
     last = np.append(first[begin[1:]], True)
     stop = np.where(last, np.append(begin[1:], len(start)), np.append(begin[1:], 0) + OVERLAP) - 1
-    return flat.tobytes(), at[begin], at[stop] + size[stop], last
+    return flat.tobytes(), at[begin], at[stop] + size[stop] + 1, last
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """lang, chunk, last, times: the distinct chunks of each language."""
+    """lang, chunk (a space behind each word), last, times: the distinct chunks of each language."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -94,79 +94,101 @@ def dictionary(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "lang string, chunk string, last boolean, times long").groupBy("lang", "chunk", "last").agg(F.sum("times").alias("times"))
 
 
-def count_chunks(lang: str, chunks: list[bytes], last: np.ndarray, times: np.ndarray, n: int, marks: np.ndarray | None) -> tuple[list[bytes], np.ndarray, int]:
-    """Phrases of n words that begin in these chunks, their weights, and the weight of all words; equal phrases are added up where their bytes agree."""
-    data = np.frombuffer(b"\n".join(chunks) + bytes([10] * 8), np.uint8)
-    start, end = word_spans(data, _OUTSIDE)
-    chunk_end = np.cumsum([len(c) + 1 for c in chunks])
-    chunk = np.searchsorted(chunk_end, start, "right")
-    words = np.bincount(chunk, minlength=len(chunks))
-    left = np.cumsum(words)[chunk] - np.arange(len(start))  # words from here to the chunk's end
-    own = last[chunk] | (left > OVERLAP)
-    total = int(times[chunk[own]].sum())
-    h = span_hashes(data, start, end)
-    at = np.flatnonzero(own & (left >= n))
-    if marks is not None and len(at):
-        shorter = gram_hashes(h, n - 1, _seed(lang)) % np.uint64(8 * len(marks))
-        frequent = (marks[(shorter >> np.uint64(3)).astype(np.int64)] >> (shorter & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        at = at[frequent[at] & frequent[at + 1]]
-    if not len(at):
-        return [], np.zeros(0, np.int64), total
-    h = gram_hashes(h, n, _seed(lang))[at]
-    order = np.argsort(h, kind="stable")
-    at, h = at[order], h[order]
-    a, size, weight = start[at], end[at + n - 1] - start[at], times[chunk[at]]
-    new = np.append(True, h[1:] != h[:-1])
-    of = np.flatnonzero(new)[np.cumsum(new) - 1]
-    same = size == size[of]
-    same[same] = equal_spans(data, a[same], data, a[of[same]], size[same])
-    if not same.all():  # two phrases of one hash: each stands for itself
-        keep = np.flatnonzero(~same)
-        rest = [data[a[i] : a[i] + size[i]].tobytes() for i in keep]
-        a, size, weight, h = a[same], size[same], weight[same], h[same]
+def _texts(data: np.ndarray, start: np.ndarray, size: np.ndarray):
+    """Spans of bytes as an Arrow array of texts."""
+    import pyarrow as pa
+
+    end = np.cumsum(size)
+    held = data[np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)]
+    offsets = np.concatenate([[0], end]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.tobytes()), pa.py_buffer(held.tobytes()))
+
+
+class Words:
+    """The words of some chunks: their spans and hashes, their chunks, and which begin phrases that count here."""
+
+    def __init__(self, data: np.ndarray, size: np.ndarray, seeds: np.ndarray, last: np.ndarray):
+        """``data``: the chunks one after the other, with eight bytes to spare; sizes, hashes of the language and whether the piece ends, a chunk."""
+        self.data = data
+        self.start, self.end = word_spans(data[:-8], _OUTSIDE)
+        self.chunk = np.repeat(np.arange(len(size)), np.diff(np.searchsorted(self.start, np.append(0, np.cumsum(size)))))
+        words = np.bincount(self.chunk, minlength=len(size))
+        self.left = np.cumsum(words)[self.chunk] - np.arange(len(self.start))  # words from here to the chunk's end
+        self.own = last[self.chunk] | (self.left > OVERLAP)
+        self.seed = seeds[self.chunk]
+        self.hash = span_hashes(data, self.start, self.end)
+
+    def marked(self, n: int, marks: np.ndarray) -> np.ndarray:
+        """Whether the phrase of n words that begins at each word is marked."""
+        h = gram_hashes(self.hash, n, self.seed) % np.uint64(8 * len(marks))
+        found = (marks[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return np.append(found, np.zeros(len(self.hash) - len(found), bool)) & (self.left >= n)
+
+    def phrases(self, n: int, at: np.ndarray, times: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, sizes, languages and weights of the phrases of n words that begin at the words ``at``; equal ones are added up where their bytes agree."""
+        if not len(at):
+            return at, at, lang[:0], times[:0]
+        h = gram_hashes(self.hash, n, self.seed)[at]
+        order = np.argsort(h, kind="stable")
+        at, h = at[order], h[order]
+        start, size, of, weight = self.start[at], self.end[at + n - 1] - self.start[at], lang[self.chunk[at]], times[self.chunk[at]]
         new = np.append(True, h[1:] != h[:-1])
-    else:
-        keep, rest = np.zeros(0, np.int64), []
-    head = np.flatnonzero(new)
-    flat = data.tobytes()
-    grams = [flat[s:e] for s, e in zip(a[head].tolist(), (a + size)[head].tolist(), strict=True)]
-    return grams + rest, np.concatenate([np.add.reduceat(weight, head), times[chunk[at[keep]]]]), total
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        same = (size == size[head]) & (of == of[head])
+        same[same] = equal_spans(self.data, start[same], self.data, start[head[same]], size[same])
+        new |= ~same  # one whose hash another phrase has stands for itself, and what comes after it too
+        new[1:] |= ~same[:-1]
+        head = np.flatnonzero(new)
+        return start[head], size[head], of[head], np.add.reduceat(weight, head)
 
 
-def count_phrases(chunks: DataFrame, n: int, least: int, marks=None) -> DataFrame:
-    """lang, phrase, f: phrases of n words with f >= least; for n = 1 also a row of a null phrase with the number of all words."""
+def count_phrases(chunks: DataFrame, sizes: list[int], least: int, marks=None) -> DataFrame:
+    """lang, k, phrase, f: phrases of k words, for each k of ``sizes``, with f >= least; for k = 1 also a row of a null phrase with the number of all words."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         table = None if marks is None else np.frombuffer(marks.value, np.uint8)
-        held: dict[str, tuple[list, list, list]] = {}
-        size = 0
+        names: dict[str, int] = {}
+        held, size = [], 0
 
         def counted() -> Iterator:
-            for lang, (some, last, times) in held.items():
-                grams, weight, total = count_chunks(lang, some, np.array(last), np.array(times, np.int64), n, table)
-                phrase = pa.array(grams, pa.binary()).cast(pa.string())
-                weight = weight.tolist()
-                if n == 1:
-                    phrase, weight = pa.concat_arrays([phrase, pa.nulls(1, pa.string())]), [*weight, total]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(weight), pa.string()), phrase, pa.array(weight, pa.int64())], ["lang", "phrase", "f"])
+            data, length, lang, last, times = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
+            seeds = np.array([_seed(x) for x in names], np.uint64)
+            words = Words(np.append(data, np.zeros(8, np.uint8)), length, seeds[lang], last)
+            known = pa.array(list(names), pa.string())
+            for n in sizes:
+                fine = words.own & (words.left >= n)
+                if n == 2:
+                    one = words.marked(1, table)
+                    fine[:-1] &= one[:-1] & one[1:]
+                elif n > 2:
+                    pair = words.marked(2, table)
+                    for k in range(n - 1):
+                        fine[: len(fine) - k] &= pair[k:]
+                start, wide, of, weight = words.phrases(n, np.flatnonzero(fine), times, lang)
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(of)), pa.array(np.full(len(of), n, np.int32)), _texts(words.data, start, wide), pa.array(weight)], ["lang", "k", "phrase", "f"])
+                if n == 1:
+                    total = np.zeros(len(names), np.int64)
+                    np.add.at(total, lang[words.chunk[words.own]], times[words.chunk[words.own]])
+                    yield pa.RecordBatch.from_arrays([known, pa.array(np.ones(len(names), np.int32)), pa.nulls(len(names), pa.string()), pa.array(total)], ["lang", "k", "phrase", "f"])
 
         for batch in byte_slices(batches, "chunk"):
-            for lang, chunk, last, times in zip(*(batch.column(c).to_pylist() for c in ("lang", "chunk", "last", "times")), strict=True):
-                into = held.setdefault(lang, ([], [], []))
-                chunk = chunk.encode()
-                into[0].append(chunk)
-                into[1].append(last)
-                into[2].append(times)
-                size += len(chunk)
+            lang = batch.column("lang").dictionary_encode()
+            code = np.array([names.setdefault(x, len(names)) for x in lang.dictionary.to_pylist()], np.int64)
+            chunk = batch.column("chunk").cast(pa.binary())
+            at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            data = np.frombuffer(chunk.buffers()[2], np.uint8)[at[0] : at[-1]].copy()
+            held.append((data, np.diff(at).astype(np.int64), code[lang.indices.to_numpy()], batch.column("last").to_numpy(zero_copy_only=False), batch.column("times").to_numpy()))
+            size += len(data)
             if size >= COUNTED_BYTES:
                 yield from counted()
                 size = 0
-        yield from counted()
+        if held:
+            yield from counted()
 
-    counts = chunks.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    counts = chunks.mapInArrow(run, "lang string, k int, phrase string, f long").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
     return counts.where((F.col("f") >= least) | F.col("phrase").isNull())
 
 
@@ -212,15 +234,11 @@ def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]
     """(lang, k, phrase, f) of all phrases of up to four words with f >= least, and (lang, n)."""
     spark = docs.sparkSession
     chunks = materialize(dictionary(docs))
-    found, marks = [], None
-    for n in range(1, LONGEST + 1):
-        now = materialize(count_phrases(chunks, n, least, marks))
-        found.append(now.where("phrase is not null").select("lang", F.lit(n).alias("k"), "phrase", "f"))
-        if n < LONGEST:
-            marks = spark.sparkContext.broadcast(phrase_marks(found[-1], n))
-        if n == 1:
-            words = now.where("phrase is null").select("lang", F.col("f").alias("n"))
-    return union_all(found), words
+    one = materialize(count_phrases(chunks, [1], least))
+    known = one.where("phrase is not null")
+    two = materialize(count_phrases(chunks, [2], least, spark.sparkContext.broadcast(phrase_marks(known, 1))))
+    more = materialize(count_phrases(chunks, list(range(3, LONGEST + 1)), least, spark.sparkContext.broadcast(phrase_marks(two, 2))))
+    return known.union(two).union(more), one.where("phrase is null").select("lang", F.col("f").alias("n"))
 
 
 def collocations(docs: DataFrame, least: int = 30, contained_percent: int = 80, top: int = 2000) -> DataFrame:
