@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fusegrid.functions import scalar as S
+from fusegrid.sources.io import materialize
 
 OPEN_AFTER, HALF_OPEN_S = 5, 30
 DEGRADED_AFTER, OFFLINE_AFTER = 3, 5
@@ -80,24 +82,124 @@ def step(state: str, failures: int, opened: float, ok: bool, at: float) -> tuple
 
 
 def breaker_trace(outcomes: DataFrame) -> DataFrame:
-    """(service, event_id, state) after each event; a service's events pass in order through one task, in batches."""
+    """(service, event_id, state) after each event; events without a time are left out, without an outcome they failed. No task holds more than an hour of a service's events, or a list of hours or days without events.
 
-    def run(batches: Iterator) -> Iterator:
+    An hour of events is a map from the state at its start to that at its end (``SliceMap``). The maps of a day's hours compose to the day's;
+    from the days' come the states at their starts, from these those of the hours, and then each hour is replayed.
+    """
+    from fusegrid.functions.arrow import sorted_groups
+
+    at = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) / 1000000D")
+    rows = outcomes.where("ts is not null").select("service", "event_id", F.coalesce("ok", F.lit(False)).alias("ok"), at.alias("at"), F.floor(at / 3600).alias("hour"))
+    maps = "service long, day long, hour long, map binary"
+
+    def row(pa, service, day, hour, value: bytes):
+        return pa.RecordBatch.from_arrays([pa.array([service], pa.int64()), pa.array([day], pa.int64()), pa.array([hour], pa.int64()), pa.array([value], pa.binary())], ["service", "day", "hour", "map"])
+
+    def of_hours(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        service, held = None, ("closed", 0, 0.0)
-        for batch in batches:
+        for (service, hour), group in sorted_groups(batches, ["service", "hour"]):
+            yield row(pa, service, hour // 24, hour, SliceMap.of(group.column("at").to_pylist(), group.column("ok").to_pylist(), hour * 3600.0).packed())
+
+    def of_days(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for (service, day), group in sorted_groups(batches, ["service", "day"]):
+            parts = [SliceMap.unpacked(m) for m in group.column("map").to_pylist()]
+            whole = parts[0]
+            for part in parts[1:]:
+                whole = whole.then(part)
+            yield row(pa, service, day, None, whole.packed())
+
+    def starts(keys: list[str], given: bool):
+        """The state before each row of a group, from ``start`` of its first row or, at the very beginning, closed."""
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for (service, *_), group in sorted_groups(batches, keys):
+                held = (group.column("failures")[0].as_py(), group.column("opened")[0].as_py()) if given else (0, None)
+                before = []
+                for m in group.column("map").to_pylist():
+                    before.append(held)
+                    held = SliceMap.unpacked(m).end(held)
+                n = group.num_rows
+                cols = [pa.array([service] * n, pa.int64()), group.column("day"), group.column("hour"), pa.array([x[0] for x in before], pa.int32()), pa.array([x[1] for x in before], pa.float64())]
+                yield from pa.table(cols, ["service", "day", "hour", "failures", "opened"]).to_batches()
+
+        return run
+
+    def replay(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for (service, _), group in sorted_groups(batches, ["service", "hour"]):
+            failures, opened = group.column("failures")[0].as_py(), group.column("opened")[0].as_py()
+            held = ("closed", failures, 0.0) if opened is None else ("open", failures, opened)
             states = []
-            for s, ok, at in zip(*(batch.column(c).to_pylist() for c in ("service", "ok", "at")), strict=True):
-                if s != service:
-                    service, held = s, ("closed", 0, 0.0)
+            for ok, at in zip(group.column("ok").to_pylist(), group.column("at").to_pylist(), strict=True):
                 held = step(*held, ok, at)
                 states.append(held[0])
-            yield pa.RecordBatch.from_arrays([batch.column("service"), batch.column("event_id"), pa.array(states, pa.string())], ["service", "event_id", "state"])
+            yield from pa.table([pa.array([service] * len(states), pa.int64()), group.column("event_id"), pa.array(states, pa.string())], ["service", "event_id", "state"]).to_batches()
 
-    at = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) / 1000000D")
-    rows = outcomes.select("service", "event_id", "ok", at.alias("at"), "ts").repartition("service").sortWithinPartitions("service", "ts", "event_id")
-    return rows.select("service", "event_id", "ok", "at").mapInArrow(run, "service long, event_id long, state string")
+    state = "service long, day long, hour long, failures int, opened double"
+    hours = materialize(rows.select("service", "hour", "at", "event_id", "ok").repartition("service", "hour").sortWithinPartitions("service", "hour", "at", "event_id").mapInArrow(of_hours, maps))
+    days = hours.repartition("service", "day").sortWithinPartitions("service", "day", "hour").mapInArrow(of_days, maps)
+    day_starts = days.repartition("service").sortWithinPartitions("service", "day").mapInArrow(starts(["service"], False), state)
+    both = hours.withColumnRenamed("service", "s").withColumnRenamed("day", "d").join(day_starts.drop("hour"), F.col("s").eqNullSafe(F.col("service")) & (F.col("d") == F.col("day"))).drop("s", "d")
+    hour_starts = both.repartition("service", "day").sortWithinPartitions("service", "day", "hour").mapInArrow(starts(["service", "day"], True), state)
+    told = hour_starts.select(F.col("service").alias("s"), F.col("hour").alias("h"), "failures", "opened")
+    placed = rows.join(told, F.col("s").eqNullSafe(F.col("service")) & (F.col("h") == F.col("hour"))).drop("s", "h")
+    return placed.repartition("service", "hour").sortWithinPartitions("service", "hour", "at", "event_id").select("service", "hour", "event_id", "ok", "at", "failures", "opened").mapInArrow(replay, "service long, event_id long, state string")
+
+
+class SliceMap:
+    """What a slice of time does to a circuit breaker's state, for every state at its start.
+
+    A state is (failures, None) when closed, with fewer than OPEN_AFTER failures, or (failures, time it opened). ``closed`` has the end for each closed start. From an open start
+    nothing happens until an event HALF_OPEN_S later or more: ``let`` has the times of the events that may be the first let through, ``ends`` the end for each.
+    Without such an event the state stays. ``full``: there is one for every open start.
+    """
+
+    def __init__(self, closed: list, let: list[float], ends: list, full: bool):
+        self.closed, self.let, self.ends, self.full = closed, let, ends, full
+
+    @classmethod
+    def of(cls, at: list[float], ok: list[bool], begin: float) -> SliceMap:
+        """From events in order; ``begin``: no start state opened later than this. Ends are found backwards, once an event and state."""
+        n = len(at)
+        later, j = [0] * n, n  # the first event let through after one opened the breaker
+        for i in range(n - 1, -1, -1):
+            while j - 1 > i and at[j - 1] - at[i] >= HALF_OPEN_S:
+                j -= 1
+            later[i] = j
+        closed = [(f, None) for f in range(OPEN_AFTER)]  # ends of starting closed behind the last event
+        half: list = [None] * (n + 1)  # ends of event i being let through half-open
+        for i in range(n - 1, -1, -1):
+            opened = half[later[i]] if later[i] < n else (OPEN_AFTER, at[i])
+            half[i] = closed[0] if ok[i] else opened
+            closed = [closed[0]] * OPEN_AFTER if ok[i] else [*closed[1:], opened]
+        most = next((i + 1 for i in range(n) if at[i] - begin >= HALF_OPEN_S), None)
+        return cls(closed, at[:most], half[: n if most is None else most], most is not None)
+
+    def end(self, state: tuple) -> tuple:
+        failures, opened = state
+        if opened is None:
+            return self.closed[failures]
+        return next((e for t, e in zip(self.let, self.ends, strict=True) if t - opened >= HALF_OPEN_S), state)
+
+    def then(self, other: SliceMap) -> SliceMap:
+        """This slice and, after it, another."""
+        more = ([], []) if self.full else (other.let, other.ends)
+        return SliceMap([other.end(e) for e in self.closed], self.let + more[0], [other.end(e) for e in self.ends] + more[1], self.full or other.full)
+
+    def packed(self) -> bytes:
+        return json.dumps([self.closed, self.let, self.ends, self.full]).encode()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> SliceMap:
+        closed, let, ends, full = json.loads(data)
+        return cls([tuple(x) for x in closed], let, [tuple(x) for x in ends], full)
 
 
 def cache_state(entries: DataFrame, now, ttl_s: int) -> DataFrame:
