@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fusegrid.functions import scalar as S
@@ -231,6 +233,42 @@ def _(spark, d):
     return T.drain(T.breaker(T.event_stream(spark, d)), [], "append", _folder(spark))
 
 
+@query("stream_cache", """with recursive n as (select user_id as key, event_id, epoch_ms(ts) as asked, row_number() over (partition by user_id order by epoch_ms(ts), event_id) as k from events),
+ b as (select key, event_id, k, asked as stored, 'miss' as outcome from n where k = 1
+   union all select n.key, n.event_id, n.k, case when n.asked - b.stored <= 86400000 then b.stored else n.asked end, case when n.asked - b.stored <= 86400000 then 'hit' else 'miss' end from b join n on n.key = b.key and n.k = b.k + 1)
+ select key, event_id, outcome from b""")
+def _(spark, d):
+    """Each event asks a cache for its user's entry, which lives a day."""
+    from fusegrid.streaming import state as T
+
+    requests = T.event_stream(spark, d).select(F.col("user_id").alias("key"), "event_id", "ts")
+    return T.drain(T.cache(requests, 86400), [], "append", _folder(spark)).where("outcome <> 'evicted'").select("key", "event_id", "outcome")
+
+
+FEEDBACK = "id long, generation_id long, element_id long, feedback_type string, delta double, created_at timestamp_ntz, day date"
+
+
+def feedback_rows(events):
+    """The rows of the feedback table from events, with the change of confidence taken when they are written."""
+    kind = F.when(F.col("event_type").isin("purchase", "signup"), "thumbs_up").when(F.col("event_type") == "error", "thumbs_down")
+    rows = events.select(F.col("event_id").alias("id"), F.col("user_id").alias("generation_id"), F.get_json_object("props", "$.k").cast("bigint").alias("element_id"), kind.alias("feedback_type"), F.col("ts").cast("timestamp_ntz").alias("created_at"))
+    return B.with_delta(rows.where("feedback_type is not null")).withColumn("day", F.to_date("created_at")).selectExpr(*[x.split()[0] for x in FEEDBACK.split(", ")])
+
+
+@query("stream_feedback_store", sql("v_feedback", f"select id, generation_id, element_id, feedback_type, {_DELTA}::double as delta, epoch_us(created_at) as created_us from v_feedback where created_at >= timestamp '2024-01-08 00:00:00'"))
+def _(spark, d):
+    """Feedback written by a stream, its first batch handed in again, days before the bound dropped."""
+    from fusegrid.streaming import state as T
+
+    folder = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    store = T.UpsertTable(spark, f"{folder}/table", FEEDBACK, "id", "day")
+    put = lambda old, new: G.upsert(old, new, "id")
+    T.merge_stream(feedback_rows(T.event_stream(spark, d)), store, put, f"{folder}/state")
+    store.merge(feedback_rows(W.table(spark, d, "events")), 0, put)
+    store.retain("2024-01-08", 1_000_000)
+    return store.read().select("id", "generation_id", "element_id", "feedback_type", "delta", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', created_at)").alias("created_us"))
+
+
 @query("stream_sessions")
 def _(spark, d):
     from fusegrid.streaming import state as T
