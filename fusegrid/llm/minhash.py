@@ -6,10 +6,10 @@ similarity, a pair is given up as soon as the posterior probability that it reac
 
 Equal sets are one class. Documents that candidates connect form a group; pairs are never written out for a whole group:
 
-1. A group of up to ``MEMBERS`` documents is one task's: all its pairs are met there, but those that links found already join. Nearly all groups are such.
-2. In a larger group, each band's members meet the band's least member first, in parts of a bounded size, which joins most of what links. Then it is cut into blocks, and each
-   pair of blocks is met in a task of its own, with pairs inside one component left out; a task returns links that join components, not pairs.
-3. A group of more than ``MOST_BLOCKS`` blocks is not met as a whole: here the members of each band meet, cut by size and into blocks, on signatures, and what survives is verified.
+1. A group of up to ``MEMBERS`` documents is one task's: all its pairs are met there, but those that links found already join, and its components are known at once. Nearly all groups are such.
+2. A larger group is cut into blocks, and each pair of blocks is met in a task of its own; a task returns links that join what it holds, not pairs.
+3. A group of more than ``MOST_BLOCKS`` blocks is not met as a whole: each band's members meet the band's least member, in parts of a bounded size, which joins most of what links; then
+   the members of each band meet on signatures, cut by size and into blocks, pairs inside one component left out, and what survives is verified.
 
 Chances of missing a link at the threshold: 7e-9 that no band agrees at 85 %, and about ``MISS`` a batch; both fall with the similarity.
 
@@ -117,38 +117,75 @@ def group_links(docs: list[int], roles: list[int], sets: list[np.ndarray], perce
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n, digest of the set, signature (null of an empty set)."""
+    """doc_id, n, digest of the set, bands (its keys as bytes; null of an empty set)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in byte_slices(batches):
-            n, digest, signs = [], [], []
+            n, digest, bands = [], [], []
             for s in map(shingles, text_bytes(batch)):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                signs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n", "digest", "sign"])
+                bands.append(band_keys(signature(s)).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.binary())], ["doc_id", "n", "digest", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, sign binary")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, bands binary")
 
 
-def _bands(heads: DataFrame) -> DataFrame:
+def _bands(classes: DataFrame) -> DataFrame:
     """rep, n, band."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in byte_slices(batches, "sign"):
-            keys = [band_keys(np.frombuffer(s, np.uint32)) for s in batch.column("sign").to_pylist()]
+        for batch in byte_slices(batches, "bands"):
+            keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
             spread = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS)) for c in ("rep", "n")]
-            yield pa.RecordBatch.from_arrays([*spread, pa.array(np.concatenate(keys))], ["rep", "n", "band"])
+            yield pa.RecordBatch.from_arrays([*spread, pa.array(keys)], ["rep", "n", "band"])
 
-    return heads.select("rep", "n", "sign").mapInArrow(run, "rep long, n long, band long")
+    return classes.select("rep", "n", "bands").mapInArrow(run, "rep long, n long, band long")
 
 
-def _meet(rows: DataFrame, keys: list[str], percent: int, across: bool = False) -> DataFrame:
-    """Links (a, b) within the groups of ``keys`` of rows (role, comp, doc_id, text). ``across``: in groups whose last two keys differ, only between roles."""
+def _hub_pairs(bands: DataFrame) -> DataFrame:
+    """(a, b, n): each band's least member with each of its others; a band is read once, in order, and never held."""
+    rows = bands.repartition(shuffle_partitions(bands.sparkSession), "band").sortWithinPartitions("band", "rep")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        band, hub = None, None
+        for batch in batches:
+            at, rep, n = (batch.column(c).to_numpy() for c in ("band", "rep", "n"))
+            if not len(at):
+                continue
+            new = np.append(band is None or at[0] != band, at[1:] != at[:-1])
+            head = np.where(new, np.arange(len(at)), -1)
+            np.maximum.accumulate(head, out=head)
+            hubs = np.where(head >= 0, rep[head], hub if hub is not None else 0)
+            band, hub = at[-1], hubs[-1]
+            other = rep != hubs
+            yield pa.RecordBatch.from_arrays([pa.array(hubs[other]), pa.array(rep[other]), pa.array(n[other])], ["a", "b", "n"])
+
+    return rows.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.max("n").alias("n"))
+
+
+def _signs(docs: DataFrame) -> DataFrame:
+    """rep, n, sign."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in byte_slices(batches):
+            sets = [shingles(t) for t in text_bytes(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["rep", "n", "sign"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "rep long, n long, sign binary").where("n > 0")
+
+
+def _meet(rows: DataFrame, keys: list[str], percent: int, across: bool = False, whole: bool = False) -> DataFrame:
+    """Links (a, b) within the groups of ``keys`` of rows (role, comp, doc_id, text). ``across``: in groups whose last two keys differ, only between roles.
+    ``whole``: instead each id with its group's component, as (a, b) too, where it is not the least itself."""
     columns = ["role", "comp", "doc_id", "text"]
     rows = rows.repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "role").select(*keys, *columns)
 
@@ -163,8 +200,17 @@ def _meet(rows: DataFrame, keys: list[str], percent: int, across: bool = False)
                 comps.append(comp)
                 sets.append(shingles((text or "").encode()))
             found = group_links(ids, roles, sets, percent, comps, across and key[-1] != key[-2])
+            if whole:
+                least: dict[int, int] = {}
+                for a, b in found:
+                    x, y = least.get(a, a), least.get(b, b)
+                    joined = [k for k in {a, b, *least} if least.get(k, k) in (x, y)]
+                    least.update(dict.fromkeys(joined, min(x, y)))
+                found = [(k, v) for k, v in least.items() if k != v]
+            else:
+                found = [(min(p), max(p)) for p in found]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -229,33 +275,33 @@ def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
     known = docs.where("doc_id is not null")
     own = materialize(features(docs))
     sets = own.where("n > 0 and doc_id is not null")
-    classes = materialize(sets.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "sign"), "doc_id").alias("r"), F.count("*").alias("rows")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.sign").alias("sign")))
-    bands = materialize(_bands(classes))
-    hubs = bands.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1")
-    pairs = materialize(bands.join(hubs, "band").where("rep <> a").groupBy("a", F.col("rep").alias("b")).agg(F.max("n").alias("n")))
+    classes = materialize(sets.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "bands"), "doc_id").alias("r")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands")))
+    pairs = materialize(_hub_pairs(_bands(classes)))
     of_class = classes.select("digest", "rep")
     repeated = sets.groupBy("doc_id").agg(F.countDistinct("digest").alias("c")).where("c > 1").select("doc_id")
-    same_id = sets.select("doc_id", "digest").join(repeated, "doc_id").join(of_class, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    same_id = materialize(sets.select("doc_id", "digest", "n").join(repeated, "doc_id").join(of_class, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), "n"))
     edges = lambda df: df.select(F.col("a").alias("u"), F.col("b").alias("v"))
     sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
-    groups = components(edges(pairs)).join(sizes, "id").select(F.col("component").alias("grp"), F.col("id").alias("doc_id"), "n")
+    groups = components(edges(pairs.union(same_id))).join(sizes, "id", "left").select(F.col("component").alias("grp"), F.col("id").alias("doc_id"), F.coalesce("n", F.lit(0)).alias("n"))
     blocks = F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n") / SHINGLES)).cast("int")
     groups = materialize(groups.join(groups.groupBy("grp").agg(blocks.alias("blocks")), "grp"))
-    small = groups.where("blocks = 1").select("grp", "doc_id", F.col("doc_id").alias("comp"), F.lit(0).alias("role"))
-    first = materialize(_meet(known.join(small, "doc_id"), ["grp"], percent).union(same_id))
+    # a document of several texts stands for the classes of all, which are other documents' too
+    joins = same_id.select(F.col("b").alias("doc_id"), F.col("a").alias("comp")).where("doc_id <> comp")
+    small = groups.where("blocks <= 1").select("grp", "doc_id", F.col("doc_id").alias("comp"), F.lit(0).alias("role"))
+    joined = materialize(_meet(known.join(small, "doc_id"), ["grp"], percent, whole=joins.isEmpty()).select(F.col("a").alias("id"), F.col("b").alias("component")))
     large = groups.where("blocks > 1")
-    if not large.isEmpty():
-        of_large = pairs.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi")
-        first = materialize(first.union(verified(known, of_large, percent)))
-        joined = components(edges(first))
-        labelled = materialize(large.join(joined, F.col("doc_id") == F.col("id"), "left").select("grp", "doc_id", "blocks", F.coalesce("component", "doc_id").alias("comp")))
-        apart = labelled.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp")
-        labelled = labelled.join(apart, "grp", "left_semi")
-        first = materialize(first.union(_block_links(known, labelled.where(F.col("blocks") <= MOST_BLOCKS), percent)))
-        huge = labelled.where(F.col("blocks") > MOST_BLOCKS).select(F.col("doc_id").alias("rep"), F.col("comp").alias("component"))
-        members = bands.join(huge, "rep").join(classes.select("rep", "n", "sign"), ["rep", "n"]).select("band", "rep", "n", "component", "sign")
-        first = materialize(first.union(verified(known, materialize(candidates(materialize(members), percent)), percent)))
-    joined = components(edges(first))
+    if not large.isEmpty() or not joins.isEmpty():
+        links = same_id.select("a", "b").union(joined.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        met = large.where(F.col("blocks") <= MOST_BLOCKS).select("grp", "doc_id", F.col("doc_id").alias("comp"), "blocks")
+        links = links.union(_block_links(known, met, percent))
+        huge = large.where(F.col("blocks") > MOST_BLOCKS).select(F.col("doc_id").alias("rep"))
+        if not huge.isEmpty():
+            first = materialize(verified(known, pairs.join(huge.withColumnRenamed("rep", "a"), "a", "left_semi"), percent))
+            of_huge = huge.join(components(edges(first)), F.col("rep") == F.col("id"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
+            signs = _signs(known.join(huge.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"))
+            members = materialize(_bands(classes).join(of_huge, "rep").join(signs, ["rep", "n"]).select("band", "rep", "n", "component", "sign"))
+            links = links.union(first).union(verified(known, materialize(candidates(members, percent)), percent))
+        joined = components(edges(links))
     of_class = of_class.join(joined, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     rows = own.select("doc_id", "n", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))

@@ -49,8 +49,7 @@ def test_second_round_finds_every_link(spark, monkeypatch):
     sets = [M.shingles((t or "").encode()) for t in texts]
     docs = documents(spark, texts)
     own = M.features(docs.select("doc_id", "text")).where("n > 0").withColumnRenamed("doc_id", "rep")
-    bands = M._bands(own)
-    members = bands.join(own.select("rep", "sign"), "rep").selectExpr("band", "rep", "n", "rep as component", "sign")
+    members = M._bands(own).join(M._signs(docs).drop("n"), "rep").selectExpr("band", "rep", "n", "rep as component", "sign")
     pairs = {(r["a"], r["b"]) for r in M.candidates(members, 85).collect()}
     want = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i]) and len(sets[j]) and M.links(sets[i], sets[j], 85)}
     assert want and pairs >= want and len(pairs) < len(sets) ** 2 / 8
