@@ -244,13 +244,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
         for batch in batches:
             vectors = _matrix(batch.column("v"))
-            lists = [tree.visit(v, counts, visits, k + 1) for v in vectors] if batch.num_rows else []
+            lists = [tree.visit(v, counts, visits, k + own) for v, own in zip(vectors, batch.column("own").to_pylist(), strict=True)]  # rows of its own id are no candidates
             least = bounds(vectors, batch.column("vec_id").to_numpy(), lists, x, x_ids, x_leaf, k) if batch.num_rows else np.zeros(0)
             of = [i for i, own in enumerate(lists) for _ in own]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(of, pa.int64())), batch.column("v").take(pa.array(of, pa.int64())), pa.array([leaf for own in lists for leaf in own], pa.int32()), pa.array(least[of] if of else [], pa.float64())], ["query_id", "q", "leaf", "least"])
 
     # dealt by another key than that of the distinct ids, so that planning has many tasks
-    wanted = usable(queries, id_col, vector_col, x.shape[1]).dropDuplicates(["vec_id"]).repartition(shuffle_partitions(spark), F.xxhash64("vec_id", F.lit(2)))
+    asking = usable(queries, id_col, vector_col, x.shape[1]).groupBy("vec_id").agg(F.min("v").alias("v"))  # of a repeated id the vector that is first in order asks
+    sizes = rows.groupBy("vec_id").count().where("count > 1").select("vec_id", F.col("count").alias("own"))
+    wanted = asking.join(sizes, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own")).repartition(shuffle_partitions(spark), F.xxhash64("vec_id", F.lit(2)))
     asked = materialize(wanted.mapInArrow(plan, "query_id long, q array<double>, leaf int, least double"))
     load = asked.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / QUERY_ROWS).cast("int").alias("parts"))
     # a row a leaf

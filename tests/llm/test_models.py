@@ -337,3 +337,12 @@ def test_vector_search_repeated_ids(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     out = ann.search(df, df.where("vec_id = 0"), k=10).orderBy("rank").collect()
     assert [(r["vec_id"], round(r["score"], 6)) for r in out] == [(5, 0.9), (5, 0.8), (7, 0.1)]
+
+
+def test_a_query_finds_others_behind_many_rows_of_its_own_id(spark):
+    r = np.random.default_rng(8)
+    centers = np.eye(9, 16) * 10
+    rows = [(100 + i, (centers[i % 8] + r.normal(size=16) * 0.1).tolist()) for i in range(1500)] + [(20, (centers[8] + r.normal(size=16) * 0.1).tolist()) for _ in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    some = [ann.search(df, df.where("vec_id = 20"), k=20).orderBy("rank").collect() for _ in range(2)]
+    assert len(some[0]) == 20 and some[0] == some[1] and all(x["vec_id"] != 20 for x in some[0]) and len({x["vec_id"] for x in some[0]}) == 20
