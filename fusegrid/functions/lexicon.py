@@ -259,6 +259,12 @@ STATEMENT_FORMS = [
     (r"(.+?)\s*-->\s*\[(.+?)\]", '"{1}" has property "{2}"'),
 ]
 
+# The lines in which the reasoner tells its results, as patterns of statement, frequency and confidence.
+REASONER_LINES = {
+    "answer": r"Answer:\s*(.+?)\.\s*creationTime=\d+\s*Truth:\s*frequency=([\d.]+)\s*confidence=([\d.]+)",
+    "derived": r"Derived:\s*(.+?)\s*Truth:\s*frequency=([\d.]+)\s*confidence=([\d.]+)",
+}
+
 # Fixed value: how every generated document begins.
 DOCUMENT_HEAD = """<!DOCTYPE html>
 <html lang="en">

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fusegrid.functions import scalar as S
+from fusegrid.sources.io import materialize
 
 
 def query_metrics(results: DataFrame, *keys: str) -> DataFrame:
@@ -25,7 +26,8 @@ def counted_metrics(results: DataFrame, *keys: str) -> DataFrame:
 
 
 def aggregate(metrics: DataFrame) -> DataFrame:
-    """Means over queries and nearest-rank percentiles of latency; zeros without queries."""
+    """Means over queries and nearest-rank percentiles of latency; zeros without queries. The rows, one a query, are written once, as they are read several times."""
+    metrics = materialize(metrics)
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}")
     means = metrics.agg(F.count("*").alias("queries"), *[mean(c) for c in ("precision", "recall", "f1", "hallucination", "latency")])
     ranks = nearest_rank_percentiles(metrics, "latency", [])

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from fusegrid.functions import lexicon as L
 from fusegrid.functions import scalar as S
 from fusegrid.functions import vectors as V
+from fusegrid.operators.stylesheets import style_rules
+from fusegrid.sources.io import materialize
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -58,13 +60,14 @@ def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
         kinds = [("page_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("names", pa.list_(pa.string())), ("vals", pa.list_(pa.string())), ("text", pa.string())]
         for batch in batches:
-            rows = []
-            for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                parser = _Nodes()
-                parser.feed(html or "")
-                parser.close()
-                rows += [{"page_id": page, **r} for r in parser.rows]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+            for at in range(0, batch.num_rows, 32):  # the nodes of so many pages are held
+                part, rows = batch.slice(at, 32), []
+                for page, html in zip(part.column("page_id").to_pylist(), part.column("html").to_pylist(), strict=True):
+                    parser = _Nodes()
+                    parser.feed(html or "")
+                    parser.close()
+                    rows += [{"page_id": page, **r} for r in parser.rows]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, NODES)
 
@@ -82,11 +85,7 @@ def structure(nodes: DataFrame) -> DataFrame:
 
 def css_rules(sheets: DataFrame, id_col: str, css_col: str) -> DataFrame:
     """(id, ord, selector, name, value): declarations of every rule set, also inside at-rules."""
-    plain = F.regexp_replace(css_col, r"(?s)/\*.*?\*/", "")
-    sets = F.arrays_zip(F.regexp_extract_all(plain, F.lit(r"([^{};]+)\{([^{}]*)\}"), 1).alias("s"), F.regexp_extract_all(plain, F.lit(r"([^{};]+)\{([^{}]*)\}"), 2).alias("b"))
-    rows = sheets.select(F.col(id_col), F.posexplode(sets).alias("ord", "r")).select(id_col, "ord", F.trim(F.regexp_replace("r.s", r"\s+", " ")).alias("selector"), F.explode(F.split("r.b", ";")).alias("d"))
-    rows = rows.where(F.col("d").contains(":"))
-    return rows.select(id_col, "ord", "selector", F.trim(F.regexp_extract("d", r"(?s)^\s*([^:]+):", 1)).alias("name"), F.trim(F.regexp_extract("d", r"(?s)^[^:]*:(.*)$", 1)).alias("value"))
+    return style_rules(sheets, id_col, css_col).drop("context")
 
 
 def design_tokens(rules: DataFrame) -> DataFrame:
@@ -176,23 +175,31 @@ def map_elements(nodes: DataFrame, systems: DataFrame, key: str = "page_id", roo
 
 
 def statements(elements: DataFrame, key: str = "page_id", tokens: DataFrame | None = None, frequency: float = 0.9, confidence: float = 0.5) -> DataFrame:
-    """(key, kind, statement): instance, class property, interactivity, system membership, tokens, used hierarchy, top level."""
-    truth = F.lit(f". %{frequency:.2f};{confidence:.2f}%")
-    e = elements.withColumn("_e", S.element_term(F.col("category"), F.col("classes")))
-    put = lambda df, kind, *parts: df.select(key, F.lit(kind).alias("kind"), F.concat(*parts).alias("statement"))
-    out = put(e, "instance", F.lit("{"), "_e", F.lit("} --> "), S.category_term(F.col("category")), truth)
-    out = out.union(put(e.select(key, "_e", F.explode("classes").alias("c")), "property", "_e", F.lit(" --> ["), S.sanitize_term(F.col("c")), F.lit("]"), truth))
-    out = out.union(put(e.where("interactive"), "property", "_e", F.lit(" --> [interactive]"), truth))
-    out = out.union(put(e, "instance", F.lit("{"), "_e", F.lit("} --> "), S.system_term(F.col("design_system")), truth))
+    """(key, kind, statement): instance, class property, interactivity, system membership, tokens, used hierarchy, top level.
+
+    The elements are read once: each gives all that it says as an array, and what holds for a page as a whole is made distinct behind it.
+    """
+    truth, sure = F.lit(f". %{frequency:.2f};{confidence:.2f}%"), F.lit(". %1.00;0.90%")
+    term = S.element_term(F.col("category"), F.col("classes"))
+    said = lambda kind, once, *parts: F.struct(F.lit(kind).alias("kind"), F.concat(*parts).alias("statement"), F.lit(once).alias("once"))
+    parents = {c: p for p, cs in L.CATEGORY_PARENTS.items() for c in cs}
+    parent = _mapped(F.col("category"), parents)
+    own = F.array(
+        said("instance", False, F.lit("{"), term, F.lit("} --> "), S.category_term(F.col("category")), truth),
+        said("instance", False, F.lit("{"), term, F.lit("} --> "), S.system_term(F.col("design_system")), truth),
+        F.when(F.col("interactive"), said("property", False, term, F.lit(" --> [interactive]"), truth)),
+        F.when(parent.isNotNull(), said("inheritance", True, S.category_term(F.col("category")), F.lit(" --> "), parent, sure)),
+        *[said("inheritance", True, F.lit(p), F.lit(" --> UIElement"), sure) for p in L.CATEGORY_PARENTS],
+    )
+    classes = F.transform("classes", lambda c: said("property", False, term, F.lit(" --> ["), S.sanitize_term(c), F.lit("]"), truth))
+    rows = elements.select(key, F.monotonically_increasing_id().alias("_n"), F.explode(F.filter(F.concat(own, classes), lambda x: x.isNotNull())).alias("s")).select(key, "s.*", "_n")
+    # a row of what is said once a page has no number of its own
+    once = rows.withColumn("_n", F.when(~F.col("once"), F.col("_n"))).groupBy(key, "kind", "statement", "_n").agg(F.count("*").alias("_c"), F.first("once").alias("once"))
+    out = once.withColumn("_r", F.explode(F.sequence(F.lit(1), F.when(F.col("once"), F.lit(1)).otherwise(F.col("_c").cast("int"))))).select(key, "kind", "statement")
     if tokens is not None:
         n = S.sanitize_term(F.col("name"))
-        out = out.union(put(tokens, "instance", F.lit("<{"), n, F.lit("} --> DesignToken_"), "token_category", F.lit("> && <{"), n, F.lit("} --> [value_"), S.sanitize_term(F.col("value")), F.lit("]>"), truth))
-    parents = {c: p for p, cs in L.CATEGORY_PARENTS.items() for c in cs}
-    used = elements.select(key, "category").distinct().withColumn("_p", _mapped(F.col("category"), parents)).where("_p is not null")
-    sure = F.lit(". %1.00;0.90%")
-    out = out.union(put(used, "inheritance", S.category_term(F.col("category")), F.lit(" --> "), "_p", sure))
-    tops = elements.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, L.CATEGORY_PARENTS))).alias("_p"))
-    return out.union(put(tops, "inheritance", "_p", F.lit(" --> UIElement"), sure))
+        out = out.union(tokens.select(key, F.lit("instance").alias("kind"), F.concat(F.lit("<{"), n, F.lit("} --> DesignToken_"), "token_category", F.lit("> && <{"), n, F.lit("} --> [value_"), S.sanitize_term(F.col("value")), F.lit("]>"), truth).alias("statement")))
+    return out
 
 
 def embedding_text(elements: DataFrame, key: str = "page_id") -> DataFrame:
@@ -211,9 +218,9 @@ def _inside(html_col: str, tag: str, between: str) -> Column:
 
 
 def page_systems(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, design_system, system_confidence, interactive) of each page."""
+    """(page_id, design_system, system_confidence, interactive) of each page; calls are looked for in scripts without their comments and strings."""
     systems = detect_system(pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("_h"), _inside(html_col, "script", " ").alias("_j")), "_h", "_j")
-    active = F.coalesce(*[F.when(F.col("_j").contains(c), F.lit(True)) for c in [*L.DOM_CALLS, "addEventListener"]], F.lit(False))
+    active = F.coalesce(*[F.when(js_code(F.col("_j")).contains(c), F.lit(True)) for c in [*L.DOM_CALLS, "addEventListener"]], F.lit(False))
     return systems.select("page_id", "design_system", "system_confidence", active.alias("interactive"))
 
 
@@ -230,9 +237,9 @@ def extract_full(pages: DataFrame, dimensions: int = 1536, id_col: str = "page_i
     elements has an empty text and no embedding. Pages of one id count as one.
     """
     systems = page_systems(pages, id_col, html_col)
-    elements = map_elements(html_nodes(pages, id_col, html_col), systems)
+    elements = materialize(map_elements(html_nodes(pages, id_col, html_col), systems))  # read for counts, statements and texts
     sheets = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(_inside(html_col, "style", "\n"), F.lit("")).alias("_css"))
-    rules = css_rules(sheets, "page_id", "_css")
+    rules = materialize(css_rules(sheets, "page_id", "_css"))
     tokens = design_tokens(rules)
     style = rules.groupBy("page_id").agg(F.count("*").alias("rules"))
     named = tokens.groupBy("page_id").agg(F.array_sort(F.collect_set(F.concat_ws(" ", "token_category", "name", "value"))).alias("tokens"))

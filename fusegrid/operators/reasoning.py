@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fusegrid.functions import lexicon as L
+from fusegrid.sources.io import materialize
 
-MOST_ROUNDS = 4
 STATEMENT = "subject string, copula string, predicate string, frequency double, confidence double"
 
 
@@ -19,27 +19,32 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(L.RULES, "premise string, conclusion string, rule_frequency double, rule_confidence double")
 
 
-def close(statements: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(subject, predicate, frequency, confidence, depth) of inheritance up to ``rounds`` deductions.
+def close(statements: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(subject, predicate, frequency, confidence, depth) of all inheritance that deduction gives, or that ``rounds`` of it give.
 
-    f = f1 f2 and c = f1 f2 c1 c2; of several proofs the surest stays, the shorter of equals.
+    f = f1 f2 and c = f1 f2 c1 c2; of several proofs the surest stays, the shorter of equals. Each round takes only what the last one found one statement further: proofs that no other
+    of the same conclusion equals or beats in both numbers, as either may give the surest in the end. It ends when there are none. A proof carries the stamps of the statements that it
+    rests on and takes none of them twice. Rounds are written and read again.
     """
-    base = statements.where("copula = '-->'").select("subject", "predicate", "frequency", "confidence")
-    step = base.select(F.col("subject").alias("via"), F.col("predicate").alias("next"), F.col("frequency").alias("f2"), F.col("confidence").alias("c2"))
-    now = base.withColumn("depth", F.lit(1))
-    every = now
-    for depth in range(2, rounds + 1):
+    base = statements.where("copula = '-->'").groupBy("subject", "predicate").agg(F.max(F.struct("confidence", "frequency")).alias("m")).select("subject", "predicate", "m.frequency", "m.confidence")
+    base = materialize(base.withColumn("stamp", F.xxhash64("subject", "predicate")))
+    step = base.select(F.col("subject").alias("via"), F.col("predicate").alias("next"), F.col("frequency").alias("f2"), F.col("confidence").alias("c2"), F.col("stamp").alias("s2"))
+    known = base.select("subject", "predicate", "frequency", "confidence", F.lit(1).alias("depth"), F.array("stamp").alias("stamps"))
+    fresh = known
+    depth = 1
+    while rounds is None or depth < rounds:
+        depth += 1
         f = F.col("frequency") * F.col("f2")
-        now = now.join(step, now["predicate"] == step["via"]).where("subject <> next").select("subject", F.col("next").alias("predicate"), f.alias("frequency"), (f * F.col("confidence") * F.col("c2")).alias("confidence"), F.lit(depth).alias("depth"))
-        now = best(now)
-        every = every.unionByName(now)
-    return best(every)
-
-
-def best(derived: DataFrame) -> DataFrame:
-    """One row a (subject, predicate): the surest, then the shortest proof."""
+        found = fresh.join(step, F.col("predicate") == F.col("via")).where((F.col("subject") != F.col("next")) & ~F.array_contains("stamps", F.col("s2")))
+        found = found.select("subject", F.col("next").alias("predicate"), f.alias("frequency"), (f * F.col("confidence") * F.col("c2")).alias("confidence"), F.lit(depth).alias("depth"), F.array_append("stamps", F.col("s2")).alias("stamps"))
+        better = Window.partitionBy("subject", "predicate").orderBy(F.desc("frequency"), F.desc("confidence"), "depth", "stamps").rowsBetween(Window.unboundedPreceding, -1)
+        every = known.unionByName(found).withColumn("_c", F.max("confidence").over(better))
+        known = materialize(every.where("_c is null or confidence > _c").drop("_c"))
+        fresh = known.where(F.col("depth") == depth)
+        if fresh.isEmpty():
+            break
     top = F.max(F.struct("confidence", (-F.col("depth")).alias("d"), "frequency")).alias("m")
-    return derived.groupBy("subject", "predicate").agg(top).select("subject", "predicate", F.col("m.frequency").alias("frequency"), F.col("m.confidence").alias("confidence"), (-F.col("m.d")).alias("depth"))
+    return known.groupBy("subject", "predicate").agg(top).select("subject", "predicate", "m.frequency", "m.confidence", (-F.col("m.d")).alias("depth"))
 
 
 def apply_rules(facts: DataFrame, rule_table: DataFrame) -> DataFrame:
@@ -58,8 +63,7 @@ def revise(evidence: DataFrame, keys=("statement",)) -> DataFrame:
 
 def parse_reasoner(outputs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, ord, kind, statement, frequency, confidence) from answer lines, then derived lines; a bad number is 0."""
-    number = r"frequency=([\d.]+)\s*confidence=([\d.]+)"
-    kinds = {"answer": rf"Answer:\s*(.+?)\.\s*creationTime=\d+\s*Truth:\s*{number}", "derived": rf"Derived:\s*(.+?)\s*Truth:\s*{number}"}
+    kinds = L.REASONER_LINES
     parts = []
     for i, (kind, pattern) in enumerate(kinds.items()):
         groups = [F.regexp_extract_all(text_col, F.lit(pattern), g) for g in (1, 2, 3)]
@@ -70,16 +74,34 @@ def parse_reasoner(outputs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).where("statement <> ''")
 
 
+#: What joins two terms of a statement; a private character stands for each while brackets are paired.
+COPULAS = {"-->": "\ue000", "==>": "\ue001", "<->": "\ue002", "<=>": "\ue003"}
+
+
+def _bracketed(depth: int) -> str:
+    """A pattern of a text in angle brackets with others inside, down to a depth."""
+    inside = "[^<>]"
+    for _ in range(depth):
+        inside = f"(?:[^<>]|<{inside}*>)"
+    return f"<{inside}*>"
+
+
 def parse_translation(outputs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, ord, statement, frequency, confidence): the first bracketed part of each line that is not blank or a comment.
+    """(id, ord, statement, frequency, confidence): the first statement of each line of a reply, ord the line's number.
 
-    A part ends at the first ``>``, that of the arrow included; parse_statement_lines reads whole statements.
+    A statement is a pair of angle brackets with all that is in it (others down to three deep, and copulas), perhaps a full stop, and perhaps a truth value ``{f|c}``; without one it
+    holds with frequency 1 and confidence 0.9. Lines of a comment (after // or #) say nothing.
     """
-    pattern = r"(<[^>]+>(?:\s*\.)?)\s*(?:\{([\d.]+)\|([\d.]+)\})?"
-    lines = outputs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("ord", "l")).withColumn("l", F.trim("l"))
-    kept = lines.where((F.col("l") != "") & ~F.col("l").startswith("//") & ~F.col("l").startswith("#"))
-    part = lambda i: F.regexp_extract("l", pattern, i)
-    return kept.select(id_col, "ord", F.rtrim(F.trim(part(1)), F.lit(".")).alias("statement"), F.coalesce(part(2).try_cast("double"), F.lit(1.0)).alias("frequency"), F.coalesce(part(3).try_cast("double"), F.lit(0.9)).alias("confidence")).where("statement <> ''")
+    line = F.col("_line")
+    for sign, stand_in in COPULAS.items():
+        line = F.replace(line, F.lit(sign), F.lit(stand_in))
+    whole = f"({_bracketed(3)})" + r"[ \t]*\.?[ \t]*(?:\{[ \t]*(\d*\.?\d+)[ \t]*\|[ \t]*(\d*\.?\d+)[ \t]*\})?"
+    rows = outputs.select(id_col, F.posexplode(F.split(text_col, r"\r?\n")).alias("ord", "_line")).where(~F.col("_line").rlike(r"^\s*(//|#)")).withColumn("_l", line)
+    statement = F.regexp_extract("_l", whole, 1)
+    for sign, stand_in in COPULAS.items():
+        statement = F.replace(statement, F.lit(stand_in), F.lit(sign))
+    number = lambda i, otherwise: F.coalesce(F.regexp_extract("_l", whole, i).try_cast("double"), F.lit(otherwise))
+    return rows.select(id_col, "ord", statement.alias("statement"), number(2, 1.0).alias("frequency"), number(3, 0.9).alias("confidence")).where("statement <> ''")
 
 
 def parse_truth(text):

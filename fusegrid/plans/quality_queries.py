@@ -14,7 +14,6 @@ from fusegrid.operators import hyperedges as HE
 from fusegrid.plans.graph_queries import similar_edges
 from fusegrid.sources import io
 from fusegrid.sources import views as W
-from fusegrid.sources.views import _literal
 from fusegrid.sources.views import with_views as sql
 
 QUERIES: dict = {}
@@ -175,9 +174,10 @@ def _(spark, d):
     return out.select("operations", F.round("success_rate", 6).alias("success_rate"), F.round("average_retries", 6).alias("average_retries"))
 
 
-@query("backoff_delay", "select i::int as attempt, least(100.0 * power(2, i), 10000.0)::double as delay_ms from range(10) t(i)")
+@query("backoff_delay", "select event_id, (event_id % 12)::int as attempt, least(100.0 * power(2, event_id % 12), 10000.0)::double as delay_ms from events where event_type = 'error'")
 def _(spark, d):
-    return spark.range(10).select(F.col("id").cast("int").alias("attempt"), S.backoff_ms(F.col("id")).alias("delay_ms"))
+    failed = W.table(spark, d, "events").where("event_type = 'error'").withColumn("attempt", (F.col("event_id") % 12).cast("int"))
+    return failed.select("event_id", "attempt", S.backoff_ms(F.col("attempt")).alias("delay_ms"))
 
 
 @query("rolling_latency", sql("v_outcome", ", w as (select service, event_id, round(sum(latency) over (partition by service order by ts, event_id rows between 999 preceding and current row), 2)::double as total, row_number() over (partition by service order by ts, event_id) as seen from v_outcome) select service, event_id, total / least(seen, 1000) as moving, seen from w"))
@@ -276,36 +276,42 @@ def _(spark, d):
     return T.drain(T.sessions(T.event_stream(spark, d), "6 hours"), [], "append", _folder(spark)).select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
-_MESSAGES = [('{"id": "1", "type": "query", "timestamp": 5, "payload": {"q": "x"}}',), ("broken {",), ('{"type": "ping"}',)]
-
-
-@query("message_decode", "select * from (values ('1', 'query', 5::bigint, '{\"q\":\"x\"}'), (null, 'error', null, 'broken {'), (null, 'error', null, '{\"type\": \"ping\"}')) t(id, type, timestamp, payload)")
+@query("message_decode", """select case when event_id % 5 < 3 then event_id::varchar end as id, case when event_id % 5 < 3 then event_type else 'error' end as type, case when event_id % 5 < 3 then user_id end as timestamp,
+  case event_id % 5 when 3 then 'broken {' || event_id when 4 then '{"type": "ping", "n": ' || event_id || '}' else replace(props, ' ', '') end as payload from events""")
 def _(spark, d):
-    return io.decode_messages(spark.createDataFrame(_MESSAGES, "value string"))
-
-
-_LINES = [("// head",), ("",), ("<a --> b>. {1.0|0.99}",), ("  <c --> [d]>. {0.5|0.9}",), ("<e --> f>.",)]
+    n = F.col("event_id")
+    whole = F.concat(F.lit('{"id": "'), n.cast("string"), F.lit('", "type": "'), "event_type", F.lit('", "timestamp": '), F.col("user_id").cast("string"), F.lit(', "payload": '), "props", F.lit("}"))
+    line = F.when(n % 5 == 3, F.concat(F.lit("broken {"), n.cast("string"))).when(n % 5 == 4, F.concat(F.lit('{"type": "ping", "n": '), n.cast("string"), F.lit("}"))).otherwise(whole)
+    return io.decode_messages(W.table(spark, d, "events").select(line.alias("value")))
 
 
-@query("statement_lines", "select * from (values ('<a --> b>', 1.0::double, 0.99::double), ('<c --> [d]>', 0.5, 0.9), ('<e --> f>', 1.0, 0.9)) t(statement, frequency, confidence)")
+@query("statement_lines", "select '<' || p_name || case when p_partkey % 5 = 2 then ' --> [' || p_type || ']>' else ' --> ' || p_type || '>' end as statement, case p_partkey % 5 when 1 then 1.0 when 2 then 0.5 else 1.0 end::double as frequency, case p_partkey % 5 when 1 then 0.99 when 2 then 0.8 else 0.9 end::double as confidence from part where p_partkey % 5 in (1, 2, 3)")
 def _(spark, d):
-    return io.parse_statement_lines(spark.createDataFrame(_LINES, "value string"))
+    """A statement file written from the parts, with comments and empty lines, and read again."""
+    n = F.col("p_partkey") % 5
+    text = lambda form: F.format_string(form, "p_name", "p_type")
+    line = F.when(n == 0, text("// %s %s")).when(n == 1, text("<%s --> %s>. {1.0|0.99}")).when(n == 2, text("  <%s --> [%s]>. {0.5|0.8}")).when(n == 3, text("<%s --> %s>.")).otherwise(F.lit(" "))
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    W.table(spark, d, "part").select(line.alias("value")).write.text(path)
+    return io.read_statements(spark, path)
 
 
-_IDS = [("6f9619ff-8b86-4011-b42d-00c04fc964ff",), ("6F9619FF-8B86-4011-B42D-00C04FC964FF",), ("nope",), ("",)]
+_HEX = "md5(url)"
+_AS_ID = "h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32]"
 
 
-@query("uuid_or_nil", "with i(text) as (values " + _literal(_IDS) + ") select text, case when regexp_matches(text, '^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$') then lower(text) else '00000000-0000-0000-0000-000000000000' end as id from i")
+@query("uuid_or_nil", f"with i as (select page_id, url, {_HEX} as h from pages) select page_id, case page_id % 3 when 2 then '00000000-0000-0000-0000-000000000000' else {_AS_ID} end as id from i")
 def _(spark, d):
-    return spark.createDataFrame(_IDS, "text string").select("text", S.uuid_or_nil(F.col("text")).alias("id"))
+    h = F.md5("url")
+    own = F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    text = F.when(F.col("page_id") % 3 == 0, own).when(F.col("page_id") % 3 == 1, F.upper(own)).otherwise(F.concat(own, F.lit("x")))
+    return W.table(spark, d, "pages").select("page_id", S.uuid_or_nil(text).alias("id"))
 
 
-@query("info_values", "select 'hits' as name, 12::bigint as value union all select 'misses', 4 union all select 'other', null")
+@query("info_values", "select event_id, user_id as hits, case when event_id % 2 = 0 then event_id end as misses from events")
 def _(spark, d):
-    text = F.lit("# Stats\nhits:12\nmisses:4\n")
-    rows = spark.createDataFrame([("hits",), ("misses",), ("other",)], "name string")
-    value = lambda k: S.info_value(text, k).cast("long")
-    return rows.select("name", F.when(F.col("name") == "hits", value("hits")).when(F.col("name") == "misses", value("misses")).otherwise(value("other")).alias("value"))
+    text = F.concat(F.lit("# Stats\nkeyspace_hits:1\nhits:"), F.col("user_id").cast("string"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("\nmisses:"), F.col("event_id").cast("string"), F.lit("\n"))).otherwise(F.lit("\nmisses:none")))
+    return W.table(spark, d, "events").select("event_id", S.info_value(text, "hits").cast("long").alias("hits"), S.info_value(text, "misses").cast("long").alias("misses"))
 
 
 @query("cache_eviction", "with e as (select event_id as key, ts as stored_at from events), n as (select 7::bigint as key, timestamp '2024-01-30 00:00:00' as stored_at), h as (select count(*) as held from e)"

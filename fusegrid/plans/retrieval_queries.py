@@ -155,12 +155,15 @@ def _(spark, d):
     return hybrid(spark, d, _requests(spark))
 
 
-_CANDIDATES = "select * from (values (1, 7, 'a', 'promo', 0.5, 0.1, 'vector'), (1, 7, 'a', 'promo', 0.7, 0.4, 'graph'), (1, 8, 'b', 'small', 0.9, 0.0, 'fulltext'), (2, 7, 'a', 'promo', 0.3, 0.2, 'graph'), (2, 7, 'a', 'promo', 0.3, 0.2, 'vector')) t(query_id, element_id, name, category, similarity, graph_degree, source)"
+_CANDIDATES = """select p_partkey % 50 as query_id, p_partkey // 100 as element_id, p_name as name, lower(p_type) as category, p_size / 64.0::double as similarity, p_partkey % 16 / 16.0::double as graph_degree,
+  case p_partkey % 3 when 0 then 'vector' when 1 then 'fulltext' else 'graph' end as source from part"""
 
 
-def _candidates(spark):
-    rows = [(1, 7, "a", "promo", 0.5, 0.1, "vector"), (1, 7, "a", "promo", 0.7, 0.4, "graph"), (1, 8, "b", "small", 0.9, 0.0, "fulltext"), (2, 7, "a", "promo", 0.3, 0.2, "graph"), (2, 7, "a", "promo", 0.3, 0.2, "vector")]
-    return spark.createDataFrame(rows, "query_id int, element_id int, name string, category string, similarity double, graph_degree double, source string")
+def _candidates(spark, d):
+    """Candidates that branches found, made of the parts: two of an element for each request."""
+    n = F.col("p_partkey")
+    source = F.when(n % 3 == 0, "vector").when(n % 3 == 1, "fulltext").otherwise("graph")
+    return W.table(spark, d, "part").select((n % 50).alias("query_id"), F.floor(n / 100).alias("element_id"), F.col("p_name").alias("name"), F.lower("p_type").alias("category"), (F.col("p_size") / 64.0).alias("similarity"), (n % 16 / 16.0).alias("graph_degree"), source.alias("source"))
 
 
 _SCORE = "round(0.5 * 0.5 + 0.3 * similarity + 0.2 * graph_degree, 6)::double"
@@ -168,13 +171,13 @@ _SCORE = "round(0.5 * 0.5 + 0.3 * similarity + 0.2 * graph_degree, 6)::double"
 
 @query("rank_score", f"with c as ({_CANDIDATES}) select query_id, element_id, source, {_SCORE} as final_score from c")
 def _(spark, d):
-    ranked = H.rank(_candidates(spark).withColumn("narsese_confidence", F.lit(0.5)))
+    ranked = H.rank(_candidates(spark, d).withColumn("narsese_confidence", F.lit(0.5)))
     return ranked.select("query_id", "element_id", "source", F.round("final_score", 6).alias("final_score"))
 
 
 @query("fusion_dedup", f"with c as ({_CANDIDATES}) select query_id, element_id, source, final_score from (select *, {_SCORE} as final_score, row_number() over (partition by query_id, element_id order by {_SCORE} desc, case source when 'vector' then 0 when 'fulltext' then 1 else 2 end) as k from c) where k = 1")
 def _(spark, d):
-    ranked = H.rank(_candidates(spark).withColumn("narsese_confidence", F.lit(0.5))).withColumn("final_score", F.round("final_score", 6))
+    ranked = H.rank(_candidates(spark, d).withColumn("narsese_confidence", F.lit(0.5))).withColumn("final_score", F.round("final_score", 6))
     return H.dedup(ranked).select("query_id", "element_id", "source", "final_score")
 
 
@@ -223,10 +226,14 @@ def _(spark, d):
     return _rounded(X.aggregate(_evaluated(spark, d)), "queries")
 
 
-@query("eval_improvement", "select 120.588235::double as recall, 50.0::double as precision, 71.428571::double as hallucination, -166.666667::double as latency")
+_SYSTEMS = "select l_returnflag as system, avg(l_discount) as precision, avg(l_tax) as recall, avg(l_discount * l_tax) as hallucination, avg(l_quantity) as latency from lineitem group by 1"
+
+
+@query("eval_improvement", f"with s as ({_SYSTEMS}) select " + ", ".join(f"round({sign} * (b.{c} - a.{c}) / a.{c} * 100, 6)::double as {c}" for c, sign in (("precision", 1), ("recall", 1), ("hallucination", -1), ("latency", -1))) + " from s a, s b where a.system = 'A' and b.system = 'R'")
 def _(spark, d):
-    rows = spark.createDataFrame([("vector", 0.5, 0.34, 0.35, 45.0), ("hybrid", 0.75, 0.75, 0.10, 120.0)], "system string, precision double, recall double, hallucination double, latency double")
-    return _rounded(X.improvements(rows, "vector", "hybrid", {"precision": 1, "recall": 1, "hallucination": -1, "latency": -1}))
+    means = [F.avg(x).alias(c) for c, x in (("precision", F.col("l_discount")), ("recall", F.col("l_tax")), ("hallucination", F.col("l_discount") * F.col("l_tax")), ("latency", F.col("l_quantity")))]
+    rows = W.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("system")).agg(*means)
+    return _rounded(X.improvements(rows, "A", "R", {"precision": 1, "recall": 1, "hallucination": -1, "latency": -1}))
 
 
 @query("latency_percentiles", sql("v_outcome", ", n as (select service, latency, row_number() over (partition by service order by latency) as k, count(*) over (partition by service) as n from v_outcome) select service, max(n) as n, " + ", ".join(f"max(latency) filter (k = round({p / 100} * (n - 1)) + 1) as p{p}" for p in (50, 95, 99)) + " from n group by 1"))
@@ -345,15 +352,20 @@ def benchmark_rows() -> list[tuple[int, str, str, list[str]]]:
     return out
 
 
-@query("benchmark_dataset", "select * from (values " + ", ".join(f"('{g}', {n}, {3 * n})" for g, (n, _) in _GROUPS.items()) + ") t(grp, queries, expected)")
+def expected_ids(text):
+    return F.array(*[F.md5(F.concat(text, F.lit(f"#{k}"))) for k in range(3)])
+
+
+@query("benchmark_dataset", "select item_id, 'find' as intent, len(list_filter(regexp_extract_all(text, '\\b[a-zA-Z]{3,}\\b'), lambda w: not list_contains(" + P._STOP + ", lower(w)))) as terms, md5(text || '#0') as first_expected from benchmark")
 def _(spark, d):
-    rows = spark.createDataFrame(benchmark_rows(), "query_id int, grp string, text string, expected array<string>")
-    return rows.groupBy("grp").agg(F.count("*").alias("queries"), F.sum(F.size("expected")).alias("expected"))
+    """The texts of the benchmark as requests, each with three expected ids by rule."""
+    asked = U.process(W.table(spark, d, "benchmark"))
+    return asked.select("item_id", "intent", F.size("terms").alias("terms"), F.get(expected_ids(F.col("text")), F.lit(0)).alias("first_expected"))
 
 
 @query("match_reasons", f"with c as ({_CANDIDATES}) select query_id, element_id, source, 'confidence 0.50, similarity ' || format('{{:.2f}}', similarity::double) || ', connections ' || format('{{:.2f}}', graph_degree::double) as reason from c")
 def _(spark, d):
-    return _candidates(spark).select("query_id", "element_id", "source", S.match_reason(F.lit(0.5), F.col("similarity"), F.col("graph_degree")).alias("reason"))
+    return _candidates(spark, d).select("query_id", "element_id", "source", S.match_reason(F.lit(0.5), F.col("similarity"), F.col("graph_degree")).alias("reason"))
 
 
 @query("delete_points_batch", sql("v_point", "select (select count(*) from v_point where id % 7 = 3) + 2 as requested, count(*) as points, round(sum(p.vector[1]), 6)::double as first_sum from v_point p where id % 7 <> 3"))

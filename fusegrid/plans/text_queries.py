@@ -10,6 +10,7 @@ from fusegrid.operators import extraction as E
 from fusegrid.operators import generation as N
 from fusegrid.operators import reasoning as R
 from fusegrid.operators import understanding as U
+from fusegrid.operators.stylesheets import page_rules, style_rules
 from fusegrid.sources import views as W
 from fusegrid.sources.views import _literal
 from fusegrid.sources.views import with_views as sql
@@ -42,42 +43,48 @@ def _terms_sql(text: str, lexicon: dict[str, str]) -> str:
 
 
 _STOP = "[" + ", ".join(map(_quoted, L.STOP_WORDS)) + "]"
-PROCESSED = sql("v_query", f""", p as (select query_id, text, {_intent_sql("text", L.INTENTS)} as intent, {_terms_sql("text", L.COMPONENTS)} as components, {_terms_sql("text", L.ATTRIBUTES)} as attributes,
-  list_transform(regexp_extract_all(text, '\\b[a-zA-Z]{{3,}}\\b'), lambda w: lower(w)) as words from v_query),
+def processed_sql(views: str, asked: str) -> str:
+    """Requests of a view with intent, components, attributes and context, as ``c``."""
+    return sql(views, f""", p as (select query_id, text, {_intent_sql("text", L.INTENTS)} as intent, {_terms_sql("text", L.COMPONENTS)} as components, {_terms_sql("text", L.ATTRIBUTES)} as attributes,
+  list_transform(regexp_extract_all(text, '\\b[a-zA-Z]{{3,}}\\b'), lambda w: lower(w)) as words from {asked}),
   c as (select *, list_filter(words, lambda w: not list_contains({_STOP}, w) and not list_contains(components, w) and not list_contains(attributes, w)) as context from p)""")
 
 
-def _processed(spark):
-    return U.process(W.requests(spark))
+PROCESSED = processed_sql("v_query", "v_query")
+ASKED = processed_sql("v_component v_asked", "v_asked")
+
+
+def _processed(spark, d):
+    return U.process(W.asked(spark, d))
 
 
 def _joined(name):
     return F.array_join(name, ",").alias(name)
 
 
-@query("query_intent", PROCESSED + " select query_id, intent from c")
+@query("query_intent", ASKED + " select query_id, intent from c")
 def _(spark, d):
-    return _processed(spark).select("query_id", "intent")
+    return _processed(spark, d).select("query_id", "intent")
 
 
-@query("query_components", PROCESSED + " select query_id, array_to_string(components, ',') as components from c")
+@query("query_components", ASKED + " select query_id, array_to_string(components, ',') as components from c")
 def _(spark, d):
-    return _processed(spark).select("query_id", _joined("components"))
+    return _processed(spark, d).select("query_id", _joined("components"))
 
 
-@query("query_attributes", PROCESSED + " select query_id, array_to_string(attributes, ',') as attributes from c")
+@query("query_attributes", ASKED + " select query_id, array_to_string(attributes, ',') as attributes from c")
 def _(spark, d):
-    return _processed(spark).select("query_id", _joined("attributes"))
+    return _processed(spark, d).select("query_id", _joined("attributes"))
 
 
-@query("query_context", PROCESSED + " select query_id, array_to_string(context, ',') as context from c")
+@query("query_context", ASKED + " select query_id, array_to_string(context, ',') as context from c")
 def _(spark, d):
-    return _processed(spark).select("query_id", _joined("context"))
+    return _processed(spark, d).select("query_id", _joined("context"))
 
 
-@query("query_terms", PROCESSED + " select query_id, array_to_string(list_concat(list_concat(components, attributes), context), ' OR ') as fulltext from c")
+@query("query_terms", ASKED + " select query_id, array_to_string(list_concat(list_concat(components, attributes), context), ' OR ') as fulltext from c")
 def _(spark, d):
-    return _processed(spark).select("query_id", U.fulltext_query(F.col("terms")).alias("fulltext"))
+    return _processed(spark, d).select("query_id", U.fulltext_query(F.col("terms")).alias("fulltext"))
 
 
 @query("conversation_intents", f"select {_intent_sql('text', L.INTENTS)} as intent, role, count(*) as n from conversations group by 1, 2")
@@ -91,7 +98,9 @@ def _(spark, d):
     return users.select("conv_id", "turn", F.array_join(S.search_terms(F.col("text"), L.COMPONENTS), ",").alias("components"))
 
 
-STATEMENTS = sql("v_query", f""", b as (select query_id, case when regexp_matches(text, '(?i)\\b(create|make|build|generate|add)\\b') then 'create' when regexp_matches(text, '(?i)\\b(change|modify|update|edit|fix)\\b') then 'modify' else 'find' end as intent, {_terms_sql("text", L.REASONER_COMPONENTS)} as found, {_terms_sql("text", L.REASONER_ATTRIBUTES)} as attrs from v_query),
+def statements_sql(views: str, asked: str) -> str:
+    """What the reasoner is told about the requests of a view, as ``s``."""
+    return sql(views, f""", b as (select query_id, case when regexp_matches(text, '(?i)\\b(create|make|build|generate|add)\\b') then 'create' when regexp_matches(text, '(?i)\\b(change|modify|update|edit|fix)\\b') then 'modify' else 'find' end as intent, {_terms_sql("text", L.REASONER_COMPONENTS)} as found, {_terms_sql("text", L.REASONER_ATTRIBUTES)} as attrs from {asked}),
   c as (select *, case when len(found) > 0 then found else ['component'] end as cs from b),
   l as (select query_id, list_concat(list_concat(list_concat([['<query --> [' || intent || ']>', '0.9']],
      flatten(list_transform(cs, lambda c: [['<' || c || ' --> component>', '0.9'], ['<query --> ' || c || '>', '0.8']]))),
@@ -100,106 +109,115 @@ STATEMENTS = sql("v_query", f""", b as (select query_id, case when regexp_matche
   s as (select query_id, unnest(range(len(s)))::int as ord, unnest(s) as z from l)""")
 
 
-@query("statements_from_query", STATEMENTS + " select query_id, ord, z[1] as statement, 1.0::double as frequency, z[2]::double as confidence from s")
+STATEMENTS = statements_sql("v_query", "v_query")
+TOLD = statements_sql("v_component v_asked", "v_asked")
+
+
+@query("statements_from_query", TOLD + " select query_id, ord, z[1] as statement, 1.0::double as frequency, z[2]::double as confidence from s")
 def _(spark, d):
-    return U.statements(W.requests(spark))
+    return U.statements(W.asked(spark, d))
 
 
-SEARCH_TERMS = STATEMENTS + """, t as (select query_id, ord, list_concat(list_filter(regexp_extract_all(z[1], '<(\\w+)\\s*-->', 1), lambda x: x <> 'query'), regexp_extract_all(z[1], '\\[(\\w+)\\]', 1)) as f from s),
+_SOUGHT = """, t as (select query_id, ord, list_concat(list_filter(regexp_extract_all(z[1], '<(\\w+)\\s*-->', 1), lambda x: x <> 'query'), regexp_extract_all(z[1], '\\[(\\w+)\\]', 1)) as f from s),
   u as (select query_id, ord, unnest(range(len(f))) as k, unnest(f) as term from t), m as (select query_id, term, min(ord * 1000 + k) as first from u group by 1, 2)"""
+SEARCH_TERMS = STATEMENTS + _SOUGHT
 
 
-@query("search_terms_from_statements", SEARCH_TERMS + " select query_id, coalesce(string_agg(term, ',' order by first), '') as terms from m group by 1")
+@query("search_terms_from_statements", TOLD + _SOUGHT + " select query_id, coalesce(string_agg(term, ',' order by first), '') as terms from m group by 1")
 def _(spark, d):
-    return U.terms_of_statements(U.statements(W.requests(spark))).select("query_id", F.array_join("terms", ",").alias("terms"))
+    return U.terms_of_statements(U.statements(W.asked(spark, d))).select("query_id", F.array_join("terms", ",").alias("terms"))
 
 
-_KB = L.ontology()
-_KBV = f"k(subject, copula, predicate, frequency, confidence) as (select s, c, p, f::double, x::double from (values {_literal(_KB)}) t(s, c, p, f, x)), b as (select * from k where copula = '-->')"
+_STATED = "e_child v_statement"
+_CLOSURE = """, b as (select * from v_statement where copula = '-->'),
+ w as (select subject, predicate, frequency, confidence, 1 as depth from b union all select w.subject, b.predicate, w.frequency * b.frequency, w.frequency * b.frequency * w.confidence * b.confidence, depth + 1 from w join b on w.predicate = b.subject where w.subject <> b.predicate),
+ m as (select * from (select *, row_number() over (partition by subject, predicate order by confidence desc, depth) as n from w) where n = 1)"""
 
 
-@query("ontology_statements", f"with {_KBV} select copula, predicate, count(*) as n, round(avg(confidence), 6)::double as confidence from k group by 1, 2")
-def _(spark, d):
-    return R.knowledge_base(spark).groupBy("copula", "predicate").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+def _closed(df):
+    return df.select("subject", "predicate", F.round("frequency", 6).alias("frequency"), F.round("confidence", 6).alias("confidence"), *[c for c in df.columns if c == "depth"])
 
 
-_CLOSURE = f"""with recursive {_KBV},
- w as (select subject, predicate, frequency, confidence, 1 as depth from b union all select w.subject, b.predicate, w.frequency * b.frequency, w.frequency * b.frequency * w.confidence * b.confidence, depth + 1 from w join b on w.predicate = b.subject where depth < 4 and w.subject <> b.predicate),
- m as (select * from (select *, row_number() over (partition by subject, predicate order by confidence desc, depth) as n from w) where n = 1)"""
+@query("ontology_statements", sql(_STATED, " select copula, predicate, count(*) as n, round(avg(confidence), 6)::double as confidence from v_statement group by 1, 2"))
+def _(spark, d):
+    return W.statements(spark, d).groupBy("copula", "predicate").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
-@query("ontology_closure", _CLOSURE + " select subject, predicate, round(frequency, 6)::double as frequency, round(confidence, 6)::double as confidence, depth from m")
+@query("ontology_closure", sql(_STATED, _CLOSURE + " select subject, predicate, round(frequency, 6)::double as frequency, round(confidence, 6)::double as confidence, depth from m"))
 def _(spark, d):
-    return R.close(R.knowledge_base(spark)).select("subject", "predicate", F.round("frequency", 6).alias("frequency"), F.round("confidence", 6).alias("confidence"), "depth")
+    return _closed(R.close(W.statements(spark, d)))
 
 
-@query("ontology_rules", _CLOSURE + f", r(premise, conclusion, f, c) as (values {_literal(L.RULES)}) select subject, conclusion as predicate, round(frequency * f, 6)::double as frequency, round(frequency * f * confidence * c, 6)::double as confidence from m join r on predicate = premise")
+@query("ontology_rules", sql(_STATED, _CLOSURE + f", r(premise, conclusion, f, c) as (values {_literal(L.RULES)}) select subject, conclusion as predicate, round(frequency * f, 6)::double as frequency, round(frequency * f * confidence * c, 6)::double as confidence from m join r on predicate = premise"))
 def _(spark, d):
-    out = R.apply_rules(R.close(R.knowledge_base(spark)), R.rules(spark))
-    return out.select("subject", "predicate", F.round("frequency", 6).alias("frequency"), F.round("confidence", 6).alias("confidence"))
+    return _closed(R.apply_rules(R.close(W.statements(spark, d)), R.rules(spark)))
 
 
-_EVIDENCE = [("<a --> b>", 1.0, 0.9), ("<a --> b>", 0.0, 0.9), ("<a --> c>", 1.0, 0.5), ("<a --> c>", 1.0, 0.8), ("<d --> e>", 0.7, 0.6)]
+_KB = f"k(subject, copula, predicate, frequency, confidence) as (select s, c, p, f::double, x::double from (values {_literal(L.ontology())}) t(s, c, p, f, x))"
 
 
-@query("truth_revision", f"with e(statement, f, c) as (values {_literal(_EVIDENCE)}), w as (select statement, f::double as f, c::double / (1 - c::double) as w from e) select statement, round(sum(w * f) / sum(w), 6)::double as frequency, round(sum(w) / (sum(w) + 1), 6)::double as confidence from w group by 1")
+@query("component_facts", sql("v_component", f", {_KB}" + _CLOSURE.replace("from v_statement", "from k") + " select element_id, m.predicate, round(m.confidence, 6)::double as confidence from v_component join m on m.subject = category"))
 def _(spark, d):
-    out = R.revise(spark.createDataFrame(_EVIDENCE, "statement string, frequency double, confidence double"))
-    return out.select("statement", F.round("frequency", 6).alias("frequency"), F.round("confidence", 6).alias("confidence"))
-
+    """What the knowledge base, closed, says about the category of each part."""
+    facts = R.close(R.knowledge_base(spark)).select("subject", "predicate", F.round("confidence", 6).alias("confidence"))
+    return W.components(spark, d).join(facts, F.col("category") == F.col("subject")).select("element_id", "predicate", "confidence")
 
-_TRUTHS = [("<a --> b>. {1.0|0.9}",), ("<a --> [c]>. {0.5 0.8}",), ("{x} --> y. %0.90;0.50%",), ("<(button * [primary]) --> common_combination>. {1.0|0.85}",), ("plain words",), ("<form_login ==> button>. {1.0|0.95}",), ("<card <-> panel>. {0.8|0.9}",), ("button --> [large]",), ("{btn_1} --> button",)]
 
-
-@query("parse_truth_text", f"with t(text) as (values {_literal(_TRUTHS)}), p as (select text, '^(.*?)\\.?\\s*[{{%]([\\d.]+)[|;\\s]+([\\d.]+)[}}%]\\s*$' as re from t) select text, regexp_extract(text, '^(.*?)\\.?\\s*[{{%]([\\d.]+)[|;\\s]+([\\d.]+)[}}%]\\s*$', 1) as statement, try_cast(nullif(regexp_extract(text, '^(.*?)\\.?\\s*[{{%]([\\d.]+)[|;\\s]+([\\d.]+)[}}%]\\s*$', 2), '') as double) as frequency, try_cast(nullif(regexp_extract(text, '^(.*?)\\.?\\s*[{{%]([\\d.]+)[|;\\s]+([\\d.]+)[}}%]\\s*$', 3), '') as double) as confidence from t")
+@query("truth_revision", "with e as (select '<user_' || user_id || ' --> ' || event_type || '>' as statement, (event_id % 2)::double as f, 0.5::double + event_id % 4 / 10.0::double as c from events), w as (select statement, f, c / (1 - c) as w from e) select statement, round(sum(w * f) / sum(w), 6)::double as frequency, round(sum(w) / (sum(w) + 1), 6)::double as confidence from w group by 1")
 def _(spark, d):
-    return spark.createDataFrame(_TRUTHS, "text string").withColumn("t", R.parse_truth(F.col("text"))).select("text", "t.statement", "t.frequency", "t.confidence")
+    n = F.col("event_id")
+    told = F.concat(F.lit("<user_"), F.col("user_id").cast("string"), F.lit(" --> "), "event_type", F.lit(">"))
+    out = R.revise(W.table(spark, d, "events").select(told.alias("statement"), (n % 2).cast("double").alias("frequency"), (F.lit(0.5) + n % 4 / F.lit(10.0)).alias("confidence")))
+    return out.select("statement", F.round("frequency", 6).alias("frequency"), F.round("confidence", 6).alias("confidence"))
 
 
-_WORDS = [
-    ("<a --> b>. {1.0|0.9}", '"a" is a kind of "b"'),
-    ("<a --> [c]>. {0.5 0.8}", '"a" is a kind of "[c]"'),
-    ("{x} --> y. %0.90;0.50%", '"x" is an instance of "y. %0.90;0.50%"'),
-    ("<(button * [primary]) --> common_combination>. {1.0|0.85}", '"(button * [primary])" is a kind of "common_combination"'),
-    ("plain words", "plain words"),
-    ("<form_login ==> button>. {1.0|0.95}", 'If "form_login" then "button"'),
-    ("<card <-> panel>. {0.8|0.9}", '"card" is similar to "panel"'),
-    ("button --> [large]", '"button" has property "large"'),
-    ("{btn_1} --> button", '"btn_1" is an instance of "button"'),
-]
+# Forms of statements about parts by number: (text before the name, between name and type, behind; words before, between, behind).
+_FORMS = [("<", " --> ", ">. {1.0|0.9}", '"', '" is a kind of "', '"'), ("<", " <-> ", ">. {0.5 0.8}", '"', '" is similar to "', '"'), ("{", "} --> ", "", '"', '" is an instance of "', '"'), ("", " --> [", "]", '"', '" has property "', '"'), ("<", " ==> ", ">. %0.90;0.50%", 'If "', '" then "', '"'), ("plain ", " words ", " %1;2%", "plain ", " words ", " %1;2%")]
+_FORMED = "part_form as (select p_partkey, " + ", ".join("case p_partkey % 6 " + " ".join(f"when {i} then {_quoted(f[k])}" for i, f in enumerate(_FORMS)) + f" end || p_name || case p_partkey % 6 " + " ".join(f"when {i} then {_quoted(f[k + 1])}" for i, f in enumerate(_FORMS)) + " end || p_type || case p_partkey % 6 " + " ".join(f"when {i} then {_quoted(f[k + 2])}" for i, f in enumerate(_FORMS)) + f" end as {name}" for k, name in ((0, "text"), (3, "words"))) + " from part)"
 
 
-@query("humanize_statement", f"select text, words from (values {_literal(_WORDS)}) t(text, words)")
-def _(spark, d):
-    return spark.createDataFrame(_TRUTHS, "text string").select("text", R.humanize(F.col("text")).alias("words"))
+def _formed(spark, d):
+    """Statements about parts, a form for each remainder of the number."""
+    pick = lambda k: F.get(F.array(*[F.lit(f[k]) for f in _FORMS]), (F.col("p_partkey") % 6).cast("int"))
+    return W.table(spark, d, "part").select("p_partkey", F.concat(pick(0), "p_name", pick(1), "p_type", pick(2)).alias("text"))
 
 
-@query("truth_expectation", f"with {_KBV} select subject, predicate, round(confidence * (frequency - 0.5) + 0.5, 6)::double as expectation, case when confidence * (frequency - 0.5) + 0.5 >= 0.7 then 'green' when confidence * (frequency - 0.5) + 0.5 >= 0.5 then 'yellow' else 'red' end as color from k")
+@query("parse_truth_text", f"with {_FORMED} select p_partkey, case p_partkey % 6 when 0 then left(text, length(text) - 11) when 1 then left(text, length(text) - 11) when 4 then left(text, length(text) - 13) when 5 then left(text, length(text) - 6) else '' end as statement, case p_partkey % 6 when 0 then 1.0 when 1 then 0.5 when 4 then 0.9 when 5 then 1 end::double as frequency, case p_partkey % 6 when 0 then 0.9 when 1 then 0.8 when 4 then 0.5 when 5 then 2 end::double as confidence from part_form")
 def _(spark, d):
-    e = S.truth_expectation(F.col("frequency"), F.col("confidence"))
-    return R.knowledge_base(spark).select("subject", "predicate", F.round(e, 6).alias("expectation"), S.truth_color(e, 0.5).alias("color"))
+    return _formed(spark, d).withColumn("t", R.parse_truth(F.col("text"))).select("p_partkey", "t.statement", "t.frequency", "t.confidence")
 
 
-_REPLY = "// note\n<button --> component>. {1.0|0.9}\n# more\n<query --> [dark]>.\n\nwords <card --> [big]> {0.4|0.3} end"
-_OUTPUT = "Answer: <a --> b>. creationTime=2 Truth: frequency=1.000000 confidence=0.810000\nDerived: <a --> c>. Truth: frequency=0.900000 confidence=0.729000\nAnswer: <d --> e>. creationTime=9 Truth: frequency=0.5 confidence=0.4"
+@query("humanize_statement", f"with {_FORMED} select p_partkey, words from part_form")
+def _(spark, d):
+    return _formed(spark, d).select("p_partkey", R.humanize(F.col("text")).alias("words"))
 
 
-@query("llm_response_parse", "select * from (values (1, 1, '<button -->', 1.0::double, 0.9::double), (1, 3, '<query -->', 1.0, 0.9), (1, 5, '<card -->', 1.0, 0.9)) t(id, ord, statement, frequency, confidence)")
+@query("truth_expectation", sql(_STATED, " select subject, predicate, round(confidence * (frequency - 0.5) + 0.5, 6)::double as expectation, case when confidence * (frequency - 0.5) + 0.5 >= 0.7 then 'green' when confidence * (frequency - 0.5) + 0.5 >= 0.5 then 'yellow' else 'red' end as color from v_statement"))
 def _(spark, d):
-    return R.parse_translation(spark.createDataFrame([(1, _REPLY)], "id int, text string"), "id", "text")
+    e = S.truth_expectation(F.col("frequency"), F.col("confidence"))
+    return W.statements(spark, d).select("subject", "predicate", F.round(e, 6).alias("expectation"), S.truth_color(e, 0.5).alias("color"))
 
 
-@query("reasoner_output_parse", "select * from (values (1, 0, 'answer', '<a --> b>', 1.0::double, 0.81::double), (1, 1, 'answer', '<d --> e>', 0.5, 0.4), (1, 1000, 'derived', '<a --> c>.', 0.9, 0.729)) t(id, ord, kind, statement, frequency, confidence)")
+@query("llm_response_parse", """select p_partkey, 1 as ord, '<' || p_name || ' --> ' || p_type || '>' as statement, 1.0::double as frequency, 0.8::double as confidence from part
+  union all select p_partkey, 3, '<<' || p_name || ' --> big> ==> <' || p_type || ' --> [good]>>', 1.0, 0.9 from part union all select p_partkey, 4, '<(' || p_name || ' * [dark]) --> pair>', 0.4, 0.3 from part""")
 def _(spark, d):
-    return R.parse_reasoner(spark.createDataFrame([(1, _OUTPUT)], "id int, text string"), "id", "text")
+    text = F.format_string("// <no --> note>\n<%1$s --> %2$s>. {1.0|0.8}\n  # <no --> more>\nso <<%1$s --> big> ==> <%2$s --> [good]>>.\nwords <(%1$s * [dark]) --> pair> {0.4|0.3} <second --> none>\n< open", "p_name", "p_type")
+    return R.parse_translation(W.table(spark, d, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
 
 
-_FENCED = "Here:\n```html\n<div>Hi</div>\n```\nand\n```css\n.a{}\n```\n```js\nlet a = 1;\n```\n"
+@query("reasoner_output_parse", """select p_partkey, 0 as ord, 'answer' as kind, '<' || p_name || ' --> b>' as statement, 1.0::double as frequency, 0.81::double as confidence from part
+  union all select p_partkey, 1, 'answer', '<d --> ' || p_type || '>', 0.5, 0.0 from part union all select p_partkey, 1000, 'derived', '<a --> ' || p_name || '>.', 0.9, 0.729 from part""")
+def _(spark, d):
+    text = F.format_string("Answer: <%1$s --> b>. creationTime=2 Truth: frequency=1.000000 confidence=0.810000\nDerived: <a --> %1$s>. Truth: frequency=0.900000 confidence=0.729000\nAnswer: <d --> %2$s>. creationTime=9 Truth: frequency=0.5 confidence=0.0.4", "p_name", "p_type")
+    return R.parse_reasoner(W.table(spark, d, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
 
 
-@query("code_blocks", "select * from (values (1, '<div>Hi</div>', '.a{}', 'let a = 1;'), (2, null, null, null)) t(id, html, css, javascript)")
+@query("code_blocks", "select page_id, case when page_id % 3 <> 0 then '<p>' || url || '</p>' end as html, case when page_id % 2 = 0 then '.a{}' || chr(10) || '.b{}' end as css, case when page_id % 5 <> 0 then 'go(' || page_id || ')' end as javascript from pages")
 def _(spark, d):
-    return N.parse_reply(spark.createDataFrame([(1, _FENCED), (2, "none ```html <p>")], "id int, text string"), "text").select("id", "html", "css", "javascript")
+    block = lambda kept, name, *text: F.when(kept, F.concat(F.lit(f"some words\n```{name}\n"), *text, F.lit("\n```\n")))
+    n = F.col("page_id")
+    reply = F.concat_ws("and\n", block(n % 3 != 0, "html", F.lit("<p>"), "url", F.lit("</p>")), block(n % 2 == 0, "css", F.lit("\n.a{}\n.b{}\n")), block(n % 5 != 0, "js", F.lit("go("), n.cast("string"), F.lit(")")), F.lit("```html never closed"))
+    return N.parse_reply(W.table(spark, d, "pages").select("page_id", reply.alias("text")), "text").select("page_id", "html", "css", "javascript")
 
 
 def _unclosed(text: str) -> str:
@@ -231,15 +249,16 @@ def _(spark, d):
     return W.table(spark, d, "pages").select("page_id", N.html_document(F.concat(F.lit("<p>"), "url", F.lit("</p>\n<hr>\n")), css, js).alias("document"))
 
 
-@query("prompts", sql("v_query", ", r(query_id, place, name, category) as (values (1, 1, 'a', 'button'), (1, 2, 'b', 'card'), (2, 1, 'c', 'form'), (2, 9, 'z', 'form')) select q.query_id, 'Request: ' || text || case when count(r.name) > 0 then chr(10) || 'References:' || chr(10) || string_agg('- ' || name || ' (' || category || ')', chr(10) order by place) else '' end as prompt from v_query q left join r on r.query_id = q.query_id and place <= 5 group by q.query_id, text"))
+@query("prompts", sql("v_component v_asked", ", r as (select element_id - element_id % 4 as query_id, case when element_id % 4 = 3 then 9 else 1 + element_id % 4 end as place, name, category from v_component) select q.query_id, 'Request: ' || text || case when count(r.name) > 0 then chr(10) || 'References:' || chr(10) || string_agg('- ' || name || ' (' || category || ')', chr(10) order by place) else '' end as prompt from v_asked q left join r on r.query_id = q.query_id and place <= 5 group by q.query_id, text"))
 def _(spark, d):
-    rows = [(1, 1, "a", "button"), (1, 2, "b", "card"), (2, 1, "c", "form"), (2, 9, "z", "form")]
-    return N.prompts(W.requests(spark), spark.createDataFrame(rows, "query_id int, place int, name string, category string"))
+    n = F.col("element_id") % 4
+    found = W.components(spark, d).select((F.col("element_id") - n).alias("query_id"), F.when(n == 3, 9).otherwise(1 + n).alias("place"), "name", "category")
+    return N.prompts(W.asked(spark, d), found)
 
 
-@query("template_lookup", PROCESSED + ", w as (select query_id, unnest(components) as category, unnest(range(len(components)))::int as ord from c) select query_id, ord, category from w where category in ('button', 'form', 'card', 'navbar')")
+@query("template_lookup", ASKED + ", w as (select query_id, unnest(components) as category, unnest(range(len(components)))::int as ord from c) select query_id, ord, category from w where category in ('button', 'form', 'card', 'navbar')")
 def _(spark, d):
-    wanted = _processed(spark).select("query_id", F.col("components").alias("categories"))
+    wanted = _processed(spark, d).select("query_id", F.col("components").alias("categories"))
     return N.templates_for(wanted, N.templates(spark)).select("query_id", "ord", "category")
 
 
@@ -279,42 +298,62 @@ def _(spark, d):
     return s.select("page_id", _joined("tags"), _joined("classes"), _joined("ids"))
 
 
-_CSS = "/* c */ :root{--color-primary:#fff;--spacing-md: 8px;--font-body:Arial;--radius-lg:4;--shadow-1:none;--transition-x:all;--z:1}\n.btn, .b{color:red; padding: 2px 4px}\n@media (min-width:1px){.c{margin:0}}"
-_CSS_ROWS = [(0, ":root", "--color-primary", "#fff"), (0, ":root", "--spacing-md", "8px"), (0, ":root", "--font-body", "Arial"), (0, ":root", "--radius-lg", "4"), (0, ":root", "--shadow-1", "none"), (0, ":root", "--transition-x", "all"), (0, ":root", "--z", "1"), (1, ".btn, .b", "color", "red"), (1, ".btn, .b", "padding", "2px 4px"), (2, ".c", "margin", "0")]
+# A sheet for each part, of its name and number.
+_SHEET = "/* c */ :root{--color-%1$s:#fff;--gap-%1$s: %2$dpx;--font-%1$s:\"A;}\";--%1$s-radius:4;--shadow-%1$s:none;--transition-%1$s:all;--x-%1$s:1}\n.btn, .%1$s{color:red; background:url(a;b.png)}\n@media (min-width:%2$dpx){.c{margin:0} .d{top:0;}}"
+_SHEET_ROWS = [(0, ":root", "--color-{}", "#fff", "Color"), (0, ":root", "--gap-{}", "{n}px", "Spacing"), (0, ":root", "--font-{}", '"A;}"', "Typography"), (0, ":root", "--{}-radius", "4", "BorderRadius"), (0, ":root", "--shadow-{}", "none", "Shadow"), (0, ":root", "--transition-{}", "all", "Animation"),
+               (0, ":root", "--x-{}", "1", "Other"), (1, ".btn, .{}", "color", "red", None), (1, ".btn, .{}", "background", "url(a;b.png)", None), (3, ".c", "margin", "0", None), (4, ".d", "top", "0", None)]
+
+
+def _sheet_sql() -> str:
+    text = lambda x: _quoted(x).replace("{}", "' || word || '").replace("{n}", "' || p_partkey || '")
+    kind = lambda x: "null" if x is None else _quoted(x)
+    return "sheet as (select p_partkey, replace(p_name, ' ', '-') as word from part), rules as (" + " union all ".join(f"select p_partkey, {o} as ord, {text(a)} as selector, {text(b)} as name, {text(c)} as value, {kind(k)} as token_category from sheet" for o, a, b, c, k in _SHEET_ROWS) + ")"
 
 
-def _sheet(spark):
-    return spark.createDataFrame([(1, _CSS)], "sheet_id int, css string")
+def _sheets(spark, d):
+    return W.table(spark, d, "part").select("p_partkey", F.format_string(_SHEET, F.replace("p_name", F.lit(" "), F.lit("-")), "p_partkey").alias("css"))
 
 
-@query("css_rules", f"select 1 as sheet_id, ord, selector, name, value from (values {_literal(_CSS_ROWS)}) t(ord, selector, name, value)")
+@query("css_rules", f"with {_sheet_sql()} select p_partkey, ord, case when ord > 2 then '@media (min-width:' || p_partkey || 'px)' else '' end as context, selector, name, value from rules")
 def _(spark, d):
-    return E.css_rules(_sheet(spark), "sheet_id", "css")
+    return style_rules(_sheets(spark, d), "p_partkey", "css")
 
 
-@query("css_tokens", f"""select name, value, case when regexp_matches(lower(name), '{L.COLOR_NAMES}') or value like '#%' then 'Color' when regexp_matches(lower(name), '{L.SPACING_NAMES}') or value like '%px' then 'Spacing'
-  when regexp_matches(name, 'font|text|line-height') then 'Typography' when contains(name, 'radius') then 'BorderRadius' when contains(name, 'shadow') then 'Shadow' when regexp_matches(name, 'animation|transition') then 'Animation' else 'Other' end as token_category
-  from (values {_literal(_CSS_ROWS)}) t(ord, selector, name, value) where name like '--%'""")
+@query("css_tokens", f"with {_sheet_sql()} select p_partkey, name, value, token_category from rules where token_category is not null")
 def _(spark, d):
-    return E.design_tokens(E.css_rules(_sheet(spark), "sheet_id", "css")).select("name", "value", "token_category")
+    return E.design_tokens(E.css_rules(_sheets(spark, d), "p_partkey", "css")).select("p_partkey", "name", "value", "token_category")
 
 
-@query("page_styles", "select page_id, 'p' as selector, 'margin' as name, '0' as value from pages where contains(html, '<style>p{margin:0}</style>')")
+@query("page_styles", r"select page_id, 0 as ord, '' as context, trim(regexp_extract(html, '<style>([^{]*)\{([^:]*):([^}]*)\}</style>', 1)) as selector, trim(regexp_extract(html, '<style>([^{]*)\{([^:]*):([^}]*)\}</style>', 2)) as name, trim(regexp_extract(html, '<style>([^{]*)\{([^:]*):([^}]*)\}</style>', 3)) as value from pages where contains(html, '<style>')")
 def _(spark, d):
-    sheets = W.table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?s)<style[^>]*>(.*?)</style>", 1).alias("css"))
-    return E.css_rules(sheets, "page_id", "css").select("page_id", "selector", "name", "value")
+    pages = W.table(spark, d, "pages")
+    return page_rules(pages, E.html_nodes(pages))
 
 
-_JS = "import React, { useState } from 'react';\nimport './a.css';\nasync function load(x, y) { return x; }\nfunction show() {}\nconst add = (a, b) => a + b;\nconst n = 3;\ndocument.querySelector('#a').addEventListener('click', show);\nel.onchange = add;\n// function gone() {}\n/* import x from 'y'; const z = 1; */\nlet s = \"var t = 1; it's function f() {} // x\", u = 'el.onclick = a';"
+_JS = "import React, { useState } from 'react';\nimport './%1$s.css';\nasync function load_%1$s(x, y) { return x; }\nfunction show() {}\nconst add = (a, b) => a + b;\nconst n_%1$s = 3;\ndocument.querySelector('#a').addEventListener('click', show);\nel.onchange = add;\n// function gone() {}\n/* import x from 'y'; const z = 1; */\nlet s = \"var t = 1; it's function f() {} // x\", u = 'el.onclick = a';"
 
 
-@query("js_structure", "select 1 as script_id, 'load,show' as functions, 'load' as async_functions, 'add' as arrows, 'n,s' as variables, 'react,./a.css' as imports, 'React' as default_imports, 'click' as listeners, 'change' as handlers, 'querySelector' as dom_calls")
+@query("js_structure", "select p_partkey, 'load_' || word || ',show' as functions, 'load_' || word as async_functions, 'add' as arrows, 'n_' || word || ',s' as variables, 'react,./' || word || '.css' as imports, 'React' as default_imports, 'click' as listeners, 'change' as handlers, 'querySelector' as dom_calls from (select p_partkey, replace(p_name, ' ', '_') as word from part)")
 def _(spark, d):
-    out = E.js_structure(spark.createDataFrame([(1, _JS)], "script_id int, js string"), "script_id", "js")
-    return out.select("script_id", *[_joined(c) for c in out.columns if c != "script_id"])
+    scripts = W.table(spark, d, "part").select("p_partkey", F.format_string(_JS, F.replace("p_name", F.lit(" "), F.lit("_"))).alias("js"))
+    out = E.js_structure(scripts, "p_partkey", "js")
+    return out.select("p_partkey", *[_joined(c) for c in out.columns if c != "p_partkey"])
+
+
+@query("page_scripts", r"select page_id, array_to_string(regexp_extract_all(regexp_extract(html, '(?s)<script>(.*?)</script>', 1), 'var (\w+)=', 1), ',') as variables, '' as functions from pages")
+def _(spark, d):
+    scripts = W.table(spark, d, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), 1), "\n").alias("js"))
+    return E.js_structure(scripts, "page_id", "js").select("page_id", _joined("variables"), _joined("functions"))
+
 
+_SAMPLES = [(0, "flex p-4 bg-blue-500 hover:bg-blue-600 rounded-lg", "", ""), (1, "btn btn-primary col-md-6 d-flex", "", ""), (2, "<Button/>", "", "import x from '@mui/material'"), (3, "plain", "", ""), (4, "<Flex/>", "", "import { Flex } from '@chakra-ui/react'"), (5, "ant-btn", "", "import { Spin } from 'antd'")]
+_PART_SAMPLES = f"part_sample as (select p_partkey, p_name || ' ' || a as a, b, c from part join (values {_literal(_SAMPLES)}) s(i, a, b, c) on i = p_partkey % 6)"
 
-_SAMPLES = [(1, "flex p-4 bg-blue-500 hover:bg-blue-600 rounded-lg", "", ""), (2, "btn btn-primary col-md-6 d-flex", "", ""), (3, "<Button/>", "", "import x from '@mui/material'"), (4, "plain", "", ""), (5, "<Flex/>", "", "import { Flex } from '@chakra-ui/react'"), (6, "ant-btn", "", "import { Spin } from 'antd'")]
+
+def _samples(spark, d):
+    """A page's text, sheet and script for each part, by the remainder of its number."""
+    given = spark.createDataFrame(_SAMPLES, "i int, a string, css string, js string")  # six rows
+    return W.table(spark, d, "part").join(F.broadcast(given), F.col("p_partkey") % 6 == F.col("i")).select("p_partkey", F.concat_ws(" ", "p_name", "a").alias("html"), "css", "js")
 
 
 def _scores_sql(text: str) -> str:
@@ -330,10 +369,9 @@ def _scores_sql(text: str) -> str:
 _DETECT = "select {id}, case when b.s > 0 then b.n else 'unknown' end as design_system, b.s as score, round(least(b.s / 10, 1.0::double), 6)::double as system_confidence from (select {id}, {score} as b from {source})"
 
 
-@query("design_system_detect", "with s(sample_id, a, b, c) as (values " + _literal(_SAMPLES) + ") " + _DETECT.format(id="sample_id", score=_scores_sql("t"), source="(select sample_id, a || ' ' || b || ' ' || c as t from s)"))
+@query("design_system_detect", f"with {_PART_SAMPLES} " + _DETECT.format(id="p_partkey", score=_scores_sql("t"), source="(select p_partkey, a || ' ' || b || ' ' || c as t from part_sample)"))
 def _(spark, d):
-    out = E.detect_system(spark.createDataFrame(_SAMPLES, "sample_id int, html string, css string, js string"), "html", "css", "js")
-    return out.select("sample_id", "design_system", "score", F.round("system_confidence", 6).alias("system_confidence"))
+    return E.detect_system(_samples(spark, d), "html", "css", "js").select("p_partkey", "design_system", "score", F.round("system_confidence", 6).alias("system_confidence"))
 
 
 @query("design_system_pages", _DETECT.format(id="page_id", score=_scores_sql("html"), source="pages"))
@@ -341,10 +379,10 @@ def _(spark, d):
     return E.detect_system(W.table(spark, d, "pages").select("page_id", "html"), "html").select("page_id", "design_system", "score", F.round("system_confidence", 6).alias("system_confidence"))
 
 
-@query("quick_detect", "with s(sample_id, a, b, c) as (values " + _literal(_SAMPLES) + "), t as (select sample_id, a || ' ' || c as t from s) select sample_id, " + ", ".join(f"regexp_matches(t, {_quoted(p)}) as {n}" for n, p in L.QUICK_PATTERNS.items()) + " from t")
+@query("quick_detect", f"with {_PART_SAMPLES}, t as (select p_partkey, a || ' ' || c as t from part_sample) select p_partkey, " + ", ".join(f"regexp_matches(t, {_quoted(p)}) as {n}" for n, p in L.QUICK_PATTERNS.items()) + " from t")
 def _(spark, d):
-    rows = spark.createDataFrame(_SAMPLES, "sample_id int, html string, css string, js string").withColumn("t", F.concat_ws(" ", "html", "js"))
-    return rows.select("sample_id", *[F.col("t").rlike(p).alias(n) for n, p in L.QUICK_PATTERNS.items()])
+    rows = _samples(spark, d).withColumn("t", F.concat_ws(" ", "html", "js"))
+    return rows.select("p_partkey", *[F.col("t").rlike(p).alias(n) for n, p in L.QUICK_PATTERNS.items()])
 
 
 @query("ontology_map")
@@ -352,25 +390,30 @@ def _(spark, d):
     return E.extract(W.table(spark, d, "pages")).select("page_id", "node_id", "tag", "category", "element_type", "design_system", "interactive")
 
 
-_NODES = [(1, 0, "button", ["btn", "btn-primary"], [], []), (1, 1, "input", [], ["type"], ["checkbox"]), (1, 2, "div", ["x"], ["role"], ["tablist"]), (1, 3, "a", [], ["role"], ["odd"]), (1, 4, "div", [], [], []), (1, 5, "input", ["card"], ["type"], ["odd"]), (1, 6, "p", ["my-card"], [], [])]
-
+_NODES = [(0, "button", ["btn", "btn-primary"], [], []), (1, "input", [], ["type"], ["checkbox"]), (2, "div", ["x"], ["role"], ["tablist"]), (3, "a", [], ["role"], ["odd"]), (4, "div", [], [], []), (5, "input", ["card"], ["type"], ["odd"]), (6, "p", ["my-card"], [], [])]
 
-def _nodes(spark):
-    return spark.createDataFrame(_NODES, "page_id int, node_id int, tag string, classes array<string>, names array<string>, vals array<string>").withColumn("depth", F.lit(0))
 
+def _mapped(spark, d):
+    """Seven elements for each part, in the part's design system."""
+    texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    nodes = F.array(*[F.struct(F.lit(n).alias("node_id"), F.lit(t).alias("tag"), texts(c).alias("classes"), texts(a).alias("names"), texts(v).alias("vals"), F.lit(0).alias("depth")) for n, t, c, a, v in _NODES])
+    e = W.elements(spark, d).select(F.col("element_id").alias("page_id"), "design_system")
+    return E.map_elements(e.select("page_id", F.explode(nodes).alias("n")).select("page_id", "n.*"), e.withColumn("interactive", F.col("page_id") % 2 == 0))
 
-def _mapped(spark):
-    return E.map_elements(_nodes(spark), spark.createDataFrame([(1, "bootstrap", True)], "page_id int, design_system string, interactive boolean"))
 
-
-@query("category_rules", "select * from (values (0, 'button'), (1, 'checkbox'), (2, 'tabs'), (3, 'link'), (4, 'unknown'), (5, 'input'), (6, 'card')) t(node_id, category)")
+@query("category_rules", "select p_partkey as page_id, node_id, category from part, (values (0, 'button'), (1, 'checkbox'), (2, 'tabs'), (3, 'link'), (4, 'unknown'), (5, 'input'), (6, 'card')) t(node_id, category)")
 def _(spark, d):
-    return _mapped(spark).select("node_id", "category")
+    return _mapped(spark, d).select("page_id", "node_id", "category")
 
 
-@query("narsese_generate")
+@query("narsese_generate", sql("v_element", r""", n(category, cls) as (values ('button', ['btn', 'btn-primary']), ('checkbox', []), ('tabs', ['x']), ('link', []), ('unknown', []), ('input', ['card']), ('card', ['my-card'])),
+ e as (select element_id as page_id, design_system, element_id % 2 = 0 as interactive, 'UI' || upper(category[1]) || category[2:] as cat, cls, 'UI' || upper(category[1]) || category[2:] || '_' || replace(coalesce(cls[1], 'default'), '-', '_') as term from n, (select element_id, design_system from v_element) v),
+ t as (select '. %0.90;0.50%' as t)
+ select page_id, statement from (select page_id, '{' || term || '} --> ' || cat || t as statement from e, t union all select page_id, '{' || term || '} --> DS_' || replace(design_system, '-', '_') || t from e, t
+   union all select page_id, term || ' --> [interactive]' || t from e, t where interactive union all select page_id, term || ' --> [' || replace(c, '-', '_') || ']' || t from (select page_id, term, unnest(cls) as c from e), t)"""))
 def _(spark, d):
-    return E.statements(_mapped(spark), tokens=E.design_tokens(E.css_rules(_sheet(spark), "sheet_id", "css")).withColumn("page_id", F.lit(1))).select("kind", "statement")
+    """What elements say of themselves; the hierarchy is in page_statements."""
+    return E.statements(_mapped(spark, d)).where("kind <> 'inheritance'").select("page_id", "statement")
 
 
 @query("page_extraction")
@@ -384,28 +427,25 @@ def _(spark, d):
     return E.statements(E.extract(W.table(spark, d, "pages"))).select("page_id", "kind", "statement")
 
 
-@query("embedding_text", "select 1 as page_id, 'design system: bootstrap | categories: button, card, checkbox, input, link, tabs, unknown | element type: bootstrap-button | classes: btn btn-primary | interactive: yes | element type: bootstrap-checkbox | interactive: yes | element type: bootstrap-tabs | classes: x | interactive: yes | element type: bootstrap-link | interactive: yes | element type: bootstrap-unknown | interactive: yes | element type: bootstrap-input | classes: card | interactive: yes | element type: bootstrap-card | classes: my-card | interactive: yes' as text")
+@query("embedding_text", sql("v_element", """ select element_id as page_id, 'design system: ' || design_system || ' | categories: button, card, checkbox, input, link, tabs, unknown | element type: ' || design_system || '-button | classes: btn btn-primary' || i || ' | element type: ' || design_system || '-checkbox' || i || ' | element type: ' || design_system || '-tabs | classes: x' || i
+  || ' | element type: ' || design_system || '-link' || i || ' | element type: ' || design_system || '-unknown' || i || ' | element type: ' || design_system || '-input | classes: card' || i || ' | element type: ' || design_system || '-card | classes: my-card' || i as text from (select *, case when element_id % 2 = 0 then ' | interactive: yes' else '' end as i from v_element)"""))
 def _(spark, d):
-    return E.embedding_text(_mapped(spark))
-
+    return E.embedding_text(_mapped(spark, d))
 
-_EXPLORER = [("layout", "grid", "Grid", "rows and columns", ["photo wall", "dashboard"], ["tailwind", "bootstrap"]), ("layout", "stack", "Stack", "one after another", ["list"], ["chakra"]), ("input", "button", "Button", "starts an action", ["Send", "dashboard link"], ["tailwind", "chakra"])]
 
-
-@query("ontology_explorer", "select * from (values ('layout', 'grid'), ('input', 'button')) t(group_id, category_id)")
+@query("ontology_explorer", "select distinct p_brand as group_id, p_type as category_id from part where (contains(lower(p_name), 'ring') or contains(lower(p_type), 'ring')) and p_size % 2 = 0")
 def _(spark, d):
-    rows = spark.createDataFrame(_EXPLORER, "group_id string, category_id string, name string, description string, examples array<string>, systems array<string>")
-    term = F.lit("dashboard")
-    hit = F.lower("name").contains(term) | F.lower("description").contains(term) | F.exists("examples", lambda x: F.lower(x).contains(term))
-    return rows.where(hit & F.array_contains("systems", "tailwind")).select("group_id", "category_id")
-
-
-_ALIASES = [("Material",), ("mui",), ("TailwindCSS",), ("chakra-ui",), ("bootstrap",), ("",), ("foundation",)]
+    rows = W.table(spark, d, "part").select(F.col("p_brand").alias("group_id"), F.col("p_type").alias("category_id"), "p_name", F.array("p_type").alias("examples"), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("tailwind"))).otherwise(F.array(F.lit("chakra"))).alias("systems"))
+    hit = F.lower("p_name").contains("ring") | F.exists("examples", lambda x: F.lower(x).contains("ring"))
+    return rows.where(hit & F.array_contains("systems", "tailwind")).select("group_id", "category_id").distinct()
 
 
-@query("collection_alias", "with a(name) as (values " + _literal(_ALIASES) + ") select name, case lower(name) when 'material' then 'material-ui' when 'material-ui' then 'material-ui' when 'mui' then 'material-ui' when 'tailwind' then 'tailwind' when 'tailwindcss' then 'tailwind' when 'tailwind-css' then 'tailwind' when 'chakra' then 'chakra' when 'chakra-ui' then 'chakra' when 'bootstrap' then 'bootstrap' when 'custom' then 'custom' when '' then 'custom' end as collection from a")
+@query("collection_alias", sql("v_element", ", a as (select element_id, case element_id % 4 when 0 then upper(design_system) when 1 then replace(design_system, '-', '') when 2 then case design_system when 'material-ui' then 'mui' when 'chakra' then 'Chakra-UI' when 'tailwind' then 'TailwindCSS' else design_system end else name end as name from v_element) select element_id, case lower(name) when 'material' then 'material-ui' when 'material-ui' then 'material-ui' when 'mui' then 'material-ui' when 'tailwind' then 'tailwind' when 'tailwindcss' then 'tailwind' when 'tailwind-css' then 'tailwind' when 'chakra' then 'chakra' when 'chakra-ui' then 'chakra' when 'bootstrap' then 'bootstrap' when 'custom' then 'custom' when '' then 'custom' end as collection from a"))
 def _(spark, d):
-    return spark.createDataFrame(_ALIASES, "name string").select("name", S.collection_of(F.col("name")).alias("collection"))
+    n, system = F.col("element_id") % 4, F.col("design_system")
+    other = F.coalesce(F.try_element_at(F.create_map(*map(F.lit, ["material-ui", "mui", "chakra", "Chakra-UI", "tailwind", "TailwindCSS"])), system), system)
+    name = F.when(n == 0, F.upper(system)).when(n == 1, F.replace(system, F.lit("-"), F.lit(""))).when(n == 2, other).otherwise(F.col("name"))
+    return W.elements(spark, d).select("element_id", S.collection_of(name).alias("collection"))
 
 
 @query("term_functions", sql("v_element", "select element_id, replace(replace(name, ' ', '_'), '-', '_') as term, 'UI' || upper(category[1]) || category[2:] as category_term, 'DS_' || replace(design_system, '-', '_') as system_term, 'UI' || upper(category[1]) || category[2:] || '_' || replace(css_classes[1], '-', '_') as element_term, case when length(name) > 8 then name[1:8] || '...' else name end as short from v_element"))

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,6 +119,28 @@ def requests(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REQUESTS, "query_id int, text string")
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in words for the parts as components: (query_id, text)."""
+    trait, kind = F.element_at("tags", -1), F.col("element_id") % 4
+    text = F.when(kind == 0, F.concat(F.lit("create a "), trait, F.lit(" "), "name")).when(kind == 1, F.concat(F.lit("show me "), "name", F.lit(" with "), trait)).when(kind == 2, F.concat(F.lit("update the "), "category", F.lit(" for "), trait))
+    return components(spark, sf_dir).select(F.col("element_id").alias("query_id"), text.otherwise(F.col("name")).alias("text"))
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(subject, copula, predicate, frequency, confidence): who belongs to which nation and region, what parts are and which of their words go together."""
+    told = lambda df, a, b, f, c: df.select(a.alias("subject"), F.lit("-->").alias("copula"), b.alias("predicate"), F.lit(f).alias("frequency"), F.lit(c).alias("confidence")).distinct()
+    part, kind = table(spark, sf_dir, "part"), F.lower("p_type")
+    rows = [
+        told(children(spark, sf_dir), F.col("dst"), F.col("src"), 0.95, 0.9),
+        told(table(spark, sf_dir, "region"), F.concat(F.lit("r:"), F.col("r_regionkey").cast("string")), F.lit("world"), 1.0, 0.99),
+        told(part, F.col("p_name"), kind, 0.9, 0.8),
+        told(part, kind, F.lit("product"), 1.0, 0.9),
+        told(part, F.concat(F.lit("("), F.replace("p_name", F.lit(" "), F.lit(" * [")), F.lit("])")), F.lit("common_combination"), 1.0, 0.85),
+        told(part.where("p_size > 25"), kind, F.lit("[layout]"), 1.0, 0.95),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def _literal(rows) -> str:
     quote = lambda x: "NULL" if x is None else repr(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"
     return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
@@ -143,6 +167,10 @@ SQL = {
         from embeddings a join embeddings b on a.vec_id <> b.vec_id) where k <= 3""",
     "v_feedback": """select event_id as id, user_id as generation_id, cast(json_extract_string(props, '$.k') as bigint) as element_id,
         case when event_type in ('purchase', 'signup') then 'thumbs_up' else 'thumbs_down' end as feedback_type, ts as created_at from events where event_type in ('purchase', 'signup', 'error')""",
+    "v_asked": """select element_id as query_id, case element_id % 4 when 0 then 'create a ' || tags[-1] || ' ' || name when 1 then 'show me ' || name || ' with ' || tags[-1] when 2 then 'update the ' || category || ' for ' || tags[-1] else name end as text from v_component""",
+    "v_statement": """select distinct subject, '-->' as copula, predicate, f::double as frequency, c::double as confidence from (
+        select dst as subject, src as predicate, 0.95 as f, 0.9 as c from e_child union all select 'r:' || r_regionkey, 'world', 1.0, 0.99 from region union all select p_name, lower(p_type), 0.9, 0.8 from part
+        union all select lower(p_type), 'product', 1.0, 0.9 from part union all select '(' || replace(p_name, ' ', ' * [') || '])', 'common_combination', 1.0, 0.85 from part union all select lower(p_type), '[layout]', 1.0, 0.95 from part where p_size > 25)""",
     "v_outcome": "select event_id, user_id % 5 as service, event_type <> 'error' as ok, value as latency, ts from events",
     "v_query": f"select * from (values {_literal(REQUESTS)}) t(query_id, text)",
 }
