@@ -161,8 +161,8 @@ def word_hashes(text: bytes) -> np.ndarray:
 STAR_EDGES = 200_000
 
 
-def _local_stars(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) of the same components, fewer: each bounded run of a task's edges becomes stars around the least id."""
+def _local_stars(edges: DataFrame, roots: bool = False) -> DataFrame:
+    """Edges (u, v) of the same components, fewer: each bounded run of a task's edges becomes stars around the least id (``roots``: which gets an edge to itself)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -179,7 +179,7 @@ def _local_stars(edges: DataFrame) -> DataFrame:
 
         def stars() -> Iterator:
             pairs = [(x, find(x)) for x in root]
-            pairs = [p for p in pairs if p[0] != p[1]]
+            pairs = [p for p in pairs if roots or p[0] != p[1]]
             root.clear()
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
 
@@ -201,8 +201,8 @@ def _local_stars(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)`` as rows ``(id, component)``, component the smallest id.
 
-    Alternating large-star and small-star steps, each a partial aggregation and a join over one partitioning; tasks join their own edges to stars before a
-    round is written, so that few rounds are needed. Every round is cut by a written table: a lost executor costs one round at most.
+    Tasks first join their own edges to stars. Where what is left has no more than ``STAR_EDGES`` rows, one task joins these in the same way, and that is all. Otherwise large-star and
+    small-star steps alternate, each a partial aggregation and a join, until nothing changes. Every round is cut by a written table: a lost executor costs one round at most.
     Ids without an edge have no row. Null ids are ignored.
     """
 
@@ -224,8 +224,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     given = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     now = materialize(_local_stars(given))
-    if now.isEmpty():
-        return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    if now.count() <= STAR_EDGES:
+        return materialize(_local_stars(now.coalesce(1), roots=True).select(F.col("u").alias("id"), F.col("v").alias("component")))
     was = None
     for _ in range(60):
         now = materialize(_local_stars(star(star(now, True), False)).distinct())
