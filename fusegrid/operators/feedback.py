@@ -42,9 +42,8 @@ def sequential(feedback: DataFrame, start: float = 0.5, key: str = "element_id",
     """A clamp at every event in the order of time and id.
 
     A clamped step is a map x -> min(high, max(low, x + d)); such maps compose to one of the same form, so that
-    events are first folded within slices of time and then the slices, and no key's history has to fit one row.
+    events are first folded within minutes, these within hours, these within days, and then the days: no key's history has to fit one row.
     """
-    slice_ = F.date_trunc("day", "created_at")
     # as (shift, floor, ceiling): x -> min(ceiling, max(floor, x + shift))
     one = F.struct(F.lit(0.0).alias("d"), F.lit(-1e9).alias("lo"), F.lit(1e9).alias("hi"))
     put = lambda a, b: F.struct(  # noqa: E731  first a, then b
@@ -53,9 +52,13 @@ def sequential(feedback: DataFrame, start: float = 0.5, key: str = "element_id",
         F.least(b["hi"], F.greatest(b["lo"], a["hi"] + b["d"])).alias("hi"),
     )
     step = F.struct(F.col("delta").alias("d"), F.lit(low).alias("lo"), F.lit(high).alias("hi"))
-    rows = with_delta(feedback).select(key, slice_.alias("day"), F.struct("created_at", "id", step.alias("f")).alias("e"))
-    days = rows.groupBy(key, "day").agg(F.aggregate(F.array_sort(F.collect_list("e")), one, lambda a, e: put(a, e["f"])).alias("f"))
-    whole = days.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("day", "f"))), one, lambda a, e: put(a, e["f"])).alias("f"))
+    fold = lambda order: F.aggregate(F.array_sort(F.collect_list(F.struct(*order, "f"))), one, lambda a, e: put(a, e["f"])).alias("f")
+    rows = with_delta(feedback).select(key, "created_at", "id", step.alias("f"))
+    order = ["created_at", "id"]
+    for unit in ("minute", "hour", "day"):  # a row holds a key's events of a minute, then its minutes of an hour, its hours of a day
+        rows = rows.withColumn("_t", F.date_trunc(unit, order[0])).groupBy(key, "_t").agg(fold(order)).withColumnRenamed("_t", unit)
+        order = [unit]
+    whole = rows.groupBy(key).agg(fold(order))
     return whole.select(key, F.least(F.col("f.hi"), F.greatest(F.col("f.lo"), F.lit(start) + F.col("f.d"))).alias("confidence"))
 
 

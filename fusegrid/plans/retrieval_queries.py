@@ -16,6 +16,7 @@ from fusegrid.operators import understanding as U
 from fusegrid.operators import vector_search as K
 from fusegrid.operators.neighbour_graph import knn_graph
 from fusegrid.plans import text_queries as P
+from fusegrid.sources import io
 from fusegrid.sources import views as W
 from fusegrid.sources.views import with_views as sql
 
@@ -269,7 +270,7 @@ def retrieve(spark, d, requests, k: int = 10, most: int = 10):
     degrees = W.has_element(spark, d).groupBy(F.col("element_id").alias("id")).agg(F.count("*").alias("degree"))
     wanted = asked.select("query_id", F.col("components").alias("categories"), "attributes")
     found = H.scored_candidates(near, elements, "vector", most).unionByName(H.scored_candidates(full.withColumn("score", F.round("score", 6)), elements, "fulltext", most))
-    found = found.unionByName(H.graph_candidates(wanted, elements, degrees, most))
+    found = io.materialize(found.unionByName(H.graph_candidates(wanted, elements, degrees, most)))  # read by rankings and comparisons
     # products of six digits and two weights: eight digits are all of them, so that nothing is rounded at a half
     scored = H.rank(R.confidence_of(H.weigh(found), told)).withColumn("final_score", F.round("final_score", 8))
     return asked, found, H.top(H.dedup(scored), k)

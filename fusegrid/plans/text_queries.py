@@ -10,6 +10,7 @@ from fusegrid.operators import extraction as E
 from fusegrid.operators import generation as N
 from fusegrid.operators import reasoning as R
 from fusegrid.operators import understanding as U
+from fusegrid.operators.scripts import script_structure
 from fusegrid.operators.stylesheets import page_rules, style_rules
 from fusegrid.sources import views as W
 from fusegrid.sources.views import _literal
@@ -340,10 +341,18 @@ def _(spark, d):
     return out.select("p_partkey", *[_joined(c) for c in out.columns if c != "p_partkey"])
 
 
-@query("page_scripts", r"select page_id, array_to_string(regexp_extract_all(regexp_extract(html, '(?s)<script>(.*?)</script>', 1), 'var (\w+)=', 1), ',') as variables, '' as functions from pages")
+@query("page_scripts", r"select page_id, array_to_string(regexp_extract_all(regexp_extract(html, '(?s)<script>(.*?)</script>', 1), 'var (\w+)=', 1), ',') as variables, '' as functions, '' as arrows from pages")
 def _(spark, d):
-    scripts = W.table(spark, d, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), 1), "\n").alias("js"))
-    return E.js_structure(scripts, "page_id", "js").select("page_id", _joined("variables"), _joined("functions"))
+    scripts = W.table(spark, d, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), 1), ";\n").alias("js"))
+    return script_structure(scripts, "page_id", "js").select("page_id", _joined("variables"), _joined("functions"), _joined("arrows"))
+
+
+@query("script_functions", "select p_partkey, 'load_' || word || ',show' as functions, 'load_' || word as async_functions, 'add' as arrows, 'run_' || word as function_variables, 'n_' || word || ',s,u' as variables, 'react,./' || word || '.css' as imports, 'click' as listeners, 'change' as handlers, '' as nested from (select p_partkey, replace(p_name, ' ', '_') as word from part)")
+def _(spark, d):
+    word = F.replace("p_name", F.lit(" "), F.lit("_"))
+    js = F.concat(F.format_string(_JS, word), F.format_string("\nconst run_%s = async function () { return /[/{]function no() {}/.test(`${ n }function t() {}`) };", word))
+    out = script_structure(W.table(spark, d, "part").select("p_partkey", js.alias("js")), "p_partkey", "js")
+    return out.select("p_partkey", *[_joined(c) for c in ("functions", "async_functions", "arrows", "function_variables", "variables", "imports", "listeners", "handlers", "nested")])
 
 
 _SAMPLES = [(0, "flex p-4 bg-blue-500 hover:bg-blue-600 rounded-lg", "", ""), (1, "btn btn-primary col-md-6 d-flex", "", ""), (2, "<Button/>", "", "import x from '@mui/material'"), (3, "plain", "", ""), (4, "<Flex/>", "", "import { Flex } from '@chakra-ui/react'"), (5, "ant-btn", "", "import { Spin } from 'antd'")]
