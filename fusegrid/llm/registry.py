@@ -127,12 +127,13 @@ from documents d left join n using (doc_id) join r on r.id = d.doc_id group by 1
 """
 
 OP4_SQL = r"""
-with l as (select doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as n, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents),
-k as (select doc_id, n, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
-h as (select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+with d as (select row_number() over () as row_id, doc_id, text from documents),
+l as (select row_id, doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as n, unnest(string_split(coalesce(text, ''), chr(10))) as line from d),
+k as (select row_id, doc_id, n, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+h as (select key from k where length(key) >= 1 group by key having count(distinct row_id) >= 10)
 select doc_id, count(*)::bigint as n_lines, count(*) filter (key in (select key from h))::bigint as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by n) filter (key not in (select key from h)), '')) as kept_sha256
-from k group by doc_id
+from k group by row_id, doc_id
 """
 
 OP9_SQL = r"""

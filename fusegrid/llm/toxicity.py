@@ -10,7 +10,8 @@ Copies among the labelled rows of one label count once: texts equal but for case
 round of the Jaccard operator links with such a text of a smaller id.
 
 Defined results: null or empty text scores the score of a text without hits; repeated rows score alike; rows without a label, or with a null one,
-teach nothing; without labels of both classes there is no lexicon, and every text scores that of a text without hits; null ids are never held out; extra columns are ignored.
+teach nothing; without labels of both classes there is no lexicon, and every text scores that of a text without hits; null ids are never held out; extra columns are ignored. Terms and stems have 3 to 40
+letters, and the lexicon holds at most ``MAX_TERMS`` of them, the surest first: a bound of the model, not of the texts, which are read whole.
 """
 
 from __future__ import annotations
