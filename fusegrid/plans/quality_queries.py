@@ -269,7 +269,7 @@ def _(spark, d):
     return store.read().select("id", "generation_id", "element_id", "feedback_type", "delta", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', created_at)").alias("created_us"))
 
 
-@query("stream_sessions")
+@query("stream_sessions", QUERIES["session_activity"][1].replace("select user_id, epoch_us(min(ts)) as start_us, count(*) as n from s group by user_id, k", "select user_id, epoch_us(min(ts)) as start_us, count(*) as n from s group by user_id, k having max(ts) + interval 6 hour <= (select max(ts) from events) - interval 1 hour"))
 def _(spark, d):
     from fusegrid.streaming import state as T
 

