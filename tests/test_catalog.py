@@ -43,3 +43,10 @@ def test_equals_sql(spark, data_dir, oracle, name):
 def test_runs(spark, data_dir, name):
     df = catalog.queries()[name](spark, data_dir)
     assert df.columns and df.count() > 0
+
+
+def test_every_query_reads_the_given_tables(spark):
+    for name, run in catalog.queries().items():
+        with pytest.raises(Exception, match="nonexistent|PATH_NOT_FOUND"):
+            run(spark, "/nonexistent").collect()
+            pytest.fail(f"{name} reads no table")
