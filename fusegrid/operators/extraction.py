@@ -167,11 +167,15 @@ def category_of(tag: Column, classes: Column, names: Column, vals: Column) -> Co
     return F.coalesce(_mapped(value("role"), L.ROLE_CATEGORIES), by_type, by_class, _mapped(tag, L.TAG_CATEGORIES), F.lit("unknown"))
 
 
-def map_elements(nodes: DataFrame, systems: DataFrame, key: str = "page_id", roots_only: bool = True) -> DataFrame:
-    """Elements with category and element_type; systems(key, design_system, interactive)."""
+def map_elements(nodes: DataFrame, systems: DataFrame | None = None, key: str = "page_id", roots_only: bool = True) -> DataFrame:
+    """Elements with category and element_type; systems(key, design_system, interactive), or none if the nodes have these columns.
+
+    There are as many systems as pages, whatever size their files show: they are merged by key, not sent to every executor through the driver.
+    """
     own = nodes.where("depth = 0") if roots_only else nodes
     own = own.withColumn("category", category_of(F.col("tag"), F.col("classes"), F.col("names"), F.col("vals")))
-    return own.join(systems, key).withColumn("element_type", F.concat_ws("-", "design_system", "category"))
+    whole = own if systems is None else own.join(systems.hint("merge"), key)
+    return whole.withColumn("element_type", F.concat_ws("-", "design_system", "category"))
 
 
 def statements(elements: DataFrame, key: str = "page_id", tokens: DataFrame | None = None, frequency: float = 0.9, confidence: float = 0.5) -> DataFrame:
