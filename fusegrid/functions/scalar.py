@@ -12,6 +12,11 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as it is, halves away from zero: SQL's round(double, n). ``F.round`` takes the shortest decimal text, which may show a half where the double is less."""
+    return F.round(x * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def ratio(n: Column, d: Column, otherwise: float = 0.0) -> Column:
     """n / d as double, or a constant where d is 0."""
     return F.when(d != 0, n.cast("double") / d.cast("double")).otherwise(F.lit(otherwise))

@@ -150,3 +150,12 @@ def test_delete_points_counts_what_was_asked(spark):
 
     left, asked = K.delete_points(spark.range(5), spark.createDataFrame([(1,), (1,), (9,)], "id long"))
     assert (sorted(r["id"] for r in left.collect()), asked) == ([0, 2, 3, 4], 3)
+
+
+def test_scores_are_rounded_as_doubles_are(spark, data_dir):
+    """Every size and degree of a candidate, as SQL rounds them: many scores are a half at the seventh digit, or a double beside it."""
+    duckdb = pytest.importorskip("duckdb")
+    parts = spark.range(800).select(F.lit(0.5).alias("narsese_confidence"), (F.floor(F.col("id") / 16) / 64.0).alias("similarity"), (F.col("id") % 16 / 16.0).alias("graph_degree"), "id")
+    got = {r.id: r.s for r in H.rank(parts).select("id", S.rounded(F.col("final_score"), 6).alias("s")).collect()}
+    assert got == dict(duckdb.sql("select i, round(0.5 * 0.5 + 0.3 * (i // 16 / 64.0::double) + 0.2 * (i % 16 / 16.0::double), 6)::double from range(800) t(i)").fetchall())
+    assert one(spark, x=S.rounded(F.lit(-2.5), 0)) == -3 and one(spark, x=S.rounded(F.lit(None).cast("double"), 6)) is None
