@@ -30,7 +30,8 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame, key: str)
 
 
 def delete_edges(edges: DataFrame, gone: DataFrame, keys=("src", "dst", "rel_type")) -> DataFrame:
-    return edges.join(gone.select(*keys).distinct(), list(keys), "left_anti")
+    """Edges, or stars of hyperedges, without those of the same keys in ``gone``, which may be as many."""
+    return edges.join(gone.select(*keys).distinct().hint("merge"), list(keys), "left_anti")
 
 
 def orphans(membership: DataFrame, group: str, member: str, gone: DataFrame) -> DataFrame:

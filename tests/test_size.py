@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fusegrid.operators import extraction as E
+from fusegrid.operators import graph as G
+from fusegrid.operators import hyperedges as HE
 from fusegrid.plans import catalog
 
 
@@ -23,3 +25,20 @@ def test_systems_of_pages_are_merged_with_their_elements(spark):
     out = E.map_elements(nodes, systems)
     assert "Broadcast" not in plan(out)
     assert sorted(out.select("page_id", "element_type", "interactive").collect()) == [(1, "tailwind-button", True), (2, "custom-link", False)]
+
+
+@pytest.mark.parametrize("name", ["delete_edges", "upsert_edges"])
+def test_pairs_of_a_class_move_nowhere(spark, data_dir, name):
+    text = plan(catalog.queries()[name](spark, data_dir))
+    assert text.count("Inner") == 1  # they are made once,
+    assert 0 < text.index("Inner") < text.index("Exchange")  # by a join after all shuffles
+
+
+def test_stars_are_edges_to_the_others_of_a_class(spark):
+    members = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4)], "class string, id long")
+    old = members.selectExpr("class", "id as src", "'R' as rel_type", "0.5D as score")
+    merged = G.upsert_edges(old, old.where("src = 1").withColumn("score", F.lit(0.9)), ("class", "src", "rel_type"))
+    assert sorted(map(tuple, HE.edges_of(merged, members).collect())) == [(s, d, "R", 0.9 if s == 1 else 0.5) for s in (1, 2, 3) for d in (1, 2, 3) if s != d]
+    into = members.selectExpr("class", "id as dst", "'R' as rel_type")
+    left = G.delete_edges(into, into.where("dst = 2"), ("class", "dst", "rel_type"))
+    assert sorted(map(tuple, HE.edges_of(left, members, "dst").collect())) == [(1, 3, "R"), (2, 1, "R"), (2, 3, "R"), (3, 1, "R")]
