@@ -12,6 +12,11 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, as a lambda's variable, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def rounded(x: Column, digits: int) -> Column:
     """A double rounded as it is, halves away from zero: SQL's round(double, n). ``F.round`` takes the shortest decimal text, which may show a half where the double is less."""
     return F.round(x * F.lit(10.0**digits)) / F.lit(10.0**digits)
@@ -177,5 +182,5 @@ def intent(text: Column, intents: dict[str, str] = L.INTENTS) -> Column:
 def context_words(text: Column, *captured: Column) -> Column:
     """Words of three letters or more, lower-cased, without stop words and captured terms; repeats stay."""
     words = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])[a-zA-Z]{3,}(?![A-Za-z0-9_])"), 0), F.lower)
-    known = F.concat(F.array(*map(F.lit, L.STOP_WORDS)), *captured)
-    return F.filter(words, lambda w: ~F.array_contains(known, w))
+    # bound, or the captured terms would be looked for again at every word
+    return bound(F.concat(F.array(*map(F.lit, L.STOP_WORDS)), *captured), lambda known: F.filter(words, lambda w: ~F.array_contains(known, w)))

@@ -61,5 +61,6 @@ def templates(spark: SparkSession) -> DataFrame:
 
 def templates_for(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """(query_id, ord, html) in the order of the wanted categories; unknown ones are left out."""
-    rows = wanted.select("query_id", F.posexplode("categories").alias("ord", "category"))
+    # an outer explode: for an inner one Spark looks for the categories twice, the first time before the rows are dealt to tasks; a null joins nothing
+    rows = wanted.select("query_id", F.posexplode_outer("categories").alias("ord", "category"))
     return rows.join(F.broadcast(known.select("category", "html")), "category").select("query_id", "ord", "category", "html")  # four rows

@@ -42,3 +42,15 @@ def test_stars_are_edges_to_the_others_of_a_class(spark):
     into = members.selectExpr("class", "id as dst", "'R' as rel_type")
     left = G.delete_edges(into, into.where("dst = 2"), ("class", "dst", "rel_type"))
     assert sorted(map(tuple, HE.edges_of(left, members, "dst").collect())) == [(1, 3, "R"), (2, 1, "R"), (2, 3, "R"), (3, 1, "R")]
+
+
+@pytest.mark.parametrize("name", ["query_context", "query_terms", "statements_from_query", "template_lookup", "css_tokens", "script_functions"])
+def test_texts_are_dealt_to_tasks_before_they_are_looked_through(spark, data_dir, name):
+    text = plan(catalog.queries()[name](spark, data_dir))
+    below = text[text.index("RoundRobinPartitioning") :]
+    assert "RLIKE" not in below and "MapInArrow" not in below
+
+
+def test_captured_terms_are_looked_for_once_a_text(spark, data_dir):
+    text = catalog.queries()["query_context"](spark, data_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in text and "array_contains(concat(" not in text
