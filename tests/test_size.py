@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from fusegrid.operators import extraction as E
 from fusegrid.operators import graph as G
 from fusegrid.operators import hyperedges as HE
+from fusegrid.operators import vector_search as K
+from fusegrid.operators.embedding_cache import EmbeddingCache
 from fusegrid.plans import catalog
 
 
@@ -54,3 +56,22 @@ def test_texts_are_dealt_to_tasks_before_they_are_looked_through(spark, data_dir
 def test_captured_terms_are_looked_for_once_a_text(spark, data_dir):
     text = catalog.queries()["query_context"](spark, data_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in text and "array_contains(concat(" not in text
+
+
+def test_vectors_meet_in_blocks_as_large_as_a_task_holds():
+    assert K.blocks((100, 64), (100, 64)) == (1, 1)
+    assert K.blocks((40_000, 64), (40_000, 64)) == (6, 6)  # enough tasks
+    assert K.blocks((720_000, 64), (720_000, 64)) == (22, 22)  # each vector moved 22 times, not 176
+    assert K.blocks((3, 64), (200_000, 64)) == (1, 36)
+    assert K.blocks((0, 1), (0, 1)) == (1, 1)
+
+
+def test_a_cache_gives_columns_made_of_embeddings(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "id long, text string")
+    cache = EmbeddingCache(spark, str(tmp_path))
+    whole = {r.id: r.embedding[0] for r in cache.get_or_compute(texts, 1)[0].collect()}
+    rows, counts = cache.get_or_compute(texts, 2, want=[F.get("embedding", F.lit(0)).alias("first")])
+    assert rows.columns == ["id", "digest", "first"] and {r.id: r["first"] for r in rows.collect()} == whole
+    assert counts == {"texts": 3, "distinct": 2, "hits": 2, "misses": 0}
+    text = plan(rows)
+    assert text.rindex("AS first") > text.index("Join")  # made below the join
