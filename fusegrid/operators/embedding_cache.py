@@ -28,10 +28,11 @@ class EmbeddingCache:
         paths = [p for p in self._batches() if not p.endswith(f"/batch={but}")]
         return self.spark.read.schema(ROWS).parquet(*paths) if paths else self.spark.createDataFrame([], ROWS)
 
-    def get_or_compute(self, texts: DataFrame, batch: int, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, dict[str, int]]:
+    def get_or_compute(self, texts: DataFrame, batch: int, id_col: str = "id", text_col: str = "text", want: list[Column] | None = None) -> tuple[DataFrame, dict[str, int]]:
         """(id, digest, embedding) for every row, and counts: texts, distinct, hits (distinct texts that were held) and misses (computed now).
 
         A null text counts as an empty one; rows with one text share one embedding; the batch's number makes a repetition harmless.
+        ``want``: columns made of ``embedding`` that take its place; they are made where the table is read, so that no whole embedding moves.
         """
         asked = texts.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("digest", F.sha2("_text", 256))
         held = self.read(but=batch).select("digest")
@@ -40,4 +41,5 @@ class EmbeddingCache:
         new = self.spark.read.schema(ROWS).parquet(f"{self.folder}/batch={batch}").count()
         sizes = asked.agg(F.count("*").alias("texts"), F.countDistinct("digest").alias("distinct")).first()
         counts = {"texts": sizes["texts"], "distinct": sizes["distinct"], "hits": sizes["distinct"] - new, "misses": new}
-        return asked.select("id", "digest").join(self.read(), "digest").select("id", "digest", "embedding"), counts
+        held = self.read().select("digest", *(want or ["embedding"]))
+        return asked.select("id", "digest").join(held, "digest").select("id", *held.columns), counts
