@@ -7,7 +7,8 @@ two pieces' characters by score gives just these two back. Ids are then recovere
 
 The proof needs only that merges are chosen by score with the leftmost first, so it holds for this
 model type although any two neighbours whose joined text is a piece may merge. No piece holds ``▁`` after another character
-(checked on load), so units are independent; answers for short units are remembered by each worker.
+(checked on load), so units are independent; answers for short units are remembered by each worker, the older half of them going when there are too many.
+The text of ids is gathered from the bytes of the pieces, for many documents at once.
 
 Defined results: null text counts as empty and gives no ids and empty text; characters outside the vocabulary fall
 back to their UTF-8 bytes; repeated rows and null ids are encoded like any other; extra columns are ignored by ``encode`` and ``encode_decode``.
@@ -16,17 +17,22 @@ back to their UTF-8 bytes; repeated rows and null ids are encoded like any other
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Units up to this length are remembered; at most so many of them, and of answers for pairs, by each worker.
-KEPT_CHARS, KEPT_UNITS, KEPT_PAIRS = 16, 150_000, 500_000
+KEPT_CHARS, KEPT_UNITS, KEPT_PAIRS = 16, 300_000, 500_000
+#: Ids whose bytes are gathered at a time.
+GATHERED_IDS = 1 << 16
 _ALONE = -1
 _UNKNOWN = -2
+_NO_MERGE = float("-inf")
 
 
 @dataclass
@@ -37,9 +43,11 @@ class PieceModel:
     text_of: list[str]
     byte_ids: list[int]
     key: str = ""
-    pair_memo: dict[int, bool] = field(default_factory=dict)
-    unit_memo: dict[str, tuple[bytes, str]] = field(default_factory=dict)
+    unit_memo: dict[str, bytes] = field(default_factory=dict)
+    older_units: dict[str, bytes] = field(default_factory=dict)
+    pairs: int = 0
     automaton: object = None
+    decoding: tuple | None = None
 
     @staticmethod
     def load(path: str) -> PieceModel:
@@ -70,51 +78,72 @@ class PieceModel:
             import ahocorasick
 
             self.automaton = ahocorasick.Automaton()
+            #: For each piece, whether a last token before it (or none) is compatible.
+            self.pair_memo = {i: {} for i, _ in self.pieces.values()}
             for p, (i, _) in self.pieces.items():
-                self.automaton.add_word(p, (i, len(p)))
+                self.automaton.add_word(p, (i, len(p) - 1, self.pair_memo[i]))
             self.automaton.make_automaton()
-            self.names = {i: p for p, (i, _) in self.pieces.items()}
+            self.names, self.merging = {i: p for p, (i, _) in self.pieces.items()}, {}
             got = _LOADED[self.key] = self
         return got
 
-    def merge(self, text: str) -> list[str]:
-        """Plain merging by score, leftmost first; only for single pieces and pairs of pieces."""
-        parts = list(text)
+    def steps(self, piece: int) -> list[tuple[float, str, str]] | None:
+        """Merging a piece's characters by score, leftmost first: the score of each merge with the first and the last part before it, at the end the piece. None if they do not give it back."""
+        if piece in self.merging:
+            return self.merging[piece]
+        parts, out = list(self.names[piece]), []
         while len(parts) > 1:
-            best, at = None, -1
+            best, at = _NO_MERGE, -1
             for k in range(len(parts) - 1):
                 got = self.pieces.get(parts[k] + parts[k + 1])
-                if got is not None and (best is None or got[1] > best):
+                if got is not None and got[1] > best:
                     best, at = got[1], k
-            if best is None:
-                return parts
+            if at < 0:
+                break
+            out.append((best, parts[0], parts[-1]))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        out = self.merging[piece] = [*out, (_NO_MERGE, parts[0], parts[0])] if len(parts) == 1 else None
+        return out
+
+    def stays(self, left: int, right: int) -> bool:
+        """Whether merging both pieces' characters gives just these two back: each is merged as it is alone, as long as no merge across them comes first."""
+        a, b = [] if left < 0 else self.steps(left), self.steps(right)
+        if a is None or b is None:
+            return False
+        i = j = 0
+        while a:
+            (x, _, last), (y, first, _) = a[i], b[j]
+            got = self.pieces.get(last + first)
+            if got is not None and got[1] > x and got[1] >= y:
+                return False
+            if x == y == _NO_MERGE:
+                return True
+            i, j = (i + 1, j) if x >= y else (i, j + 1)
+        return True
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left + 2) * 1_000_000 + right
-        got = self.pair_memo.get(key)
+        known = self.pair_memo[right]
+        got = known.get(left)
         if got is None:
-            if len(self.pair_memo) > KEPT_PAIRS:
-                self.pair_memo.clear()
-            b = self.names[right]
-            a = [] if left < 0 else [self.names[left]]
-            got = self.pair_memo[key] = self.merge("".join([*a, b])) == [*a, b]
+            if self.pairs >= KEPT_PAIRS:
+                self.pairs = 0
+                for held in self.pair_memo.values():
+                    held.clear()
+            self.pairs += 1
+            got = known[left] = self.stays(left, right)
         return got
 
     def unit_ids(self, unit: str) -> list[int]:
-        n, done = len(unit), 0
+        n, done = len(unit), -1
         last, size = [_UNKNOWN] * (n + 1), [1] * (n + 1)
         last[0] = _ALONE
-        memo, compatible = self.pair_memo, self.compatible
-        for end, (piece, length) in self.automaton.iter(unit):
-            end += 1
-            if end == done:
+        for at, (piece, less, known) in self.automaton.iter(unit):
+            if at == done:
                 continue  # its last token is known, and there is but one
-            before = last[end - length]
-            ok = memo.get((before + 2) * 1_000_000 + piece)
-            if ok or (ok is None and compatible(before, piece)):
-                last[end], size[end], done = piece, length, end
+            before = last[at - less]
+            ok = known.get(before)
+            if ok or (ok is None and self.compatible(before, piece)):
+                last[at + 1], size[at + 1], done = piece, less + 1, at
         out, at = [], n
         while at > 0:
             if last[at] == _UNKNOWN:
@@ -124,14 +153,14 @@ class PieceModel:
             at -= size[at]
         return out[::-1]
 
-    def unit(self, rest: str) -> tuple[bytes, str]:
-        """Ids as int32 bytes, and the text that they decode to, of ▁ and the rest of a unit."""
-        import numpy as np
-
-        ids = self.unit_ids(MARK + rest)
-        got = (np.array(ids, np.int32).tobytes(), self.decode_pieces(ids))
+    def unit(self, rest: str) -> bytes:
+        """Ids as int32 bytes, of ▁ and the rest of a unit."""
+        got = self.older_units.get(rest)
+        if got is None:
+            got = array("i", self.unit_ids(MARK + rest)).tobytes()
         if len(rest) <= KEPT_CHARS:
-            if len(self.unit_memo) >= KEPT_UNITS:
+            if len(self.unit_memo) >= KEPT_UNITS // 2:
+                self.older_units = dict(self.unit_memo)
                 self.unit_memo.clear()
             self.unit_memo[rest] = got
         return got
@@ -157,16 +186,41 @@ class PieceModel:
         text = self.decode_pieces(ids)
         return text[1:] if ids and self.text_of[ids[0]].startswith(" ") else text
 
-    def encode_text(self, text: str) -> tuple[bytes, str]:
+    def piece_bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes that ids decode to, one id after the other; where each begins, and how many there are. Byte pieces stand for themselves."""
+        if self.decoding is None:
+            byte_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+            parts = [byte_of.get(i, t.encode()) for i, t in enumerate(self.text_of)]
+            sizes = np.array([len(p) for p in parts], np.int64)
+            self.decoding = np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes
+        return self.decoding
+
+    def decode_many(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The UTF-8 text of each document's ids, as encoding made them (so byte pieces come as whole characters); ``ends``: where documents end, from 0.
+
+        The space that encoding put at the start goes.
+        """
+        data, begins, sizes = self.piece_bytes()
+        parts = []
+        for at in range(0, len(ids), GATHERED_IDS):
+            some = ids[at : at + GATHERED_IDS]
+            long = sizes[some]
+            after = np.cumsum(long)
+            parts.append(data[np.repeat(begins[some] - (after - long), long) + np.arange(after[-1])].tobytes())
+        flat = b"".join(parts)
+        cut = np.concatenate([[0], np.cumsum(sizes[ids])])[ends].tolist()
+        return [flat[a + 1 : b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def encode_text(self, text: str) -> bytes:
+        """Ids as int32 bytes."""
         if not text:
-            return b"", ""
+            return b""
         marked = text.replace(" ", MARK)
         rests = marked.split(MARK)
         if "" in rests:  # runs of ▁: a unit takes the whole run
             rests = [u[1:] for u in re.findall(f"{MARK}+[^{MARK}]*", MARK + marked)]
         memo, unit = self.unit_memo, self.unit
-        got = [memo.get(r) or unit(r) for r in rests]
-        return b"".join([g[0] for g in got]), "".join([g[1] for g in got])[1:]
+        return b"".join([memo.get(r) or unit(r) for r in rests])
 
 
 _LOADED: dict[str, PieceModel] = {}
@@ -177,7 +231,6 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     model = PieceModel.load(model_path)
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         own = model.ready()
@@ -185,9 +238,11 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
                 rows = [own.encode_text(t or "") for t in batch.column("text").to_pylist()]
-                ends = np.cumsum([0] + [len(r[0]) // 4 for r in rows]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([r[0] for r in rows]), np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array([r[1] for r in rows], pa.string())], ["doc_id", "ids", "decoded"])
+                ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
+                flat = np.frombuffer(b"".join(rows), np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                decoded = pa.array(own.decode_many(flat, ends), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoded], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
