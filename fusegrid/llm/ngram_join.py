@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusegrid.llm.common import components, materialize, mix64, shuffle_partitions, slices, text_bytes, word_hashes
+from fusegrid.llm.common import components, materialize, mix64, shuffle_partitions, slices, span_hashes, text_bytes, word_hashes, word_spans  # noqa: F401
 
 WORDS = 5
 PERCENT = 80
@@ -44,21 +44,48 @@ MEMBERS_PER_TREE, SHINGLES_PER_TREE = 256, 400_000
 #: Rows of a block that one tree of the second round holds.
 ROWS_PER_TREE = 512
 BUCKETS = 8
+#: Texts that are hashed together.
+HASHED_BYTES = 1 << 18
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
 def shingles(text: bytes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text."""
-    w = word_hashes(text.lower())  # of bytes: A-Z only
-    n = len(w)
-    if not n:
-        return w
-    if n < WORDS:
-        return mix64((w * _MULT[:n]).sum(keepdims=True) + np.uint64(n))
-    total = w[: n - WORDS + 1] * _MULT[0]
-    for k in range(1, WORDS):
-        total = total + w[k : n - WORDS + 1 + k] * _MULT[k]
-    return np.unique(mix64(total))
+    return next(shingle_sets([text]))
+
+
+def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The shingles of each text. Texts are hashed together, up to so many bytes at a time; only sorting goes text by text."""
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) < HASHED_BYTES:
+            size += len(texts[end])
+            end += 1
+        yield from _hashed_together(texts[at:end])
+        at = end
+
+
+def _hashed_together(texts: list[bytes]) -> Iterator[np.ndarray]:
+    data = np.frombuffer(b"\n".join(texts).lower(), np.uint8)  # of bytes: A-Z only
+    if not len(data):
+        yield from (np.zeros(0, np.uint64) for _ in texts)
+        return
+    starts, ends = word_spans(data)
+    w = span_hashes(data, starts, ends)
+    total = np.zeros(0, np.uint64)
+    if len(w) >= WORDS:
+        total = w[: len(w) - WORDS + 1] * _MULT[0]
+        for k in range(1, WORDS):
+            total += w[k : len(w) - WORDS + 1 + k] * _MULT[k]
+        total = mix64(total)
+    cut = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts])).tolist()
+    for a, b in zip(cut, cut[1:], strict=False):
+        if b - a < WORDS:
+            yield mix64((w[a:b] * _MULT[: b - a]).sum(keepdims=True) + np.uint64(b - a)) if a < b else np.zeros(0, np.uint64)
+        else:
+            s = np.sort(total[a : b - WORDS + 1])  # those behind go on into the next text
+            yield s[np.append(True, s[1:] != s[:-1])]
 
 
 def links(a: np.ndarray, b: np.ndarray) -> bool:
@@ -102,8 +129,7 @@ def features(docs: DataFrame) -> DataFrame:
 
         for batch in slices(batches):
             n, digest, bands = [], [], []
-            for t in text_bytes(batch):
-                s = shingles(t)
+            for s in shingle_sets(text_bytes(batch)):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(s) if len(s) else [])
@@ -139,11 +165,11 @@ def tree_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         at, group = None, ([], [], [])
         for batch in slices(batches):
             found = []
-            for a, salt, role, doc, t in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "role", "doc_id")), text_bytes(batch), strict=True):
+            for a, salt, role, doc, s in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "role", "doc_id")), shingle_sets(text_bytes(batch)), strict=True):
                 if (a, salt) != at:
                     found += group_links(*group)
                     at, group = (a, salt), ([], [], [])
-                for held, x in zip(group, (doc, role, shingles(t)), strict=True):
+                for held, x in zip(group, (doc, role, s), strict=True):
                     held.append(x)
             yield _pairs(pa, found)
         yield _pairs(pa, group_links(*group))
@@ -222,7 +248,7 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
         import pyarrow as pa
 
         for batch in slices(batches, 1000):
-            got = [s[: prefix_sizes(len(s))[0]] for part in slices([batch]) for s in map(shingles, text_bytes(part)) if len(s)]
+            got = [s[: prefix_sizes(len(s))[0]] for part in slices([batch]) for s in shingle_sets(text_bytes(part)) if len(s)]
             tokens = np.concatenate(got) if got else np.zeros(0, np.uint64)
             bucket = (mix64(tokens) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -254,8 +280,7 @@ def blocks(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
 
         for batch in slices(batches, 1000):
             rows = []
-            for doc, comp, t in ((d, c, t) for part in slices([batch]) for d, c, t in zip(part.column("doc_id").to_pylist(), part.column("component").to_pylist(), text_bytes(part), strict=True)):
-                s = shingles(t)
+            for doc, comp, s in (row for part in slices([batch]) for row in zip(part.column("doc_id").to_pylist(), part.column("component").to_pylist(), shingle_sets(text_bytes(part)), strict=True)):
                 if not len(s):
                     continue
                 all_n, short_n = prefix_sizes(len(s))
@@ -362,7 +387,7 @@ def candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([bitmap(shingles(t)) for t in text_bytes(batch)], pa.binary())], ["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([bitmap(s) for s in shingle_sets(text_bytes(batch))], pa.binary())], ["doc_id", "bits"])
 
     signs = _texts(docs, materialize(found.select("doc_id").distinct())).select("doc_id", "text").mapInArrow(sign, "doc_id long, bits binary")
     # a tree meets itself and each other tree of its block in a group of its own
@@ -424,7 +449,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = materialize(tree_links(known, pairs).union(same_id))
     joined = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
     labelled = classes.join(joined, F.col("rep") == F.col("id"), "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component")).distinct()
-    texts = _texts(known, materialize(labelled))
+    # the classes' texts are picked once, by a shuffle whatever their number, and read twice
+    texts = materialize(known.join(labelled.hint("merge"), "doc_id"))
     found = materialize(blocks(texts, frequent_shingles(texts)))
     second = materialize(tree_links(known, materialize(candidates(known, found))))
     if not second.isEmpty():
