@@ -23,7 +23,7 @@ def graph_candidates(queries: DataFrame, elements: DataFrame, degrees: DataFrame
     found = asked.join(elements, "category").where((F.size("attributes") == 0) | tag_match(F.col("attributes"), F.col("tags")))
     first = Window.partitionBy("query_id").orderBy("ord", "name", "element_id")
     kept = found.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most)
-    joined = kept.join(degrees, kept["element_id"] == degrees["id"], "left")
+    joined = kept.join(degrees.hint("merge"), kept["element_id"] == degrees["id"], "left")  # a row an element: not sent through the driver
     degree = S.degree_score(F.coalesce("degree", F.lit(0)))
     return joined.select("query_id", "element_id", "name", "category", F.lit(0.8).alias("similarity"), degree.alias("graph_degree"), F.lit("graph").alias("source"))
 
@@ -48,7 +48,7 @@ def scored_candidates(scores: DataFrame, elements: DataFrame, source: str, most:
 
 def vector_candidates(neighbours: DataFrame, elements: DataFrame) -> DataFrame:
     """From rows (query_id, id, score) of a vector search."""
-    joined = neighbours.join(elements, neighbours["id"] == elements["element_id"])
+    joined = neighbours.join(elements.hint("merge"), neighbours["id"] == elements["element_id"])  # the same
     return joined.select("query_id", "element_id", "name", "category", F.col("score").alias("similarity"), F.lit(0.0).alias("graph_degree"), F.lit("vector").alias("source"))
 
 
