@@ -75,3 +75,19 @@ def test_a_cache_gives_columns_made_of_embeddings(spark, tmp_path):
     assert counts == {"texts": 3, "distinct": 2, "hits": 2, "misses": 0}
     text = plan(rows)
     assert text.rindex("AS first") > text.index("Join")  # made below the join
+
+
+@pytest.mark.parametrize("name", ["page_extraction", "ontology_map"])
+def test_pages_are_read_once_and_what_is_left_moves_once_to_a_given_number_of_tasks(spark, data_dir, name):
+    text = plan(catalog.queries()[name](spark, data_dir))
+    assert text.count("FileScan parquet") == text.count("Exchange") == text.count("REPARTITION_BY_NUM") == 1 and "Join" not in text
+
+
+def test_pages_of_one_id_meet_and_a_null_id_has_no_elements(spark):
+    pages = spark.createDataFrame([(1, '<p class="BTN-a">x</p><p>y</p>'), (1, "<style>a{--x:1px;b:c}</style>"), (None, "<p>z</p><style>a{b:c}</style>"), (2, "")], "page_id long, html string")
+    elements = E.extract(pages)
+    assert sorted(map(tuple, elements.select("page_id", "node_id", "tag", "element_type").collect())) == [
+        (1, 0, "p", "bootstrap-button"), (1, 0, "p", "unknown-button"), (1, 0, "style", "bootstrap-unknown"), (1, 0, "style", "unknown-unknown"), (1, 1, "p", "bootstrap-text"), (1, 1, "p", "unknown-text")]
+    assert sorted(map(tuple, E.page_statements(pages).collect())) == sorted(map(tuple, E.statements(elements).collect()))
+    full = {r["page_id"]: (r["elements"], r["rules"], len(r["tokens"]), r["statements"], r["text"] != "") for r in E.extract_full(pages, 16).collect()}
+    assert full == {1: (6, 2, 1, E.statements(elements).count() + 1, True), None: (0, 0, 0, 0, False), 2: (0, 0, 0, 0, False)}
